@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.llm.decontaminate import contaminated
 from tessera.llm.exact_dedup import exact_duplicates
+from tessera.llm.html_text import extract_text
+from tessera.llm.language_id import identify_languages
 from tessera.llm.mixing import mix_sources
+from tessera.llm.quality import score_quality
 from tessera.llm.simhash import simhash_components
+from tessera.llm.substring_dedup import remove_repeats
+from tessera.llm.text import id_slice
+from tessera.llm.tokens import count_tokens
 from tessera.session import table
 
 
@@ -14,18 +22,51 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda c: ~id_slice(c, 3, 1))
+    return scored.select("doc_id", id_slice("doc_id", 3, 1).alias("held_out"), "score", "predicted")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify_languages(table(spark, sf_dir, "documents"), ~id_slice("doc_id", 4, 2))
+    return found.select("doc_id", id_slice("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_quality": op2_quality,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_html_text": op4_html_text,
     "op5_mix_sources": op5_mix_sources,
+    "op6_token_counts": op6_token_counts,
+    "op7_decontaminate": op7_decontaminate,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
