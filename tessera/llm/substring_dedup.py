@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,12 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.decontaminate import gram_hashes
-from tessera.session import durable
+from tessera.session import durable, stored
 
 #: Words of an anchor.
 ANCHOR = 5
-#: Anchors of a reference shard, and the number of different passages from which an anchor is hot.
-SHARD_ANCHORS, HOT = 2_000, 2_000
+#: Passages of a reference shard, and the number of texts from which an anchor is hot.
+SHARD_ROWS, HOT = 8_000, 2_000
 #: Most bits of a broadcast filter: 32 MB.
 FILTER_BITS = 28
 #: Bits of one row of a filter while it is built.
@@ -78,25 +79,47 @@ class SuffixAutomaton:
             yield n
 
 
-def anchors(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first and last window of each run of windows with the same anchor.
+def anchors(texts: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, anchor hash, first and last window of each run of windows with the same anchor.
 
     A window's anchor is its run of ``ANCHOR`` words of least hash, the leftmost of equal ones. It
     depends on the window's words alone, so that equal windows have equal anchors, wherever they stand.
+    The texts are laid end to end, and windows across an end are left out.
     """
-    n = len(words) - window + 1
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    n = int(size.sum()) - window + 1
     if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    g = gram_hashes(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), ANCHOR)
-    least, at = g[:n].copy(), np.arange(n)
+        return tuple(np.empty(0, k) for k in (np.int64, np.uint64, np.int64, np.int64))
+    words = itertools.chain.from_iterable(texts)
+    g = gram_hashes(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n + window - 1), ANCHOR)
+    least, at = g[:n].copy(), np.zeros(n, np.int8)
     for j in range(1, window - ANCHOR + 1):
         other = g[j : j + n]
-        less = other < least
-        least[less] = other[less]
-        at[less] = np.nonzero(less)[0] + j
-    first = np.concatenate(([0], np.nonzero(np.diff(at))[0] + 1))
-    last = np.concatenate((first[1:] - 1, [n - 1]))
-    return least[first], first, last
+        at[other < least] = j
+        np.minimum(least, other, out=least)
+    begin = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(texts)), size)[:n]
+    own = np.nonzero(np.arange(n) + window <= (begin + size)[owner])[0]
+    place = own + at[own]
+    first = np.nonzero(np.diff(place, prepend=-1))[0]
+    last = np.append(first[1:], len(own)) - 1
+    if not len(own):
+        first = last = first[:0]
+    text = owner[own[first]]
+    return text, least[own[first]], own[first] - begin[text], own[last] - begin[text]
+
+
+def in_chunks(column, words: int = 1 << 18) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """Split texts, gathered until they have about so many words; with the number of the first."""
+    at, held, n = 0, [], 0
+    for i, t in enumerate(column):
+        held.append((t.as_py() or b"").split())
+        n += len(held[-1])
+        if n >= words:
+            yield at, held
+            at, held, n = i + 1, [], 0
+    if held:
+        yield at, held
 
 
 def broadcast_filter(hashes: DataFrame, n_rows: int):
@@ -119,15 +142,18 @@ def in_filter(table: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
     return (table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def shard_masks(pieces: pd.DataFrame, window: int) -> pd.DataFrame:
+def shard_masks(rows: pd.DataFrame, window: int) -> pd.DataFrame:
     """For passages of one shard, a mask of the windows that a passage of a smaller id holds.
 
-    Passages pass in the order of their ids: each is matched against the automaton of all smaller ids,
-    then added to it. Anchors with one passage have nothing to match.
+    Different passages pass in the order of their smallest ids: each is matched against the automaton
+    of all smaller ids, then added to it. Anchors with one passage have nothing to match. A passage of
+    an id that is not its smallest is repeated as a whole.
     """
+    rows = rows.assign(first=rows.groupby("piece")["id"].transform("min"))
+    pieces = rows.drop_duplicates("piece")
     pieces = pieces[pieces.groupby("m")["m"].transform("size") > 1].sort_values("first", kind="stable")
-    automaton, code = SuffixAutomaton(), {}
-    masks, waiting, held = [], [], None
+    automaton, code, masks = SuffixAutomaton(), {}, {}
+    waiting, held = [], None
     for piece, first in zip(pieces["piece"], pieces["first"], strict=True):
         if first != held:
             for w in waiting:
@@ -135,25 +161,29 @@ def shard_masks(pieces: pd.DataFrame, window: int) -> pd.DataFrame:
             waiting, held = [], first
         words = [code.setdefault(w, len(code)) for w in piece.split(b" ")]
         waiting.append(words)
-        mask = 0
-        for i, n in enumerate(automaton.statistics(words)):
-            if n >= window:
-                mask |= 1 << (i - window + 1)
-        masks.append(mask)
-    out = pd.DataFrame({"p": pieces["p"], "first": pieces["first"], "mask": np.array(masks, np.int64)})
-    return out[out["mask"] != 0]
+        masks[piece] = sum(1 << (i - window + 1) for i, n in enumerate(automaton.statistics(words)) if n >= window)
+    whole = [(1 << (p.count(b" ") + 2 - window)) - 1 for p in rows["piece"]]
+    own = [masks.get(p, 0) for p in rows["piece"]]
+    mask = np.where(rows["id"] > rows["first"], np.array(whole, np.int64), np.array(own, np.int64))
+    return rows.assign(mask=mask)[["id", "h", "starts", "mask"]][mask != 0]
 
 
-def hot_masks(pieces: DataFrame, window: int) -> DataFrame:
-    """The same for passages of hot anchors, window by window, which spreads them over all tasks."""
+def hot_masks(rows: DataFrame, window: int) -> DataFrame:
+    """The same for hot anchors: passages are collapsed by a combined aggregate, then compared window by window."""
+    rows = rows.withColumn("p", F.unhex(F.md5("piece")))
+    distinct = rows.groupBy("p", "piece").agg(F.min("id").alias("first"))
     words = F.split(F.col("piece").cast("string"), " ")
-    spread = pieces.select("p", "first", words.alias("w")).select(
-        "p", "first", "w", F.explode(F.sequence(F.lit(0), F.size("w") - window)).alias("i")
-    )
+    spread = distinct.select("p", "first", words.alias("w"))
+    spread = spread.select("p", "first", "w", F.explode(F.sequence(F.lit(0), F.size("w") - window)).alias("i"))
     spread = spread.select("p", "first", "i", F.unhex(F.md5(F.array_join(F.slice("w", F.col("i") + 1, window), " "))).alias("win"))
     least = spread.groupBy("win").agg(F.min("first").alias("least"))
-    met = spread.join(least.withColumnRenamed("win", "w2"), F.col("win") == F.col("w2")).where("least < first")
-    return met.groupBy("p", "first").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
+    met = spread.join(least.withColumnRenamed("win", "w2"), F.col("win") == F.col("w2"))
+    bit = F.expr("if(least < first, shiftleft(1L, i), 0L)")
+    masks = met.groupBy("p").agg(F.bit_or(bit).alias("own"), F.min("first").alias("first"), F.max("i").alias("last"))
+    masks = durable(masks.withColumnRenamed("p", "mp"))
+    mask = F.when(F.col("id") > F.col("first"), F.expr("shiftleft(1L, last + 1) - 1")).otherwise(F.col("own"))
+    found = rows.select("id", "h", "starts", "p").join(masks, F.col("p") == F.col("mp"))
+    return found.select("id", "h", "starts", mask.alias("mask")).where("mask <> 0")
 
 
 def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
@@ -168,77 +198,54 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int) -
 
     def list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [np.unique(anchors((t.as_py() or b"").split(), window)[0]).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "ms"])
-
-    listed = rows.select("id", "text").mapInArrow(list_anchors, f"id {kind}, ms array<bigint>")
-    repeated = (
-        listed.select("id", F.explode("ms").alias("h"))
-        .groupBy("h")
-        .agg(F.min("id").alias("a"), F.max("id").alias("b"))
-        .where("a < b")
-        .select("h")
-    )
-    repeated = durable(repeated)
-    n = repeated.count()
-    known, bits = broadcast_filter(repeated, n)
-
-    def list_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = known.value
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                row, ms, piece, first, size = [], [], [], [], []
-                for i, t in enumerate(part.column(2)):
-                    words = (t.as_py() or b"").split()
-                    m, lo, hi = anchors(words, window)
-                    some = in_filter(table, bits, m)
-                    lo, hi = lo[some].tolist(), hi[some].tolist()
-                    row += [i] * len(lo)
-                    ms.append(m[some].view(np.int64))
-                    first += lo
-                    size += [y - x + 1 for x, y in zip(lo, hi, strict=True)]
-                    piece += [b" ".join(words[x : y + window]) for x, y in zip(lo, hi, strict=True)]
-                take = pa.array(row, pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0).take(take), part.column(1).take(take), pa.array(np.concatenate([np.empty(0, np.int64), *ms])),
-                        pa.array(piece, pa.binary()), pa.array(first, pa.int32()), pa.array(size, pa.int32()),
-                    ],
-                    ["id", "h", "m", "piece", "start", "n"],
-                )
-
-    passages = rows.mapInArrow(list_passages, f"id {kind}, h bigint, m bigint, piece binary, start int, n int")
-    passages = passages.withColumn("p", F.unhex(F.md5("piece")))
-    distinct = passages.groupBy("m", "p", "piece").agg(F.min("id").alias("first"))
-    hot = distinct.groupBy("m").count().where(F.col("count") > HOT).select(F.col("m").alias("hot_m"))
-    shards = max(1, -(-n // SHARD_ANCHORS))
-    cold = distinct.join(hot, F.col("m") == F.col("hot_m"), "left_anti")
-    cold = cold.groupBy(F.pmod(F.xxhash64("m"), F.lit(shards)).alias("shard")).applyInPandas(
-        lambda pdf: shard_masks(pdf, window), f"p binary, first {kind}, mask bigint"
-    )
-    warm = hot_masks(distinct.join(hot, F.col("m") == F.col("hot_m"), "left_semi"), window)
-    masks = cold.unionByName(warm).select(F.col("p").alias("mp"), "mask")
-    firsts = distinct.select("p", "first").join(masks, F.col("p") == F.col("mp"), "left").select(F.col("p").alias("fp"), "first", "mask")
-    every = F.expr("shiftleft(1L, n) - 1")
-    bits_of = F.when(F.col("id") > F.col("first"), every).otherwise(F.coalesce("mask", F.lit(0)))
-    found = (
-        passages.select("id", "h", "p", "start", "n")
-        .join(firsts, F.col("p") == F.col("fp"))
-        .select("id", "h", "start", bits_of.alias("mask"))
-        .where("mask <> 0")
-    )
-    return found.groupBy("id", "h").agg(F.collect_list(F.struct("start", "mask")).alias("places"))
+            for at, texts in in_chunks(b.column(1)):
+                text, m, _, _ = anchors(texts, window)
+                both = pd.DataFrame({"t": text + at, "m": m.view(np.int64)}).drop_duplicates()
+                ids = b.column(0).take(pa.array(both["t"].to_numpy()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(both["m"].to_numpy())], ["id", "h"])
+
+    listed = rows.select("id", "text").mapInArrow(list_anchors, f"id {kind}, h bigint")
+    repeated = listed.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n"))
+    repeated = durable(repeated.where("a < b").select("h", "n"))
+    total = repeated.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > HOT)).first()
+    known, bits = broadcast_filter(repeated, total[0])
+    hot, hot_bits = broadcast_filter(repeated.where(F.col("n") > HOT), total[2])
+
+    def passages(want_hot: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at, texts in in_chunks(b.column(2)):
+                    text, m, lo, hi = anchors(texts, window)
+                    some = in_filter(known.value, bits, m)
+                    some[some] = in_filter(hot.value, hot_bits, m[some]) == want_hot
+                    found: dict[tuple[int, int, bytes], list[int]] = {}
+                    for t, a, x, y in zip(text[some].tolist(), m[some].view(np.int64).tolist(), lo[some].tolist(), hi[some].tolist(), strict=True):
+                        found.setdefault((t, a, b" ".join(texts[t][x : y + window])), []).append(x)
+                    t, a, piece = zip(*found, strict=True) if found else ((), (), ())
+                    take = pa.array([at + x for x in t], pa.int64())
+                    cols = [pa.array(a, pa.int64()), pa.array(piece, pa.binary()), pa.array(list(found.values()), pa.list_(pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *cols], ["id", "h", "m", "piece", "starts"])
+
+        return rows.mapInArrow(run, f"id {kind}, h bigint, m bigint, piece binary, starts array<int>")
+
+    shards = max(1, -(-total[1] // SHARD_ROWS))
+    out = f"id {kind}, h bigint, starts array<int>, mask bigint"
+    shard = F.pmod(F.xxhash64("m"), F.lit(shards)).alias("shard")
+    found = passages(False).groupBy(shard).applyInPandas(lambda rows: shard_masks(rows, window), out)
+    if total[2]:
+        found = found.unionByName(hot_masks(stored(passages(True))[0], window))
+    return found.groupBy("id", "h").agg(F.collect_list(F.struct("starts", "mask")).alias("places"))
 
 
 def drop_repeated(words: list[bytes], places: list[dict], window: int) -> list[bytes]:
     """The words that no repeated window covers."""
     edge = np.zeros(len(words) + 1, np.int32)
     for x in places:
+        starts = np.array(x["starts"])
         for j in range(x["mask"].bit_length()):
             if x["mask"] >> j & 1:
-                edge[x["start"] + j] += 1
-                edge[x["start"] + j + window] -= 1
+                np.add.at(edge, starts + j, 1)
+                np.add.at(edge, starts + j + window, -1)
     kept = edge.cumsum()[:-1] == 0
     return [w for w, k in zip(words, kept, strict=True) if k]
 
@@ -254,11 +261,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Each window has an anchor that its words alone decide, so that equal windows share one. Anchors of
     two ids or more are found by a map-side combined aggregate. The passages around those (told by a
-    filter of bounded size, whose false hits do no harm) are collapsed to different ones, each with its
-    smallest id, and dealt by anchor to reference shards of bounded size. A shard's task holds its
-    suffix automaton and lets the shard's passages pass in the order of their ids for matching
-    statistics. Anchors with very many different passages would not fit a shard; theirs are compared
-    window by window instead. Only texts that lose words are shuffled (and the few that the second
+    filter of bounded size, whose false hits do no harm) are dealt by anchor to reference shards of
+    bounded size. A shard's task holds its suffix automaton and lets the shard's passages pass in the
+    order of their ids for matching statistics. Anchors of more than ``HOT`` texts would not fit a
+    shard; theirs are collapsed to different ones and compared window by window instead. Only texts that lose words are shuffled (and the few that the second
     filter lets through).
     """
     found = durable(repeated_windows(docs, id_col, text_col, window))
