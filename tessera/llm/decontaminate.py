@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -15,9 +14,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.simhash import mixed
 
-WORDS = re.compile(r"\w+")
-#: A worker forgets word hashes beyond so many.
-CACHE = 400_000
+#: Bytes that part words: all of ASCII but letters, digits and the underscore.
+PARTS = bytes(b if b >= 128 or chr(b).isalnum() or b == 95 else 32 for b in range(256))
 #: Fingerprints are cut into this many blocks of eight bits.
 BLOCKS = 8
 #: Windows are fingerprinted in runs of at most so many shingles, which bounds memory for very long texts.
@@ -25,6 +23,15 @@ RUN = 1 << 14
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-case words of a text, parted at ASCII white space and punctuation."""
+    return (text or "").lower().encode("utf-8", "replace").translate(PARTS).split()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
 def gram_hashes(h: np.ndarray, width: int) -> np.ndarray:
     """A hash for each run of ``width`` word hashes."""
     n = len(h) - width + 1
@@ -52,7 +59,7 @@ class ItemIndex:
     each table says which items have such a block for each of its 256 values.
     """
 
-    def __init__(self, items: list[tuple[object, list[str]]], width: int, radius: int) -> None:
+    def __init__(self, items: list[tuple[object, list[bytes]]], width: int, radius: int) -> None:
         self.width, self.radius = width, radius
         self.ids = [i for i, _ in items]
         self.grams: list[Counter] = []
@@ -60,8 +67,7 @@ class ItemIndex:
         by_length: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
         for n, (_, words) in enumerate(items):
             k = min(width, len(words))
-            h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
-            g = gram_hashes(h, k)
+            g = gram_hashes(word_hashes(words), k)
             self.grams.append(Counter(tuple(words[i : i + k]) for i in range(len(words) - k + 1)))
             wanted[k].append(g)
             by_length[len(words)].append((n, window_prints(g, np.array([0]), len(g))[0]))
@@ -90,7 +96,7 @@ def similarity(a: Counter, b: Counter) -> float:
     return both / (sum(a.values()) + sum(b.values()) - both)
 
 
-def matches(words: list[str], hashes: np.ndarray, index: ItemIndex, threshold: float) -> dict[int, tuple[float, int, int]]:
+def matches(words: list[bytes], index: ItemIndex, threshold: float) -> dict[int, tuple[float, int, int]]:
     """For each item found: the best similarity, the window's first word and its number of words.
 
     A window without a shingle of any item has similarity zero with all; only windows that hold one are
@@ -98,10 +104,11 @@ def matches(words: list[str], hashes: np.ndarray, index: ItemIndex, threshold: f
     """
     best: dict[int, tuple[float, int, int]] = {}
     tried: set[tuple[int, int, int]] = set()
+    hashes = word_hashes(words)
     for k, wanted in index.wanted.items():
         grams = gram_hashes(hashes, k)
         hit = np.nonzero(index.quick[k][grams >> np.uint64(44)])[0]
-        hit = hit[np.isin(grams[hit], wanted)]
+        hit = hit[wanted[np.minimum(np.searchsorted(wanted, grams[hit]), len(wanted) - 1)] == grams[hit]]
         if not len(hit):
             continue
         for length, members, fps, tables in index.classes:
@@ -145,7 +152,7 @@ def contaminated(
 ) -> DataFrame:
     """``id_col, item_col, similarity, start, n_words``: the best window of each item in each row's text.
 
-    Words are lower-case runs of word characters. A window of an item's length counts if the weighted
+    Words are in lower case and parted at ASCII white space and punctuation. A window of an item's length counts if the weighted
     Jaccard similarity of its ``width``-word shingles with the item's is at least ``threshold`` (items
     with fewer words are one shingle). Candidates are windows whose 64-bit SimHash is at most ``radius``
     bits from the item's; at similarity 0.8 that is 3.6 standard deviations above the mean distance. Ties
@@ -165,26 +172,17 @@ def contaminated(
     found = []
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()
-        split = [(r["item"], WORDS.findall(r["text"].lower())) for r in mine]
+        split = [(r["item"], words_of(r["text"])) for r in mine]
         index = docs.sparkSession.sparkContext.broadcast(ItemIndex([x for x in split if x[1]], width, radius))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            known: dict[str, int] = {}
             for b in batches:
                 out: list[tuple] = []
-                if len(known) > CACHE:
-                    known.clear()
                 for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    words = WORDS.findall((t.as_py() or "").lower())
+                    words = words_of(t.as_py())
                     if not words or not index.value.ids:
                         continue
-                    ids = []
-                    for w in words:
-                        h = known.get(w)
-                        if h is None:
-                            h = known[w] = xxhash.xxh64_intdigest(w)
-                        ids.append(h)
-                    got = matches(words, np.array(ids, np.uint64), index.value, threshold)
+                    got = matches(words, index.value, threshold)
                     out += [(d, index.value.ids[i], *v) for i, v in sorted(got.items())]
                 cols = list(zip(*out, strict=True)) or [()] * 5
                 kind = pa.int64() if item_type.typeName() == "long" else None
