@@ -11,6 +11,7 @@ from tessera.llm.html_text import extract_text
 from tessera.llm.language_id import identify_languages
 from tessera.llm.mixing import mix_sources
 from tessera.llm.quality import score_quality
+from tessera.llm.secrets import scan_secrets
 from tessera.llm.simhash import simhash_components
 from tessera.llm.substring_dedup import remove_repeats
 from tessera.llm.text import id_slice
@@ -47,6 +48,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -65,6 +70,7 @@ QUERIES = {
     "op5_mix_sources": op5_mix_sources,
     "op6_token_counts": op6_token_counts,
     "op7_decontaminate": op7_decontaminate,
+    "op8_secrets": op8_secrets,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
 }
