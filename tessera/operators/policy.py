@@ -126,3 +126,20 @@ def lcb_choice(df: DataFrame, key: Sequence[str], z: float, max_risk: float, cos
 def oracle_bound(wins: Column, losses: Column, n: Column) -> tuple[Column, Column]:
     """Score of a router that always picks the better side, against always the first and always the second."""
     return F.lit(0.5) + F.try_divide(losses, n) / 2, F.lit(0.5) + F.try_divide(wins, n) / 2
+
+
+def strong_rule(scores: dict[str, Column], confidence: Column, threshold: float, most: int, strategy_threshold: float) -> Column:
+    """Id of the rule's action: the ``most`` sources of greatest similarity (then name, descending) at or above the threshold; a strategy if the confidence is high enough."""
+    from tessera.operators.actions import SOURCES, code_of
+
+    rows = F.array(*[F.struct(s.cast("double").alias("x"), F.lit(n).alias("n"), F.lit(SOURCES[n]).alias("bit")) for n, s in scores.items()])
+    good = F.slice(F.reverse(F.array_sort(F.filter(rows, lambda r: r["x"] >= threshold))), 1, most)
+    mask = F.aggregate(good, F.lit(0), lambda a, r: a.bitwiseOR(r["bit"]))
+    return code_of(mask, F.when(confidence >= strategy_threshold, "RS").otherwise("R0"))
+
+
+def same_choice_rate(df: DataFrame, unit: Sequence[str], condition: str, choice: str, baseline: str) -> DataFrame:
+    """Per condition: shared units and the share of them in which it makes the baseline's choice. A window brings the baseline's."""
+    base = F.max(F.when(F.col(condition) == baseline, F.col(choice))).over(W.partitionBy(*unit))
+    met = df.withColumn("_b", base).where(F.col("_b").isNotNull() & (F.col(condition) != baseline))
+    return met.groupBy(condition).agg(F.count("*").alias("units"), F.avg((F.col(choice) == F.col("_b")).cast("double")).alias("same_rate"))

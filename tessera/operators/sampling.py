@@ -139,3 +139,16 @@ def greedy_strata(df: DataFrame, key: str, scenario: str, stratum: str, priority
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (key, scenario, stratum)) + ", turn long"
     return cut.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(plan, schema)
+
+
+def audit_picks(df: DataFrame, key: str, baseline: str) -> DataFrame:
+    """Per state the best, the baseline and the most expensive action, with the ``reason`` of each; one action may have several."""
+    best = F.max_by(F.struct("action_id", "cost"), F.struct("response", -F.col("cost"), "action_id")).alias("best")
+    dear = F.max_by("action_id", F.struct("cost", "action_id")).alias("dear")
+    g = df.groupBy(key).agg(best, dear, F.max(F.when(F.col("action_id") == baseline, F.col("action_id"))).alias("base"))
+    picks = F.array(
+        F.struct(F.lit("best").alias("reason"), F.col("best.action_id").alias("action_id")),
+        F.struct(F.lit("baseline").alias("reason"), F.col("base").alias("action_id")),
+        F.struct(F.lit("expensive").alias("reason"), F.col("dear").alias("action_id")),
+    )
+    return g.select(key, F.explode(picks).alias("p")).select(key, "p.*").where("action_id is not null")

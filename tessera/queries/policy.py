@@ -199,3 +199,65 @@ def bootstrap_trees(spark: SparkSession, d: str) -> DataFrame:
     """No SQL: an ensemble over group bootstraps; mean and deviation of its members."""
     rows = facts(spark, d).where("card_id % 7 = 0")
     return models.bootstrap_predictions(rows, "card_id", ["cost", "misuse"], "response", members=3)
+
+
+@Q.query("""
+    WITH s AS (SELECT vec_id, list_reverse_sort(list_filter([{'x': embedding[1]::DOUBLE, 'n': 'MP', 'bit': 1}, {'x': embedding[2]::DOUBLE, 'n': 'MS', 'bit': 2}, {'x': embedding[3]::DOUBLE, 'n': 'ME', 'bit': 4}], lambda r: r.x >= 0.02::DOUBLE)) AS g, embedding[4]::DOUBLE AS c FROM embeddings),
+    m AS (SELECT vec_id, c, coalesce(list_sum(list_transform(g[1:2], lambda r: r.bit)), 0)::INT AS mask FROM s)
+    SELECT vec_id, CASE mask WHEN 0 THEN 'M0' WHEN 1 THEN 'MP' WHEN 2 THEN 'MS' WHEN 4 THEN 'ME' WHEN 3 THEN 'MPMS' WHEN 5 THEN 'MPE' WHEN 6 THEN 'MSE' ELSE 'MPMSME' END || CASE WHEN c >= 0.05::DOUBLE THEN '+RS' ELSE '+R0' END AS action_id FROM m
+""")
+def strong_rule(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("embedding")
+    rule = po.strong_rule({"MP": e[0], "MS": e[1], "ME": e[2]}, e[3].cast("double"), 0.02, 2, 0.05)
+    return table(spark, d, "embeddings").select("vec_id", rule.alias("action_id"))
+
+
+@Q.query("""
+    WITH p AS (SELECT user_id, ts::DATE AS day, event_type, max(event_id) % 3 AS c FROM events GROUP BY 1, 2, 3)
+    SELECT a.event_type, count(*) AS units, round(avg((a.c = b.c)::INT), 6) AS same_rate FROM p a JOIN p b ON a.user_id = b.user_id AND a.day = b.day AND b.event_type = 'view' AND a.event_type <> 'view' GROUP BY 1
+""")
+def same_choice_rate(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day"), "event_type").agg((F.max("event_id") % 3).alias("c"))
+    return rounded(po.same_choice_rate(p, ["user_id", "day"], "event_type", "c", "view"))
+
+
+@Q.query(f"""
+    WITH {_F}, b AS (SELECT card_id, action_id FROM f QUALIFY row_number() OVER (PARTITION BY card_id ORDER BY response DESC, cost, action_id DESC) = 1),
+    e AS (SELECT card_id, action_id FROM f QUALIFY row_number() OVER (PARTITION BY card_id ORDER BY cost DESC, action_id DESC) = 1)
+    SELECT card_id, 'best' AS reason, action_id FROM b UNION ALL SELECT card_id, 'baseline', action_id FROM f WHERE action_id = 'M0+R0' UNION ALL SELECT card_id, 'expensive', action_id FROM e
+""")
+def audit_picks(spark: SparkSession, d: str) -> DataFrame:
+    from tessera.operators.sampling import audit_picks as picks
+
+    return picks(facts(spark, d), "card_id", "M0+R0")
+
+
+@Q.query(f"""
+    WITH {_F}, a AS (SELECT card_id % 12 AS cluster, response - 0.5 AS d FROM f QUALIFY row_number() OVER (PARTITION BY card_id ORDER BY cost, misuse, omission, response DESC, action_id) = 1),
+    c AS (SELECT cluster, sum(d) AS s, count(*) AS n, row_number() OVER (ORDER BY cluster) - 1 AS i, count(*) OVER () AS k FROM a GROUP BY 1),
+    w AS (SELECT rep, ('0x' || substr(md5('1729' || chr(31) || rep || chr(31) || i), 1, 8))::BIGINT % k AS i FROM c, range(200) r(rep)), v AS (SELECT rep, avg(s / n) AS value FROM w JOIN c USING (i) GROUP BY 1)
+    SELECT 'cheapest' AS policy, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high FROM v
+""")
+def selection_interval(spark: SparkSession, d: str) -> DataFrame:
+    from tessera.operators import inference as inf
+
+    c = po.cheapest_action(facts(spark, d), ["card_id"]).select(F.lit("cheapest").alias("policy"), (F.col("card_id") % 12).alias("cluster"), (F.col("response") - 0.5).alias("d"))
+    return rounded(inf.interval(inf.bootstrap(c, ["policy"], "cluster", "d"), ["policy"]))
+
+
+@Q.query("""
+    WITH t AS (SELECT conv_id, turn, greatest(1, ceil(length(text) / 4))::BIGINT AS tokens, length(text) AS chars, contains(text, '?') AS q FROM conversations WHERE role = 'user')
+    SELECT conv_id, turn, round(ln(1 + tokens), 6) AS log_tokens, round(least(1, chars / 400), 6) AS length_share, q::INT AS question, round(least(turn, 8) / 8, 6) AS depth FROM t
+""")
+def dense_features(spark: SparkSession, d: str) -> DataFrame:
+    """The dense block of a state's features: transforms of lengths, cues and depth, all columns."""
+    from tessera.functions.text import estimate_tokens
+
+    t = F.col("text")
+    cols = {
+        "log_tokens": F.log1p(estimate_tokens(t)),
+        "length_share": F.least(F.lit(1.0), F.length(t) / 400),
+        "question": t.contains("?").cast("int"),
+        "depth": F.least(F.col("turn"), F.lit(8)) / 8,
+    }
+    return rounded(table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", *[c.alias(n) for n, c in cols.items()]))
