@@ -123,12 +123,12 @@ def in_chunks(column, words: int = 1 << 18) -> Iterator[tuple[int, list[list[byt
 
 
 def broadcast_filter(hashes: DataFrame, n_rows: int):
-    """A bitmap of the low bits of the column ``h``, with some 16 bits a row but at most ``2 ** FILTER_BITS``.
+    """A bitmap of the low bits of the column ``h``, with some 32 bits a row but at most ``2 ** FILTER_BITS``.
 
     It is put together by bitmap aggregates in rows of 4 KB, so that what reaches the driver has a fixed
     bound. A set bit may be false; a clear one is sure.
     """
-    bits = int(min(FILTER_BITS, max(_ROW + 1, (16 * max(1, n_rows)).bit_length())))
+    bits = int(min(FILTER_BITS, max(_ROW + 1, (32 * max(1, n_rows)).bit_length())))
     place = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
     rows = hashes.groupBy(F.shiftright(place, _ROW).alias("r")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit((1 << _ROW) - 1))).alias("bits"))
     full = np.zeros((1 << (bits - _ROW), 1 << (_ROW - 3)), np.uint8)
@@ -237,17 +237,22 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int) -
     return found.groupBy("id", "h").agg(F.collect_list(F.struct("starts", "mask")).alias("places"))
 
 
-def drop_repeated(words: list[bytes], places: list[dict], window: int) -> list[bytes]:
-    """The words that no repeated window covers."""
-    edge = np.zeros(len(words) + 1, np.int32)
-    for x in places:
-        starts = np.array(x["starts"])
-        for j in range(x["mask"].bit_length()):
-            if x["mask"] >> j & 1:
-                np.add.at(edge, starts + j, 1)
-                np.add.at(edge, starts + j + window, -1)
-    kept = edge.cumsum()[:-1] == 0
-    return [w for w, k in zip(words, kept, strict=True) if k]
+def repeated_words(places: pa.ListArray, size: np.ndarray, window: int) -> np.ndarray:
+    """For texts laid end to end, which of their words a repeated window covers."""
+    begin, total = np.cumsum(size) - size, int(size.sum())
+    text = np.repeat(np.arange(len(size)), places.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    entries = places.flatten()
+    if not len(entries):
+        return np.zeros(total, bool)
+    starts = entries.field("starts")
+    entry = np.repeat(np.arange(len(entries)), starts.value_lengths().to_numpy(zero_copy_only=False))
+    mask = entries.field("mask").to_numpy(zero_copy_only=False)[entry]
+    at = begin[text[entry]] + starts.flatten().to_numpy(zero_copy_only=False)
+    edge = np.zeros(total + 1, np.int64)
+    for j in range(int(mask.max()).bit_length()):
+        p = at[mask >> j & 1 == 1] + j
+        edge += np.bincount(p, minlength=total + 1) - np.bincount(p + window, minlength=total + 1)
+    return edge.cumsum()[:-1] > 0
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
@@ -286,13 +291,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if hit:
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3)], ["id", "h", "text"])
                     continue
-                n, text = [], []
-                for t in b.column(3):
-                    words = t.as_py().split()
-                    n.append(len(words))
-                    text.append(b" ".join(words).decode())
-                none = pa.array(np.zeros(len(n), np.int64))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), none, pa.array(text, pa.string())], names)
+                words = [t.as_py().split() for t in b.column(3)]
+                n = pa.array(map(len, words), pa.int64())
+                text = pa.array(map(b" ".join, words), pa.binary()).view(pa.string())
+                yield pa.RecordBatch.from_arrays([b.column(0), n, pa.array(np.zeros(len(n), np.int64)), text], names)
 
         return run
 
@@ -305,14 +307,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, gone, text = [], [], []
-            for t, places in zip(b.column(1), b.column(2), strict=True):
-                words = t.as_py().split()
-                kept = drop_repeated(words, places.as_py() or [], window)
-                n.append(len(words))
-                gone.append(len(words) - len(kept))
-                text.append(b" ".join(kept).decode())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(text, pa.string())], names)
+            for at, texts in in_chunks(b.column(1)):
+                size = np.fromiter(map(len, texts), np.int64, len(texts))
+                gone = repeated_words(b.column(2).slice(at, len(texts)), size, window)
+                ends = np.cumsum(size)
+                lost = np.concatenate(([0], gone.cumsum()))
+                keep = (~gone).tolist()
+                kept = [b" ".join(itertools.compress(w, keep[e - len(w) : e])) for w, e in zip(texts, ends.tolist(), strict=True)]
+                cols = [pa.array(size), pa.array(lost[ends] - lost[ends - size], pa.int64()), pa.array(kept, pa.binary()).view(pa.string())]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), *cols], names)
 
     out = whole.unionByName(met.mapInArrow(cut, out_schema))
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_text")
