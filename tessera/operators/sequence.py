@@ -72,10 +72,13 @@ def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column]) ->
 
 
 def top_gap(df: DataFrame, key: Sequence[str], score: str) -> DataFrame:
-    """Best, and how far the second best is behind (null without one). The two largest are merged, not sorted."""
-    top = F.slice(F.reverse(F.array_sort(F.collect_list(score))), 1, 2)
-    g = df.groupBy(*key).agg(top.alias("_t"))
-    return g.select(*key, F.element_at("_t", 1).alias("best"), (F.element_at("_t", 1) - F.try_element_at("_t", F.lit(2))).alias("gap"))
+    """Best, and how far the second best is behind (null without one).
+
+    The rank is limited to two, which Spark applies before the shuffle as well, so that large groups stay small.
+    """
+    top = df.select(*key, score, F.row_number().over(W.partitionBy(*key).orderBy(F.col(score).desc())).alias("_r")).where("_r <= 2")
+    first, second = (F.max(F.when(F.col("_r") == r, F.col(score))) for r in (1, 2))
+    return top.groupBy(*key).agg(first.alias("best"), (first - second).alias("gap"))
 
 
 def near_best(df: DataFrame, key: Sequence[str], score: str, epsilon: float) -> DataFrame:

@@ -2,19 +2,39 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, unless they find it as the driver's own PYTHONPATH or working folder has it."""
+    root = Path(__file__).resolve().parents[1]
+    sc = spark.sparkContext
+    found = {Path(p).resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
+    if root in found or getattr(sc, "_tessera_shipped", False):
+        return
+    path = Path(tempfile.mkdtemp(prefix="tessera-package-")) / "tessera_package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.joinpath("tessera").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(path))
+    sc._tessera_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder that ``spark.checkpoint.dir`` names; a folder of our own only where none is set."""
+    ship(spark)
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
