@@ -141,7 +141,7 @@ def _sliced(fps: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
                 if not keep.all():
                     live, view, over = live[keep], view[:, keep], over[:, keep]
                     counters = [c[:, keep] for c in counters]
-        hits = np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little").reshape(len(tile), len(live), 64)
+        hits = np.unpackbits(np.ascontiguousarray(~over).view(np.uint8), axis=1, bitorder="little").reshape(len(tile), len(live), 64)
         for q in range(len(tile)):
             block, bit = np.nonzero(hits[q])
             members = live[block] * 64 + bit
