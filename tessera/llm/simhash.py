@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.filters import broadcast_filter, in_filter
 from tessera.operators.graph import connected_components
 from tessera.session import durable
 
@@ -96,21 +97,27 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, n_byte
 
 
 class _Forest:
-    """Labels of one group's members; ``join`` gives the links that merge classes."""
+    """Classes of one group's members; ``join`` links a member to the nearest of each class among those near it."""
 
-    def __init__(self, n: int) -> None:
-        self.label = np.arange(n)
+    def __init__(self, fps: np.ndarray) -> None:
+        self.fps, self.label = fps, np.arange(len(fps))
 
-    def join(self, members: np.ndarray) -> list[tuple[int, int]]:
-        roots = np.unique(self.label[members])
-        if len(roots) < 2:
-            return []
-        self.label[np.isin(self.label, roots[1:])] = roots[0]
-        return [(int(roots[0]), int(r)) for r in roots[1:]]
+    def join(self, q: int, members: np.ndarray) -> Iterator[tuple[int, int]]:
+        labels = self.label[members]
+        other = labels != self.label[q]
+        if not other.any():
+            return
+        members, labels = members[other], labels[other]
+        d = np.bitwise_count(self.fps[members] ^ self.fps[q]).sum(axis=1, dtype=np.int64)
+        order = np.lexsort((members, d, labels))
+        first = order[np.diff(labels[order], prepend=-1) != 0]
+        for i in first:
+            yield q, int(members[i])
+        self.label[np.isin(self.label, labels)] = self.label[q]
 
 
-def _sliced(fps: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
-    """Links that connect what lies within ``radius``; ``fps`` is (n, bytes) of uint8.
+def _sliced(fps: np.ndarray, radius: int, forest: _Forest) -> Iterator[tuple[int, int]]:
+    """Links between classes of ``forest`` that have members within ``radius``; ``fps`` is (n, bytes) of uint8.
 
     Bit k of all members is one plane. For a tile of queries the planes are added into vertical
     counters by carry-save steps; counters start so that they overflow just beyond the radius, and
@@ -124,7 +131,6 @@ def _sliced(fps: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
     planes = np.packbits(padded, axis=1, bitorder="little").view(np.uint64)
     depth = max(1, radius.bit_length())
     spare = (1 << depth) - 1 - radius
-    forest = _Forest(n)
     for at in range(0, n, 64):
         tile = bits[at : at + 64].astype(bool)
         live = np.arange(at // 64, words)
@@ -145,32 +151,49 @@ def _sliced(fps: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
         for q in range(len(tile)):
             block, bit = np.nonzero(hits[q])
             members = live[block] * 64 + bit
-            yield from forest.join(np.append(members[members < n], at + q))
+            yield from forest.join(at + q, members[members < n])
 
 
-def near_links(groups: list[list[bytes]], radius: int) -> tuple[list[bytes], list[bytes]]:
-    """For each group of fingerprints, links that connect those at most ``radius`` bits apart through each other."""
+def near_links(groups: list[list[bytes]], radius: int, steps: int = 1) -> tuple[list[bytes], list[bytes]]:
+    """For each group of fingerprints, pairs at most ``radius`` bits apart that connect all that such pairs connect.
+
+    Nearer pairs are taken first: in groups smaller than a machine word by distance, in larger ones by
+    ``steps`` growing radii.
+    """
     left, right = [], []
     small = [g for g in groups if len(g) < SLICED_FROM]
     if small:
         size = np.fromiter(map(len, small), np.int64, len(small))
-        flat = np.frombuffer(b"".join(itertools.chain.from_iterable(small)), np.uint8).reshape(size.sum(), -1)
-        base = np.repeat(np.cumsum(size) - size, size)
-        where = np.arange(len(flat)) - base
         names = list(itertools.chain.from_iterable(small))
-        for step in range(1, SLICED_FROM):  # each member against the one so many places on
-            a = np.nonzero(where + step < np.repeat(size, size))[0]
-            if not len(a):
-                break
+        flat = np.frombuffer(b"".join(names), np.uint8).reshape(len(names), -1)
+        rest = np.repeat(np.cumsum(size), size) - np.arange(len(flat))  # members of the group from this one on
+        found = []
+        for step in range(1, int(size.max())):  # each member against the one so many places on
+            a = np.nonzero(rest > step)[0]
             d = np.bitwise_count(flat[a] ^ flat[a + step]).sum(axis=1, dtype=np.int64)
-            for i in a[d <= radius].tolist():
+            a, d = a[d <= radius], d[d <= radius]
+            found.append(np.stack([d, a, a + step]))
+        near = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
+        parent = list(range(len(flat)))
+        for i, j in near[1:, np.lexsort(near[::-1])].T.tolist():
+            a, b = i, j
+            while parent[a] != a:
+                parent[a] = a = parent[parent[a]]
+            while parent[b] != b:
+                parent[b] = b = parent[parent[b]]
+            if a != b:
+                parent[max(a, b)] = min(a, b)
                 left.append(names[i])
-                right.append(names[i + step])
+                right.append(names[j])
     for g in groups:
         if len(g) >= SLICED_FROM:
-            for i, j in _sliced(np.frombuffer(b"".join(g), np.uint8).reshape(len(g), -1), radius):
-                left.append(g[i])
-                right.append(g[j])
+            g = sorted(g)
+            fps = np.frombuffer(b"".join(g), np.uint8).reshape(len(g), -1)
+            forest = _Forest(fps)
+            for step in range(1, steps + 1):
+                for i, j in _sliced(fps, radius * step // steps, forest):
+                    left.append(g[i])
+                    right.append(g[j])
     return left, right
 
 
@@ -183,8 +206,8 @@ def pigeonhole_keys(fp: str, n_bytes: int, radius: int) -> F.Column:
     return F.array(*keys)
 
 
-def near_components(keyed: DataFrame, radius: int, cell: int = CELL) -> DataFrame:
-    """``(node, component)`` for fingerprints that share a key and are linked within ``radius`` bits.
+def near_edges(keyed: DataFrame, radius: int, steps: int = 1, cell: int = CELL) -> DataFrame:
+    """``(src, dst)``: links within ``radius`` bits between fingerprints that share a key, as ``near_links`` gives them for each cell.
 
     ``keyed`` has ``key`` and a distinct ``fp`` per key. Members of a key are gathered in cells; keys
     with more than ``cell`` members are cut into chunks, of which each pair makes a cell of its own, so
@@ -205,10 +228,10 @@ def near_components(keyed: DataFrame, radius: int, cell: int = CELL) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            left, right = near_links(b.column(0).to_pylist(), radius)
+            left, right = near_links(b.column(0).to_pylist(), radius, steps)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["src", "dst"])
 
-    return connected_components(cells.mapInArrow(run, "src binary, dst binary"))
+    return cells.mapInArrow(run, "src binary, dst binary")
 
 
 def label_rows(prints: DataFrame, components: DataFrame) -> DataFrame:
@@ -236,10 +259,38 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     prints = durable(fingerprints(docs, id_col, text_col, width))
     keyed = prints.select("fp").distinct().select("fp", F.explode(pigeonhole_keys("fp", 8, radius)).alias("key"))
-    out = label_rows(prints, near_components(keyed, radius))
+    out = label_rows(prints, connected_components(near_edges(keyed, radius)))
     return out.select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def verified(edges: DataFrame, prints: DataFrame, docs: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
+    """The links whose texts have at least this Jaccard similarity of distinct shingles.
+
+    ``prints`` has ``fp`` and ``h``, a hash of the text; one text stands for each fingerprint. Only the
+    linked texts are read into shingles, told by a filter of bounded size.
+    """
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("fp")).distinct()
+    reps = durable(prints.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("h").alias("h")))
+    known, bits = broadcast_filter(reps.select("h"), reps.count())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(in_filter(known.value, bits, b.column(0).to_numpy().view(np.uint64))))
+            sets = [np.unique(shingle_hashes(t.as_py(), width).astype(np.uint32)).view(np.int32) for t in b.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int32()))], ["h", "s"])
+
+    rows = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+    sets = rows.mapInArrow(run, "h bigint, s array<int>").join(reps.select("h"), "h", "left_semi")
+    sets = sets.groupBy("h").agg(F.first("s").alias("s"))
+    a, b = (reps.select(F.col("fp").alias(e), F.col("h").alias(f"h_{e}")) for e in ("src", "dst"))
+    met = edges.join(a, "src").join(b, "dst")
+    met = met.join(sets.select(F.col("h").alias("h_src"), F.col("s").alias("s_src")), "h_src")
+    met = met.join(sets.select(F.col("h").alias("h_dst"), F.col("s").alias("s_dst")), "h_dst")
+    shared = F.size(F.array_intersect("s_src", "s_dst"))
+    every = F.size("s_src") + F.size("s_dst") - shared
+    return met.where(shared >= similarity * every).select("src", "dst")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -255,18 +306,22 @@ def near_duplicates(
     Wide SimHashes are compared, bit-sliced, between texts that share the minimum hashes of a band. Two
     texts of Jaccard similarity s have shingle vectors at an angle of acos(2s / (1 + s)); the radius is
     the expected number of differing bits at ``similarity`` plus ``slack`` standard deviations. With
-    twelve bands of two minimum hashes, a pair at 0.8 meets with probability 1 - 5e-6. One row of each
-    component stays: the smallest id (among repeated rows of it, one). Null, empty and blank texts are
-    copies of each other.
+    twelve bands of two minimum hashes, a pair at 0.8 meets with probability 1 - 5e-6. The links of each
+    cell's forest, nearest pairs first, are then held against the texts' distinct shingles, and those
+    below ``similarity`` go. One row of each component stays: the smallest id (among repeated rows of it,
+    one). Null, empty and blank texts have fingerprint zero and are copies of each other. Other columns
+    are ignored; an empty table gives an empty result.
     """
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     bits = n_bytes * 8
     radius = int(bits * p + slack * (bits * p * (1 - p)) ** 0.5)
-    prints = durable(
-        fingerprints(docs, id_col, text_col, width, n_bytes, bands).withColumn("row", F.monotonically_increasing_id())
-    )
+    keyed_docs = docs.withColumn("id and hash", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")))
+    prints = fingerprints(keyed_docs, "id and hash", text_col, width, n_bytes, bands)
+    prints = durable(prints.select("id.id", "id.h", "fp", "keys").withColumn("row", F.monotonically_increasing_id()))
     keyed = prints.select("fp", F.explode("keys").alias("key")).distinct()
-    out = label_rows(prints.select("id", "fp", "row"), near_components(keyed, radius))
+    edges = durable(near_edges(keyed, radius, steps=4).distinct())
+    links = verified(edges, prints, docs, text_col, width, similarity)
+    out = label_rows(prints.select("id", "fp", "row"), connected_components(links))
     best = out.groupBy("component_id").agg(F.min(F.struct("id", "row")).alias("best"))
     best = best.select(F.col("component_id").alias("c"), F.col("best.row").alias("best_row"))
     return out.join(best, F.col("component_id").eqNullSafe(F.col("c")), "left").select(

@@ -13,16 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.decontaminate import gram_hashes
+from tessera.llm.filters import broadcast_filter, in_filter
 from tessera.session import durable, stored
 
 #: Words of an anchor.
 ANCHOR = 5
 #: Passages of a reference shard, and the number of texts from which an anchor is hot.
 SHARD_ROWS, HOT = 8_000, 2_000
-#: Most bits of a broadcast filter: 32 MB.
-FILTER_BITS = 28
-#: Bits of one row of a filter while it is built.
-_ROW = 15
 
 
 class SuffixAutomaton:
@@ -122,26 +119,6 @@ def in_chunks(column, words: int = 1 << 18) -> Iterator[tuple[int, list[list[byt
         yield at, held
 
 
-def broadcast_filter(hashes: DataFrame, n_rows: int):
-    """A bitmap of the low bits of the column ``h``, with some 32 bits a row but at most ``2 ** FILTER_BITS``.
-
-    It is put together by bitmap aggregates in rows of 4 KB, so that what reaches the driver has a fixed
-    bound. A set bit may be false; a clear one is sure.
-    """
-    bits = int(min(FILTER_BITS, max(_ROW + 1, (32 * max(1, n_rows)).bit_length())))
-    place = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
-    rows = hashes.groupBy(F.shiftright(place, _ROW).alias("r")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit((1 << _ROW) - 1))).alias("bits"))
-    full = np.zeros((1 << (bits - _ROW), 1 << (_ROW - 3)), np.uint8)
-    for r in rows.toLocalIterator():
-        full[r["r"]] = np.frombuffer(r["bits"], np.uint8)
-    return hashes.sparkSession.sparkContext.broadcast(full.ravel()), bits
-
-
-def in_filter(table: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
-    place = h & np.uint64((1 << bits) - 1)
-    return (table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-
-
 def shard_masks(rows: pd.DataFrame, window: int) -> pd.DataFrame:
     """For passages of one shard, a mask of the windows that a passage of a smaller id holds.
 
@@ -291,10 +268,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if hit:
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3)], ["id", "h", "text"])
                     continue
-                words = [t.as_py().split() for t in b.column(3)]
-                n = pa.array(map(len, words), pa.int64())
-                text = pa.array(map(b" ".join, words), pa.binary()).view(pa.string())
-                yield pa.RecordBatch.from_arrays([b.column(0), n, pa.array(np.zeros(len(n), np.int64)), text], names)
+                for at, words in in_chunks(b.column(3)):
+                    n = pa.array(map(len, words), pa.int64())
+                    text = pa.array(map(b" ".join, words), pa.binary()).view(pa.string())
+                    none = pa.array(np.zeros(len(n), np.int64))
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(n)), n, none, text], names)
 
         return run
 

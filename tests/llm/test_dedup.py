@@ -60,17 +60,20 @@ def test_bit_sliced_links_are_complete():
     import random
 
     rng = random.Random(3)
-    centres = [rng.getrandbits(64) for _ in range(9)]
-    group = list({c ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for c in centres for _ in range(25)})
-    left, right = near_links([[x.to_bytes(8) for x in group]], 3)
-    seen = components([x.to_bytes(8) for x in group], lambda a, b: False)
-    for a, b in zip(left, right, strict=True):
-        old, new = seen[a], seen[b]
-        seen = {k: new if v == old else v for k, v in seen.items()}
-    want = components(group, lambda a, b: (a ^ b).bit_count() <= 3)
-    assert len(left) == len(group) - len(set(want.values()))
-    for a, b in itertools.combinations(group, 2):
-        assert (want[a] == want[b]) == (seen[a.to_bytes(8)] == seen[b.to_bytes(8)])
+    for n_bytes, radius in ((8, 3), (32, 48)):
+        bits = n_bytes * 8
+        centres = [rng.getrandbits(bits) for _ in range(9)]
+        group = list({c ^ sum(1 << i for i in rng.sample(range(bits), rng.randint(0, radius))) for c in centres for _ in range(25)})
+        rng.shuffle(group)
+        left, right = near_links([[x.to_bytes(n_bytes) for x in group]], radius)
+        seen = components([x.to_bytes(n_bytes) for x in group], lambda a, b: False)
+        for a, b in zip(left, right, strict=True):
+            old, new = seen[a], seen[b]
+            seen = {k: new if v == old else v for k, v in seen.items()}
+        want = components(group, lambda a, b: (a ^ b).bit_count() <= radius)
+        assert len(left) == len(group) - len(set(want.values()))
+        for a, b in itertools.combinations(group, 2):
+            assert (want[a] == want[b]) == (seen[a.to_bytes(n_bytes)] == seen[b.to_bytes(n_bytes)])
 
 
 def test_near_duplicates_keep_one_of_each_group(docs, spark, prose_of):
@@ -93,6 +96,26 @@ def test_near_duplicates_keep_one_of_each_group(docs, spark, prose_of):
     assert out.where("kept").count() == out.select("component_id").distinct().count()
 
 
+def test_near_duplicates_match_brute_force(spark, prose_of):
+    import random
+
+    rng = random.Random(31)
+    base = [prose_of(rng, rng.randint(20, 220)).split() for _ in range(25)]
+    texts = [" ".join(w) for w in base]
+    for w in base:
+        for _ in range(6):
+            v = list(w)
+            for at in rng.sample(range(len(v)), rng.randint(1, max(1, len(v) // 20))):
+                v[at] = "other"
+            texts.append(" ".join(v))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for t in texts for w in [t.split()]]
+    want = components(list(range(len(texts))), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    together = lambda label: {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if label[a] == label[b]}
+    assert together(got) <= together(want)
+    assert len(together(got)) >= 0.98 * len(together(want))
+
+
 def test_exact_dedup_both_ways(docs, no_docs):
     rows = docs.collect()
     groups = {}
