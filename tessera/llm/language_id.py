@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -19,8 +20,8 @@ PIECE_CHARS, WORD_CHARS = 8, 24
 UNKNOWN = 1e-8
 #: Marks the beginning of a word in the vocabulary.
 START = "▁"
-#: A worker forgets its words beyond so many.
-CACHE = 300_000
+#: A worker scores texts together until they have so many words, and forgets its words beyond so many.
+CHUNK, CACHE = 200_000, 300_000
 
 BASE, TWIST = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
@@ -119,7 +120,7 @@ class PieceModel:
                     out[:, g] += np.bincount(found[k][:, i], use[:, g], len(out))
         return out
 
-    def fit(self, words: list[str], counts: np.ndarray, rounds: int, block: int = 50_000) -> None:
+    def fit(self, words: list[str], counts: np.ndarray, rounds: int, block: int = 10_000) -> None:
         for _ in range(rounds):
             total = np.zeros_like(self.p)
             for at in range(0, len(words), block):
@@ -196,28 +197,29 @@ def identify_languages(
         place: dict[str, int] = {}
         table = np.zeros((0, len(m.languages)))
         for b in batches:
-            if len(place) > CACHE:
-                place, table = {}, table[:0]
-            ids, ends = [], []
-            for t in b.column(b.num_columns - 1):
+            at, ids, ends = 0, [], []
+            for i, t in enumerate(b.column(b.num_columns - 1)):
                 for w in cut_words(t.as_py() or ""):
                     ids.append(place.setdefault(w, len(place)))
                 ends.append(len(ids))
-            fresh = list(place)[len(table) :]
-            parts = [table] + [m.log_words(fresh[i : i + 20_000]) for i in range(0, len(fresh), 20_000)]
-            table = np.concatenate(parts)
-            used = np.cumsum(table[np.array(ids, np.int64)], axis=0) if ids else np.zeros((0, table.shape[1]))
-            upto = np.concatenate([np.zeros((1, table.shape[1])), used])[[0, *ends]]
-            total = np.diff(upto, axis=0)
-            rel = np.exp(total - total.max(axis=1, keepdims=True))
-            best = total.argmax(axis=1)
-            some = np.diff([0, *ends]) > 0
-            lang = [m.languages[g] if s else "und" for g, s in zip(best, some, strict=True)]
-            score = np.where(some & np.array([x != "und" for x in lang], bool), 1 / rel.sum(axis=1), 0.0)
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in range(b.num_columns - 1)), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                [*b.schema.names[:-1], "lang_pred", "score"],
-            )
+                if len(ids) < CHUNK and i + 1 < b.num_rows:
+                    continue
+                fresh = list(itertools.islice(place, len(table), None))
+                table = np.concatenate([table] + [m.log_words(fresh[k : k + 10_000]) for k in range(0, len(fresh), 10_000)])
+                used = np.concatenate([np.zeros((1, table.shape[1])), np.cumsum(table[np.array(ids, np.int64)], axis=0)])
+                total = np.diff(used[[0, *ends]], axis=0)
+                rel = np.exp(total - total.max(axis=1, keepdims=True))
+                some = np.diff([0, *ends]) > 0
+                lang = [m.languages[g] if s else "und" for g, s in zip(total.argmax(axis=1), some, strict=True)]
+                score = np.where([x != "und" for x in lang], 1 / rel.sum(axis=1), 0.0)
+                part = b.slice(at, len(ends))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(k) for k in range(b.num_columns - 1)), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                    [*b.schema.names[:-1], "lang_pred", "score"],
+                )
+                at, ids, ends = i + 1, [], []
+                if len(place) > CACHE:
+                    place, table = {}, table[:0]
 
     kinds = dict(docs.dtypes)
     rows = docs.select(id_col, *extra, F.col(text_col).cast("string").alias("text to score"))
