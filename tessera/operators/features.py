@@ -105,3 +105,24 @@ def hashed_fingerprint(df: DataFrame, key: str, text: str, size: int = 64) -> Da
     n = n.withColumn("x", F.coalesce(F.try_divide(F.col("x"), F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy(key)))), F.lit(0.0)))
     m = n.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("i").cast("int"), F.round("x", 8)))).alias("m"))
     return m.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vector"))
+
+
+def robust_scaled(df: DataFrame, train: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Each field less its training median, over its interquartile range (over 1 where that is 0). The statistics are one row."""
+    aggs = [F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{c}") for c in fields]
+    met = df.join(F.broadcast(train.agg(*aggs)))
+    span = lambda c: F.col(f"_q_{c}")[2] - F.col(f"_q_{c}")[0]
+    cols = {c: (F.col(c) - F.col(f"_q_{c}")[1]) / F.when(span(c) > 0, span(c)).otherwise(1.0) for c in fields}
+    return met.withColumns(cols).drop(*[f"_q_{c}" for c in fields])
+
+
+def gated_terms(terms: DataFrame, states: DataFrame, key: str) -> DataFrame:
+    """``key, gate, term, weight``: a text's terms once for each source that the state's mask has, and once for a strategy.
+
+    A term counts under the gates that an action opens, so that one linear head can weigh a text
+    differently by what is retrieved.
+    """
+    gates = F.array_compact(
+        F.array(*[F.when(F.col("available").bitwiseAND(F.lit(bit)) > 0, F.lit(name)) for name, bit in (("MP", 1), ("MS", 2), ("ME", 4))], F.lit("RS"))
+    )
+    return terms.join(states.select(key, F.explode(gates).alias("gate")), key).select(key, "gate", "term", "weight")

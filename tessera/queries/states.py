@@ -203,3 +203,66 @@ def _checkpoint(spark: SparkSession) -> str:
 
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()}/streams/{uuid.uuid4().hex}"
+
+
+@Q.query("""
+    WITH q AS (SELECT quantile_cont(l_quantity, 0.5) AS qm, quantile_cont(l_quantity, 0.75) - quantile_cont(l_quantity, 0.25) AS qs, quantile_cont(l_extendedprice, 0.5) AS pm, quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25) AS ps
+               FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01')
+    SELECT l_orderkey, round(avg((l_quantity - qm) / qs), 6) + 0 AS l_quantity, round(avg((l_extendedprice - pm) / ps), 6) + 0 AS l_extendedprice FROM lineitem, q GROUP BY 1
+""")
+def robust_scaled(spark: SparkSession, d: str) -> DataFrame:
+    from tessera.operators.features import robust_scaled as scaled
+
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    s = scaled(rows, rows.where(F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp")), ["l_quantity", "l_extendedprice"])
+    # Adding zero makes a negative zero positive.
+    means = [(F.round(F.avg(c), 6) + 0.0).alias(c) for c in ("l_quantity", "l_extendedprice")]
+    return s.groupBy("l_orderkey").agg(*means)
+
+
+@Q.query(f"""
+    WITH {_STATES}, p(plan, mask) AS (VALUES {_PLAN_ROWS}), v AS (SELECT state_id, conv_id, plan, mask FROM states JOIN p ON mask & available = mask),
+    s AS (SELECT state_id, any_value(conv_id) AS conv_id, count(*) AS n FROM v GROUP BY 1)
+    SELECT count(*) AS states, count(DISTINCT conv_id) AS users, sum(n)::BIGINT AS cards, count(*) FILTER (n < 2) AS single_variant, (SELECT count(*) FROM (SELECT mask FROM v GROUP BY 1 HAVING count(DISTINCT state_id) >= 2)) AS reused_signatures FROM s
+""")
+def release_audit(spark: SparkSession, d: str) -> DataFrame:
+    states = st.runtime_states(turns(spark, d)).select("state_id", "conv_id", "available")
+    v = st.variants(states)
+    s = v.groupBy("state_id").agg(F.count("*").alias("n")).join(states, "state_id")
+    counts = s.agg(F.count("*").alias("states"), F.count_distinct("conv_id").alias("users"), F.sum("n").alias("cards"), F.count_if(F.col("n") < 2).alias("single_variant"))
+    reused = v.groupBy("mask").agg(F.count_distinct("state_id").alias("k")).agg(F.count_if(F.col("k") >= 2).alias("reused_signatures"))
+    return counts.join(F.broadcast(reused))
+
+
+@Q.query("""
+    SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS regimes, array_to_string(list_sort(list_filter(['click', 'error', 'purchase', 'signup', 'view'], lambda x: NOT list_contains(list(event_type), x))), ',') AS missing
+    FROM events WHERE day(ts) <= 3 GROUP BY 1
+""")
+def bundle_check(spark: SparkSession, d: str) -> DataFrame:
+    """Per user, which of the required regimes have no case."""
+    need = F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view")))
+    g = table(spark, d, "events").where("day(ts) <= 3").groupBy("user_id").agg(F.count("*").alias("n"), F.collect_set("event_type").alias("has"))
+    return g.select("user_id", "n", F.size("has").cast("long").alias("regimes"), F.array_join(F.array_sort(F.array_except(need, F.col("has"))), ",").alias("missing"))
+
+
+@Q.query("""
+    WITH p AS (SELECT ts::DATE AS day, user_id, count(DISTINCT event_type) AS k FROM events GROUP BY 1, 2)
+    SELECT day(day)::INT AS day_of_month, count(*) AS units, count(*) FILTER (k > 1) AS several, round(avg(k), 6) AS mean_actions FROM p GROUP BY 1
+""")
+def several_actions(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "events").groupBy(F.day("ts").alias("day_of_month"), "user_id").agg(F.count_distinct("event_type").alias("k"))
+    return rounded(p.groupBy("day_of_month").agg(F.count("*").alias("units"), F.count_if(F.col("k") > 1).alias("several"), F.avg("k").alias("mean_actions")))
+
+
+@Q.query("""
+    WITH w AS (SELECT conv_id * 100 + turn AS id, (conv_id % 8)::INT AS available, regexp_extract_all(lower(text), '[a-z0-9_][a-z0-9_]+') AS t FROM conversations WHERE role = 'user'),
+    g AS (SELECT id, unnest(t) AS term FROM w UNION ALL SELECT id, t[i] || ' ' || t[i + 1] FROM (SELECT id, t, unnest(range(1, len(t))) AS i FROM w)),
+    tf AS (SELECT id, term, count(*) AS n FROM g GROUP BY 1, 2), df AS (SELECT term, count(*) AS df, sum(n) AS total FROM tf GROUP BY 1 HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 500),
+    x AS (SELECT id, term FROM tf JOIN df USING (term)), o AS (SELECT id, unnest(list_filter([CASE WHEN available & 1 > 0 THEN 'MP' END, CASE WHEN available & 2 > 0 THEN 'MS' END, CASE WHEN available & 4 > 0 THEN 'ME' END, 'RS'], lambda v: v IS NOT NULL)) AS gate FROM w)
+    SELECT id, gate, count(*) AS terms FROM x JOIN o USING (id) GROUP BY 1, 2
+""")
+def gated_text_features(spark: SparkSession, d: str) -> DataFrame:
+    from tessera.operators.features import gated_terms, tfidf
+
+    t = turns(spark, d).where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.pmod("conv_id", F.lit(8)).cast("int").alias("available"), "text")
+    return gated_terms(tfidf(t, "id", "text", 500, 2), t, "id").groupBy("id", "gate").agg(F.count("*").alias("terms"))
