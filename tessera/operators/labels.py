@@ -69,27 +69,36 @@ def observation_metrics(df: DataFrame, relevance: str, used: str, group: Sequenc
     )
 
 
-def response_scores(pairs: DataFrame, card: str, first: str, second: str, winner: str, ridge: float = 0.1) -> DataFrame:
+def response_scores(pairs: DataFrame, card: str, first: str, second: str, winner: str, ridge: float = 0.1, rows_per_task: int = 200_000) -> DataFrame:
     """``card, action_id, score``: mean probability of winning against the card's other actions.
 
     Per card a ridge system over its (at most sixteen) actions is solved: +1 and -1 for the two sides,
-    1, -1 or 0 for the result. A lone action has 0.5.
+    1, -1 or 0 for the result. A lone action has 0.5. Cards are dealt to buckets of about
+    ``rows_per_task`` pairs, whose small systems are built and solved together.
     """
     kind = dict(pairs.dtypes)[card]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted({*pdf["a"], *pdf["b"]})
-        at = {n: i for i, n in enumerate(names)}
-        x = np.zeros((len(pdf), len(names)))
-        rows = np.arange(len(pdf))
-        x[rows, pdf["a"].map(at)] += 1
-        x[rows, pdf["b"].map(at)] -= 1
+        c, cards = pd.factorize(pdf["card"], sort=True)
+        names, ab = np.unique(np.concatenate([pdf["a"], pdf["b"]]), return_inverse=True)
+        a, b = ab[: len(pdf)], ab[len(pdf) :]
         y = pdf["w"].map({"A": 1.0, "B": -1.0}).fillna(0.0).to_numpy()
-        order = np.lexsort((y, *x.T))
-        s = np.linalg.solve(x[order].T @ x[order] + ridge * np.eye(len(names)), x[order].T @ y[order])
-        p = 1 / (1 + np.exp(-(s[:, None] - s[None, :])))
-        mean = (p.sum(axis=1) - 0.5) / max(1, len(names) - 1) if len(names) > 1 else np.array([0.5])
-        return pd.DataFrame({"card": pdf["card"].iloc[0], "action_id": names, "score": mean})
+        k = len(names)
+        m, v, there = np.zeros((len(cards), k, k)), np.zeros((len(cards), k)), np.zeros((len(cards), k), bool)
+        for i, sign in ((a, 1), (b, -1)):
+            np.add.at(m, (c, i, i), 1)
+            np.add.at(v, (c, i), sign * y)
+            there[c, i] = True
+        np.add.at(m, (c, a, b), -1)
+        np.add.at(m, (c, b, a), -1)
+        s = np.linalg.solve(m + ridge * np.eye(k), v[:, :, None])[:, :, 0]
+        p = 1 / (1 + np.exp(-(s[:, :, None] - s[:, None, :]))) * there[:, None, :]
+        others = there.sum(axis=1, keepdims=True) - 1
+        mean = np.where(others > 0, (p.sum(axis=2) - 0.5) / np.maximum(others, 1), 0.5)
+        at, i = np.nonzero(there)
+        return pd.DataFrame({"card": np.asarray(cards)[at], "action_id": names[i], "score": mean[at, i]})
 
     rows = pairs.select(F.col(card).alias("card"), F.col(first).alias("a"), F.col(second).alias("b"), F.col(winner).alias("w"))
-    return rows.groupBy("card").applyInPandas(solve, f"card {kind}, action_id string, score double").withColumnRenamed("card", card)
+    buckets = max(1, -(-rows.count() // rows_per_task))
+    bucket = F.pmod(F.xxhash64("card"), F.lit(buckets)).alias("bucket")
+    return rows.groupBy(bucket).applyInPandas(solve, f"card {kind}, action_id string, score double").withColumnRenamed("card", card)

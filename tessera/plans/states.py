@@ -53,10 +53,10 @@ def every_subset(states: DataFrame) -> DataFrame:
     return variants(states, {code: m for m, code in MEMORY.items()})
 
 
-def timeline_payload(turns: DataFrame, most: int = 3) -> DataFrame:
-    """``conv_id, payload``: JSON of the first turns in order, with which of them are the assistant's."""
+def timeline_payload(turns: DataFrame) -> DataFrame:
+    """``conv_id, payload``: JSON of the turns in order, with which of them are the assistant's."""
     items = F.array_sort(F.collect_list(F.struct("turn", "role", (F.col("role") == "assistant").alias("selected"))))
-    return turns.where(F.col("turn") < most).groupBy("conv_id").agg(F.to_json(items).alias("payload"))
+    return turns.groupBy("conv_id").agg(F.to_json(items).alias("payload"))
 
 
 def memory_items(turns: DataFrame) -> DataFrame:

@@ -125,14 +125,15 @@ def strata_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 @Q.query("""
-    WITH a AS (SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 0), b AS (SELECT doc_id, lang FROM documents WHERE doc_id % 3 = 0)
+    WITH a AS (SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'de')), b AS (SELECT doc_id, lang FROM documents WHERE source < 'src5')
     SELECT 'intersect' AS op, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'except', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
     UNION ALL SELECT 'union', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'union all', (SELECT count(*) FROM a) + (SELECT count(*) FROM b)
     UNION ALL SELECT 'symmetric', count(*) FROM ((SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM a))
 """)
 def set_operations(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "lang")
-    a, b = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 3 = 0")
+    docs = table(spark, d, "documents")
+    a = docs.where("lang in ('en', 'de')").select("doc_id", "lang")
+    b = docs.where("source < 'src5'").select("doc_id", "lang")
     parts = {"intersect": a.intersect(b), "except": a.exceptAll(b), "union": a.union(b).distinct(), "union all": a.union(b), "symmetric": a.exceptAll(b).union(b.exceptAll(a))}
     out = None
     for name, df in parts.items():

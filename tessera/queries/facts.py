@@ -53,12 +53,12 @@ def label_failures(spark: SparkSession, d: str) -> DataFrame:
 
 
 @Q.query(f"""
-    WITH {ACTIONS_SQL}, s AS (SELECT o_orderkey AS card_id, (o_orderkey % 8)::INT AS available FROM orders WHERE o_orderkey < 500)
+    WITH {ACTIONS_SQL}, s AS (SELECT o_orderkey AS card_id, (o_orderkey % 8)::INT AS available FROM orders)
     SELECT card_id, action_id, seed FROM s, actions, (SELECT unnest([17, 29, 43]) AS seed) WHERE mask & available = mask
 """)
 def variance_jobs(spark: SparkSession, d: str) -> DataFrame:
     """States by legal actions by seeds: both lists are exploded in each row; nothing is crossed."""
-    s = table(spark, d, "orders").where("o_orderkey < 500").select(F.col("o_orderkey").alias("card_id"), F.pmod("o_orderkey", F.lit(8)).cast("int").alias("available"))
+    s = table(spark, d, "orders").select(F.col("o_orderkey").alias("card_id"), F.pmod("o_orderkey", F.lit(8)).cast("int").alias("available"))
     jobs = s.select("card_id", F.explode(act.allowed_actions(F.col("available"))).alias("action_id"))
     return jobs.withColumn("seed", F.explode(F.array(*map(F.lit, (17, 29, 43)))))
 
@@ -100,10 +100,10 @@ def parent_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @Q.query("""
-    SELECT conv_id, turn, 'obs_' || o AS observation FROM conversations, (SELECT unnest([1, 2, 3]) AS o) WHERE role = 'assistant' AND turn <= 4
+    SELECT conv_id, turn, 'obs_' || o AS observation FROM conversations, (SELECT unnest([1, 2, 3]) AS o) WHERE role = 'assistant'
 """)
 def observation_keys(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations").where("role = 'assistant' and turn <= 4").select("conv_id", "turn")
+    rows = table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn")
     return rows.withColumn("observation", F.explode(F.array(*[F.lit(f"obs_{i}") for i in (1, 2, 3)])))
 
 

@@ -110,12 +110,12 @@ def paired_deltas(spark: SparkSession, d: str) -> DataFrame:
     return rounded(g)
 
 
-_VOTES = f"{SCORES_SQL}, v AS (SELECT unit, CASE WHEN rating < 3 THEN 'A' WHEN rating = 3 THEN 'tie' ELSE 'B' END AS label FROM scores WHERE event_id < 1200)"
+_VOTES = f"{SCORES_SQL}, v AS (SELECT unit, CASE WHEN rating < 3 THEN 'A' WHEN rating = 3 THEN 'tie' ELSE 'B' END AS label FROM scores)"
 
 
 def votes(spark: SparkSession, d: str) -> DataFrame:
     r = F.col("rating")
-    return scores(spark, d).where("event_id < 1200").select("unit", F.when(r < 3, "A").when(r == 3, "tie").otherwise("B").alias("label"))
+    return scores(spark, d).select("unit", F.when(r < 3, "A").when(r == 3, "tie").otherwise("B").alias("label"))
 
 
 @Q.query(f"""

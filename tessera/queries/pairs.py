@@ -43,14 +43,14 @@ def card_edge_counts(spark: SparkSession, d: str) -> DataFrame:
     return edges(spark, d).groupBy("available", "pair_type").agg(F.count("*").alias("n"))
 
 
-_PAIRS = f"""{_CARD_EDGES}, ids AS (SELECT *, 'pair_' || substr(sha256('7' || chr(31) || card_id || chr(31) || action_a || chr(31) || action_b), 1, 16) AS pair_id FROM ce WHERE card_id < 800),
+_PAIRS = f"""{_CARD_EDGES}, ids AS (SELECT *, 'pair_' || substr(sha256('7' || chr(31) || card_id || chr(31) || action_a || chr(31) || action_b), 1, 16) AS pair_id FROM ce),
     o AS (SELECT *, (row_number() OVER (PARTITION BY card_id, pair_type ORDER BY pair_id) - 1) % 2 = 1 AS swap FROM ids),
     base AS (SELECT card_id, pair_id, pair_type, CASE WHEN swap THEN action_b ELSE action_a END AS first, CASE WHEN swap THEN action_a ELSE action_b END AS second FROM o),
     r AS (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY substr(sha256('audit' || chr(31) || pair_id), 1, 16), pair_id) AS r, count(*) OVER (PARTITION BY card_id) AS n FROM base)"""
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    e = pg.card_edges(cards(spark, d).where("card_id < 800"), "card_id", "available")
+    e = edges(spark, d)
     return pg.oriented_pairs(e, "card_id", F.lit(7))
 
 
@@ -74,12 +74,12 @@ def graph_audit(spark: SparkSession, d: str) -> DataFrame:
 
 
 @Q.query("""
-    WITH RECURSIVE e AS (SELECT o_orderkey AS a, o_orderkey + 7 AS b FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey < 3000),
+    WITH RECURSIVE e AS (SELECT o_orderkey AS a, o_orderkey + 7 AS b FROM orders WHERE o_orderpriority = '1-URGENT'),
     s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(a, b) AS (SELECT a, b FROM s UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a)
     SELECT a AS node, least(a, min(b)) AS component FROM r GROUP BY 1
 """)
 def components(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_orderkey < 3000").select(F.col("o_orderkey").alias("src"), (F.col("o_orderkey") + 7).alias("dst"))
+    e = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("src"), (F.col("o_orderkey") + 7).alias("dst"))
     return connected_components(e)
 
 

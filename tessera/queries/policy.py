@@ -151,25 +151,24 @@ def envelope_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 @Q.query("""
-    WITH c AS (SELECT list(m ORDER BY i) AS centre FROM (SELECT i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) r(i) WHERE vec_id % 5 <> 0 GROUP BY 1)),
-    s AS (SELECT vec_id, 1 - list_cosine_similarity(embedding::DOUBLE[], centre) AS far FROM embeddings, c), t AS (SELECT greatest(0.45, 2 * quantile_cont(far, 0.95)) AS t FROM s WHERE vec_id % 5 <> 0)
+    WITH c AS (SELECT list(m ORDER BY i) AS centre FROM (SELECT i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) r(i) WHERE label < 8 GROUP BY 1)),
+    s AS (SELECT vec_id, label, 1 - list_cosine_similarity(embedding::DOUBLE[], centre) AS far FROM embeddings, c), t AS (SELECT greatest(0.45, 2 * quantile_cont(far, 0.95)) AS t FROM s WHERE label < 8)
     SELECT vec_id, round(far, 6) AS distance, far > t AS severe FROM s, t
 """)
 def centroid_report(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return rounded(ft.centroid_report(e, e.where("vec_id % 5 <> 0"), "vec_id", "embedding"))
+    return rounded(ft.centroid_report(e, e.where("label < 8"), "vec_id", "embedding"))
 
 
 @Q.query("""
-    WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_][a-z0-9_]+') AS t FROM documents WHERE lang = 'en'),
+    WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_][a-z0-9_]+') AS t FROM documents),
     g AS (SELECT doc_id, unnest(t) AS term FROM w UNION ALL SELECT doc_id, t[i] || ' ' || t[i + 1] FROM (SELECT doc_id, t, unnest(range(1, len(t))) AS i FROM w)),
     tf AS (SELECT doc_id, term, count(*) AS n FROM g GROUP BY 1, 2), df AS (SELECT term, count(*) AS df, sum(n) AS total FROM tf GROUP BY 1 HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 2048),
     x AS (SELECT doc_id, term, (1 + ln(n)) * (ln((1 + (SELECT count(*) FROM w)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term))
     SELECT doc_id, count(*) AS terms, round(max(w / z), 6) AS top FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS z FROM x) GROUP BY 1
 """)
 def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("lang = 'en'")
-    t = ft.tfidf(docs, "doc_id", "text", max_terms=2048, min_df=2)
+    t = ft.tfidf(table(spark, d, "documents"), "doc_id", "text", max_terms=2048, min_df=2)
     return t.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.max("weight"), 6).alias("top"))
 
 
@@ -197,8 +196,7 @@ def ridge_heads(spark: SparkSession, d: str) -> DataFrame:
 @Q.query()
 def bootstrap_trees(spark: SparkSession, d: str) -> DataFrame:
     """No SQL: an ensemble over group bootstraps; mean and deviation of its members."""
-    rows = facts(spark, d).where("card_id % 7 = 0")
-    return models.bootstrap_predictions(rows, "card_id", ["cost", "misuse"], "response", members=3)
+    return models.bootstrap_predictions(facts(spark, d), "card_id", ["cost", "misuse"], "response", members=3)
 
 
 @Q.query("""

@@ -60,7 +60,7 @@ def subset_cards(spark: SparkSession, d: str) -> DataFrame:
 
 
 @Q.query("""
-    SELECT conv_id, to_json(list({'turn': turn, 'role': role, 'selected': role = 'assistant'} ORDER BY turn))::VARCHAR AS payload FROM conversations WHERE turn < 3 GROUP BY 1
+    SELECT conv_id, to_json(list({'turn': turn, 'role': role, 'selected': role = 'assistant'} ORDER BY turn))::VARCHAR AS payload FROM conversations GROUP BY 1
 """)
 def timeline_payloads(spark: SparkSession, d: str) -> DataFrame:
     return st.timeline_payload(turns(spark, d))
@@ -236,12 +236,12 @@ def release_audit(spark: SparkSession, d: str) -> DataFrame:
 
 @Q.query("""
     SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS regimes, array_to_string(list_sort(list_filter(['click', 'error', 'purchase', 'signup', 'view'], lambda x: NOT list_contains(list(event_type), x))), ',') AS missing
-    FROM events WHERE day(ts) <= 3 GROUP BY 1
+    FROM events GROUP BY 1
 """)
 def bundle_check(spark: SparkSession, d: str) -> DataFrame:
     """Per user, which of the required regimes have no case."""
     need = F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view")))
-    g = table(spark, d, "events").where("day(ts) <= 3").groupBy("user_id").agg(F.count("*").alias("n"), F.collect_set("event_type").alias("has"))
+    g = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.collect_set("event_type").alias("has"))
     return g.select("user_id", "n", F.size("has").cast("long").alias("regimes"), F.array_join(F.array_sort(F.array_except(need, F.col("has"))), ",").alias("missing"))
 
 
