@@ -26,8 +26,8 @@ def exact_duplicates(
     largest id of a group stays (a null id is smaller than any other); among repeated rows of that id
     one stays. An empty table gives an empty result; other columns are ignored.
 
-    Rows are grouped by byte length, those of shared lengths by a hash of their prefix as well, and
-    only rows that still have company are hashed whole (all rows, if ``digest`` asks for the hash). The
+    Rows are counted by byte length and a hash of their prefix in one combined aggregate; only rows
+    that have company in both are hashed whole (all rows, if ``digest`` asks for the hash). The
     shared (length, prefix) classes are broadcast if there are at most ``broadcast_keys``; beyond that
     hashes are taken before a shuffled join, so that texts never move. Groups are sums and maxima, which
     combine before the shuffle; a group of any size meets in no task.
@@ -39,15 +39,10 @@ def exact_duplicates(
         F.octet_length(body).alias("len"),
         F.xxhash64(ascii_lower(F.substring(body, 1, prefix_chars))).alias("prefix"),
     )
-    lengths = base.groupBy("len").agg(F.count("*").alias("n")).where("n > 1").select("len")
-    pairs = (
-        base.select("len", "prefix")
-        .join(lengths, "len", "left_semi")
-        .groupBy("len", "prefix")
-        .agg(F.count("*").alias("n"))
-        .where("n > 1")
-        .select(F.col("len").alias("l"), F.col("prefix").alias("p"), F.lit(True).alias("shared"))
-    )
+    classes = base.groupBy("len", "prefix").agg(F.count("*").alias("n"))
+    lengths = classes.groupBy("len").agg(F.sum("n").alias("of_len")).where("of_len > 1").withColumnRenamed("len", "l")
+    pairs = classes.where("n > 1").join(lengths, F.col("len") == F.col("l"), "left_semi")
+    pairs = pairs.select(F.col("len").alias("l"), F.col("prefix").alias("p"), F.lit(True).alias("shared"))
     pairs = durable(pairs)
     full = F.unhex(F.sha2(ascii_lower(F.col("body")), 256))
     same = (F.col("len") == F.col("l")) & (F.col("prefix") == F.col("p"))
