@@ -52,7 +52,7 @@ def mix_sources(
     share_pct: int = 150,
     max_epochs: int = 2,
     seed: str = "mix",
-    rows_per_bucket: int = 50_000,
+    rows_per_bucket: int = 4_000,
 ) -> DataFrame:
     """One row per input row: ``id_col, size, source_size, target, taken``.
 
