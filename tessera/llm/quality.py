@@ -139,8 +139,8 @@ def score_quality(
     """One row per input row: ``id_col, score, predicted`` (score: probability of label 1; predicted: 1 from 0.5).
 
     Statistics of every whole text (null counts as empty) are taken in one pass and kept; of rows where
-    ``learn`` (given the name of the id's column) holds and that have labels (several for one id are averaged, null ones ignored), at most
-    ``max_train``, the first by a hash of the id, reach the driver for fitting. Without labels the score
+    ``learn`` (given the name of the id's column) holds and that have labels (several for one id are averaged, null ones ignored), about
+    ``max_train``, drawn by a hash of the id, reach the driver for fitting. Without labels the score
     is 0.5; with one kind of label it is close to that label. Neither the id nor any column but the text is an input. Repeated rows stay.
     """
 
@@ -155,8 +155,10 @@ def score_quality(
     stats = durable(rows.mapInArrow(run, f"id {kind}, x array<float>"))
     marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.avg(label_col).alias("y"))
     marks = marks.where(learn("label_id"))
-    known = stats.join(marks, stats.id == marks.label_id).select("id", "x", "y")
-    sample = known.orderBy(F.xxhash64("id"), "id").limit(max_train).toPandas()
+    known = durable(stats.join(marks, stats.id == marks.label_id).select("id", "x", "y"))
+    share = min(1.0, max_train / max(1, known.count()))
+    drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))
+    sample = known.where(drawn).toPandas().sort_values("id", kind="stable", ignore_index=True)
     x = np.array(sample["x"].tolist(), np.float64).reshape(len(sample), len(FEATURES))
     y = sample["y"].to_numpy(np.float64)
     forest = boost(x, y, **boosting)
