@@ -102,4 +102,13 @@ SQL = {
               FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
         SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM p
     """,
+    "op9_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        x AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+        f AS (SELECT s, min(doc_id) AS first FROM x GROUP BY 1),
+        g AS (SELECT DISTINCT doc_id, i + k AS j FROM (SELECT x.doc_id, x.i FROM x JOIN f USING (s) WHERE first < x.doc_id), (SELECT unnest(range(13)) AS k)),
+        n AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+        k AS (SELECT n.doc_id, string_agg(word, ' ' ORDER BY n.j) AS kept, count(*) AS n_kept FROM n ANTI JOIN g ON n.doc_id = g.doc_id AND n.j = g.j GROUP BY 1)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n_kept, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+    """,
 }

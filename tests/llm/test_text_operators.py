@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import substring_dedup
 from tessera.llm.decontaminate import contaminated
+from tessera.llm.decontaminate import words_of as words_of_text
 from tessera.llm.html_text import extract_text, main_text
 from tessera.llm.language_id import identify_languages
 from tessera.llm.quality import FEATURES, Forest, boost, score_quality, statistics
@@ -117,6 +118,8 @@ PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><
         ("<article><h1>A  title</h1><p>One &lt;b&gt; &amp amp.<br>two\n\tlines</p><!-- x --><p>Ti.</article>", "A title\nOne <b> & amp.\ntwo lines\nTi."),
         ("<main><p>Short.</p><div class='advert'><p>Buy</p></div><ul><li>x</li><li>y</li></ul></main>", "Short.\nx\ny"),
         ("<div><h2>Head</h2><p>" + "long text " * 20 + "</p><p>" + "more text " * 20 + "</p></div>", "Head\n" + ("long text " * 20).strip() + "\n" + ("more text " * 20).strip()),
+        ("<div class='content has-sidebar no-comments'><p>" + "kept text " * 20 + "</p></div><div class='side-bar sidebar'><p>" + "dropped " * 30 + "</p></div>", ("kept text " * 20).strip()),
+        ("<section id=post><h1>Head</h1><p>" + "body " * 30 + "</p></section><section class='reader-comments'><article class='comment'><p>" + "reply " * 40 + "</p></article></section>", "Head\n" + ("body " * 30).strip()),
         ("<article></article>", ""),
         ("<article><p>a<b>b</b>c <a href='x>y'>link</a></p><div class=share>Share</div></article>", "abc link"),
     ],
@@ -161,6 +164,43 @@ def test_contaminated_documents_are_found(spark, no_docs, prose_of):
     assert contaminated(no_docs, bench).count() == contaminated(docs, bench.limit(0)).count() == 0
 
 
+def brute_matches(text, item, width=5, threshold=0.8):
+    """Best window of the item's length, by its weighted shingle similarity, then its place."""
+    from collections import Counter
+
+    w, v = words_of_text(text), words_of_text(item)
+    if not w or not v:
+        return None
+    k, n = min(width, len(v)), min(len(v), len(w))
+    want = Counter(tuple(v[i : i + k]) for i in range(len(v) - k + 1))
+    best = None
+    for a in range(len(w) - n + 1):
+        have = Counter(tuple(w[i : i + k]) for i in range(a, a + n - k + 1))
+        both = sum((have & want).values())
+        s = both / max(1, sum(have.values()) + sum(want.values()) - both)
+        if s >= threshold and (best is None or s > best[0]):
+            best = (s, a, n)
+    return best
+
+
+def test_contamination_matches_brute_force(spark, prose_of):
+    rng = random.Random(21)
+    items = [(i, prose_of(rng, rng.randint(8, 60))) for i in range(12)]
+    rows = []
+    for d in range(80):
+        w = prose_of(rng, rng.randint(1, 120)).split()
+        for _ in range(rng.randint(0, 2)):
+            p = rng.choice(items)[1].split()
+            for _ in range(rng.randint(0, 2)):
+                p[rng.randrange(len(p))] = "edited"
+            at = rng.randint(0, len(w))
+            w[at:at] = p[rng.randint(0, 2) :]
+        rows.append((d, " ".join(w)))
+    want = {(d, i): m for d, t in rows for i, v in items if (m := brute_matches(t, v))}
+    got = contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.similarity, r.start, r.n_words) for r in got} == want and len(want) > 20
+
+
 def brute_repeats(rows, window):
     first = {}
     for d, t in rows:
