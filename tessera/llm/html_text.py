@@ -29,7 +29,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 ASIDE = frozenset("nav footer aside form button select dialog menu head object canvas audio video".split())
 #: Words of a class, id or role that name what is not the article.
 ASIDE_WORD = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner\w*|promo\w*|sponsor\w*|nav\w*|menu\w*|sidebar\w*|footer\w*|cookie\w*|consent\w*|gdpr|notice\w*|alert\w*"
+    r"(?:^|(?<!\bhas)(?<!\bwith)(?<!\bno)(?<!\bwithout)[\s_-])(?:ad|ads|advert\w*|banner\w*|promo\w*|sponsor\w*|nav\w*|menu\w*|sidebar\w*|footer\w*|cookie\w*|consent\w*|gdpr|notice\w*|notif\w*|alert\w*"
     r"|popup\w*|modal\w*|overlay\w*|newsletter\w*|subscri\w*|share\w*|sharing|social\w*|comment\w*|repl(?:y|ies)\w*|discuss\w*|respond\w*|related\w*"
     r"|recommend\w*|breadcrumb\w*|paginat\w*|pager|widget\w*|toolbar\w*|login|signup|search\w*|masthead|copyright|legal|disclaimer\w*|skip\w*"
     r"|complementary|contentinfo|dialog|form)(?:$|[\s_-])",
