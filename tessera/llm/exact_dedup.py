@@ -59,6 +59,7 @@ def exact_duplicates(
         .where("n > 1")
         .select(F.col("sha").alias("group_sha"), "best", "n")
     )
+    groups = durable(groups)  # with a plan of its own, the join below can be split where a group is large
     out = rows.join(groups, rows.sha == groups.group_sha, "left").select(
         F.col("id").alias(id_col),
         F.when(F.col("n") > 1, F.col("best.id")).otherwise(F.col("id")).alias("keep_id"),
