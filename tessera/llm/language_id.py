@@ -139,7 +139,7 @@ def cut_words(text: str) -> list[str]:
 
 def train(docs: DataFrame, text_col: str, lang_col: str, learn: Column, vocabulary: str, per_language: int, rounds: int, seed_cols: list[str]) -> PieceModel:
     """Fit on a sample of about ``per_language`` rows of each language, drawn by a hash of the row's id."""
-    known = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    known = docs.where(learn & F.col(lang_col).isNotNull())
     sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
     languages = sorted(sizes)
     pieces = vocabulary_pieces(vocabulary)
@@ -158,7 +158,7 @@ def train(docs: DataFrame, text_col: str, lang_col: str, learn: Column, vocabula
                 word += found
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string())], ["lang", "word"])
 
-    sample = known.where(draw).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    sample = known.where(draw & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     counted = sample.mapInArrow(words, "lang string, word string").groupBy("lang", "word").count().toPandas()
     if len(counted):
         wide = counted.pivot(index="word", columns="lang", values="count").reindex(columns=languages).fillna(0.0).sort_index()
