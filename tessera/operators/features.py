@@ -79,12 +79,11 @@ def tfidf(df: DataFrame, key: str, text: str, max_terms: int = 2048, min_df: int
 
     The vocabulary is the ``max_terms`` most frequent terms of at least ``min_df`` texts, a fixed bound.
     """
-    words = df.select(key, F.array_join(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(1)), " ").alias("_w"))
-    split = F.split("_w", " ")
-    one = words.where("_w <> ''").select(key, F.explode(split).alias("term"))
-    places = F.sequence(F.lit(1), F.greatest(F.size(split) - 1, F.lit(1)))
-    two = words.where("instr(_w, ' ') > 0").select(key, F.explode(F.transform(places, lambda i: F.array_join(F.slice(split, i, F.lit(2)), " "))).alias("term"))
-    tf = one.unionByName(two).groupBy(key, "term").agg(F.count("*").alias("n"))
+    # Words and pairs are made in one pass; the split is a column of its own, which the lambda must not evaluate again at each place.
+    words = df.select(key, F.split(F.array_join(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(1)), " "), " ").alias("_w"))
+    pairs = F.zip_with(F.slice("_w", F.lit(1), F.size("_w") - 1), F.slice("_w", F.lit(2), F.size("_w") - 1), lambda a, b: F.concat_ws(" ", a, b))
+    terms = words.where("_w[0] <> ''").select(key, F.explode(F.concat(F.col("_w"), pairs)).alias("term"))
+    tf = terms.groupBy(key, "term").agg(F.count("*").alias("n"))
     vocabulary = tf.groupBy("term").agg(F.count("*").alias("_df"), F.sum("n").alias("_t")).where(F.col("_df") >= min_df).orderBy(F.col("_t").desc(), "term").limit(max_terms)
     size = df.agg(F.count("*").alias("_n"))
     x = tf.join(F.broadcast(vocabulary), "term").join(F.broadcast(size))
@@ -95,11 +94,9 @@ def tfidf(df: DataFrame, key: str, text: str, max_terms: int = 2048, min_df: int
 
 def hashed_fingerprint(df: DataFrame, key: str, text: str, size: int = 64) -> DataFrame:
     """``key, vector``: counts of words and word pairs in hashed places, unit length, rounded to eight digits; zeros for no words."""
-    words = df.select(key, normalize_for_hash(F.col(text)).alias("_w"))
-    split = F.split("_w", " ")
-    places = F.sequence(F.lit(1), F.greatest(F.size(split) - 1, F.lit(1)))
-    pairs = F.transform(places, lambda i: F.array_join(F.slice(split, i, F.lit(2)), " "))
-    terms = F.when(F.col("_w") == "", F.array().cast("array<string>")).otherwise(F.concat(split, F.when(F.size(split) > 1, pairs).otherwise(F.array().cast("array<string>"))))
+    words = df.select(key, F.split(normalize_for_hash(F.col(text)), " ").alias("_w"))
+    pairs = F.zip_with(F.slice("_w", F.lit(1), F.size("_w") - 1), F.slice("_w", F.lit(2), F.size("_w") - 1), lambda a, b: F.concat_ws(" ", a, b))
+    terms = F.when(F.col("_w")[0] == "", F.array().cast("array<string>")).otherwise(F.concat(F.col("_w"), pairs))
     at = words.select(key, F.explode_outer(terms).alias("t")).select(key, F.pmod(F.xxhash64("t"), F.lit(size)).alias("i"), F.col("t").isNotNull().cast("double").alias("x"))
     n = at.groupBy(key, "i").agg(F.sum("x").alias("x"))
     n = n.withColumn("x", F.coalesce(F.try_divide(F.col("x"), F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy(key)))), F.lit(0.0)))
