@@ -11,8 +11,15 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, unless they find it as the driver's own PYTHONPATH or working folder has it."""
+#: Rows of a batch that Spark hands to Python where the user has not set it: texts are long, and Spark's 10,000 of them are many megabytes.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS, SPARKS_OWN = 1_000, "10000"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Make batches for Python small, and send this package to the Python workers, unless they find it as the driver's own PYTHONPATH or working folder has it."""
+    if spark.conf.get(BATCH) == SPARKS_OWN:
+        spark.conf.set(BATCH, BATCH_ROWS)
     root = Path(__file__).resolve().parents[1]
     sc = spark.sparkContext
     found = {Path(p).resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
@@ -28,13 +35,13 @@ def ship(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder that ``spark.checkpoint.dir`` names; a folder of our own only where none is set."""
-    ship(spark)
+    prepare(spark)
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
