@@ -11,7 +11,7 @@ from tessera.llm.language_id import identify_languages
 from tessera.llm.mixing import mix_sources
 from tessera.llm.simhash import near_duplicates
 from tessera.llm.text import ascii_lower, id_slice
-from tessera.session import durable, removed, stored, table
+from tessera.session import durable, prepare, removed, stored, table
 
 #: Most keys of dropped rows that are broadcast, at some 60 bytes each; beyond that the join is shuffled.
 BROADCAST_KEYS = 500_000
@@ -33,6 +33,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without a language: null, without a letter, or of no language with a posterior of one half."""
+    prepare(spark)
     names = [f"c{i}" for i in range(len(docs.columns))]
     place = {c: n for n, c in zip(names, docs.columns, strict=True)}
     found = identify_languages(

@@ -106,7 +106,7 @@ def anchors(texts: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarr
     return text, least[own[first]], own[first] - begin[text], own[last] - begin[text]
 
 
-def in_chunks(column, words: int = 1 << 18) -> Iterator[tuple[int, list[list[bytes]]]]:
+def in_chunks(column, words: int = 1 << 17) -> Iterator[tuple[int, list[list[bytes]]]]:
     """Split texts, gathered until they have about so many words; with the number of the first."""
     at, held, n = 0, [], 0
     for i, t in enumerate(column):
