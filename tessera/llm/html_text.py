@@ -35,6 +35,11 @@ ASIDE_WORD = re.compile(
     r"|complementary|contentinfo|dialog|form)(?:$|[\s_-])",
     re.I,
 )
+#: A page's own header, which unlike an article's has no other word before it.
+HEADER_WORD = re.compile(r"(?:^|\s)(?:(?:site|page|top|global|main)[-_]?)?(?:header|topbar|top-bar)(?:$|\s)", re.I)
+#: Elements whose end tag may be missing: another of their kind, or the end of a container, ends them.
+OPEN_ENDED = frozenset("li p dt dd td th tr option".split())
+CONTAINERS = frozenset("ul ol dl table tbody div section article main body".split())
 #: A window is this many lines; an unmarked region needs this share of the largest one's text.
 WINDOW, SHARE = 3, 0.25
 
@@ -44,7 +49,8 @@ def _is_aside(name: str, attrs: str, inside: bool) -> bool:
         return True
     if name in ("html", "body", "article", "main") and "comment" not in attrs.lower():
         return False
-    return bool(attrs) and any(ASIDE_WORD.search(a or b or c) for _, a, b, c in ATTRIBUTE.findall(attrs))
+    values = [a or b or c for _, a, b, c in ATTRIBUTE.findall(attrs)] if attrs else []
+    return any(ASIDE_WORD.search(v) or not inside and HEADER_WORD.search(v) for v in values)
 
 
 def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
@@ -85,18 +91,21 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
             continue
         name, closing = m["name"].lower(), bool(m["close"])
         if skip:
-            if name == skip:
-                depth += -1 if closing else 1
-                if not depth:
-                    skip, gap = "", True
-            continue
+            if skip in OPEN_ENDED and (closing and name in CONTAINERS or not closing and name == skip):
+                skip, gap = "", True
+            else:
+                if name == skip:
+                    depth += -1 if closing else 1
+                    if not depth:
+                        skip, gap = "", True
+                continue
         if name in BLOCKS or name in ASIDE:
             flush()
         if name in ("article", "main"):
             inside = max(0, inside + (-1 if closing else 1))
         if name == "a":
             link = 0 if closing else 1
-        if not closing and name not in VOID and not m["attrs"].endswith("/") and name in closers and _is_aside(name, m["attrs"], inside > 0):
+        if not closing and name not in VOID and not m["attrs"].endswith("/") and (name in closers or name in OPEN_ENDED) and _is_aside(name, m["attrs"], inside > 0):
             flush()
             skip, depth = name, 1
     add(page[at:])

@@ -120,6 +120,8 @@ PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><
         ("<div><h2>Head</h2><p>" + "long text " * 20 + "</p><p>" + "more text " * 20 + "</p></div>", "Head\n" + ("long text " * 20).strip() + "\n" + ("more text " * 20).strip()),
         ("<div class='content has-sidebar no-comments'><p>" + "kept text " * 20 + "</p></div><div class='side-bar sidebar'><p>" + "dropped " * 30 + "</p></div>", ("kept text " * 20).strip()),
         ("<section id=post><h1>Head</h1><p>" + "body " * 30 + "</p></section><section class='reader-comments'><article class='comment'><p>" + "reply " * 40 + "</p></article></section>", "Head\n" + ("body " * 30).strip()),
+        ("<div class=site-header>Site name</div><div class=post><div class='entry-header'><h1>Head</h1></div><p>" + "body " * 30 + "</p></div>", "Head\n" + ("body " * 30).strip()),
+        ("<article><ul><li>one<li class=ad>buy<li>two</ul><p class=promo>more<p>three</article>", "one\ntwo\nthree"),
         ("<article></article>", ""),
         ("<article><p>a<b>b</b>c <a href='x>y'>link</a></p><div class=share>Share</div></article>", "abc link"),
     ],
