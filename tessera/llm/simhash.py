@@ -161,7 +161,7 @@ def near_links(groups: list[list[bytes]], radius: int, steps: int = 1) -> tuple[
     ``steps`` growing radii.
     """
     left, right = [], []
-    small = [g for g in groups if len(g) < SLICED_FROM]
+    small = [sorted(g) for g in groups if len(g) < SLICED_FROM]  # so that ties are broken alike in any run
     if small:
         size = np.fromiter(map(len, small), np.int64, len(small))
         names = list(itertools.chain.from_iterable(small))
