@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.filters import broadcast_filter, in_filter
 from tessera.operators.graph import connected_components
-from tessera.session import durable
+from tessera.session import durable, removed, stored
 
 #: Shingles are hashed as the contract of the query says: XXH64 with this seed.
 HASH_SEED = 42
@@ -23,6 +23,8 @@ PIECE = 1 << 15
 SLICED_FROM = 64
 #: Largest group that one cell of the comparison holds twice.
 CELL = 1 << 14
+#: The same where members carry their shingles, and how many near members are tried before all are.
+SET_CELL, NEAREST = 1 << 10, 16
 
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -263,14 +265,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def verified(edges: DataFrame, prints: DataFrame, docs: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
-    """The links whose texts have at least this Jaccard similarity of distinct shingles.
+def shingle_sets(nodes: DataFrame, prints: DataFrame, docs: DataFrame, text_col: str, width: int) -> DataFrame:
+    """``fp, s``: the distinct shingles, in order, of one text of each fingerprint ``fp`` in ``nodes``.
 
-    ``prints`` has ``fp`` and ``h``, a hash of the text; one text stands for each fingerprint. Only the
-    linked texts are read into shingles, told by a filter of bounded size.
+    ``prints`` has ``fp`` and ``h``, a hash of the text. Only the texts that stand for a fingerprint are
+    read into shingles, told by a filter of bounded size.
     """
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("fp")).distinct()
-    reps = durable(prints.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("h").alias("h")))
+    reps = durable(prints.join(nodes, "fp", "left_semi").groupBy("fp").agg(F.min("h").alias("h")))
     known, bits = broadcast_filter(reps.select("h"), reps.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,14 +282,93 @@ def verified(edges: DataFrame, prints: DataFrame, docs: DataFrame, text_col: str
 
     rows = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
     sets = rows.mapInArrow(run, "h bigint, s array<int>").join(reps.select("h"), "h", "left_semi")
-    sets = sets.groupBy("h").agg(F.first("s").alias("s"))
-    a, b = (reps.select(F.col("fp").alias(e), F.col("h").alias(f"h_{e}")) for e in ("src", "dst"))
-    met = edges.join(a, "src").join(b, "dst")
-    met = met.join(sets.select(F.col("h").alias("h_src"), F.col("s").alias("s_src")), "h_src")
-    met = met.join(sets.select(F.col("h").alias("h_dst"), F.col("s").alias("s_dst")), "h_dst")
+    return reps.join(sets.groupBy("h").agg(F.first("s").alias("s")), "h").select("fp", "s")
+
+
+def judged(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``src, dst, ok``: whether the texts have at least this Jaccard similarity of distinct shingles."""
+    met = edges.join(sets.select(F.col("fp").alias("src"), F.col("s").alias("s_src")), "src")
+    met = met.join(sets.select(F.col("fp").alias("dst"), F.col("s").alias("s_dst")), "dst")
     shared = F.size(F.array_intersect("s_src", "s_dst"))
     every = F.size("s_src") + F.size("s_dst") - shared
-    return met.where(shared >= similarity * every).select("src", "dst")
+    return met.select("src", "dst", (shared >= similarity * every).alias("ok"))
+
+
+def cross_links(fps: np.ndarray, label: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float, nearest: int = 0) -> Iterator[tuple[int, int]]:
+    """Links of at least ``similarity`` between members of different classes that connect all that such pairs within ``radius`` bits connect.
+
+    Each member outside of the largest class is held against the members of other classes, nearest
+    first: all of them, or the ``nearest``. ``sets`` are ordered and without repeats.
+    """
+    _, label, n = np.unique(label, return_inverse=True, return_counts=True)
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    for q in np.nonzero(label != n.argmax())[0].tolist():
+        d = np.bitwise_count(fps ^ fps[q]).sum(axis=1, dtype=np.int64)
+        alike = np.minimum(size, size[q]) >= similarity * np.maximum(size, size[q])
+        near = np.nonzero((d <= radius) & (label != label[q]) & alike)[0]
+        near = near[np.argsort(d[near], kind="stable")]
+        near = near[:nearest] if nearest else near
+        while len(near):
+            at = max(1, int(np.searchsorted(size[near].cumsum(), PIECE, side="right")))
+            some, near = near[:at], near[at:]
+            flat = np.concatenate([sets[m] for m in some])
+            place = np.minimum(np.searchsorted(sets[q], flat), size[q] - 1)
+            shared = np.bincount(np.repeat(np.arange(len(some)), size[some]), sets[q][place] == flat, len(some))
+            for m in some[shared >= similarity * (size[q] + size[some] - shared)].tolist():
+                if label[m] != label[q]:
+                    yield q, m
+                    label[label == label[m]] = label[q]
+            near = near[label[near] != label[q]]
+
+
+def missed_links(keyed: DataFrame, classes: DataFrame, sets: DataFrame, radius: int, similarity: float, nearest: int, cell: int = SET_CELL) -> DataFrame:
+    """``(src, dst)``: links between different ``classes`` (``node, component``) of fingerprints that share a key and an ``area``.
+
+    Cells of one class are left out; those with more than ``cell`` members are cut into chunks, of
+    which each pair makes a cell of its own. A task holds the shingles of two chunks.
+    """
+    c = classes.select(F.col("node").alias("fp"), "component")
+    rows = durable(keyed.join(c, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    mixed_cells = rows.groupBy("key", "area").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a < b")
+    mixed_cells = mixed_cells.select("key", "area", F.ceil(F.col("n") / cell).cast("int").alias("chunks"))
+    rows = rows.join(mixed_cells, ["key", "area"]).withColumn("c", F.expr("pmod(xxhash64(fp), chunks)").cast("int"))
+    rows = rows.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).join(sets, "fp")
+    rows = rows.select("key", "area", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "fp", "component", "s")
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("fp")
+        names = rows["fp"].to_pylist()
+        fps = np.frombuffer(b"".join(names), np.uint8).reshape(len(names), -1)
+        label = np.array([x.hex() for x in rows["component"].to_pylist()])
+        sets = [s.values.to_numpy().view(np.uint32) for s in rows["s"]]
+        found = list(cross_links(fps, label, sets, radius, similarity, nearest))
+        return pa.table({"src": pa.array([names[q] for q, _ in found], pa.binary()), "dst": pa.array([names[m] for _, m in found], pa.binary())})
+
+    return rows.groupBy("key", "area", "i", "j").applyInArrow(run, "src binary, dst binary")
+
+
+def similar_links(edges: DataFrame, keyed: DataFrame, prints: DataFrame, docs: DataFrame, text_col: str, width: int, similarity: float, radius: int) -> DataFrame:
+    """Links of texts of at least this Jaccard similarity that connect all that such candidates connect.
+
+    ``edges`` connect what lies within the radius and shares a key. Where all those of an area hold, it
+    is done. In the other areas, members of different classes are compared by their shingles in the
+    cells of ``keyed``: first with the ``NEAREST`` ones, so that most fall together, then with all.
+    """
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("fp")).distinct()
+    links = durable(judged(edges, shingle_sets(ends, prints, docs, text_col, width), similarity))
+    good = links.where("ok").select("src", "dst")
+    if links.where("not ok").isEmpty():
+        return good
+    area = connected_components(links).select(F.col("node").alias("fp"), F.col("component").alias("area"))
+    failed = links.where("not ok").select(F.col("src").alias("fp")).distinct()
+    area = durable(area.join(area.join(failed, "fp").select("area").distinct(), "area", "left_semi").select("fp", "area"))
+    sets, path = stored(shingle_sets(area.select("fp"), prints, docs, text_col, width))
+    open_rows = keyed.join(area, "fp")
+    for nearest in (NEAREST, 0):
+        more = durable(missed_links(open_rows, connected_components(good), sets, radius, similarity, nearest))
+        good = good.unionByName(more)
+    removed(docs.sparkSession, path)
+    return good
 
 
 def near_duplicates(
@@ -307,8 +387,9 @@ def near_duplicates(
     texts of Jaccard similarity s have shingle vectors at an angle of acos(2s / (1 + s)); the radius is
     the expected number of differing bits at ``similarity`` plus ``slack`` standard deviations. With
     twelve bands of two minimum hashes, a pair at 0.8 meets with probability 1 - 5e-6. The links of each
-    cell's forest, nearest pairs first, are then held against the texts' distinct shingles, and those
-    below ``similarity`` go. One row of each component stays: the smallest id (among repeated rows of it,
+    cell's forest, nearest pairs first, are then held against the texts' distinct shingles. Where some
+    are below ``similarity``, the other candidates between the classes that are left are held against
+    them too, so that copies of one text that are less like each other still meet through it. One row of each component stays: the smallest id (among repeated rows of it,
     one). Null, empty and blank texts have fingerprint zero and are copies of each other. Other columns
     are ignored; an empty table gives an empty result.
     """
@@ -320,7 +401,7 @@ def near_duplicates(
     prints = durable(prints.select("id.id", "id.h", "fp", "keys").withColumn("row", F.monotonically_increasing_id()))
     keyed = prints.select("fp", F.explode("keys").alias("key")).distinct()
     edges = durable(near_edges(keyed, radius, steps=4).distinct())
-    links = verified(edges, prints, docs, text_col, width, similarity)
+    links = similar_links(edges, keyed, prints, docs, text_col, width, similarity, radius)
     out = label_rows(prints.select("id", "fp", "row"), connected_components(links))
     best = out.groupBy("component_id").agg(F.min(F.struct("id", "row")).alias("best"))
     best = best.select(F.col("component_id").alias("c"), F.col("best.row").alias("best_row"))

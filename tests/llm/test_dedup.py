@@ -8,7 +8,7 @@ import xxhash
 
 from tessera.llm.exact_dedup import exact_duplicates
 from tessera.llm.mixing import mix_sources
-from tessera.llm.simhash import near_duplicates, near_links, simhash_components
+from tessera.llm.simhash import cross_links, near_duplicates, near_links, simhash_components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -116,6 +116,56 @@ def test_near_duplicates_match_brute_force(spark, prose_of):
     assert len(together(got)) >= 0.98 * len(together(want))
 
 
+def test_copies_less_like_each_other_than_their_origin_stay_together(spark, prose_of):
+    import random
+
+    rng = random.Random(17)
+    rows = []
+    for copies, edits in ((12, 4), (90, 4)):
+        origin = prose_of(rng, 200).split()
+        group = [origin]
+        for c in range(copies):
+            v = list(origin)
+            for at in rng.sample(range(200), edits):
+                v[at] = f"other{c}x{at}"
+            group.append(v)
+        rng.shuffle(group)
+        rows += [" ".join(w) for w in group]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for t in rows for w in [t.split()]]
+    want = components(list(range(len(rows))), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert len(set(want.values())) == 2
+    got = near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.kept} == {0, 13}
+
+
+def test_cross_links_connect_what_all_pairs_connect():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    for nearest in (0, 1000):
+        sets, fps, label = [], [], []
+        for group in range(6):
+            origin = rng.sample(range(10_000), 60)
+            for _ in range(rng.randint(1, 12)):
+                s = set(origin)
+                for x in rng.sample(origin, rng.randint(0, 9)):
+                    s.remove(x)
+                sets.append(np.array(sorted(s), np.uint32))
+                fps.append([rng.randrange(4) for _ in range(4)])
+                label.append(rng.randrange(8))
+        have = [set(s.tolist()) for s in sets]
+        bits = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(fps[a], fps[b], strict=True))
+        near = lambda a, b: bits(a, b) <= 4 and len(have[a] & have[b]) >= 0.8 * len(have[a] | have[b])
+        found = list(cross_links(np.array(fps, np.uint8), np.array(label), sets, 4, 0.8, nearest))
+        assert all(near(a, b) and label[a] != label[b] for a, b in found)
+        nodes = list(range(len(sets)))
+        want = components(nodes, lambda a, b: label[a] == label[b] or near(a, b))
+        got = components(nodes, lambda a, b: label[a] == label[b] or (a, b) in found or (b, a) in found)
+        assert all((want[a] == want[b]) == (got[a] == got[b]) for a, b in itertools.combinations(nodes, 2))
+
+
 def test_exact_dedup_both_ways(docs, no_docs):
     rows = docs.collect()
     groups = {}
