@@ -378,7 +378,7 @@ def near_duplicates(
     width: int = 5,
     similarity: float = 0.8,
     n_bytes: int = 32,
-    slack: float = 1.6,
+    slack: float = 3.0,
     bands: int = 12,
 ) -> DataFrame:
     """One row per input row: ``id_col, component_id, kept``; near copies by word shingles of ``width``.
