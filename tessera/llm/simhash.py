@@ -17,6 +17,8 @@ from tessera.session import durable, removed, stored
 
 #: Shingles are hashed as the contract of the query says: XXH64 with this seed.
 HASH_SEED = 42
+#: Bytes of a set's hash, which follow its fingerprint where rows are told apart by their shingles.
+SET_BYTES = 8
 #: Hashes are summed in pieces of so many, which bounds memory for very long texts.
 PIECE = 1 << 15
 #: Groups smaller than a machine word are compared pair by pair, larger ones bit-sliced.
@@ -79,15 +81,20 @@ def min_hashes(h: np.ndarray, bands: int, rows: int) -> list[int]:
     return out
 
 
+def set_name(h: np.ndarray, n_bytes: int) -> bytes:
+    """Name of a set of shingles: the fingerprint of the hashes, then ``SET_BYTES`` of a hash of the set itself."""
+    return simhash(h, n_bytes) + xxhash.xxh64_digest(np.unique(h).tobytes(), HASH_SEED)
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, n_bytes: int = 8, bands: int = 0, rows: int = 2) -> DataFrame:
-    """``id, fp binary`` and, with ``bands``, ``keys array<long>`` of each row's whole text."""
+    """``id, fp binary`` of each row's whole text; with ``bands``, ``fp`` is the ``set_name`` and there are ``keys array<long>``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps, keys = [], []
             for t in b.column(1).cast(pa.binary()):
                 h = shingle_hashes(t.as_py(), width)
-                fps.append(simhash(h, n_bytes))
+                fps.append(set_name(h, n_bytes) if bands else simhash(h, n_bytes))
                 if bands:
                     keys.append(min_hashes(h, bands, rows))
             cols = [b.column(0), pa.array(fps, pa.binary())] + ([pa.array(keys, pa.list_(pa.int64()))] if bands else [])
@@ -156,9 +163,11 @@ def _sliced(fps: np.ndarray, radius: int, forest: _Forest) -> Iterator[tuple[int
             yield from forest.join(at + q, members[members < n])
 
 
-def near_links(groups: list[list[bytes]], radius: int, steps: int = 1) -> tuple[list[bytes], list[bytes]]:
+def near_links(groups: list[list[bytes]], radius: int, steps: int = 1, n_bytes: int | None = None) -> tuple[list[bytes], list[bytes]]:
     """For each group of fingerprints, pairs at most ``radius`` bits apart that connect all that such pairs connect.
 
+    With ``n_bytes`` only so many first bytes are compared; the rest tells members of equal ones apart.
+
     Nearer pairs are taken first: in groups smaller than a machine word by distance, in larger ones by
     ``steps`` growing radii.
     """
@@ -167,7 +176,7 @@ def near_links(groups: list[list[bytes]], radius: int, steps: int = 1) -> tuple[
     if small:
         size = np.fromiter(map(len, small), np.int64, len(small))
         names = list(itertools.chain.from_iterable(small))
-        flat = np.frombuffer(b"".join(names), np.uint8).reshape(len(names), -1)
+        flat = np.frombuffer(b"".join(names), np.uint8).reshape(len(names), -1)[:, :n_bytes]
         rest = np.repeat(np.cumsum(size), size) - np.arange(len(flat))  # members of the group from this one on
         found = []
         for step in range(1, int(size.max())):  # each member against the one so many places on
@@ -190,7 +199,7 @@ def near_links(groups: list[list[bytes]], radius: int, steps: int = 1) -> tuple[
     for g in groups:
         if len(g) >= SLICED_FROM:
             g = sorted(g)
-            fps = np.frombuffer(b"".join(g), np.uint8).reshape(len(g), -1)
+            fps = np.frombuffer(b"".join(g), np.uint8).reshape(len(g), -1)[:, :n_bytes]
             forest = _Forest(fps)
             for step in range(1, steps + 1):
                 for i, j in _sliced(fps, radius * step // steps, forest):
@@ -208,7 +217,7 @@ def pigeonhole_keys(fp: str, n_bytes: int, radius: int) -> F.Column:
     return F.array(*keys)
 
 
-def near_edges(keyed: DataFrame, radius: int, steps: int = 1, cell: int = CELL) -> DataFrame:
+def near_edges(keyed: DataFrame, radius: int, steps: int = 1, cell: int = CELL, n_bytes: int | None = None) -> DataFrame:
     """``(src, dst)``: links within ``radius`` bits between fingerprints that share a key, as ``near_links`` gives them for each cell.
 
     ``keyed`` has ``key`` and a distinct ``fp`` per key. Members of a key are gathered in cells; keys
@@ -230,7 +239,7 @@ def near_edges(keyed: DataFrame, radius: int, steps: int = 1, cell: int = CELL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            left, right = near_links(b.column(0).to_pylist(), radius, steps)
+            left, right = near_links(b.column(0).to_pylist(), radius, steps, n_bytes)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["src", "dst"])
 
     return cells.mapInArrow(run, "src binary, dst binary")
@@ -266,10 +275,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def shingle_sets(nodes: DataFrame, prints: DataFrame, docs: DataFrame, text_col: str, width: int) -> DataFrame:
-    """``fp, s``: the distinct shingles, in order, of one text of each fingerprint ``fp`` in ``nodes``.
+    """``fp, s``: the distinct shingles, in order, of each ``fp`` in ``nodes``, which all its texts share.
 
-    ``prints`` has ``fp`` and ``h``, a hash of the text. Only the texts that stand for a fingerprint are
-    read into shingles, told by a filter of bounded size.
+    ``prints`` has ``fp`` (a ``set_name``) and ``h``, a hash of the text. Only one text of each is read
+    into shingles, told by a filter of bounded size.
     """
     reps = durable(prints.join(nodes, "fp", "left_semi").groupBy("fp").agg(F.min("h").alias("h")))
     known, bits = broadcast_filter(reps.select("h"), reps.count())
@@ -338,7 +347,7 @@ def missed_links(keyed: DataFrame, classes: DataFrame, sets: DataFrame, radius:
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("fp")
         names = rows["fp"].to_pylist()
-        fps = np.frombuffer(b"".join(names), np.uint8).reshape(len(names), -1)
+        fps = np.frombuffer(b"".join(names), np.uint8).reshape(len(names), -1)[:, :-SET_BYTES]
         label = np.array([x.hex() for x in rows["component"].to_pylist()])
         sets = [s.values.to_numpy().view(np.uint32) for s in rows["s"]]
         found = list(cross_links(fps, label, sets, radius, similarity, nearest))
@@ -383,14 +392,15 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per input row: ``id_col, component_id, kept``; near copies by word shingles of ``width``.
 
-    Wide SimHashes are compared, bit-sliced, between texts that share the minimum hashes of a band. Two
+    Rows of the same distinct shingles fall together before anything is compared. Between the others that
+    share the minimum hashes of a band, wide SimHashes are compared, bit-sliced, equal ones too. Two
     texts of Jaccard similarity s have shingle vectors at an angle of acos(2s / (1 + s)); the radius is
     the expected number of differing bits at ``similarity`` plus ``slack`` standard deviations. With
     twelve bands of two minimum hashes, a pair at 0.8 meets with probability 1 - 5e-6. The links of each
     cell's forest, nearest pairs first, are then held against the texts' distinct shingles. Where some
     are below ``similarity``, the other candidates between the classes that are left are held against
     them too, so that copies of one text that are less like each other still meet through it. One row of each component stays: the smallest id (among repeated rows of it,
-    one). Null, empty and blank texts have fingerprint zero and are copies of each other. Other columns
+    one). Null, empty and blank texts have no shingles and are copies of each other. Other columns
     are ignored; an empty table gives an empty result.
     """
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
@@ -400,7 +410,7 @@ def near_duplicates(
     prints = fingerprints(keyed_docs, "id and hash", text_col, width, n_bytes, bands)
     prints = durable(prints.select("id.id", "id.h", "fp", "keys").withColumn("row", F.monotonically_increasing_id()))
     keyed = prints.select("fp", F.explode("keys").alias("key")).distinct()
-    edges = durable(near_edges(keyed, radius, steps=4).distinct())
+    edges = durable(near_edges(keyed, radius, steps=4, n_bytes=n_bytes).distinct())
     links = similar_links(edges, keyed, prints, docs, text_col, width, similarity, radius)
     out = label_rows(prints.select("id", "fp", "row"), connected_components(links))
     best = out.groupBy("component_id").agg(F.min(F.struct("id", "row")).alias("best"))

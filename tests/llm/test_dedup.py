@@ -138,6 +138,26 @@ def test_copies_less_like_each_other_than_their_origin_stay_together(spark, pros
     assert {r.doc_id for r in got if r.kept} == {0, 13}
 
 
+def test_texts_of_one_repeated_ending_are_no_copies(spark, prose_of):
+    import random
+
+    rng = random.Random(41)
+    ends = ["- " * 400, "| " * 400, "word " * 400, ". " * 400]
+    rows = [(10 * e + i, prose_of(rng, 120) + " " + end) for e, end in enumerate(ends) for i in range(4)]
+    rows += [(1000 + i, t.replace(" ", "  ")) for i, t in rows]
+    got = {r.doc_id: r for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, r in got.items() if r.kept} == {i for i, _ in rows if i < 1000}
+    assert all(r.component_id == i % 1000 for i, r in got.items())
+
+
+def test_equal_fingerprints_of_other_sets_are_compared():
+    names = [bytes(32) + bytes([i]) * 8 for i in range(100)]
+    for group in (names[:5], names):
+        left, right = near_links([group], 0, n_bytes=32)
+        assert len(left) == len(group) - 1
+        assert len(set(components(group, lambda a, b: (a, b) in zip(left, right) or (b, a) in zip(left, right)).values())) == 1
+
+
 def test_cross_links_connect_what_all_pairs_connect():
     import random
 
