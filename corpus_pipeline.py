@@ -60,9 +60,13 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (five-word shingles, similarity 0.8): the smallest doc_id."""
+    """One document of each group of near copies stays (five-word shingles, similarity 0.8): the smallest doc_id; of repeated rows, one."""
     keyed = _keyed(docs)
-    return _without(keyed, near_duplicates(keyed, id_col=KEY).where("not kept").select(KEY))
+    each = durable(near_duplicates(keyed, id_col=KEY).groupBy(KEY).agg(F.max("kept").alias("kept"), F.count("*").alias("n")))
+    left = _without(keyed, each.where("not kept").select(KEY))
+    if each.where("kept and n > 1").isEmpty():
+        return left
+    return _keyed(left).dropDuplicates([KEY]).drop(KEY)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,19 +81,20 @@ def min_hashes(h: np.ndarray, bands: int, rows: int) -> list[int]:
     return out
 
 
-def set_name(h: np.ndarray, n_bytes: int) -> bytes:
-    """Name of a set of shingles: the fingerprint of the hashes, then ``SET_BYTES`` of a hash of the set itself."""
-    return simhash(h, n_bytes) + xxhash.xxh64_digest(np.unique(h).tobytes(), HASH_SEED)
+def set_name(distinct: np.ndarray, n_bytes: int) -> bytes:
+    """Name of a set of shingles: the fingerprint of its ordered hashes, then ``SET_BYTES`` of a hash of them all."""
+    return simhash(distinct, n_bytes) + xxhash.xxh64_digest(distinct.tobytes(), HASH_SEED)
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, n_bytes: int = 8, bands: int = 0, rows: int = 2) -> DataFrame:
-    """``id, fp binary`` of each row's whole text; with ``bands``, ``fp`` is the ``set_name`` and there are ``keys array<long>``."""
+    """``id, fp binary`` of each row's whole text; with ``bands``, that of the distinct shingles: ``fp`` is their ``set_name``, with ``keys array<long>``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps, keys = [], []
             for t in b.column(1).cast(pa.binary()):
                 h = shingle_hashes(t.as_py(), width)
+                h = np.unique(h) if bands else h
                 fps.append(set_name(h, n_bytes) if bands else simhash(h, n_bytes))
                 if bands:
                     keys.append(min_hashes(h, bands, rows))
@@ -393,8 +394,8 @@ def near_duplicates(
     """One row per input row: ``id_col, component_id, kept``; near copies by word shingles of ``width``.
 
     Rows of the same distinct shingles fall together before anything is compared. Between the others that
-    share the minimum hashes of a band, wide SimHashes are compared, bit-sliced, equal ones too. Two
-    texts of Jaccard similarity s have shingle vectors at an angle of acos(2s / (1 + s)); the radius is
+    share the minimum hashes of a band, wide SimHashes of the distinct shingles are compared,
+    bit-sliced, equal ones too. Two sets of Jaccard similarity s are at an angle of at most acos(2s / (1 + s)); the radius is
     the expected number of differing bits at ``similarity`` plus ``slack`` standard deviations. With
     twelve bands of two minimum hashes, a pair at 0.8 meets with probability 1 - 5e-6. The links of each
     cell's forest, nearest pairs first, are then held against the texts' distinct shingles. Where some

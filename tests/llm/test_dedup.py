@@ -150,6 +150,31 @@ def test_texts_of_one_repeated_ending_are_no_copies(spark, prose_of):
     assert all(r.component_id == i % 1000 for i, r in got.items())
 
 
+def test_copies_with_repeated_passages_match_brute_force(spark, prose_of):
+    import random
+
+    rng = random.Random(43)
+    texts = []
+    for i in range(12):
+        w = prose_of(rng, rng.randint(150, 300)).split()
+        v = list(w)
+        v[rng.randrange(len(v))] = "other"
+        texts += [" ".join(w), " ".join(w + ["-"] * 400), " ".join(w + w[20:40] * (3 * i)), " ".join(v + v[-12:] * 60)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for t in texts for w in [t.split()]]
+    want = components(list(range(len(texts))), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert len(set(want.values())) == 12
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all((got[a] == got[b]) == (want[a] == want[b]) for a, b in itertools.combinations(range(len(texts)), 2))
+
+
+def test_near_dedup_keeps_one_of_repeated_rows(spark):
+    import corpus_pipeline
+
+    rows = [(1, "one two three four five six", "x"), (1, "one two three four five six", "x"), (2, "one two  three four five six", "x"), (None, "seven", "x"), (None, "seven", "x")]
+    left = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
+    assert sorted(map(tuple, left.collect()), key=str) == [(1, *rows[0][1:]), (None, "seven", "x")]
+
+
 def test_equal_fingerprints_of_other_sets_are_compared():
     names = [bytes(32) + bytes([i]) * 8 for i in range(100)]
     for group in (names[:5], names):
