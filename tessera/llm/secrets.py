@@ -12,8 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: A candidate is a run of these characters, 16 or more, with a digit in it.
-CANDIDATE = r"(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/=.-]{0,64}[0-9])[A-Za-z0-9_+/=.-]{16,}"
+#: What a run of these characters follows where something is assigned to a name that speaks for a secret.
+ASSIGNED = (
+    r"(?:(?<=[=:>][ \t]{0,16}[\"'`]?)(?<=(?i:token|secret|passw|passphrase|pwd|api.?key|auth|bearer|credential|private.?key|access.?key|client.?key)"
+    r"[A-Za-z0-9_.-]{0,24}[\"'`\])]{0,2}[ \t]{0,16}(?::=|=>|==?|:)[ \t]{0,16}[\"'`]?)|(?<=(?i:bearer)[ \t]{1,4}))"
+)
+#: A candidate is a run of these characters, 16 or more with a digit among them, or of any make after ``ASSIGNED``; '=' only pads its end.
+CANDIDATE = (
+    r"(?<![A-Za-z0-9_+/.-])(?:(?=[A-Za-z_+/.-]*+[0-9])[A-Za-z0-9_+/.-]{16,}+|" + ASSIGNED + r"[A-Za-z0-9_+/.-]++)(?:={1,2}(?![A-Za-z0-9_+/=.-]))?"
+)
 #: Characters of context that are looked at on either side.
 LEFT, RIGHT = 64, 32
 
@@ -80,11 +87,25 @@ def features(c: str = "candidate", left: str = "before", right: str = "after") -
     return [F.coalesce(out[k].cast("double"), F.lit(0.0)).alias(k) for k in FEATURES]
 
 
+def cut_out(rows: DataFrame) -> DataFrame:
+    """A row for each candidate in ``text``: the other columns, ``n`` from 0, ``gap`` before it, ``candidate``, and ``before`` and ``after`` it."""
+    found = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
+    gaps = F.split("text", CANDIDATE, -1)
+    pairs = F.zip_with(found, gaps, lambda c, g: F.struct(c.alias("c"), F.length(g).alias("gap"), F.substring(g, -LEFT, LEFT).alias("l")))
+    after = F.transform(F.slice(gaps, F.lit(2), F.size(gaps)), lambda g: F.substring(g, 1, RIGHT))
+    whole = F.filter(F.zip_with(pairs, after, lambda p, a: F.struct(p["c"].alias("c"), p["gap"].alias("gap"), p["l"].alias("l"), a.alias("r"))), lambda x: x["c"].isNotNull())
+    kept = [c for c in rows.columns if c != "text"]
+    each = rows.select(*kept, F.posexplode(whole).alias("n", "x"))
+    return each.select(*kept, "n", F.col("x.gap").alias("gap"), F.col("x.c").alias("candidate"), F.col("x.l").alias("before"), F.coalesce("x.r", F.lit("")).alias("after"))
+
+
 def labelled_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:
-    """``before, candidate, after, label``: findings labelled by how they are made, ``n`` rows from hashes of their numbers.
+    """``before, candidate, after, label``: findings labelled by how they are made, from ``n`` texts made of hashes of their numbers.
 
-    Secrets are random strings of issued and generic forms after words and signs of an assignment;
-    false positives are commits, checksums, identifiers, paths, versions, numbers and fillers.
+    Secrets are random strings of issued and generic forms, short ones and ones of letters only among
+    them, after words and signs of an assignment; false positives are commits, checksums, identifiers,
+    paths, versions, numbers, fillers, and words and names that are assigned. The findings are cut out
+    of the texts as the scan does it; one that is not the secret itself is none.
     """
     h = lambda salt: F.sha2(F.concat_ws("|", F.lit(salt), F.col("id").cast("string")), 256)
     pick = lambda salt, xs: F.element_at(F.array(*map(F.lit, xs)), (F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(len(xs))) + 1).cast("int"))
@@ -97,7 +118,7 @@ def labelled_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:
     false_word = pick("f", ["commit", "sha256", "md5 =", "checksum:", "revision", "integrity: ", "etag \"", "build", "uuid=", "request id ", "blob", "digest: ", "see ", "the ", "order no. "])
     prefix = pick("p", ["AKIA", "ghp_", "xoxb-", "sk_live_", "AIza", "glpat-", "npm_"])
     uuid = F.regexp_replace(h("u"), "^(.{8})(.{4})(.{4})(.{4})(.{12}).*$", "$1-$2-$3-$4-$5")
-    kind = F.pmod(F.xxhash64(F.lit("kind"), "id"), F.lit(16))
+    kind = F.pmod(F.xxhash64(F.lit("kind"), "id"), F.lit(21))
     lead = F.concat(words("l1"), F.lit(" "), F.lower(words("l2")), F.lit(" "))
     rows = [
         (0, 1, F.concat(secret_word, sign), F.substring(h("a"), 1, 40), close),
@@ -116,9 +137,17 @@ def labelled_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:
         (13, 0, F.concat(secret_word, sign), F.concat(pick("q", ["xxxxxxxxxxxxxxxx", "EXAMPLE", "your_token_here_", "000000000000", "changeme", "abcdef123456"]), F.lit("0000EXAMPLE1")), close),
         (14, 0, lead, F.regexp_replace(F.conv(F.substring(h("i"), 1, 15), 16, 10), "^(.*)$", "$1.2024.11.5"), F.lit(" ")),
         (15, 0, F.concat(false_word, F.lit(" ")), h("e"), F.lit("\n")),
+        (16, 1, F.concat(secret_word, sign), cut(mixed("b"), "n", 8, 16), close),
+        (17, 1, F.concat(secret_word, sign), cut(F.regexp_replace(mixed("b"), "[0-9]", ""), "n", 8, 30), close),
+        (18, 1, F.concat(F.lit("https://host/"), F.lower(words("x1")), F.lit("?"), pick("v", ["token=", "access_token=", "api_key=", "id=1&auth="])), cut(mixed("b"), "n", 12, 44), F.lit(" ")),
+        (19, 0, F.concat(secret_word, sign), F.lower(words("x1")), close),
+        (20, 0, F.concat(secret_word, sign), F.concat(F.lower(words("x1")), pick("j", ["", ".", "_", "-"]), words("x2"), pick("k", ["", ".get", "_name", "Value"])), close),
     ]
     pick_row = lambda k: functools.reduce(lambda e, r: e.when(kind == r[0], r[k] if isinstance(r[k], Column) else F.lit(r[k])), rows, F)
-    return spark.range(0, n, 1, 4).select(F.concat(lead, pick_row(2)).alias("before"), pick_row(3).alias("candidate"), pick_row(4).alias("after"), pick_row(1).cast("double").alias("label"))
+    made = spark.range(0, n, 1, 4).select(F.concat(lead, pick_row(2)).alias("b"), pick_row(3).alias("c"), pick_row(4).alias("a"), pick_row(1).alias("l"))
+    each = cut_out(made.select("b", "c", "l", F.concat("b", "c", "a").alias("text")))
+    label = (F.col("l") == 1) & (F.col("candidate") == F.col("c"))
+    return each.select("before", "candidate", "after", label.cast("double").alias("label"))
 
 
 def fit_forest(findings: DataFrame, trees: int = 24, depth: int = 7, seed: int = 1) -> RandomForestClassificationModel:
@@ -135,7 +164,9 @@ def scan_secrets(
 ) -> DataFrame:
     """One row per candidate: ``id_col, start, length, candidate_sha256, score, is_secret``; ``start`` counts code points from 0.
 
-    Candidates are runs of 16 or more letters, digits and ``_+/=.-`` with a digit among the first 65.
+    Candidates are runs of letters, digits and ``_+/.-``, with ``=`` as padding at the end only: those of
+    16 or more with a digit, and of any length and make where they are assigned to a name that speaks
+    for a secret (``ASSIGNED``).
     The forest weighs length, character transitions and make-up, dictionary coverage, what looks like a
     path, and neighbouring words; it is trained from ``findings`` (by default from
     ``labelled_findings``, whose labels follow from their making). The secret itself is not returned.
@@ -148,12 +179,7 @@ def scan_secrets(
     model = fit_forest(labelled_findings(docs.sparkSession) if findings is None else findings)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike(CANDIDATE))
     rows = rows.withColumn("row", F.monotonically_increasing_id())
-    found = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
-    gaps = F.split("text", CANDIDATE, -1)
-    pairs = F.zip_with(found, gaps, lambda c, g: F.struct(c.alias("c"), F.length(g).alias("gap"), F.substring(g, -LEFT, LEFT).alias("l")))
-    after = F.transform(F.slice(gaps, F.lit(2), F.size(gaps)), lambda g: F.substring(g, 1, RIGHT))
-    whole = F.filter(F.zip_with(pairs, after, lambda p, a: F.struct(p["c"].alias("c"), p["gap"].alias("gap"), p["l"].alias("l"), a.alias("r"))), lambda x: x["c"].isNotNull())
-    each = rows.select("id", "row", F.posexplode(whole).alias("n", "x")).select("id", "row", "n", F.col("x.c").alias("candidate"), F.col("x.gap").alias("gap"), F.col("x.l").alias("before"), F.coalesce("x.r", F.lit("")).alias("after"))
+    each = cut_out(rows)
     upto = W.partitionBy("row").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
     each = each.withColumn("end", F.sum(F.col("gap") + F.length("candidate")).over(upto))
     scored = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(each.select("id", "candidate", "end", *features()))

@@ -46,6 +46,33 @@ def test_scan_finds_secrets_where_they_stand(spark, docs, no_docs):
     assert CANDIDATE and scan_secrets(docs).count() == 0
 
 
+def test_scan_finds_unquoted_short_and_letter_only_secrets(spark):
+    aws = "AKIA" + KEY[:16].upper()
+    rows = [
+        (1, f"# settings\nAPI_TOKEN={aws}\nDEBUG=true\n", aws),
+        (2, f"export SECRET_KEY={KEY}", KEY),
+        (3, "see https://host/page?token=Zk3vQ9xLmT7wRb2Y&user=ann for it", "Zk3vQ9xLmT7wRb2Y"),
+        (4, 'password = "xK9vQ2mT4w"\n', "xK9vQ2mT4w"),
+        (5, 'db_password: "qXvRtbLmZwKpHs"\n', "qXvRtbLmZwKpHs"),
+        (6, "client_secret=Zk3vQ9xLmT7wRb2YpN8sHd4==\n", "Zk3vQ9xLmT7wRb2YpN8sHd4=="),
+        (7, "api_key: " + "Q" * 3 + "xkVtRwLmZpHsDq" * 5 + "7\n", None),
+        (8, 'password = "password"\nif token == null: secret = config.get', None),
+    ]
+    got = scan_secrets(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
+    texts = {r[0]: r[1] for r in rows}
+    found = {(r.doc_id, texts[r.doc_id][r.start : r.start + r.length]) for r in got if r.is_secret}
+    assert {(i, c) for i, _, c in rows if c} <= found
+    assert not [x for x in found if x[0] == 8]
+    assert any(r.doc_id == 7 and r.length == 74 for r in got)
+
+
+def test_training_findings_are_cut_as_the_scan_cuts(spark):
+    rows = labelled_findings(spark, 2000).cache()
+    assert rows.where("label = 1").count() > 800
+    assert rows.where("label = 1 and candidate like '%=%' and candidate not rlike '^[^=]+={1,2}$'").count() == 0
+    assert rows.where("label = 1 and (length(candidate) < 16 or candidate not rlike '[0-9]')").count() > 100
+
+
 def write(spark, path, docs, items):
     docs.write.mode("overwrite").parquet(f"{path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.mode("overwrite").parquet(f"{path}/benchmark.parquet")
