@@ -99,12 +99,16 @@ def grouped_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
 def greedy_strata(df: DataFrame, key: str, scenario: str, stratum: str, priority: str, quota: int, total: int) -> DataFrame:
     """A plan of ``total`` items: per stratum up to ``quota`` by priority, fresh scenarios first, then any; then fill by scenario use.
 
-    Candidates are cut, in parallel, to the ``total`` best of each stratum and of each scenario in it,
-    which is all that the greedy pass can reach; that pass runs over this bounded list in one task.
+    Candidates are cut, in parallel, to the ``total`` best rows of each scenario of a stratum, and to its
+    ``total + quota`` best scenarios by their first row. As no more than ``total`` items are taken, that
+    is all that the greedy pass can reach; it runs over this list, bounded for each stratum, in one task.
     """
     w = W.partitionBy(stratum).orderBy(F.col(priority).desc(), key)
     s = W.partitionBy(stratum, scenario).orderBy(F.col(priority).desc(), key)
-    cut = df.withColumn("_s", F.row_number().over(s)).where("_s = 1 or _s <= 2").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 4 * total)
+    rows = df.withColumn("_s", F.row_number().over(s)).where(F.col("_s") <= total)
+    firsts = df.withColumn("_s", F.row_number().over(s)).where("_s = 1").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= total + quota)
+    firsts = firsts.select(F.col(stratum).alias("_a"), F.col(scenario).alias("_b"))
+    cut = rows.join(firsts, F.col(stratum).eqNullSafe(F.col("_a")) & F.col(scenario).eqNullSafe(F.col("_b")), "left_semi").drop("_s")
     kinds = dict(df.dtypes)
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -225,3 +225,39 @@ def test_samples_are_deterministic(spark):
     assert len(folds) == 50 and {list(folds.values()).count(f) for f in range(5)} == {10}
     split = df.groupBy(ids.split_of(F.lit(1), "k").alias("s")).count().collect()
     assert {r.s: r["count"] for r in split}["train"] == pytest.approx(700, abs=60)
+
+
+def uncut_plan(rows, quota, total):
+    """The greedy plan over all rows ``(key, scenario, stratum, priority)``."""
+    rows = sorted(rows, key=lambda r: (r[2], -r[3], r[0]))
+    used, taken = {}, []
+
+    def take(r, turn):
+        used[r[1]] = used.get(r[1], 0) + 1
+        taken.append((r[0], turn))
+
+    for turn in (1, 2):
+        for stratum in sorted({r[2] for r in rows}):
+            n = sum(r[2] == stratum and any(r[0] == k for k, _ in taken) for r in rows)
+            for r in (r for r in rows if r[2] == stratum):
+                if n < quota and len(taken) < total and all(r[0] != k for k, _ in taken) and not (turn == 1 and r[1] in used):
+                    take(r, turn)
+                    n += 1
+    while len(taken) < total and len(taken) < len(rows):
+        take(min((r for r in rows if all(r[0] != k for k, _ in taken)), key=lambda r: (used.get(r[1], 0), -r[3], r[0])), 3)
+    return sorted(taken)
+
+
+def test_strata_plan_takes_what_the_uncut_greedy_takes(spark):
+    import random
+
+    from tessera.operators.sampling import greedy_strata
+
+    rng = random.Random(5)
+    rows = []
+    for stratum, scenarios in enumerate((1, 2, 3, 40)):
+        rows += [(100 * stratum + i, f"u{rng.randrange(scenarios)}", f"s{stratum}", rng.randrange(50)) for i in range(60)]
+    for some in (rows[:60], rows[:180], rows):
+        df = spark.createDataFrame(some, "item long, user string, kind string, size long")
+        got = greedy_strata(df, "item", "user", "kind", "size", quota=4, total=30).collect()
+        assert sorted((r["item"], r["turn"]) for r in got) == uncut_plan(some, 4, 30)
