@@ -12,13 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 #: Rows of a batch that Spark hands to Python where the user has not set it: texts are long, and Spark's 10,000 of them are many megabytes.
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-BATCH_ROWS, SPARKS_OWN = 1_000, "10000"
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 
 
 def prepare(spark: SparkSession) -> None:
     """Make batches for Python small, and send this package to the Python workers, unless they find it as the driver's own PYTHONPATH or working folder has it."""
-    if spark.conf.get(BATCH) == SPARKS_OWN:
+    if BATCH not in spark.conf.getAll:
         spark.conf.set(BATCH, BATCH_ROWS)
     root = Path(__file__).resolve().parents[1]
     sc = spark.sparkContext
@@ -52,8 +51,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder now and return a frame that reads it.
 
-    Later jobs neither recompute what stands above nor lose it with an executor. Spark's cleaner
-    owns the files. Keep the rows slim: checkpoint files are not compressed.
+    Later jobs neither recompute what stands above nor lose it with an executor. Spark's cleaner takes
+    the files away if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set; else they stay, as
+    checkpoints do. Keep the rows slim: checkpoint files are not compressed.
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
