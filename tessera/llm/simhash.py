@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.filters import broadcast_filter, in_filter
 from tessera.operators.graph import connected_components
-from tessera.session import durable, removed, stored
+from tessera.session import durable, prepare, removed, stored
 
 #: Shingles are hashed as the contract of the query says: XXH64 with this seed.
 HASH_SEED = 42
@@ -21,12 +21,10 @@ HASH_SEED = 42
 SET_BYTES = 8
 #: Hashes are summed in pieces of so many, which bounds memory for very long texts.
 PIECE = 1 << 15
-#: Groups smaller than a machine word are compared pair by pair, larger ones bit-sliced.
-SLICED_FROM = 64
 #: Largest group that one cell of the comparison holds twice.
 CELL = 1 << 14
-#: The same where members carry their shingles, and how many near members are tried before all are.
-SET_CELL, NEAREST = 1 << 10, 16
+#: Shingles of such a cell where members carry them, and how many near members are tried before all are.
+SET_CELL, NEAREST = 1 << 21, 16
 
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -101,112 +99,105 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, n_byte
             cols = [b.column(0), pa.array(fps, pa.binary())] + ([pa.array(keys, pa.list_(pa.int64()))] if bands else [])
             yield pa.RecordBatch.from_arrays(cols, ["id", "fp"] + ["keys"] * bool(bands))
 
+    prepare(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     schema = f"id {kind}, fp binary" + (", keys array<bigint>" if bands else "")
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-class _Forest:
-    """Classes of one group's members; ``join`` links a member to the nearest of each class among those near it."""
+def sliced_pairs(flat: np.ndarray, rest: np.ndarray, radius: int, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``d, i, j``: pairs of members of one group at most ``radius`` bits apart and of different ``label``, tile by tile.
 
-    def __init__(self, fps: np.ndarray) -> None:
-        self.fps, self.label = fps, np.arange(len(fps))
-
-    def join(self, q: int, members: np.ndarray) -> Iterator[tuple[int, int]]:
-        labels = self.label[members]
-        other = labels != self.label[q]
-        if not other.any():
-            return
-        members, labels = members[other], labels[other]
-        d = np.bitwise_count(self.fps[members] ^ self.fps[q]).sum(axis=1, dtype=np.int64)
-        order = np.lexsort((members, d, labels))
-        first = order[np.diff(labels[order], prepend=-1) != 0]
-        for i in first:
-            yield q, int(members[i])
-        self.label[np.isin(self.label, labels)] = self.label[q]
-
-
-def _sliced(fps: np.ndarray, radius: int, forest: _Forest) -> Iterator[tuple[int, int]]:
-    """Links between classes of ``forest`` that have members within ``radius``; ``fps`` is (n, bytes) of uint8.
-
-    Bit k of all members is one plane. For a tile of queries the planes are added into vertical
-    counters by carry-save steps; counters start so that they overflow just beyond the radius, and
-    blocks of 64 members in which all have overflowed for all queries of the tile are abandoned.
+    ``flat`` is (members, bytes), groups one after the other; ``rest`` counts a member's group from it
+    on. Bit k of all members, whatever their groups, is one plane. A tile holds each member against
+    those up to 64 places on, by planes shifted so many bits. Differences are added into vertical
+    counters by carry-save steps; counters start so that they overflow just beyond the radius, pairs
+    of two groups or of one label start as overflowed, and blocks of 64 members in which all have
+    overflowed are abandoned. ``label`` is read anew for each tile.
     """
-    n, n_bytes = fps.shape
-    bits = np.unpackbits(fps, axis=1)
+    n, n_bytes = flat.shape
     words = -(-n // 64)
-    padded = np.zeros((n_bytes * 8, words * 64), np.uint8)
-    padded[:, :n] = bits.T
+    padded = np.zeros((n_bytes * 8, (words + 2) * 64), np.uint8)
+    padded[:, :n] = np.unpackbits(flat, axis=1).T
     planes = np.packbits(padded, axis=1, bitorder="little").view(np.uint64)
+    ahead = np.zeros(words * 64, np.int64)
+    ahead[:n] = rest
+    longest = ahead.reshape(words, 64).max(axis=1)
+    place = np.arange(64)
     depth = max(1, radius.bit_length())
     spare = (1 << depth) - 1 - radius
-    for at in range(0, n, 64):
-        tile = bits[at : at + 64].astype(bool)
-        live = np.arange(at // 64, words)
-        view = planes[:, live]
-        counters = [np.full((len(tile), len(live)), ALL if spare >> j & 1 else np.uint64(0)) for j in range(depth)]
-        over = np.zeros((len(tile), len(live)), np.uint64)
+    for w in range(-(-int(rest.max()) // 64)):
+        live = np.nonzero(longest > max(1, 64 * w))[0]
+        shift = np.arange(min(64, int(rest.max()) - 64 * w))
+        i = (live[:, None] * 64 + place).ravel()
+        j = np.minimum(i + 64 * w + shift[:, None], n - 1)
+        met = (ahead[i] > 64 * w + shift[:, None]) & (label[np.minimum(i, n - 1)] != label[j])
+        over = ~np.packbits(met.reshape(len(shift), -1), axis=1, bitorder="little").view(np.uint64)
+        right, left = shift.astype(np.uint64)[:, None], (63 - shift).astype(np.uint64)[:, None]
+        counters = [np.full(over.shape, ALL if spare >> c & 1 else np.uint64(0)) for c in range(depth)]
         for k in range(n_bytes * 8):
-            carry = view[k][None, :] ^ np.where(tile[:, k], ALL, np.uint64(0))[:, None]
-            for j in range(depth):
-                counters[j], carry = counters[j] ^ carry, counters[j] & carry
-            over |= carry
-            if k % 16 == 15:
+            if k % 16 == 0:
                 keep = (over != ALL).any(axis=0)
                 if not keep.all():
-                    live, view, over = live[keep], view[:, keep], over[:, keep]
-                    counters = [c[:, keep] for c in counters]
-        hits = np.unpackbits(np.ascontiguousarray(~over).view(np.uint8), axis=1, bitorder="little").reshape(len(tile), len(live), 64)
-        for q in range(len(tile)):
-            block, bit = np.nonzero(hits[q])
-            members = live[block] * 64 + bit
-            yield from forest.join(at + q, members[members < n])
+                    live, over, counters = live[keep], over[:, keep], [c[:, keep] for c in counters]
+                if not len(live):
+                    break
+            plane = planes[k]
+            carry = plane[live + w] >> right | plane[live + w + 1] << np.uint64(1) << left
+            carry ^= plane[live]
+            for c in counters:
+                both = c & carry
+                c ^= carry
+                carry = both
+            over |= carry
+        if not len(live):
+            continue
+        hits = np.unpackbits(np.ascontiguousarray(~over).view(np.uint8), axis=1, bitorder="little").reshape(len(shift), len(live), 64)
+        r, block, bit = np.nonzero(hits)
+        i = live[block] * 64 + bit
+        j = i + 64 * w + r
+        yield np.bitwise_count(flat[i] ^ flat[j]).sum(axis=1, dtype=np.int64), i, j
 
 
-def near_links(groups: list[list[bytes]], radius: int, steps: int = 1, n_bytes: int | None = None) -> tuple[list[bytes], list[bytes]]:
-    """For each group of fingerprints, pairs at most ``radius`` bits apart that connect all that such pairs connect.
+def near_links(groups: list[list[bytes]], radius: int, steps: int = 1, n_bytes: int | None = None) -> tuple[list[bytes], list[bytes], list[int]]:
+    """For each group of fingerprints, pairs at most ``radius`` bits apart that connect all that such pairs connect, and a name of each pair's tree.
 
     With ``n_bytes`` only so many first bytes are compared; the rest tells members of equal ones apart.
-
-    Nearer pairs are taken first: in groups smaller than a machine word by distance, in larger ones by
-    ``steps`` growing radii.
+    Groups of any size go through the same planes. Nearer pairs are taken first: by ``steps`` growing
+    radii, and by distance in each tile. Trees of the same members have the same name.
     """
-    left, right = [], []
-    small = [sorted(g) for g in groups if len(g) < SLICED_FROM]  # so that ties are broken alike in any run
-    if small:
-        size = np.fromiter(map(len, small), np.int64, len(small))
-        names = list(itertools.chain.from_iterable(small))
-        flat = np.frombuffer(b"".join(names), np.uint8).reshape(len(names), -1)[:, :n_bytes]
-        rest = np.repeat(np.cumsum(size), size) - np.arange(len(flat))  # members of the group from this one on
-        found = []
-        for step in range(1, int(size.max())):  # each member against the one so many places on
-            a = np.nonzero(rest > step)[0]
-            d = np.bitwise_count(flat[a] ^ flat[a + step]).sum(axis=1, dtype=np.int64)
-            a, d = a[d <= radius], d[d <= radius]
-            found.append(np.stack([d, a, a + step]))
-        near = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
-        parent = list(range(len(flat)))
-        for i, j in near[1:, np.lexsort(near[::-1])].T.tolist():
-            a, b = i, j
-            while parent[a] != a:
-                parent[a] = a = parent[parent[a]]
-            while parent[b] != b:
-                parent[b] = b = parent[parent[b]]
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                left.append(names[i])
-                right.append(names[j])
-    for g in groups:
-        if len(g) >= SLICED_FROM:
-            g = sorted(g)
-            fps = np.frombuffer(b"".join(g), np.uint8).reshape(len(g), -1)[:, :n_bytes]
-            forest = _Forest(fps)
-            for step in range(1, steps + 1):
-                for i, j in _sliced(fps, radius * step // steps, forest):
-                    left.append(g[i])
-                    right.append(g[j])
-    return left, right
+    groups = [sorted(g) for g in groups if len(g) > 1]  # so that ties are broken alike in any run
+    if not groups:
+        return [], [], []
+    names = list(itertools.chain.from_iterable(groups))
+    size = np.fromiter(map(len, groups), np.int64, len(groups))
+    flat = np.ascontiguousarray(np.frombuffer(b"".join(names), np.uint8).reshape(len(names), -1)[:, :n_bytes])
+    rest = np.repeat(np.cumsum(size), size) - np.arange(len(flat))
+    label = np.arange(len(flat), dtype=np.int32)
+    parent = label.tolist()
+    links: list[tuple[int, int]] = []
+    for step in range(1, steps + 1):
+        for d, i, j in sliced_pairs(flat, rest, radius * step // steps, label):
+            order = np.lexsort((j, i, d))
+            joined = len(links)
+            for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+                a, b = x, y
+                while parent[a] != a:
+                    parent[a] = a = parent[parent[a]]
+                while parent[b] != b:
+                    parent[b] = b = parent[parent[b]]
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    links.append((x, y))
+            if len(links) > joined:
+                roots = np.array(parent, np.int32)
+                while (roots[roots] != roots).any():
+                    roots = roots[roots]
+                label[:] = roots
+    order = np.argsort(label, kind="stable")
+    trees = np.split(order, np.nonzero(np.diff(label[order]))[0] + 1)
+    tree = {int(label[t[0]]): np.int64(xxhash.xxh64_intdigest(b"".join(names[k] for k in t.tolist())) - (1 << 63)) for t in trees if len(t) > 1}
+    return [names[x] for x, _ in links], [names[y] for _, y in links], [int(tree[int(label[x])]) for x, _ in links]
 
 
 def pigeonhole_keys(fp: str, n_bytes: int, radius: int) -> F.Column:
@@ -218,17 +209,17 @@ def pigeonhole_keys(fp: str, n_bytes: int, radius: int) -> F.Column:
     return F.array(*keys)
 
 
-def near_edges(keyed: DataFrame, radius: int, steps: int = 1, cell: int = CELL, n_bytes: int | None = None) -> DataFrame:
-    """``(src, dst)``: links within ``radius`` bits between fingerprints that share a key, as ``near_links`` gives them for each cell.
+def near_edges(members: DataFrame, key: F.Column, radius: int, steps: int = 1, cell: int = CELL, n_bytes: int | None = None) -> DataFrame:
+    """``(src, dst, tree)``: links within ``radius`` bits between fingerprints that share a key, as ``near_links`` gives them for each cell.
 
-    ``keyed`` has ``key`` and a distinct ``fp`` per key. Members of a key are gathered in cells; keys
-    with more than ``cell`` members are cut into chunks, of which each pair makes a cell of its own, so
-    that no task holds more than two chunks and no pair is lost.
+    ``members`` has a distinct ``fp`` a row, and ``key`` gives the array of its keys. Members of a key are
+    gathered in cells; keys with more than ``cell`` members are cut into chunks, of which each pair
+    makes a cell of its own, so that no task holds more than two chunks and no pair is lost.
     """
+    keyed = members.select("fp", F.explode(key).alias("key"))
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    big = F.ceil(F.col("n") / cell).cast("int")
-    met = keyed.join(counts.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).withColumn("chunks", big)
-    met = met.withColumn("c", F.expr("pmod(xxhash64(fp), chunks)").cast("int"))
+    counts, _ = stored(counts.select(F.col("key").alias("k"), F.ceil(F.col("n") / cell).cast("int").alias("chunks")))
+    met = keyed.join(counts, F.col("key") == F.col("k")).withColumn("c", F.expr("pmod(xxhash64(fp), chunks)").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     met = met.select("key", "fp", "c", other.alias("d"))
     cells = (
@@ -240,19 +231,18 @@ def near_edges(keyed: DataFrame, radius: int, steps: int = 1, cell: int = CELL,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            left, right = near_links(b.column(0).to_pylist(), radius, steps, n_bytes)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["src", "dst"])
+            left, right, tree = near_links(b.column(0).to_pylist(), radius, steps, n_bytes)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(tree, pa.int64())], ["src", "dst", "tree"])
 
-    return cells.mapInArrow(run, "src binary, dst binary")
+    return cells.mapInArrow(run, "src binary, dst binary, tree bigint")
 
 
-def label_rows(prints: DataFrame, components: DataFrame) -> DataFrame:
-    """Add ``component_id``, the smallest id whose fingerprint is in the row's component, to ``id, fp`` rows."""
-    firsts = prints.groupBy("fp").agg(F.min("id").alias("first"))
-    c = components.select(F.col("node").alias("fp"), "component")
-    whole = firsts.join(c, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = whole.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = whole.join(least, "component").select(F.col("fp").alias("f"), "component_id")
+def label_rows(prints: DataFrame, members: DataFrame, components: DataFrame) -> DataFrame:
+    """Add ``best``, the least ``first`` of the row's component, to ``id, fp`` rows; ``members`` has ``fp, first``."""
+    c = components.select(F.col("node").alias("f"), "component")
+    whole = members.join(c, F.col("fp") == F.col("f"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    least = whole.groupBy("component").agg(F.min("first").alias("best"))
+    named = whole.select(F.col("fp").alias("f"), F.col("component").alias("c")).join(least, F.col("c") == F.col("component")).select("f", "best")
     return prints.join(named, F.col("fp") == F.col("f")).drop("f")
 
 
@@ -270,19 +260,20 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     compared bit-sliced, and only the links of a spanning forest leave a cell.
     """
     prints = durable(fingerprints(docs, id_col, text_col, width))
-    keyed = prints.select("fp").distinct().select("fp", F.explode(pigeonhole_keys("fp", 8, radius)).alias("key"))
-    out = label_rows(prints, connected_components(near_edges(keyed, radius)))
-    return out.select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    members, _ = stored(prints.groupBy("fp").agg(F.min("id").alias("first")))
+    links = near_edges(members, pigeonhole_keys("fp", 8, radius), radius)
+    out = label_rows(prints, members, connected_components(links))
+    return out.select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), F.col("best").alias("component_id"))
 
 
-def shingle_sets(nodes: DataFrame, prints: DataFrame, docs: DataFrame, text_col: str, width: int) -> DataFrame:
-    """``fp, s``: the distinct shingles, in order, of each ``fp`` in ``nodes``, which all its texts share.
+def shingle_sets(members: DataFrame, docs: DataFrame, text_col: str, width: int) -> DataFrame:
+    """``fp, s``: the distinct shingles, in order, of each of ``members`` (``fp, h``), whose texts all have the same.
 
-    ``prints`` has ``fp`` (a ``set_name``) and ``h``, a hash of the text. Only one text of each is read
-    into shingles, told by a filter of bounded size.
+    ``h`` is a hash of the one text that is read into shingles, told by a filter of bounded size.
+    Shingles are kept as the low 32 bits of their hashes: two different ones of a pair of texts of n
+    shingles each fall together with probability n^2 / 2^32.
     """
-    reps = durable(prints.join(nodes, "fp", "left_semi").groupBy("fp").agg(F.min("h").alias("h")))
-    known, bits = broadcast_filter(reps.select("h"), reps.count())
+    known, bits = broadcast_filter(members.select("h"), members.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -290,9 +281,9 @@ def shingle_sets(nodes: DataFrame, prints: DataFrame, docs: DataFrame, text_col:
             sets = [np.unique(shingle_hashes(t.as_py(), width).astype(np.uint32)).view(np.int32) for t in b.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int32()))], ["h", "s"])
 
-    rows = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
-    sets = rows.mapInArrow(run, "h bigint, s array<int>").join(reps.select("h"), "h", "left_semi")
-    return reps.join(sets.groupBy("h").agg(F.first("s").alias("s")), "h").select("fp", "s")
+    rows = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "h bigint, s array<int>")
+    found = rows.join(members.select(F.col("h").alias("g"), "fp"), F.col("h") == F.col("g"))
+    return found.groupBy("fp").agg(F.first("s").alias("s"))
 
 
 def judged(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -331,52 +322,56 @@ def cross_links(fps: np.ndarray, label: np.ndarray, sets: list[np.ndarray], radi
             near = near[label[near] != label[q]]
 
 
-def missed_links(keyed: DataFrame, classes: DataFrame, sets: DataFrame, radius: int, similarity: float, nearest: int, cell: int = SET_CELL) -> DataFrame:
-    """``(src, dst)``: links between different ``classes`` (``node, component``) of fingerprints that share a key and an ``area``.
+def missed_links(trees: DataFrame, classes: DataFrame, sets: DataFrame, radius: int, similarity: float, nearest: int = NEAREST, cell: int = SET_CELL) -> DataFrame:
+    """``(src, dst)``: links between different ``classes`` (``node, component``) of the members of one of ``trees`` (``tree, fp``).
 
-    Cells of one class are left out; those with more than ``cell`` members are cut into chunks, of
-    which each pair makes a cell of its own. A task holds the shingles of two chunks.
+    Trees of one class are left out; those with more than ``cell`` shingles are cut into chunks, of
+    which each pair makes a cell of its own. A task holds the shingles of two chunks. Members are tried
+    with the ``nearest`` others first, so that most fall together, then with all.
     """
-    c = classes.select(F.col("node").alias("fp"), "component")
-    rows = durable(keyed.join(c, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
-    mixed_cells = rows.groupBy("key", "area").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a < b")
-    mixed_cells = mixed_cells.select("key", "area", F.ceil(F.col("n") / cell).cast("int").alias("chunks"))
-    rows = rows.join(mixed_cells, ["key", "area"]).withColumn("c", F.expr("pmod(xxhash64(fp), chunks)").cast("int"))
-    rows = rows.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).join(sets, "fp")
-    rows = rows.select("key", "area", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "fp", "component", "s")
+    c = classes.select(F.col("node").alias("f"), "component")
+    sizes = sets.select(F.col("fp").alias("g"), F.size("s").alias("n"))
+    rows = trees.join(c, F.col("fp") == F.col("f"), "left").join(sizes, F.col("fp") == F.col("g")).select("tree", "fp", F.coalesce("component", "fp").alias("component"), "n")
+    rows, path = stored(rows)
+    several = rows.groupBy("tree").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.sum("n").alias("n")).where("a < b")
+    several, several_path = stored(several.select(F.col("tree").alias("t"), F.ceil(F.col("n") / cell).cast("int").alias("chunks")))
+    rows = rows.join(several, F.col("tree") == F.col("t")).withColumn("c", F.expr("pmod(xxhash64(fp), chunks)").cast("int"))
+    rows = rows.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.join(sets.withColumnRenamed("fp", "g"), F.col("fp") == F.col("g")).select("tree", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "fp", "component", "s")
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("fp")
         names = rows["fp"].to_pylist()
         fps = np.frombuffer(b"".join(names), np.uint8).reshape(len(names), -1)[:, :-SET_BYTES]
-        label = np.array([x.hex() for x in rows["component"].to_pylist()])
+        _, label = np.unique(np.array([x.hex() for x in rows["component"].to_pylist()]), return_inverse=True)
         sets = [s.values.to_numpy().view(np.uint32) for s in rows["s"]]
-        found = list(cross_links(fps, label, sets, radius, similarity, nearest))
+        found = [pair for some in (nearest, 0) for pair in cross_links(fps, label, sets, radius, similarity, some)]
         return pa.table({"src": pa.array([names[q] for q, _ in found], pa.binary()), "dst": pa.array([names[m] for _, m in found], pa.binary())})
 
-    return rows.groupBy("key", "area", "i", "j").applyInArrow(run, "src binary, dst binary")
+    out = durable(rows.groupBy("tree", "i", "j").applyInArrow(run, "src binary, dst binary"))
+    for p in (path, several_path):
+        removed(sets.sparkSession, p)
+    return out
 
 
-def similar_links(edges: DataFrame, keyed: DataFrame, prints: DataFrame, docs: DataFrame, text_col: str, width: int, similarity: float, radius: int) -> DataFrame:
+def similar_links(edges: DataFrame, members: DataFrame, docs: DataFrame, text_col: str, width: int, similarity: float, radius: int) -> DataFrame:
     """Links of texts of at least this Jaccard similarity that connect all that such candidates connect.
 
-    ``edges`` connect what lies within the radius and shares a key. Where all those of an area hold, it
-    is done. In the other areas, members of different classes are compared by their shingles in the
-    cells of ``keyed``: first with the ``NEAREST`` ones, so that most fall together, then with all.
+    ``edges`` (``src, dst, tree``) are trees of what lies within the radius and shares a key. Where all
+    of a tree's links hold, it is done. The members of the other trees that are still of different
+    classes are compared by their shingles.
     """
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("fp")).distinct()
-    links = durable(judged(edges, shingle_sets(ends, prints, docs, text_col, width), similarity))
-    good = links.where("ok").select("src", "dst")
-    if links.where("not ok").isEmpty():
-        return good
-    area = connected_components(links).select(F.col("node").alias("fp"), F.col("component").alias("area"))
-    failed = links.where("not ok").select(F.col("src").alias("fp")).distinct()
-    area = durable(area.join(area.join(failed, "fp").select("area").distinct(), "area", "left_semi").select("fp", "area"))
-    sets, path = stored(shingle_sets(area.select("fp"), prints, docs, text_col, width))
-    open_rows = keyed.join(area, "fp")
-    for nearest in (NEAREST, 0):
-        more = durable(missed_links(open_rows, connected_components(good), sets, radius, similarity, nearest))
-        good = good.unionByName(more)
+    pairs = edges.select("src", "dst").distinct()
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("f")).distinct()
+    sets, path = stored(shingle_sets(durable(members.join(ends, F.col("fp") == F.col("f"), "left_semi").select("fp", "h")), docs, text_col, width))
+    links = durable(judged(pairs, sets, similarity))
+    good, bad = links.where("ok").select("src", "dst"), links.where("not ok").select(F.col("src").alias("x"), F.col("dst").alias("y"))
+    if not bad.isEmpty():
+        classes = connected_components(good)
+        failed = edges.join(bad, (F.col("src") == F.col("x")) & (F.col("dst") == F.col("y"))).select(F.col("tree").alias("t")).distinct()
+        trees = edges.join(failed, F.col("tree") == F.col("t"), "left_semi").select("tree", F.explode(F.array("src", "dst")).alias("fp")).distinct()
+        more = missed_links(trees, classes, sets, radius, similarity)
+        good = classes.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more)
     removed(docs.sparkSession, path)
     return good
 
@@ -388,21 +383,23 @@ def near_duplicates(
     width: int = 5,
     similarity: float = 0.8,
     n_bytes: int = 32,
-    slack: float = 3.0,
+    slack: float = 5.0,
     bands: int = 12,
 ) -> DataFrame:
     """One row per input row: ``id_col, component_id, kept``; near copies by word shingles of ``width``.
 
     Rows of the same distinct shingles fall together before anything is compared. Between the others that
     share the minimum hashes of a band, wide SimHashes of the distinct shingles are compared,
-    bit-sliced, equal ones too. Two sets of Jaccard similarity s are at an angle of at most acos(2s / (1 + s)); the radius is
-    the expected number of differing bits at ``similarity`` plus ``slack`` standard deviations. With
-    twelve bands of two minimum hashes, a pair at 0.8 meets with probability 1 - 5e-6. The links of each
-    cell's forest, nearest pairs first, are then held against the texts' distinct shingles. Where some
-    are below ``similarity``, the other candidates between the classes that are left are held against
-    them too, so that copies of one text that are less like each other still meet through it. One row of each component stays: the smallest id (among repeated rows of it,
-    one). Null, empty and blank texts have no shingles and are copies of each other. Other columns
-    are ignored; an empty table gives an empty result.
+    bit-sliced, equal ones too. Two sets of Jaccard similarity s are at an angle of at most
+    acos(2s / (1 + s)); the radius is the expected number of differing bits at ``similarity`` plus
+    ``slack`` standard deviations. With twelve bands of two minimum hashes, a pair at 0.8 meets with
+    probability 1 - 5e-6. The links of each cell's trees, nearest pairs first, are then held against
+    the texts' distinct shingles. Where some are below ``similarity``, the other pairs within the radius
+    between the classes that are left of the tree are held against them too, so that copies of one
+    text that are less like each other still meet through it. One row of each component stays: the
+    smallest id (a null id last; among repeated rows of it, one). Null, empty and blank texts have no
+    shingles and are copies of each other. Texts of any length are read whole. Other columns are
+    ignored, whatever their names; an empty table gives an empty result.
     """
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     bits = n_bytes * 8
@@ -410,12 +407,9 @@ def near_duplicates(
     keyed_docs = docs.withColumn("id and hash", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")))
     prints = fingerprints(keyed_docs, "id and hash", text_col, width, n_bytes, bands)
     prints = durable(prints.select("id.id", "id.h", "fp", "keys").withColumn("row", F.monotonically_increasing_id()))
-    keyed = prints.select("fp", F.explode("keys").alias("key")).distinct()
-    edges = durable(near_edges(keyed, radius, steps=4, n_bytes=n_bytes).distinct())
-    links = similar_links(edges, keyed, prints, docs, text_col, width, similarity, radius)
-    out = label_rows(prints.select("id", "fp", "row"), connected_components(links))
-    best = out.groupBy("component_id").agg(F.min(F.struct("id", "row")).alias("best"))
-    best = best.select(F.col("component_id").alias("c"), F.col("best.row").alias("best_row"))
-    return out.join(best, F.col("component_id").eqNullSafe(F.col("c")), "left").select(
-        F.col("id").alias(id_col), "component_id", F.coalesce(F.col("row") == F.col("best_row"), F.lit(False)).alias("kept")
-    )
+    first = F.struct(F.col("id").isNull().alias("last"), "id", "row")
+    members, _ = stored(prints.groupBy("fp").agg(F.min(first).alias("first"), F.min("h").alias("h"), F.first("keys").alias("keys")))
+    edges = durable(near_edges(members, F.col("keys"), radius, steps=4, n_bytes=n_bytes).distinct())
+    links = similar_links(edges, members, docs, text_col, width, similarity, radius)
+    out = label_rows(prints.select("id", "fp", "row"), members.select("fp", "first"), connected_components(links))
+    return out.select(F.col("id").alias(id_col), F.col("best.id").alias("component_id"), (F.col("row") == F.col("best.row")).alias("kept"))

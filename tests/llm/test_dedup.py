@@ -8,7 +8,7 @@ import xxhash
 
 from tessera.llm.exact_dedup import exact_duplicates
 from tessera.llm.mixing import mix_sources
-from tessera.llm.simhash import cross_links, near_duplicates, near_links, simhash_components
+from tessera.llm.simhash import cross_links, near_duplicates, near_links, simhash_components, sliced_pairs
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -65,17 +65,36 @@ def test_bit_sliced_links_are_complete():
         centres = [rng.getrandbits(bits) for _ in range(9)]
         group = list({c ^ sum(1 << i for i in rng.sample(range(bits), rng.randint(0, radius))) for c in centres for _ in range(25)})
         rng.shuffle(group)
-        left, right = near_links([[x.to_bytes(n_bytes) for x in group]], radius)
+        left, right, tree = near_links([[x.to_bytes(n_bytes) for x in group]], radius)
         seen = components([x.to_bytes(n_bytes) for x in group], lambda a, b: False)
         for a, b in zip(left, right, strict=True):
             old, new = seen[a], seen[b]
             seen = {k: new if v == old else v for k, v in seen.items()}
         want = components(group, lambda a, b: (a ^ b).bit_count() <= radius)
-        assert len(left) == len(group) - len(set(want.values()))
+        assert len(left) == len(group) - len(set(want.values())) and len(set(tree)) == len({want[int.from_bytes(a)] for a in left})
         for a, b in itertools.combinations(group, 2):
             assert (want[a] == want[b]) == (seen[a.to_bytes(n_bytes)] == seen[b.to_bytes(n_bytes)])
 
 
+def test_bit_sliced_pairs_of_many_groups_match_brute_force():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(9)
+    sizes = [1, 2, 2, 3, 1, 70, 2, 130, 5, 64, 65, 2, 1, 200, 2]
+    names = [rng.getrandbits(24).to_bytes(3) for _ in range(sum(sizes))]
+    flat = np.frombuffer(b"".join(names), np.uint8).reshape(-1, 3)
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    rest = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(flat))
+    label = np.array([rng.randrange(40) for _ in names], np.int32)
+    for radius in (0, 5, 7, 8, 24):
+        got = {(int(a), int(b), int(x)) for d, i, j in sliced_pairs(flat, rest, radius, label) for x, a, b in zip(d, i, j, strict=True)}
+        away = lambda a, b: (int.from_bytes(names[a]) ^ int.from_bytes(names[b])).bit_count()
+        pairs = [(a, b) for a, b in itertools.combinations(range(len(names)), 2) if group[a] == group[b] and label[a] != label[b]]
+        assert got == {(a, b, away(a, b)) for a, b in pairs if away(a, b) <= radius}
+
+
 def test_near_duplicates_keep_one_of_each_group(docs, spark, prose_of):
     import random
 
@@ -178,7 +197,7 @@ def test_near_dedup_keeps_one_of_repeated_rows(spark):
 def test_equal_fingerprints_of_other_sets_are_compared():
     names = [bytes(32) + bytes([i]) * 8 for i in range(100)]
     for group in (names[:5], names):
-        left, right = near_links([group], 0, n_bytes=32)
+        left, right, _ = near_links([group], 0, n_bytes=32)
         assert len(left) == len(group) - 1
         assert len(set(components(group, lambda a, b: (a, b) in zip(left, right) or (b, a) in zip(left, right)).values())) == 1
 
