@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import bisect
 import html
+import itertools
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import prepare
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -37,127 +43,238 @@ ASIDE_WORD = re.compile(
 )
 #: A page's own header, which unlike an article's has no other word before it.
 HEADER_WORD = re.compile(r"(?:^|\s)(?:(?:site|page|top|global|main)[-_]?)?(?:header|topbar|top-bar)(?:$|\s)", re.I)
-#: Elements whose end tag may be missing: another of their kind, or the end of a container, ends them.
+#: Elements whose end tag may be missing: another of their kind, or the end of what holds them, ends them.
 OPEN_ENDED = frozenset("li p dt dd td th tr option".split())
-CONTAINERS = frozenset("ul ol dl table tbody div section article main body".split())
-#: A window is this many lines; an unmarked region needs this share of the largest one's text.
-WINDOW, SHARE = 3, 0.25
+#: Adverts and their like, which may stand amid the text and part nothing.
+ADVERT_WORD = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner\w*|promo\w*|sponsor\w*|newsletter\w*|subscri\w*|share\w*|sharing|social\w*)(?:$|[\s_-])", re.I)
+#: Whole ids, and whole classes of sections, that name what is not the article where they stand in one.
+ASIDE_NAME = re.compile(
+    r"(?:^|\s)(?:ads?|advert\w*|banner|promo|sponsored|nav|navigation|menu|sidebar|footer|cookies?|newsletter|share|social"
+    r"|(?:reader-|user-|post-)?comments?(?:-(?:list|section|area))?|replies|respond|related(?:-(?:posts|articles|stories|links))?|recommended|breadcrumbs?|pagination|login|signup)(?:$|\s)",
+    re.I,
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Starts of these end an open paragraph.
+PARAGRAPH_ENDS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+MARKED = ("article", "main")
+#: Lines of a window; most characters that count of a line; what a line in an article or main element counts beside them.
+WINDOW, LINE, MARK = 3, 200, 800
+#: A region surges at this share of the page's greatest window, and needs this share of the largest region's text, in which marked text counts fourfold.
+SHARE, MARK_TIMES = 0.25, 4
+
+
+class Line(NamedTuple):
+    """A line that stripped markup leaves: characters outside links, the outermost main and article elements it stands in (0: none), whether something was taken out before it."""
+
+    text: str
+    plain: int
+    main: int
+    article: int
+    gap: bool
+
+    @property
+    def mark(self) -> bool:
+        return bool(self.main or self.article)
 
 
-def _is_aside(name: str, attrs: str, inside: bool) -> bool:
+def _aside(name: str, attrs: str, inside: bool) -> str:
+    """"advert" or "other" if the element is not of the article, else nothing; ``inside``: it stands in an article or main element."""
     if name in ASIDE or name == "header" and not inside:
-        return True
-    if name in ("html", "body", "article", "main") and "comment" not in attrs.lower():
-        return False
-    values = [a or b or c for _, a, b, c in ATTRIBUTE.findall(attrs)] if attrs else []
-    return any(ASIDE_WORD.search(v) or not inside and HEADER_WORD.search(v) for v in values)
+        return "other"
+    if not attrs or name in HEADINGS and inside or name in ("html", "body", *MARKED) and "comment" not in attrs.lower():
+        return ""
+    for kind, a, b, c in ATTRIBUTE.findall(attrs):
+        value = a or b or c
+        whole = inside and (kind.lower() == "id" or name == "section")
+        if ASIDE_NAME.search(value) if whole else ASIDE_WORD.search(value) or not inside and HEADER_WORD.search(value):
+            return "advert" if ADVERT_WORD.search(value) else "other"
+    return ""
+
+
+def element_ends(tokens: list[re.Match]) -> list[tuple[int, int]]:
+    """For each token that starts an element, the token and the place in the page that follow the element.
+
+    An end tag ends the innermost open element of its name and all within it. An element that ends
+    only so although its kind needs an end tag of its own may have lost it to an element within: it ends
+    before the first article or main element in it, or else after the last end tag of its kind in
+    it, or else before the next block.
+    """
+    ends = [(i + 1, m.end()) for i, m in enumerate(tokens)]
+    names = [(m["name"] or "").lower() for m in tokens]
+    closes: dict[str, list[int]] = defaultdict(list)
+    blocks, marked, amiss = [], [], []
+    count: Counter[str] = Counter()
+    stack: list[int] = []
+
+    def end(i: int) -> int:
+        at = stack.pop()
+        count[names[at]] -= 1
+        ends[at] = (i, tokens[i].start()) if i < len(tokens) else (i, tokens[-1].endpos)
+        return at
 
+    def implied(i: int) -> None:
+        at = end(i)
+        if names[at] not in OPEN_ENDED and names[at] not in ("html", "body", *MARKED):
+            amiss.append(at)
+
+    for i, m in enumerate(tokens):
+        name = names[i]
+        if name in BLOCKS:
+            blocks.append(i)
+        if not name or name in VOID:
+            continue
+        if m["close"]:
+            closes[name].append(i)
+            if count[name]:
+                while names[stack[-1]] != name:
+                    implied(i)
+                ends[end(i)] = (i + 1, m.end())
+            continue
+        if name in MARKED:
+            marked.append(i)
+        while stack and (names[stack[-1]] == name and name in OPEN_ENDED or names[stack[-1]] == "p" and name in PARAGRAPH_ENDS):
+            end(i)
+        if not m["attrs"].endswith("/"):
+            stack.append(i)
+            count[name] += 1
+    while stack:
+        implied(len(tokens))
+    for at in amiss:
+        first = lambda of, at=at: next(iter(of[bisect.bisect_right(of, at) :][:1]), len(tokens))
+        own = closes[names[at]]
+        last = own[k - 1] if (k := bisect.bisect_left(own, ends[at][0])) and own[k - 1] > at else -1
+        before = first(marked)
+        if before >= min(ends[at][0], last if last > 0 else ends[at][0]):
+            if last > 0:
+                ends[at] = (last + 1, tokens[last].end())
+                continue
+            before = first(blocks)
+        if before < ends[at][0]:
+            ends[at] = (before, tokens[before].start())
+    return ends
 
-def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """``(text, characters outside links, marked, gap before)`` for each line that stripped markup leaves.
 
-    Marked lines stand in an article or main element. A gap is where something that is not the article
-    was taken out: a nav, a footer, an advert and their like, with all that they hold.
+def page_lines(page: str) -> list[Line]:
+    """The lines of a page, without the elements that are not of the article and all that they hold.
+
+    Adverts and their like leave no gap, nor does what is taken out of an article or main element.
     """
-    lines: list[tuple[str, int, bool, bool]] = []
+    lines: list[Line] = []
     parts: list[str] = []
-    plain = 0
+    plain = link = 0
     gap = False
-    inside = link = 0
-    skip, depth = "", 0
+    marks: list[tuple[str, int]] = []
+    tokens = list(TOKEN.finditer(page))
+    ends = element_ends(tokens)
 
     def flush() -> None:
         nonlocal plain, gap
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            lines.append((text, plain, inside > 0, gap))
+            lines.append(Line(text, plain, *(next((k for name, k in marks if name == x), 0) for x in ("main", "article")), gap))
             gap = False
         plain = 0
 
     def add(text: str) -> None:
         nonlocal plain
-        if text and not skip:
+        if text:
             parts.append(text)
             if not link:
                 plain += len(text.strip())
 
-    closers = {m.group(1).lower() for m in re.finditer(r"</([a-zA-Z][a-zA-Z0-9-]*)", page)}
-    at = 0
-    for m in TOKEN.finditer(page):
+    i = at = 0
+    while i < len(tokens):
+        m = tokens[i]
         add(page[at : m.start()])
         at = m.end()
-        if not m["name"]:
+        i += 1
+        name = (m["name"] or "").lower()
+        if not name:
             continue
-        name, closing = m["name"].lower(), bool(m["close"])
-        if skip:
-            if skip in OPEN_ENDED and (closing and name in CONTAINERS or not closing and name == skip):
-                skip, gap = "", True
-            else:
-                if name == skip:
-                    depth += -1 if closing else 1
-                    if not depth:
-                        skip, gap = "", True
-                continue
         if name in BLOCKS or name in ASIDE:
             flush()
-        if name in ("article", "main"):
-            inside = max(0, inside + (-1 if closing else 1))
-        if name == "a":
-            link = 0 if closing else 1
-        if not closing and name not in VOID and not m["attrs"].endswith("/") and (name in closers or name in OPEN_ENDED) and _is_aside(name, m["attrs"], inside > 0):
+        if m["close"]:
+            if name in MARKED and any(x == name for x, _ in marks):
+                while marks.pop()[0] != name:
+                    pass
+            link = 0 if name == "a" else link
+            continue
+        kind = "" if name in VOID or m["attrs"].endswith("/") else _aside(name, m["attrs"], bool(marks))
+        if kind:
             flush()
-            skip, depth = name, 1
+            gap = gap or kind == "other" and not marks
+            i, at = ends[i - 1]
+        elif name in MARKED:
+            marks.append((name, i))
+        elif name == "a":
+            link = 1
     add(page[at:])
     flush()
     return lines
 
 
+def window_regions(weight: list[int], window: int, share: float) -> list[tuple[int, int]]:
+    """First and last place of each region that surges.
+
+    Weights are summed over windows of ``window`` places. A region dives where a sum falls to zero; it
+    surges if a window of it reaches ``share`` of the greatest. It runs from its first place with a
+    weight to its last.
+    """
+    sums = [0]
+    for w in weight:
+        sums.append(sums[-1] + w)
+    window_at = [sums[min(i + window, len(weight))] - sums[i] for i in range(len(weight))]
+    peak = max(window_at, default=0)
+    regions: list[tuple[int, int]] = []
+    begun, surged = -1, False
+    for i, s in enumerate([*window_at, 0]):
+        if s and begun < 0:
+            begun, surged = i, False
+        surged = surged or s > 0 and s >= share * peak
+        if not s and begun >= 0:
+            held = [k for k in range(begun, i) if weight[k]]
+            if surged:
+                regions.append((held[0], held[-1]))
+            begun = -1
+    return regions
+
+
 def main_text(page: str | None) -> str:
     """The article's lines, joined by a line feed.
 
-    Characters outside links are summed over windows of ``WINDOW`` lines; where a sum rises from zero a
-    region surges, where it falls back to zero (a gap, or lines of links only) it dives. If an article
-    or main element is there, the regions that hold its lines are kept, without the lines outside of it;
-    otherwise those with at least ``SHARE`` of the largest region's text.
+    A line weighs its characters, ``LINE`` at most, and nothing if most of them are links; one in an
+    article or main element weighs ``MARK`` more. ``WINDOW`` places without weight stand for what was
+    taken out between lines and for the borders of articles. The regions between the places where
+    windows of weights surge and dive are kept, with all their lines, if they have ``SHARE`` of the largest
+    region's text.
     """
     lines = page_lines(page or "")
-    if not lines:
-        return ""
-    marked = any(x[2] for x in lines)
     weight: list[int] = []
     place: list[int] = []
-    for text, plain, _, gap in lines:
-        weight += [0] * (WINDOW * gap)
+    article = 0
+    for before, line in itertools.pairwise([None, *lines]):
+        if before and (line.gap or before.mark != line.mark or line.article and article not in (0, line.article)):
+            weight += [0] * WINDOW
+        article = line.article or article
         place.append(len(weight))
-        weight.append(plain if plain * 3 >= len(text) or not plain else 0)
-    sums = [sum(weight[i : i + WINDOW]) for i in range(len(weight))]
-    regions: list[list[int]] = []
-    surged = False
-    for i, s in enumerate(sums):
-        if s and not surged:
-            regions.append([i, i])
-        if s:
-            regions[-1][1] = i + WINDOW - 1
-        surged = bool(s)
-    mass = [sum(weight[a : b + 1]) for a, b in regions]
-    out = []
-    for k, (text, _, mark, _) in enumerate(lines):
-        if marked:
-            keep = mark
-        else:
-            keep = any(a <= place[k] <= b and w >= SHARE * max(mass) and weight[place[k]] for (a, b), w in zip(regions, mass, strict=True))
-        if keep:
-            out.append(text)
-    return "\n".join(out)
+        links = line.plain * 3 < len(line.text)
+        weight.append(MARK + min(line.plain, LINE) if line.mark else 0 if links else max(1, min(line.plain, LINE)))
+    regions = window_regions(weight, WINDOW, SHARE)
+    held = [[x for x, p in zip(lines, place, strict=True) if a <= p <= b] for a, b in regions]
+    mass = [sum((MARK_TIMES if x.mark else 1) * max(1, x.plain) for x in some) for some in held]
+    return "\n".join(x.text for some, w in zip(held, mass, strict=True) if w >= SHARE * max(mass) for x in some)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: ``id_col, url_col, text, n_chars`` (code points).
 
-    Null and empty pages, and pages without an article, give the empty string. Each line is one block
-    of the page, its character references decoded and white space made single. Whole pages are read, once; nothing is shuffled.
+    Null and empty pages, and pages without text of their own, give the empty string. Each line is one
+    block of the page, its character references decoded and white space made single. Whole pages of any
+    length are read, once, in time that grows with their length; nothing is shuffled. Repeated rows stay;
+    other columns are ignored, whatever their names; an empty table gives an empty result.
     """
+    prepare(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,15 +1,16 @@
 """Tokens, languages, quality, pages, benchmark passages and repeated passages against brute force."""
 
+import itertools
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import substring_dedup
+from tessera.llm import html_text, substring_dedup
 from tessera.llm.decontaminate import contaminated
 from tessera.llm.decontaminate import words_of as words_of_text
-from tessera.llm.html_text import extract_text, main_text
+from tessera.llm.html_text import extract_text, main_text, window_regions
 from tessera.llm.language_id import identify_languages
 from tessera.llm.quality import FEATURES, Forest, boost, score_quality, statistics
 from tessera.llm.text import id_slice
@@ -124,12 +125,51 @@ PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><
         ("<article><ul><li>one<li class=ad>buy<li>two</ul><p class=promo>more<p>three</article>", "one\ntwo\nthree"),
         ("<article></article>", ""),
         ("<article><p>a<b>b</b>c <a href='x>y'>link</a></p><div class=share>Share</div></article>", "abc link"),
+        ("<article><h2 id='search-algorithms'>Search</h2><section id='related-work'><p>Work.</p></section><section class=discussion><p>Talk.</section></article>", "Search\nWork.\nTalk."),
+        ("<article><p>One.</p><div class=ad><div>Buy</div><p>Two.</p><p>Three.</p></article>", "One.\nTwo.\nThree."),
+        ("<div class=sidebar><p>Side</p><article><p>One.</p><p>Two.</p></article>", "One.\nTwo."),
+        ("<div class=post><p>" + "long text " * 90 + "</p><div class=advert>Buy</div><p>The end.</p></div>", ("long text " * 90).strip() + "\nThe end."),
+        ("<article><p>" + "body " * 60 + "</p></article><article class=teaser><h3>Next</h3><p>Short.</p></article>", ("body " * 60).strip()),
+        ("<article class=teaser><p>Hi.</p></article><div>" + "".join("<p>" + "main text of the page " * 40 + "</p>" for _ in range(4)) + "</div>", "\n".join([("main text of the page " * 40).strip()] * 4)),
+        ("<main><h1>Head</h1><div class=share>Share</div><article><p>" + "body " * 60 + "</p><div id=comments><p>Reader</p></div></article></main>", "Head\n" + ("body " * 60).strip()),
     ],
 )
 def test_main_text(body, text):
     assert main_text(PAGE % body) == text
 
 
+def test_regions_match_all_windows():
+    rng = random.Random(3)
+    some = False
+    for _ in range(500):
+        weight = [rng.choice([0, 0, 0, 5, 40, 200]) for _ in range(rng.randint(0, 30))]
+        for window, share in ((1, 0.25), (3, 0.25), (3, 1.0), (5, 0.0)):
+            sums = [sum(weight[i : i + window]) for i in range(len(weight))]
+            runs = [list(g) for k, g in itertools.groupby(range(len(weight)), lambda i: sums[i] > 0) if k]
+            want = []
+            for run in runs:
+                held = [i for i in run if weight[i]]
+                if max(sums[i] for i in run) >= share * max(sums):
+                    want.append((held[0], held[-1]))
+            assert window_regions(weight, window, share) == want
+            some = some or window_regions(weight, 1, share) != want
+    assert some
+
+
+def test_windows_decide_what_is_kept(monkeypatch):
+    page = "<article><p>Short news.</p></article><div>" + "".join(f"<div>{k} " + "an aside without a name " * 4 + "</div>" for k in range(3)) + "</div>"
+    with_three = main_text(page)
+    assert with_three.count("\n") == 2 and "Short" not in with_three
+    monkeypatch.setattr(html_text, "WINDOW", 1)
+    assert main_text(page) == "Short news."
+
+
+def test_long_pages_take_time_in_proportion():
+    page = "<div class=ad>" * 20_000 + "<article>" + "<p>word</p>" * 50_000 + "</article>"
+    assert main_text(page).count("word") == 50_000
+    assert main_text("<p class=ad>" * 20_000 + "</div>" * 20_000) == ""
+
+
 def test_extract_text_keeps_every_row(spark):
     rows = [(1, "u", PAGE % "<article><p>é</p></article>"), (1, "u", PAGE % "<article><p>é</p></article>"), (2, None, None), (None, "v", ""), (3, "w", "<<<p"), (4, "x", "<script>" * 50)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as id")
