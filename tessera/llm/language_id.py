@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import prepare
+
 VOCABULARY = "piece_bpe_32k.model"
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters in the sense of Unicode, which number signs such as Roman numerals are not.
+LETTERS = regex.compile(r"\p{L}+")
 #: Longest piece used, and the length at which longer words are cut into several, in characters.
 PIECE_CHARS, WORD_CHARS = 8, 24
 #: Probability of a character that no piece covers.
@@ -186,8 +189,10 @@ def identify_languages(
     its words of the sum over all segmentations of each; ``score`` is the posterior of the best language
     under even priors, ties going to the first by name. Null texts and texts without a letter give
     ``und`` and 0; so do all texts where there is nothing to learn from. Whole texts are scored, once,
-    without a shuffle; repeated rows stay.
+    without a shuffle, however long they are; repeated rows stay; other columns are ignored, whatever
+    their names, and those in ``keep`` passed on; an empty table gives an empty result.
     """
+    prepare(docs.sparkSession)
     model = train(docs, text_col, lang_col, learn, vocabulary, per_language, rounds, [id_col])
     sent = docs.sparkSession.sparkContext.broadcast(model)
     extra = list(keep or [])
