@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.llm.text import ascii_lower
 from tessera.session import durable
 
-#: Most (length, prefix) classes that are broadcast, at some 40 bytes each.
+#: Most lengths or (length, prefix) classes that are broadcast, at some 40 bytes each.
 BROADCAST_KEYS = 1_000_000
 
 
@@ -26,11 +26,12 @@ def exact_duplicates(
     largest id of a group stays (a null id is smaller than any other); among repeated rows of that id
     one stays. An empty table gives an empty result; other columns are ignored.
 
-    Rows are counted by byte length and a hash of their prefix in one combined aggregate; only rows
-    that have company in both are hashed whole (all rows, if ``digest`` asks for the hash). The
-    shared (length, prefix) classes are broadcast if there are at most ``broadcast_keys``; beyond that
-    hashes are taken before a shuffled join, so that texts never move. Groups are sums and maxima, which
-    combine before the shuffle; a group of any size meets in no task.
+    Rows are counted by byte length; those of shared lengths by length and a hash of their prefix; only
+    rows that have company in both are hashed whole and grouped (``digest`` asks for the hash of all
+    rows, as a column). The shared lengths and (length, prefix) classes are broadcast if there are at
+    most ``broadcast_keys``; beyond that hashes are taken before a shuffled join, so that texts never
+    move. Groups are sums and maxima, which combine before the shuffle; a group of any size meets in
+    no task. Texts of any length are taken whole.
     """
     body = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(
@@ -39,11 +40,11 @@ def exact_duplicates(
         F.octet_length(body).alias("len"),
         F.xxhash64(ascii_lower(F.substring(body, 1, prefix_chars))).alias("prefix"),
     )
-    classes = base.groupBy("len", "prefix").agg(F.count("*").alias("n"))
-    lengths = classes.groupBy("len").agg(F.sum("n").alias("of_len")).where("of_len > 1").withColumnRenamed("len", "l")
-    pairs = classes.where("n > 1").join(lengths, F.col("len") == F.col("l"), "left_semi")
-    pairs = pairs.select(F.col("len").alias("l"), F.col("prefix").alias("p"), F.lit(True).alias("shared"))
-    pairs = durable(pairs)
+    lengths = durable(base.groupBy("len").agg(F.count("*").alias("n")).where("n > 1").select(F.col("len").alias("l")))
+    few = lengths.count() <= broadcast_keys
+    alike = base.select("len", "prefix").join(F.broadcast(lengths) if few else lengths, F.col("len") == F.col("l"), "left_semi")
+    pairs = alike.groupBy("len", "prefix").agg(F.count("*").alias("n")).where("n > 1")
+    pairs = durable(pairs.select(F.col("len").alias("l"), F.col("prefix").alias("p"), F.lit(True).alias("shared")))
     full = F.unhex(F.sha2(ascii_lower(F.col("body")), 256))
     same = (F.col("len") == F.col("l")) & (F.col("prefix") == F.col("p"))
     if pairs.count() <= broadcast_keys:
