@@ -13,6 +13,8 @@ from tessera.session import durable
 
 #: Bits of a row's random key.
 KEY_BITS = 60
+#: Bits of a bucket's place on its shelf.
+SHELF_BITS = 10
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], share_pct: int, max_epochs: int) -> DataFrame:
@@ -64,8 +66,9 @@ def mix_sources(
     gives an empty result.
 
     Rows are range-partitioned by key into buckets of about ``rows_per_bucket`` within each source, so a
-    source of any size is spread; bucket totals are summed first, and only within a bucket are rows
-    sorted. Only sources and bucket totals meet in one task.
+    source of any size is spread; only within a bucket are rows sorted. Bucket totals are summed on
+    shelves of ``2 ** SHELF_BITS`` buckets, and shelf totals within each source, so a task of a source
+    of n rows holds n / ``rows_per_bucket`` / ``2 ** SHELF_BITS`` totals. Only sources meet in one task.
     """
     key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string"))), 1, KEY_BITS // 4), 16, 10)
     rows = durable(
@@ -80,8 +83,13 @@ def mix_sources(
         "bucket", F.expr(f"shiftright(key, {KEY_BITS} - bits)")
     )
     totals = placed.groupBy("rank", "bucket").agg(F.sum("size").alias("in_bucket"))
-    before = F.sum("in_bucket").over(W.partitionBy("rank").orderBy("bucket")) - F.col("in_bucket")
-    starts = totals.select(F.col("rank").alias("r"), F.col("bucket").alias("b"), before.alias("start"))
+    totals = durable(totals.withColumn("shelf", F.expr(f"shiftright(bucket, {SHELF_BITS})")))
+    shelves = totals.groupBy("rank", "shelf").agg(F.sum("in_bucket").alias("in_shelf"))
+    shelf_start = F.sum("in_shelf").over(W.partitionBy("rank").orderBy("shelf")) - F.col("in_shelf")
+    shelves = shelves.select(F.col("rank").alias("r"), F.col("shelf").alias("h"), shelf_start.alias("shelf_start"))
+    before = F.sum("in_bucket").over(W.partitionBy("rank", "shelf").orderBy("bucket")) - F.col("in_bucket")
+    starts = totals.withColumn("before", before).join(shelves, (F.col("rank") == F.col("r")) & (F.col("shelf") == F.col("h")))
+    starts = starts.select(F.col("rank").alias("r"), F.col("bucket").alias("b"), (F.col("shelf_start") + F.col("before")).alias("start"))
     inner = W.partitionBy("rank", "bucket").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, 0)
     run = placed.withColumn("upto", F.sum("size").over(inner)).join(
         starts, (F.col("rank") == F.col("r")) & (F.col("bucket") == F.col("b"))
