@@ -11,7 +11,7 @@ from tessera.llm import html_text, substring_dedup
 from tessera.llm.decontaminate import contaminated
 from tessera.llm.decontaminate import words_of as words_of_text
 from tessera.llm.html_text import extract_text, main_text, window_regions
-from tessera.llm.language_id import identify_languages
+from tessera.llm.language_id import START, UNKNOWN, PieceModel, codes, identify_languages
 from tessera.llm.quality import FEATURES, Forest, boost, score_quality, statistics
 from tessera.llm.text import id_slice
 from tessera.llm.tokens import VOCABULARY, TokenCounter, count_tokens, load, whole_tokens
@@ -46,7 +46,7 @@ def test_language_id_on_held_out_rows(spark, no_docs):
     rng = random.Random(4)
     stems = {"aa": "ka ki ku sha tor men".split(), "bb": "ble qui zo wen ly drap".split(), "cc": "é ña oui vur gel ston".split()}
     rows = [(i, " ".join("".join(rng.choices(stems[g], k=3)) for _ in range(rng.randint(3, 30))), g) for i in range(300) for g in [rng.choice(list(stems))]]
-    rows += [(1000, None, "aa"), (1001, "", "aa"), (1002, "123 !?", "bb"), (1003, "kaki", None), (None, "kakisha", "aa"), (1004, "k" * 5000, "aa")]
+    rows += [(1000, None, "aa"), (1001, "", "aa"), (1002, "123 !?", "bb"), (1003, "kaki", None), (1005, "½ ²", "aa"), (1006, "Ⅷ ③ 12", "aa"), (None, "kakisha", "aa"), (1004, "k" * 5000, "aa")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = identify_languages(clashing(df.withColumnRenamed("score", "s")), ~id_slice("doc_id", 4, 2)).collect()
     assert len(got) == len(rows)
@@ -57,12 +57,38 @@ def test_language_id_on_held_out_rows(spark, no_docs):
     right = [r.lang_pred == want[r.doc_id] for r in got if r.doc_id in held]
     assert sum(right) / len(right) > 0.98
     odd = {r.doc_id: r for r in got}
-    assert all(odd[i].lang_pred == "und" and odd[i].score == 0 for i in (1000, 1001, 1002))
+    assert all(odd[i].lang_pred == "und" and odd[i].score == 0 for i in (1000, 1001, 1002, 1005, 1006))
     assert all(0 <= r.score <= 1 for r in got)
     assert identify_languages(no_docs, F.lit(True)).count() == 0
     assert {r.lang_pred for r in identify_languages(df, F.lit(False)).collect()} == {"und"}
 
 
+def test_words_sum_all_their_segmentations():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    pieces = [START, START + "k", START + "ka", "k", "a", "ka", "ki", "i", "aki", "kaki", "sh"]
+    model = PieceModel(["aa", "bb"], pieces)
+    table = {p: rng.random(2) / 20 for p in pieces}
+    order = [int(model.lookup(codes([p.removeprefix(START)])[0])[len(p) - 1][0, 0]) if p.startswith(START) else -1 for p in pieces]
+    for p, at in zip(pieces, order, strict=True):
+        if at < 0:
+            at = int(model.lookup(codes(["x" + p])[0])[len(p) - 1][0, 2])
+        model.p[at] = table[p]
+
+    def every(rest):
+        if not rest:
+            return np.ones(2)
+        total = np.zeros(2)
+        for k in range(1, len(rest) + 1):
+            p = table.get(rest[:k], np.zeros(2))
+            total = total + (np.maximum(p, UNKNOWN) if k == 1 else p) * every(rest[k:])
+        return total
+
+    words = ["k", "kaki", "kakika", "zz", "shaki", "akakiaki", "a"]
+    assert np.allclose(model.log_words(words), np.log([every(START + w) for w in words]))
+
+
 def test_quality_on_held_out_rows(spark, no_docs, prose_of):
     rng = random.Random(6)
     rows, marks = [], []
@@ -178,6 +204,17 @@ def test_extract_text_keeps_every_row(spark):
     assert extract_text(df.limit(0)).count() == 0
 
 
+def test_contaminated_takes_ids_of_any_type(spark, prose_of):
+    text = prose_of(random.Random(1), 30)
+    docs = spark.createDataFrame([(1, "intro " + text), (2, "other words of a text")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, text)], "n long, text string")
+    for kind in ("int", "smallint", "string", "double", "decimal(9,2)"):
+        got = contaminated(docs, items.selectExpr(f"cast(n as {kind}) as item_id", "text")).collect()
+        assert [(r.doc_id, float(r.item_id)) for r in got] == [(1, 7.0)]
+    got = contaminated(docs, items.selectExpr("date'2020-01-01' as item_id", "text"))
+    assert got.count() == 1 and dict(got.dtypes)["item_id"] == "date"
+
+
 def test_contaminated_documents_are_found(spark, no_docs, prose_of):
     rng = random.Random(8)
     items = [(i, prose_of(rng, n)) for i, n in enumerate([3, 5, 15, 20, 30, 40, 56])] + [(7, None), (8, ""), (9, "...")]
