@@ -31,7 +31,7 @@ def draws(clusters: DataFrame, group: Sequence[str], reps: int, seed: int) -> Da
     return slots.select(*group, "rep", (hash_int(F.lit(seed), "rep", "slot") % F.col("k")).cast("int").alias("i"))
 
 
-def bootstrap(df: DataFrame, group: Sequence[str], cluster: str, x: str, reps: int = 200, seed: int = 1729, pooled: bool = False) -> DataFrame:
+def bootstrap(df: DataFrame, group: Sequence[str], cluster: str, x: str, reps: int = 10_000, seed: int = 1729, pooled: bool = False) -> DataFrame:
     """``group, rep, value``: of each resample of clusters the mean of their means or, ``pooled``, of their rows."""
     c = cluster_sums(df, group, cluster, x)
     met = draws(c, group, reps, seed).join(c.select(*group, "i", "s", "n"), [*group, "i"])
@@ -56,24 +56,33 @@ def cluster_estimate(df: DataFrame, group: Sequence[str], cluster: str, x: str)
     return c.groupBy(*group).agg(F.count("*").alias("clusters"), F.sum("n").alias("rows"), (F.sum("s") / F.sum("n")).alias("pooled"), F.avg(F.col("s") / F.col("n")).alias("clustered"))
 
 
-def hierarchical_bootstrap(df: DataFrame, outer: str, inner: str, x: str, reps: int = 100, seed: int = 1729) -> DataFrame:
-    """``rep, value``: outer units are drawn, then as many inner units in each draw; mean of means at each level."""
-    cells = df.groupBy(F.col(outer).alias("o"), F.col(inner).alias("u")).agg(F.avg(x).alias("m"))
+def hierarchical_bootstrap(df: DataFrame, outer: str, inner: str, x: str, reps: int = 1_000, seed: int = 1729) -> DataFrame:
+    """``rep, value``: outer units are drawn, inner ones within each draw, and values within each of those; mean of means at each level.
+
+    The draws are replicates x rows, and are summed on the way. Each outer unit's rows are numbered in
+    windows of their own; only the outer units themselves are numbered in one task.
+    """
+    from tessera.functions.numbers import finite
+
+    rows = df.where(finite(F.col(x))).select(F.col(outer).alias("o"), F.col(inner).alias("u"), F.col(x).cast("double").alias("x"))
+    cell = W.partitionBy("o", "u")
+    rows = rows.withColumn("v", F.row_number().over(cell.orderBy("x")) - 1)
+    cells = rows.groupBy("o", "u").agg(F.count("*").alias("kv"))
     w = W.partitionBy("o")
     cells = cells.withColumn("j", F.row_number().over(w.orderBy("u")) - 1).withColumn("kj", F.count("*").over(w))
     outers = cells.groupBy("o").agg(F.first("kj").alias("kj"))
     outers = outers.withColumn("i", F.row_number().over(W.orderBy("o")) - 1).withColumn("k", F.count("*").over(W.partitionBy()))
-    first = draws(outers, [], reps, seed)
-    slots = outers.select("k", F.col("i").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    first = slots.select("rep", "slot", (hash_int(F.lit(seed), "rep", "slot") % F.col("k")).cast("int").alias("i"))
-    picked = first.join(outers.select("i", "o", "kj"), "i")
-    second = picked.withColumn("t", F.explode(F.sequence(F.lit(0), (F.col("kj") - 1).cast("int"))))
-    second = second.withColumn("j", (hash_int(F.lit(seed + 1), "rep", "slot", "t") % F.col("kj")).cast("int"))
-    met = second.join(cells.select("o", "j", "m"), ["o", "j"])
+    draw = lambda level, n, *at: (hash_int(F.lit(seed + level), "rep", *at) % F.col(n)).cast("int")
+    each = lambda n, name: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int"))).alias(name)
+    first = outers.select("k", F.col("i").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    first = first.select("rep", "slot", draw(0, "k", "slot").alias("i")).join(outers.select("i", "o", "kj"), "i")
+    second = first.select("rep", "slot", "o", "kj", each("kj", "t")).withColumn("j", draw(1, "kj", "slot", "t")).join(cells.select("o", "u", "j", "kv"), ["o", "j"])
+    third = second.select("rep", "slot", "t", "o", "u", "kv", each("kv", "z")).withColumn("v", draw(2, "kv", "slot", "t", "z"))
+    met = third.join(rows, ["o", "u", "v"]).groupBy("rep", "slot", "t").agg(F.avg("x").alias("m"))
     return met.groupBy("rep", "slot").agg(F.avg("m").alias("m")).groupBy("rep").agg(F.avg("m").alias("value"))
 
 
-def sign_flip_test(df: DataFrame, group: Sequence[str], cluster: str, x: str, null: float = 0.0, reps: int = 500, seed: int = 7) -> DataFrame:
+def sign_flip_test(df: DataFrame, group: Sequence[str], cluster: str, x: str, null: float = 0.0, reps: int = 10_000, seed: int = 7) -> DataFrame:
     """``group, clusters, mean, p_value``: two-sided, (as extreme + 1) / (reps + 1), over sign flips of cluster means less ``null``."""
     c = cluster_sums(df, group, cluster, x).withColumn("d", F.col("s") / F.col("n") - null)
     flips = c.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
@@ -100,15 +109,27 @@ def gate(checks: DataFrame, name: str, ok: str) -> DataFrame:
     return checks.agg((F.count_if(bad) == 0).alias("passed"), F.count_if(counts).alias("checks"), F.array_sort(F.collect_list(F.when(bad, F.col(name)))).alias("failed"))
 
 
-def within_between(df: DataFrame, group: str, within: str, text_set: Column, value_key: str) -> DataFrame:
-    """``group, within_distance, between_distance, ratio``: mean token Jaccard distance of pairs of the same and of different ``within``.
+def within_between(df: DataFrame, group: str, action: str, key: str, items: Column, least_ratio: float = 1.1) -> DataFrame:
+    """One row ``n_within, within_distance, n_between, between_distance, ratio, passed``: token distances of the responses of a group.
 
-    Pairs are of neighbours in key order only, so that their number is that of the rows.
+    Within are all pairs of a group's responses of one action; between are the pairs of two of its
+    actions at the same place in key order, as far as both go. Pairs grow with the square of one group's
+    responses of one action, which a panel holds to its number of seeds; groups meet by equi-joins only.
     """
-    w = W.partitionBy(group).orderBy(value_key)
-    r = df.withColumn("_s", text_set).withColumn("_t", F.lead("_s").over(w)).withColumn("_w", F.lead(within).over(w)).where("_t is not null")
-    union = F.size(F.array_union("_s", "_t"))
-    dist = F.when(union == 0, 0.0).otherwise(1 - F.size(F.array_intersect("_s", "_t")) / union)
-    same = F.col(within) == F.col("_w")
-    g = r.groupBy(group).agg(F.avg(F.when(same, dist)).alias("within_distance"), F.avg(F.when(~same, dist)).alias("between_distance"))
-    return g.withColumn("ratio", F.try_divide("between_distance", "within_distance"))
+    from tessera.functions.text import jaccard_distance
+
+    w = W.partitionBy("g", "a").orderBy("k")
+    r = df.select(F.col(group).alias("g"), F.col(action).alias("a"), F.col(key).alias("k"), items.alias("s")).where("a is not null")
+    r = r.withColumn("i", F.row_number().over(w))
+    other = r.select(*[F.col(c).alias(f"{c}2") for c in ("g", "a", "i", "s")])
+    same = F.col("g").eqNullSafe(F.col("g2"))
+    within = r.join(other, same & (F.col("a") == F.col("a2")) & (F.col("i") < F.col("i2"))).select(F.lit(True).alias("w"), jaccard_distance(F.col("s"), F.col("s2")).alias("d"))
+    between = r.join(other, same & (F.col("i") == F.col("i2")) & (F.col("a") < F.col("a2"))).select(F.lit(False).alias("w"), jaccard_distance(F.col("s"), F.col("s2")).alias("d"))
+    out = within.unionByName(between).agg(
+        F.count_if(F.col("w")).alias("n_within"),
+        F.avg(F.when(F.col("w"), F.col("d"))).alias("within_distance"),
+        F.count_if(~F.col("w")).alias("n_between"),
+        F.avg(F.when(~F.col("w"), F.col("d"))).alias("between_distance"),
+    )
+    out = out.withColumn("ratio", F.try_divide("between_distance", "within_distance"))
+    return out.withColumn("passed", F.coalesce(F.col("ratio") > least_ratio, F.lit(False)))

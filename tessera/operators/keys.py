@@ -133,9 +133,14 @@ def opaque_ids(df: DataFrame, group: Sequence[str], order: Sequence[str], prefix
 
 
 def forbidden_fields(df: DataFrame, json_col: str, id_col: str, tokens: Sequence[str]) -> DataFrame:
-    """``id_col, field``: keys of a JSON object, at any depth that ``map<string,string>`` reaches, with a forbidden token in the name."""
-    keys = F.explode(F.map_keys(F.from_json(json_col, "map<string,string>")))
-    return df.select(id_col, keys.alias("field")).where(F.lower("field").rlike("|".join(tokens)))
+    """``id_col, field``: keys of a JSON object, at any depth, with a forbidden token in the name.
+
+    Strings are read from left to right, so that text in a value is no key, and those before a colon kept.
+    """
+    strings = F.regexp_extract_all(json_col, F.lit(r'"(?:[^"\\]|\\.)*"\s*:?'), F.lit(0))
+    names = F.transform(F.filter(strings, lambda s: s.endswith(":")), lambda s: F.regexp_extract(s, r'^"(.*)"\s*:$', 1))
+    hit = F.filter(names, lambda s: F.lower(s).rlike("|".join(tokens)))
+    return df.select(id_col, F.explode(hit).alias("field"))
 
 
 def schema_fields(df: DataFrame, tokens: Sequence[str]) -> list[str]:
@@ -154,3 +159,32 @@ def schema_fields(df: DataFrame, tokens: Sequence[str]) -> list[str]:
 
     walk(df.schema, "")
     return out
+
+
+def cardinalities(counts: dict[str, tuple[DataFrame, int]]) -> DataFrame:
+    """``name, n, expected, ok``: numbers of rows against what is expected of them."""
+    out = None
+    for name, (df, expected) in counts.items():
+        row = df.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.lit(expected).cast("long").alias("expected")).withColumn("ok", F.col("n") == F.col("expected"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def require_cardinalities(counts: dict[str, tuple[DataFrame, int]]) -> None:
+    """Raise unless all numbers are as expected."""
+    if bad := cardinalities(counts).where("not ok").collect():
+        raise CheckFailed("; ".join(f"{r['name']}: {r.n} instead of {r.expected}" for r in bad))
+
+
+def shared_families(roles: DataFrame, role: str, family: str) -> DataFrame:
+    """``role_a, role_b, family``: pairs of roles that are of one family, where each should be of its own; roles are few."""
+    r = roles.where(F.col(family).isNotNull()).select(F.col(role).alias("role_a"), F.lower(F.trim(family)).alias("family")).distinct()
+    return r.join(r.select(F.col("role_a").alias("role_b"), "family"), "family").where("role_a < role_b").select("role_a", "role_b", "family")
+
+
+def require_independent(roles: DataFrame, role: str, family: str) -> None:
+    """Raise if two roles share a family, or a role has none."""
+    if roles.where(F.col(family).isNull() | (F.trim(family) == "")).count():
+        raise CheckFailed("a role without a family")
+    if bad := shared_families(roles, role, family).limit(5).collect():
+        raise CheckFailed("; ".join(f"{r.role_a} and {r.role_b} share {r.family}" for r in bad))

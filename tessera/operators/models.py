@@ -66,18 +66,18 @@ def ridge_metrics(df: DataFrame, group: str, features: Sequence[str], targets: S
     return out
 
 
-def bootstrap_predictions(df: DataFrame, group: str, features: Sequence[str], target: str, members: int = 7, seed: int = 17) -> DataFrame:
+def bootstrap_predictions(df: DataFrame, group: str, features: Sequence[str], target: str, members: int = 7, seed: int = 17, trees: int = 8, weight: str | None = None) -> DataFrame:
     """``group, action_id, mean, std`` (population) over trees boosted on group bootstraps.
 
     A group's multiplicity in a member is Poisson(1), by a hash of member, seed and group: the usual limit
-    of drawing with replacement, which needs no list of all groups.
+    of drawing with replacement, which needs no list of all groups. Rows of no ``weight`` are predicted only.
     """
-    x = VectorAssembler(inputCols=list(features), outputCol="x").transform(df)
+    x = VectorAssembler(inputCols=list(features), outputCol="_v").transform(df)
     preds = []
     for m in range(members):
         u = hash_int(F.lit(seed), F.lit(m), group) / float(1 << 32)
         times = F.when(u < 0.36788, 0.0).when(u < 0.73576, 1.0).when(u < 0.91970, 2.0).when(u < 0.98101, 3.0).otherwise(4.0)
-        model = GBTRegressor(featuresCol="x", labelCol=target, weightCol="_w", maxIter=8, maxDepth=3, seed=seed, predictionCol=f"_p{m}").fit(x.withColumn("_w", times).where("_w > 0"))
+        model = GBTRegressor(featuresCol="_v", labelCol=target, weightCol="_w", maxIter=trees, maxDepth=3, seed=seed + m, predictionCol=f"_p{m}").fit(x.withColumn("_w", times * (F.col(weight) if weight else 1.0)).where("_w > 0"))
         x = model.transform(x)
         preds.append(f"_p{m}")
     mean = sum((F.col(p) for p in preds[1:]), F.col(preds[0])) / members

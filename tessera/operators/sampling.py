@@ -75,25 +75,57 @@ def blinded(df: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
     return top.withColumn("swap", swap).withColumn("position", F.row_number().over(W.orderBy("pair_code")).cast("long"))
 
 
+def fold_turns(classes: Sequence[tuple[int, int]], k: int) -> list[tuple[int, list[tuple[int, list[int]]]]]:
+    """For classes ``(size, number of groups)``, largest size first: ``size`` and runs ``(first rank, folds in turn)``.
+
+    Each group goes to the lightest fold, then the first. While the lightest folds are within one group
+    of each other they take turns; so a class has some k runs, whatever its number of groups.
+    """
+    loads = [0] * k
+    out = []
+    for size, n in classes:
+        runs, rank = [], 0
+        while rank < n:
+            order = sorted(range(k), key=lambda f: (loads[f], f))
+            turn = [f for f in order if loads[f] < loads[order[0]] + size]
+            rounds = (n - rank) // len(turn)
+            if len(turn) < k:
+                rounds = min(rounds, (loads[order[len(turn)]] - loads[order[0]]) // size)
+            runs.append((rank, turn))
+            if not rounds:
+                turn = turn[: n - rank]
+            for f in turn:
+                loads[f] += max(1, rounds) * size
+            rank += max(1, rounds) * len(turn)
+        out.append((size, runs))
+    return out
+
+
 def grouped_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
     """``group, size, fold``: the largest group first (then by name), each to the lightest fold (then the first).
 
-    The choice depends on all before, so it is made in one task over the group sizes; the rows are not moved.
+    Which folds take turns follows from how many groups there are of each size; the driver gets these
+    counts, of which there are at most the square root of twice the rows. Groups are ranked within
+    their size by range partitions and their counts, so no task holds all. Fewer than two groups fail.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("size"))
-    kind = dict(sizes.dtypes)[group]
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", group], ascending=[False, True])
-        load = [0] * min(k, len(pdf))
-        folds = []
-        for size in pdf["size"]:
-            at = load.index(min(load))
-            load[at] += size
-            folds.append(at)
-        return pdf.assign(fold=folds)[[group, "size", "fold"]]
-
-    return sizes.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(assign, f"`{group}` {kind}, size long, fold long")
+    from tessera.operators.keys import CheckFailed
+    from tessera.session import durable
+
+    sizes = df.groupBy(F.col(group).alias("g")).agg(F.count("*").alias("size"))
+    rows = durable(sizes.repartitionByRange(F.col("size").desc(), F.col("g")).withColumn("p", F.spark_partition_id()))
+    places = durable(rows.groupBy("size", "p").agg(F.count("*").alias("n")))
+    classes = [(r["size"], r["n"]) for r in places.groupBy("size").agg(F.sum("n").alias("n")).orderBy(F.col("size").desc()).collect()]
+    if classes and sum(n for _, n in classes) < 2:
+        raise CheckFailed(f"{group}: fewer than two groups")
+    runs = [(s, [(a, f) for a, f in r]) for s, r in fold_turns(classes, k)]
+    turns = df.sparkSession.createDataFrame(runs, "s long, runs array<struct<first: long, folds: array<long>>>")
+    starts = places.select(F.col("size").alias("s2"), F.col("p").alias("q"), (F.sum("n").over(W.partitionBy("size").orderBy("p")) - F.col("n")).alias("start"))
+    ranked = rows.withColumn("i", F.row_number().over(W.partitionBy("size", "p").orderBy("g")) - 1)
+    ranked = ranked.join(starts, (F.col("size") == F.col("s2")) & (F.col("p") == F.col("q"))).withColumn("rank", F.col("start") + F.col("i"))
+    met = ranked.join(F.broadcast(turns), F.col("size") == F.col("s"))
+    run = F.element_at(F.filter("runs", lambda r: r["first"] <= F.col("rank")), -1)
+    at = (F.pmod(F.col("rank") - run["first"], F.size(run["folds"])) + 1).cast("int")
+    return met.select(F.col("g").alias(group), "size", F.element_at(run["folds"], at).alias("fold"))
 
 
 def greedy_strata(df: DataFrame, key: str, scenario: str, stratum: str, priority: str, quota: int, total: int) -> DataFrame:

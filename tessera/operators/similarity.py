@@ -100,10 +100,15 @@ def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return tf.withColumn("norm", F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(W.partitionBy("id"))))
 
 
-def lexical_scores(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """``q, d, score``: cosine of raw term counts of all pairs that share a term (others score 0), from two ``term_counts``."""
+def lexical_scores(queries: DataFrame, items: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
+    """``q, d, score``: cosine of raw term counts of all pairs that share a term (others score 0), from two ``term_counts``.
+
+    The items' rows are broadcast if there are at most ``broadcast_rows``, so that a term that many queries
+    have is no hot key; beyond that the join is shuffled, and adaptive execution splits such terms.
+    """
     q = queries.select(F.col("id").alias("q"), "term", F.col("tf").alias("qt"), F.col("norm").alias("qn"))
-    i = items.select(F.col("id").alias("d"), "term", F.col("tf").alias("dt"), F.col("norm").alias("dn"))
+    i = durable(items.select(F.col("id").alias("d"), "term", F.col("tf").alias("dt"), F.col("norm").alias("dn")))
+    i = F.broadcast(i) if i.count() <= broadcast_rows else i
     met = q.join(i, "term").groupBy("q", "d", "qn", "dn").agg(F.sum(F.col("qt") * F.col("dt")).alias("dot"))
     return met.select("q", "d", (F.col("dot") / (F.col("qn") * F.col("dn"))).alias("score"))
 
@@ -113,3 +118,40 @@ def top_k(scored: DataFrame, k: int, q: str = "q", d: str = "d", score: str = "s
     s = scored.withColumn(score, F.round(score, places))
     r = F.row_number().over(W.partitionBy(q).orderBy(F.col(score).desc(), F.col(d).desc()))
     return s.withColumn("rank", r.cast("long")).where(F.col("rank") <= k)
+
+
+def retrieve(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """``q, d, score, rank``: for each of ``queries`` (``id, text``) the ``k`` best of ``items`` (``id, text``), those of score 0 too.
+
+    A query always gets the smaller of k and the number of items. What shares no term with it comes
+    last, in descending order of ids: of those only the 2k - 1 greatest can be needed, a list of fixed
+    size that is added to each query's scored items.
+    """
+    scored = lexical_scores(term_counts(queries, "id", "text"), term_counts(items, "id", "text"))
+    last = [r[0] for r in items.select("id").distinct().orderBy(F.col("id").desc()).limit(2 * k - 1).collect()]
+    if not last:
+        return top_k(scored, k)
+    fill = queries.select(F.col("id").alias("q")).distinct().select("q", F.explode(F.array(*map(F.lit, last))).alias("d"), F.lit(0.0).alias("score"))
+    return top_k(scored.unionByName(fill).groupBy("q", "d").agg(F.max("score").alias("score")), k)
+
+
+def retrieve_by_source(queries: DataFrame, items: DataFrame, scope: str, most: dict[str, int]) -> DataFrame:
+    """``q, source, d, created_session, score, rank``: of each source the best items of the query's scope that are older than it.
+
+    ``queries`` have ``id, created_session, text`` and the scope, ``items`` the same and ``source``. Each source
+    gives as many as ``most`` says, or all it has; ties go to the later session, then to the greater id.
+    A scope (a dialogue, a user) is small, and its queries and items meet by an equi-join.
+    """
+    words = F.split(normalize_for_hash(F.col("text")), " ")
+    counted = F.transform(F.array_distinct(words), lambda t: F.struct(t.alias("t"), F.size(F.filter(words, lambda x: x == t)).alias("n")))
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x["n"] * x["n"]))
+    side = lambda df, *cols: df.withColumn("c", F.filter(counted, lambda x: x["t"] != "")).select(scope, *cols, "c")
+    q = side(queries, F.col("id").alias("q"), F.col("created_session").alias("at"))
+    i = side(items, F.col("id").alias("d"), "source", "created_session").withColumnRenamed("c", "e")
+    met = q.join(i, scope).where(F.col("created_session") < F.col("at"))
+    dot = F.aggregate("c", F.lit(0.0), lambda a, x: a + x["n"] * F.coalesce(F.get(F.filter("e", lambda y: y["t"] == x["t"]), 0)["n"], F.lit(0)))
+    score = F.round(F.coalesce(F.try_divide(dot, norm(F.col("c")) * norm(F.col("e"))), F.lit(0.0)), 9)
+    r = F.row_number().over(W.partitionBy("q", "source").orderBy(F.col("score").desc(), F.col("created_session").desc(), F.col("d").desc()))
+    ranked = met.select("q", "source", "d", "created_session", score.alias("score")).withColumn("rank", r.cast("long"))
+    limit = F.create_map(*[x for s, n in most.items() for x in (F.lit(s), F.lit(n))])
+    return ranked.where(F.col("rank") <= limit[F.col("source")])

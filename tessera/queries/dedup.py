@@ -57,9 +57,37 @@ def _retrieved(spark: SparkSession, d: str) -> DataFrame:
     return similarity.lexical_scores(similarity.term_counts(turns, "q", "text"), similarity.term_counts(table(spark, d, "benchmark"), "item_id", "text"))
 
 
-@Q.query(f"WITH {_SCORES} SELECT q, d, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, d DESC) AS rank FROM sc QUALIFY rank <= 3")
+@Q.query(f"""
+    WITH {_SCORES}, u AS (SELECT conv_id * 100 + turn AS q FROM conversations WHERE role = 'user'),
+    a AS (SELECT u.q, b.item_id AS d, coalesce(sc.score, 0) AS score FROM u CROSS JOIN benchmark b LEFT JOIN sc ON sc.q = u.q AND sc.d = b.item_id)
+    SELECT q, d, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, d DESC) AS rank FROM a QUALIFY rank <= 3
+""")
 def retrieval_top_k(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.top_k(_retrieved(spark, d), 3)
+    """Every user turn gets three items, also where it shares a term with fewer."""
+    turns = table(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
+    return similarity.retrieve(turns, table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"), 3)
+
+
+@Q.query("""
+    WITH t AS (SELECT conv_id, turn, role, CASE role WHEN 'user' THEN 'MP' WHEN 'system' THEN 'MS' ELSE 'ME' END AS source,
+                      regexp_extract_all(lower(coalesce(text, '')), '[A-Za-z0-9'']+') AS w FROM conversations),
+    n AS (SELECT conv_id, turn, term, count(*) AS tf FROM (SELECT conv_id, turn, unnest(w) AS term FROM t) GROUP BY 1, 2, 3),
+    l AS (SELECT conv_id, turn, sqrt(sum(tf * tf)) AS norm FROM n GROUP BY 1, 2),
+    k AS (SELECT a.conv_id, a.turn AS q, b.turn AS d, sum(a.tf * b.tf) AS dot FROM n a JOIN n b ON a.conv_id = b.conv_id AND a.term = b.term AND b.turn < a.turn GROUP BY 1, 2, 3),
+    s AS (SELECT x.conv_id, x.turn, y.source, y.turn AS item, round(coalesce(k.dot / (lx.norm * ly.norm), 0), 9) AS score
+          FROM t x JOIN t y ON x.conv_id = y.conv_id AND y.turn < x.turn AND x.role = 'user' LEFT JOIN k ON k.conv_id = x.conv_id AND k.q = x.turn AND k.d = y.turn
+          LEFT JOIN l lx ON lx.conv_id = x.conv_id AND lx.turn = x.turn LEFT JOIN l ly ON ly.conv_id = y.conv_id AND ly.turn = y.turn)
+    SELECT conv_id, turn, source, item, score, row_number() OVER (PARTITION BY conv_id, turn, source ORDER BY score DESC, item DESC) AS rank FROM s
+    QUALIFY rank <= CASE source WHEN 'ME' THEN 3 ELSE 2 END
+""")
+def memory_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """For each user turn the best two or three earlier turns of each source."""
+    from tessera.plans.states import SOURCE_OF
+
+    names = F.create_map(*[x for r, s in SOURCE_OF.items() for x in (F.lit(r), F.lit(s))])
+    t = table(spark, d, "conversations").select("conv_id", F.struct("conv_id", "turn").alias("id"), F.col("turn").alias("created_session"), "role", "text", names[F.col("role")].alias("source"))
+    got = similarity.retrieve_by_source(t.where("role = 'user'"), t, "conv_id", {"MP": 2, "MS": 2, "ME": 3})
+    return got.select("q.conv_id", "q.turn", "source", F.col("created_session").alias("item"), "score", "rank")
 
 
 @Q.query(f"WITH {_SCORES}, m AS (SELECT q, max(score) AS confidence FROM sc GROUP BY 1) SELECT conv_id * 100 + turn AS q, coalesce(confidence, 0) AS confidence FROM conversations LEFT JOIN m ON q = conv_id * 100 + turn WHERE role = 'user'")
@@ -111,9 +139,15 @@ def blinded_pairs(spark: SparkSession, d: str) -> DataFrame:
     return sampling.blinded(table(spark, d, "conversations").select("conv_id", "turn"), 60, ["conv_id", "turn"])
 
 
-@Q.query()
+@Q.query("""
+    WITH RECURSIVE s AS (SELECT user_id, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, user_id) AS i FROM events GROUP BY 1),
+    f AS (SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS loads, 0::BIGINT AS fold
+          UNION ALL SELECT i, [CASE WHEN j = pos THEN loads[j] + size ELSE loads[j] END FOR j IN range(1, 6)], pos - 1
+          FROM (SELECT s.i, s.size, f.loads, list_position(f.loads, list_min(f.loads))::BIGINT AS pos FROM f JOIN s ON s.i = f.i + 1))
+    SELECT user_id, size, fold FROM s JOIN f USING (i)
+""")
 def grouped_folds(spark: SparkSession, d: str) -> DataFrame:
-    """No SQL: groups go, largest first, to the lightest of five folds."""
+    """Groups go, largest first, to the lightest of five folds."""
     return sampling.grouped_folds(table(spark, d, "events"), "user_id", 5)
 
 

@@ -33,7 +33,7 @@ def cluster_estimates(spark: SparkSession, d: str) -> DataFrame:
 
 
 @Q.query(f"""
-    WITH {_CLUSTERS}, {_draw('1729', 200)}, v AS (SELECT rep, avg(s / n) AS value FROM d JOIN c USING (i) GROUP BY 1)
+    WITH {_CLUSTERS}, {_draw('1729', 10000)}, v AS (SELECT rep, avg(s / n) AS value FROM d JOIN c USING (i) GROUP BY 1)
     SELECT 'all' AS g, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high FROM v
 """)
 def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
@@ -41,7 +41,7 @@ def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 
 @Q.query(f"""
-    WITH {_CLUSTERS}, {_draw('1729', 200)}, v AS (SELECT rep, sum(s) / sum(n) AS value FROM d JOIN c USING (i) GROUP BY 1),
+    WITH {_CLUSTERS}, {_draw('1729', 10000)}, v AS (SELECT rep, sum(s) / sum(n) AS value FROM d JOIN c USING (i) GROUP BY 1),
     r AS (SELECT value, row_number() OVER (ORDER BY value, rep) - 1 AS r, count(*) OVER () AS n FROM v)
     SELECT 'all' AS g, round(max(CASE WHEN r = floor(n * 0.025::DOUBLE) THEN value END), 6) AS low, round(max(CASE WHEN r = floor(n * 0.975::DOUBLE) THEN value END), 6) AS high FROM r
 """)
@@ -51,20 +51,23 @@ def pooled_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 
 @Q.query(f"""
-    WITH {_CLUSTERS}, f AS (SELECT rep, avg(CASE WHEN ('0x' || substr(md5('7' || chr(31) || rep || chr(31) || i), 1, 8))::BIGINT % 2 = 0 THEN s / n ELSE -s / n END) AS f, avg(s / n) AS t, any_value(k) AS k FROM c, range(500) r(rep) GROUP BY 1)
-    SELECT 'all' AS g, any_value(k) AS clusters, round(any_value(t), 6) AS mean, round((count(*) FILTER (abs(f) >= abs(t) - 1e-12) + 1) / 501, 9) AS p_value FROM f
+    WITH {_CLUSTERS}, f AS (SELECT rep, avg(CASE WHEN ('0x' || substr(md5('7' || chr(31) || rep || chr(31) || i), 1, 8))::BIGINT % 2 = 0 THEN s / n ELSE -s / n END) AS f, avg(s / n) AS t, any_value(k) AS k FROM c, range(10000) r(rep) GROUP BY 1)
+    SELECT 'all' AS g, any_value(k) AS clusters, round(any_value(t), 6) AS mean, round((count(*) FILTER (abs(f) >= abs(t) - 1e-12) + 1) / 10001, 9) AS p_value FROM f
 """)
 def sign_flip_test(spark: SparkSession, d: str) -> DataFrame:
     return rounded(inf.sign_flip_test(deltas(spark, d), ["g"], "user_id", "delta"), 9).withColumn("mean", F.round("mean", 6))
 
 
 @Q.query(f"""
-    WITH {_PAIRS}, cells AS (SELECT user_id AS o, day % 4 AS u, avg(delta) AS m FROM (SELECT user_id, day(day) AS day, delta FROM pairs) GROUP BY 1, 2),
-    j AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY u) - 1 AS j, count(*) OVER (PARTITION BY o) AS kj FROM cells),
+    WITH {_PAIRS}, vals AS (SELECT user_id AS o, day(day) % 4 AS u, delta AS x, row_number() OVER (PARTITION BY user_id, day(day) % 4 ORDER BY delta) - 1 AS v FROM pairs),
+    j AS (SELECT o, u, count(*) AS kv, row_number() OVER (PARTITION BY o ORDER BY u) - 1 AS j, count(*) OVER (PARTITION BY o) AS kj FROM vals GROUP BY 1, 2),
     os AS (SELECT o, kj, row_number() OVER (ORDER BY o) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT o, kj FROM j)),
-    a AS (SELECT rep, os.i AS slot, ('0x' || substr(md5('1729' || chr(31) || rep || chr(31) || os.i), 1, 8))::BIGINT % k AS i FROM os, range(100) r(rep)),
+    a AS (SELECT rep, os.i AS slot, ('0x' || substr(md5('1729' || chr(31) || rep || chr(31) || os.i), 1, 8))::BIGINT % k AS i FROM os, range(1000) r(rep)),
     b AS (SELECT rep, slot, o, kj, t, ('0x' || substr(md5('1730' || chr(31) || rep || chr(31) || slot || chr(31) || t), 1, 8))::BIGINT % kj AS j FROM a JOIN os USING (i), range(4) x(t) WHERE t < kj),
-    v AS (SELECT rep, avg(m) AS value FROM (SELECT rep, slot, avg(j.m) AS m FROM b JOIN j ON j.o = b.o AND j.j = b.j GROUP BY 1, 2) GROUP BY 1)
+    c AS (SELECT rep, slot, t, o, u, ('0x' || substr(md5('1731' || chr(31) || rep || chr(31) || slot || chr(31) || t || chr(31) || z), 1, 8))::BIGINT % kv AS v
+          FROM (SELECT rep, slot, t, o, u, kv, unnest(range(kv)) AS z FROM b JOIN j USING (o, j))),
+    m AS (SELECT rep, slot, avg(m) AS m FROM (SELECT rep, slot, t, avg(x) AS m FROM c JOIN vals USING (o, u, v) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    v AS (SELECT rep, avg(m) AS value FROM m GROUP BY 1)
     SELECT round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, round(avg(value), 6) AS mean FROM v
 """)
 def hierarchical_bootstrap(spark: SparkSession, d: str) -> DataFrame:
@@ -75,7 +78,7 @@ def hierarchical_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 @Q.query(f"""
     WITH {VERDICTS_SQL}, p AS (SELECT user_id, CASE label WHEN 'A' THEN 0.5 WHEN 'B' THEN -0.5 ELSE 0 END::DOUBLE AS delta FROM verdicts WHERE "order" = 'AB'),
-    c AS (SELECT user_id AS cluster, sum(delta) AS s, count(*) AS n, row_number() OVER (ORDER BY user_id) - 1 AS i, count(*) OVER () AS k FROM p GROUP BY 1), {_draw('1729', 200)},
+    c AS (SELECT user_id AS cluster, sum(delta) AS s, count(*) AS n, row_number() OVER (ORDER BY user_id) - 1 AS i, count(*) OVER () AS k FROM p GROUP BY 1), {_draw('1729', 10000)},
     v AS (SELECT rep, avg(s / n) AS value FROM d JOIN c USING (i) GROUP BY 1), q AS (SELECT quantile_cont(value, 0.025) AS low, quantile_cont(value, 0.975) AS high FROM v)
     SELECT 'all' AS g, round(low, 6) AS low, round(high, 6) AS high, low > 0 AS superior, low > -0.05 AS non_inferior, low >= -0.05 AS at_margin, high < 0 AS inferior FROM q
 """)
@@ -204,14 +207,16 @@ def rouge_l(spark: SparkSession, d: str) -> DataFrame:
 
 
 @Q.query("""
-    WITH r AS (SELECT source, lang, doc_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[A-Za-z0-9'']+')) AS s FROM documents),
-    n AS (SELECT source, lang, s, lead(lang) OVER w AS l2, lead(s) OVER w AS t FROM r WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
-    d AS (SELECT source, lang = l2 AS same, CASE WHEN len(list_distinct(list_concat(s, t))) = 0 THEN 0 ELSE 1 - len(list_intersect(s, t)) / len(list_distinct(list_concat(s, t))) END AS d FROM n WHERE t IS NOT NULL)
-    SELECT source, round(avg(d) FILTER (same), 6) AS within_distance, round(avg(d) FILTER (NOT same), 6) AS between_distance, round(avg(d) FILTER (NOT same) / nullif(avg(d) FILTER (same), 0), 6) AS ratio FROM d GROUP BY 1
+    WITH r AS (SELECT conv_id AS g, role AS a, turn, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[A-Za-z0-9'']+')) AS s, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS i FROM conversations),
+    p AS (SELECT true AS w, x.s AS s, y.s AS t FROM r x, r y WHERE x.g = y.g AND x.a = y.a AND x.turn < y.turn
+          UNION ALL SELECT false, x.s, y.s FROM r x, r y WHERE x.g = y.g AND x.a < y.a AND x.i = y.i),
+    d AS (SELECT w, CASE WHEN len(s) + len(t) = 0 THEN 0 ELSE 1 - len(list_intersect(s, t)) / (len(s) + len(t) - len(list_intersect(s, t))) END AS d FROM p),
+    m AS (SELECT count(*) FILTER (w) AS n_within, avg(d) FILTER (w) AS wd, count(*) FILTER (NOT w) AS n_between, avg(d) FILTER (NOT w) AS bd FROM d)
+    SELECT n_within, round(wd, 6) AS within_distance, n_between, round(bd, 6) AS between_distance, round(bd / nullif(wd, 0), 6) AS ratio, coalesce(bd / nullif(wd, 0) > 1.1::DOUBLE, false) AS passed FROM m
 """)
 def variance_diagnostic(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "text")
-    return rounded(inf.within_between(docs, "source", "lang", token_set(F.col("text")), "doc_id"))
+    """Turns of a dialogue stand for the responses of a card, their roles for its actions."""
+    return rounded(inf.within_between(table(spark, d, "conversations"), "conv_id", "role", "turn", token_set(F.col("text"))))
 
 
 @Q.query("""

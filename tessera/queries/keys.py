@@ -108,10 +108,14 @@ def context_signatures(spark: SparkSession, d: str) -> DataFrame:
 
 
 @Q.query("""
-    SELECT event_id, unnest(json_keys(props)) AS field FROM events
+    SELECT event_id, 'gold_label' AS field FROM events WHERE value > 90 UNION ALL SELECT event_id, 'oracle_answer' FROM events WHERE event_type = 'purchase' AND user_id % 7 = 0
 """)
 def forbidden_fields(spark: SparkSession, d: str) -> DataFrame:
-    return keys.forbidden_fields(table(spark, d, "events"), "props", "event_id", ["k", "gold", "oracle"])
+    """Objects of which some hold what only an evaluator may see, one of them in a nested object."""
+    inner = F.struct(F.col("event_type").alias("kind"), F.when(F.col("value") > 90, F.col("value")).alias("gold_label"))
+    answer = F.when((F.col("event_type") == "purchase") & (F.col("user_id") % 7 == 0), F.col("props"))
+    e = table(spark, d, "events").withColumn("o", F.to_json(F.struct("user_id", inner.alias("judge"), answer.alias("oracle_answer"))))
+    return keys.forbidden_fields(e, "o", "event_id", ["gold", "oracle"])
 
 
 @Q.query("""

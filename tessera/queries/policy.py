@@ -196,7 +196,7 @@ def ridge_heads(spark: SparkSession, d: str) -> DataFrame:
 @Q.query()
 def bootstrap_trees(spark: SparkSession, d: str) -> DataFrame:
     """No SQL: an ensemble over group bootstraps; mean and deviation of its members."""
-    return models.bootstrap_predictions(facts(spark, d), "card_id", ["cost", "misuse"], "response", members=3)
+    return models.bootstrap_predictions(facts(spark, d), "card_id", ["cost", "misuse"], "response")
 
 
 @Q.query("""
@@ -233,7 +233,7 @@ def audit_picks(spark: SparkSession, d: str) -> DataFrame:
 @Q.query(f"""
     WITH {_F}, a AS (SELECT card_id % 12 AS cluster, response - 0.5 AS d FROM f QUALIFY row_number() OVER (PARTITION BY card_id ORDER BY cost, misuse, omission, response DESC, action_id) = 1),
     c AS (SELECT cluster, sum(d) AS s, count(*) AS n, row_number() OVER (ORDER BY cluster) - 1 AS i, count(*) OVER () AS k FROM a GROUP BY 1),
-    w AS (SELECT rep, ('0x' || substr(md5('1729' || chr(31) || rep || chr(31) || i), 1, 8))::BIGINT % k AS i FROM c, range(200) r(rep)), v AS (SELECT rep, avg(s / n) AS value FROM w JOIN c USING (i) GROUP BY 1)
+    w AS (SELECT rep, ('0x' || substr(md5('1729' || chr(31) || rep || chr(31) || i), 1, 8))::BIGINT % k AS i FROM c, range(10000) r(rep)), v AS (SELECT rep, avg(s / n) AS value FROM w JOIN c USING (i) GROUP BY 1)
     SELECT 'cheapest' AS policy, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high FROM v
 """)
 def selection_interval(spark: SparkSession, d: str) -> DataFrame:

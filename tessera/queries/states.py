@@ -173,7 +173,7 @@ def bounded_grid(spark: SparkSession, d: str) -> DataFrame:
 def stream_daily_means(spark: SparkSession, d: str) -> DataFrame:
     """A stream over the events, drained; the windows of complete mode are those of a batch."""
     s = stream.windowed_means(stream.event_stream(spark, f"{d}/events.parquet*"))
-    out = stream.drained(s, f"daily_{uuid.uuid4().hex}", _checkpoint(spark), "complete")
+    out = stream.drained(s, *_folders(spark), "complete")
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n", F.round("mean", 6).alias("mean"))
 
 
@@ -181,15 +181,22 @@ def stream_daily_means(spark: SparkSession, d: str) -> DataFrame:
 def stream_first_seen(spark: SparkSession, d: str) -> DataFrame:
     """Two copies of the stream of events, each event once."""
     e = stream.event_stream(spark, f"{d}/events.parquet*")
-    out = stream.drained(stream.first_seen(e.unionByName(stream.event_stream(spark, f"{d}/events.parquet*"))), f"seen_{uuid.uuid4().hex}", _checkpoint(spark))
+    out = stream.drained(stream.first_seen(e.unionByName(stream.event_stream(spark, f"{d}/events.parquet*"))), *_folders(spark))
     return out.agg(F.count("*").alias("events"), F.count_distinct("event_id").alias("ids"))
 
 
-@Q.query()
+@Q.query("""
+    WITH g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS begins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS n, round(sum(value), 6) AS total
+    FROM s GROUP BY user_id, s HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)
+""")
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """No SQL: the sessions that the watermark has closed."""
+    """The sessions that the watermark has closed."""
     s = stream.sessions(stream.event_stream(spark, f"{d}/events.parquet*"))
-    return stream.drained(s, f"sessions_{uuid.uuid4().hex}", _checkpoint(spark))
+    out = stream.drained(s, *_folders(spark))
+    shown = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("start", "end")]
+    return out.select("user_id", *shown, "n", F.round("total", 6).alias("total"))
 
 
 @Q.query()
@@ -198,11 +205,13 @@ def file_manifest(spark: SparkSession, d: str) -> DataFrame:
     return digest(manifest(spark, d))
 
 
-def _checkpoint(spark: SparkSession) -> str:
+def _folders(spark: SparkSession) -> tuple[str, str]:
+    """A table and a checkpoint for a stream, in the shared folder."""
     from tessera.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()}/streams/{uuid.uuid4().hex}"
+    base = f"{spark.sparkContext.getCheckpointDir()}/streams/{uuid.uuid4().hex}"
+    return f"{base}/table", f"{base}/checkpoint"
 
 
 @Q.query("""

@@ -13,7 +13,7 @@ from tessera.operators.keys import CheckFailed
 
 
 def manifest(spark: SparkSession, root: str, exclude: str = r"/(?:__pycache__|\.[^/]*|_[^/]*)(?:/|$)") -> DataFrame:
-    """``path, bytes, sha256`` of every file below ``root``, relative to it. Hashes are taken where the files are read."""
+    """``path, bytes, sha256`` of every file below ``root``, relative to it. Hashes are taken where the files are read; Spark reads files of up to 2 GB so."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = F.regexp_replace(F.lit(root), r"^\w+:/*|^/+|/+$", "")
     path = F.regexp_replace("path", r"^\w+:/*", "")
@@ -23,9 +23,18 @@ def manifest(spark: SparkSession, root: str, exclude: str = r"/(?:__pycache__|\.
 
 
 def digest(files: DataFrame) -> DataFrame:
-    """One row: number of files, bytes, and the hash of their sorted list (paths and hashes, not contents)."""
-    lines = F.array_sort(F.collect_list(F.concat_ws("\x1f", "path", F.col("bytes").cast("string"), "sha256")))
-    return files.agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
+    """One row: number of files, bytes, and the hash of their sorted list (paths and hashes, not contents).
+
+    Files are dealt to 4,096 lists by a hash of their path, and the digest is the hash of these lists'
+    hashes, so no row holds the paths of a whole tree.
+    """
+    line = F.concat_ws("\x1f", "path", F.col("bytes").cast("string"), "sha256")
+    parts = files.groupBy(F.substring(F.md5("path"), 1, 3).alias("part")).agg(
+        F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("h")
+    )
+    lists = F.array_sort(F.collect_list(F.concat("part", "h")))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return parts.agg(total("files"), total("bytes"), F.sha2(F.array_join(lists, "\n"), 256).alias("digest"))
 
 
 def _hash(obj: object) -> str:

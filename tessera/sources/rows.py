@@ -25,13 +25,14 @@ def read_records(spark: SparkSession, path: str, record: T.StructType, wrappers:
     """Records from JSON lines, a list, or an object that wraps a list under one of some names.
 
     Files are read whole, one to a row, and their shape is told by their first character and parse; files stay apart.
+    A line that is no JSON fails the read.
     """
     raw = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
     listed = T.ArrayType(record)
     wrapped = T.StructType([T.StructField(w, listed) for w in wrappers])
     as_object = F.from_json("v", wrapped)
     inner = F.coalesce(*[as_object[w] for w in wrappers])
-    lines = F.filter(F.transform(F.filter(F.split("v", r"\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, record)), lambda r: r.isNotNull())
+    lines = F.filter(F.transform(F.filter(F.split("v", r"\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, record, {"mode": "FAILFAST"})), lambda r: r.isNotNull())
     rows = F.when(F.col("v").startswith("["), F.from_json("v", listed)).when(inner.isNotNull(), inner).otherwise(lines)
     return raw.select(F.explode(rows).alias("r")).select("r.*")
 

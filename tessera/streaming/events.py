@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import prepare
+
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -42,22 +46,85 @@ def idempotent_sink(df: DataFrame, path: str, checkpoint: str, keys: list[str]):
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drained(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there, into a table in memory, and return that."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+def drained(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there, into a table at ``path``, and return that.
 
+    Each batch is written by the tasks to a folder of its own, which is written anew if the batch is
+    repeated; in complete mode the last one is the result.
+    """
 
-def called(df: DataFrame, column: str, call: Callable[[list[str]], list[str]], out: str = "reply") -> DataFrame:
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={0 if mode == 'complete' else number}")
+
+    q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def called(
+    df: DataFrame,
+    column: str,
+    call: Callable[[list[str]], list[str]],
+    out: str = "reply",
+    attempts: int = 1,
+    wait: float = 1.0,
+    valid: Callable[[str], bool] | None = None,
+    fallback: str | None = None,
+) -> DataFrame:
     """The seam for calls to a model: batches of a text column go through an injected function, in the tasks.
 
-    The function gets a list and returns one of the same length; what it does about retries is its own.
+    The function gets a list and returns one of the same length. Where it raises or a reply is not
+    ``valid``, the texts concerned are tried again, ``attempts`` times in all, after ``wait`` seconds that double
+    each time. Then what it raised is raised, or, with a ``fallback``, that stands for the reply.
+    ``attempts`` and ``error`` tell how each reply came about.
     """
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", `{out}` string"
+    prepare(df.sparkSession)
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", `{out}` string, attempts long, error string"
 
     def run(batches):
         for pdf in batches:
-            yield pdf.assign(**{out: call(pdf[column].tolist())})
+            texts = pdf[column].tolist()
+            replies, tries, errors = [None] * len(texts), [0] * len(texts), [None] * len(texts)
+            left = list(range(len(texts)))
+            for attempt in range(1, attempts + 1):
+                if attempt > 1:
+                    time.sleep(wait * 2 ** (attempt - 2))
+                try:
+                    got = call([texts[i] for i in left])
+                    found = [None if valid is None or valid(r) else "invalid reply" for r in got]
+                except Exception as e:  # noqa: BLE001  a failed call is tried again
+                    if attempt == attempts and fallback is None:
+                        raise
+                    got, found = [None] * len(left), [f"{type(e).__name__}: {e}"] * len(left)
+                for i, r, error in zip(left, got, found, strict=True):
+                    replies[i], tries[i], errors[i] = r, attempt, error
+                left = [i for i in left if errors[i]]
+                if not left:
+                    break
+            if left and fallback is None:
+                raise ValueError(f"{len(left)} replies are not valid after {attempts} attempts")
+            for i in left:
+                replies[i] = fallback
+            yield pdf.assign(**{out: replies, "attempts": tries, "error": errors})
 
     return df.mapInPandas(run, schema)
+
+
+def closed_loop(df: DataFrame, key: str, order: str, step: Callable[[dict, dict], tuple[dict, dict]], start: dict, schema: str) -> DataFrame:
+    """Each key's rows in order through ``step(state, row)``, which gives the next state and the row's result, with columns of ``schema``.
+
+    Keys run in parallel, a key's rows one after the other, as each needs what the one before it left.
+    A key's rows meet in one task, so a key is one dialogue, not a user of any length.
+    """
+    prepare(df.sparkSession)
+    kinds = dict(df.dtypes)
+    names = [p.split()[0] for p in schema.split(",")]
+
+    def run(pdf):
+        state, out = dict(start), []
+        for row in pdf.sort_values(order, kind="stable").to_dict("records"):
+            state, result = step(state, row)
+            out.append([row[key], row[order], *[result[n] for n in names]])
+        return pd.DataFrame(out, columns=[key, order, *names])
+
+    return df.groupBy(key).applyInPandas(run, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, {schema}")
