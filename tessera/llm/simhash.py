@@ -368,9 +368,10 @@ def similar_links(edges: DataFrame, members: DataFrame, docs: DataFrame, text_co
     good, bad = links.where("ok").select("src", "dst"), links.where("not ok").select(F.col("src").alias("x"), F.col("dst").alias("y"))
     if not bad.isEmpty():
         classes = connected_components(good)
-        failed = edges.join(bad, (F.col("src") == F.col("x")) & (F.col("dst") == F.col("y"))).select(F.col("tree").alias("t")).distinct()
+        failed, failed_path = stored(edges.join(bad, (F.col("src") == F.col("x")) & (F.col("dst") == F.col("y"))).select(F.col("tree").alias("t")).distinct())
         trees = edges.join(failed, F.col("tree") == F.col("t"), "left_semi").select("tree", F.explode(F.array("src", "dst")).alias("fp")).distinct()
         more = missed_links(trees, classes, sets, radius, similarity)
+        removed(docs.sparkSession, failed_path)
         good = classes.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more)
     removed(docs.sparkSession, path)
     return good
