@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import functools
+import json
+import os
+import re
 import string
+import zlib
+from collections.abc import Sequence
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -28,52 +33,54 @@ LEFT, RIGHT = 64, 32
 ISSUED = r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abp]-|sk_live_|rk_live_|sk-|AIza|ya29\.|eyJ|SG\.|npm_|pypi-)"
 FOR = r"(?i)(?:token|secret|passw|pwd|api.?key|apikey|auth|bearer|credential|private.?key|access.?key|client.?key)"
 AGAINST = r"(?i)(?:commit|revision|sha\d*|md5|checksum|digest|hash|etag|uuid|guid|build|version|integrity|fingerprint|blob|tree|example|sample|dummy|placeholder|fixture|serial|isbn|order|invoice|session.?id|request.?id)"
-DICTIONARY = (
-    "about access account address admin alpha amount answer apple application archive array asset author backup banner based batch beta bigint binary black block board body"
-    " book bool border branch brand browser buffer bundle button cache calendar call camera cancel card center chain change channel chart check child city class clean click client"
-    " close cloud code color column comment company config connect contact content control copy core count create cross current custom data database date debug default delete demo"
-    " design detail device dialog direct display document domain double down download draft driver dynamic edit element email empty enable engine entry error event example export"
-    " factory field file filter final first float font footer form format frame from full function gateway global grid group guide handler hash header height help hidden home host"
-    " house html icon image import index info inner input install integer item java job json label language large last layout level library light line link list local location login"
-    " long mail main manager map master media member memory menu message meta method mobile model module month name native network news node normal note number object office online"
-    " open option order output owner package page panel parent part password path payment phone photo picture place player plugin point port post preview price print private process"
-    " product profile program project property public query queue random read record region release remote report request reset resource response result return right role root round"
-    " route sample schema screen script search section secret select server service session set setting shared short show simple single size small social source space special"
-    " stack staging start state static status step storage store stream street string style submit summary support switch system table target task team template test text theme"
-    " thread time title token tool total track transfer tree type unit update upload user util value vector version video view virtual visible void wait water web week white"
-    " widget width window word work world write year zone"
-).split()
+#: A public vocabulary, whose whole words of so many letters or more are the dictionary.
+VOCABULARY, WORD_LETTERS = "word_bpe_49k.json", 3
+#: Kinds of characters, whose transitions are counted: upper case, lower-case vowels and consonants, digits, others.
+KINDS = "Uvc9_"
 
 FEATURES = [
-    "length", "entropy", "distinct", "digits", "uppers", "symbols", "runs", "vowels", "is_hex", "is_issued", "dictionary", "slashes", "dots", "dashes",
-    "after_slash", "assigned", "quoted", "word_for", "word_against", "filler",
+    "length", "entropy", "distinct", "digits", "uppers", "symbols", "runs", "is_hex", "is_issued", "dictionary", "slashes", "dots", "dashes",
+    "after_slash", "assigned", "quoted", "word_for", "word_against", "filler", *[f"{a}{b}" for a in KINDS for b in KINDS],
 ]
 
 
-def features(c: str = "candidate", left: str = "before", right: str = "after") -> list[Column]:
-    """The forest's inputs from a candidate and its context, as plain expressions."""
-    x, n = F.col(c), F.length(c)
+@functools.cache
+def dictionary(vocabulary: str = VOCABULARY) -> tuple[str, ...]:
+    """The vocabulary's words of ASCII letters, in order."""
+    import public_tokenizers
+
+    with open(vocabulary if os.path.isabs(vocabulary) else public_tokenizers.path(vocabulary), encoding="utf-8") as f:
+        pieces = json.load(f)["model"]["vocab"]
+    words = (x.removesuffix("</w>") for x in pieces if x.endswith("</w>"))
+    return tuple(sorted(w for w in words if len(w) >= WORD_LETTERS and w.isascii() and w.isalpha()))
+
+
+def features(c: str = "candidate", left: str = "before", right: str = "after", words: Sequence[str] | None = None) -> list[Column]:
+    """The forest's inputs from a candidate and its context, as plain expressions; ``words`` is the dictionary."""
+    x, n = F.col(c), F.greatest(F.length(c), F.lit(1))
     lower = F.lower(x)
     share = lambda pattern: F.regexp_count(x, F.lit(pattern)) / n
     chars = F.array_distinct(F.split(x, ""))
     part = F.transform(chars, lambda ch: (n - F.length(F.replace(x, ch, F.lit("")))) / n)
     entropy = F.aggregate(part, F.lit(0.0), lambda a, p: a - F.when(p > 0, p * F.log2(p)).otherwise(0.0))
-    kinds = F.translate(x, string.ascii_uppercase + string.ascii_lowercase + string.digits + "_+/=.-", "U" * 26 + "l" * 26 + "9" * 10 + "." * 6)
+    vowels, consonants = "aeiou", "bcdfghjklmnpqrstvwxyz"
+    kinds = F.translate(x, string.ascii_uppercase + vowels + consonants + string.digits + "_+/=.-", "U" * 26 + "v" * 5 + "c" * 21 + "9" * 10 + "_" * 6)
     runs = F.length(F.regexp_replace(kinds, r"(.)\1+", "$1"))
-    known = F.length(F.regexp_replace(lower, "(?:" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))) + ")", ""))
+    listed = F.lit(" " + " ".join(dictionary() if words is None else words) + " ")
+    parts = F.regexp_extract_all(x, F.lit(f"[A-Z]?[a-z]{{{WORD_LETTERS - 1},}}|[A-Z]{{{WORD_LETTERS},}}"), F.lit(0))
+    known = F.filter(F.transform(parts, F.lower), lambda w: (F.length(w) >= WORD_LETTERS) & F.contains(listed, F.concat(F.lit(" "), w, F.lit(" "))))
     near_left = F.substring(F.col(left), -LEFT, LEFT)
     out = {
-        "length": n,
+        "length": F.length(c),
         "entropy": entropy,
         "distinct": F.size(chars) / n,
         "digits": share("[0-9]"),
         "uppers": share("[A-Z]"),
         "symbols": share("[_+/=.-]"),
         "runs": (runs - 1) / n,
-        "vowels": share("[aeiouAEIOU]"),
         "is_hex": x.rlike("^[0-9a-fA-F-]+$").cast("int"),
         "is_issued": x.rlike(ISSUED).cast("int"),
-        "dictionary": (n - known) / n,
+        "dictionary": F.aggregate(known, F.lit(0), lambda a, w: a + F.length(w)) / n,
         "slashes": F.regexp_count(x, F.lit("/")),
         "dots": F.regexp_count(x, F.lit(r"\.")),
         "dashes": F.regexp_count(x, F.lit("-")),
@@ -84,6 +91,7 @@ def features(c: str = "candidate", left: str = "before", right: str = "after") -
         "word_against": near_left.rlike(AGAINST + r"[^\n]{0,24}$").cast("int"),
         "filler": lower.rlike(r"(.)\1{5,}|example|xxxx|abcdef|123456|changeme|your").cast("int"),
     }
+    out |= {f"{a}{b}": F.regexp_count(kinds, F.lit(f"{re.escape(a)}(?={re.escape(b)})")) / n for a in KINDS for b in KINDS}
     return [F.coalesce(out[k].cast("double"), F.lit(0.0)).alias(k) for k in FEATURES]
 
 
@@ -105,13 +113,15 @@ def labelled_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:
     Secrets are random strings of issued and generic forms, short ones and ones of letters only among
     them, after words and signs of an assignment; false positives are commits, checksums, identifiers,
     paths, versions, numbers, fillers, and words and names that are assigned. The findings are cut out
-    of the texts as the scan does it; one that is not the secret itself is none.
+    of the texts as the scan does it; one that is not the secret itself is none. Its words are one in 61
+    of the dictionary's, by their checksum.
     """
     h = lambda salt: F.sha2(F.concat_ws("|", F.lit(salt), F.col("id").cast("string")), 256)
     pick = lambda salt, xs: F.element_at(F.array(*map(F.lit, xs)), (F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(len(xs))) + 1).cast("int"))
     mixed = lambda salt: F.regexp_replace(F.base64(F.unhex(F.concat(h(salt), h(salt + "+")))), "[+/=]", "")
     cut = lambda x, salt, lo, hi: F.substr(x, F.lit(1), (F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(hi - lo)) + lo).cast("int"))
-    words = lambda salt: F.initcap(pick(salt, DICTIONARY))
+    listed = [w for w in dictionary() if zlib.crc32(w.encode()) % 61 == 7]
+    words = lambda salt: F.initcap(F.element_at(F.split(F.lit(" ".join(listed)), " "), (F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(len(listed))) + 1).cast("int")))
     secret_word = pick("w", ["token", "api_key", "apiKey", "secret", "SECRET_KEY", "password", "auth_token", "access_key", "Authorization: Bearer", "client_secret", "private_key"])
     sign = pick("s", [" = \"", "=\"", ": \"", "='", ": ", "=", " = '", " := \""])
     close = F.when(sign.endswith("\""), F.lit("\"\n")).when(sign.endswith("'"), F.lit("'\n")).otherwise(F.lit("\n"))
@@ -167,11 +177,11 @@ def scan_secrets(
     Candidates are runs of letters, digits and ``_+/.-``, with ``=`` as padding at the end only: those of
     16 or more with a digit, and of any length and make where they are assigned to a name that speaks
     for a secret (``ASSIGNED``).
-    The forest weighs length, character transitions and make-up, dictionary coverage, what looks like a
-    path, and neighbouring words; it is trained from ``findings`` (by default from
+    The forest weighs length, make-up and transitions between kinds of characters, how much of it is words
+    of a public vocabulary, what looks like a path, and neighbouring words; it is trained from ``findings`` (by default from
     ``labelled_findings``, whose labels follow from their making). The secret itself is not returned.
-    Null and empty texts have no candidates; repeated rows each give theirs; rows of one id are told
-    apart by their text; an empty table gives an empty result.
+    Null and empty texts have no candidates; texts of any length are scanned whole; repeated rows each
+    give theirs; other columns are ignored, whatever their names; an empty table gives an empty result.
 
     All is columns: one pass finds the texts with a candidate, splits them there, and scores. Only the
     candidates, with their bounded context, are shuffled, to sum up the lengths before each.

@@ -1,10 +1,11 @@
 """Secret scans on labelled findings, and the pipeline's stages on documents with known copies."""
 
 import hashlib
+import itertools
 import random
 
 import corpus_pipeline
-from tessera.llm.secrets import CANDIDATE, FEATURES, features, fit_forest, labelled_findings, scan_secrets
+from tessera.llm.secrets import CANDIDATE, FEATURES, KINDS, dictionary, features, fit_forest, labelled_findings, scan_secrets
 from tests.llm.helpers import LOWER, words_of
 
 KEY = "9f8e7d6c5b4a39281706f5e4d3c2b1a098765432"
@@ -31,7 +32,7 @@ def test_scan_finds_secrets_where_they_stand(spark, docs, no_docs):
         (6, "x" * 200_000 + f' token = "{KEY}"'),
         (None, f"api_key: AKIA{KEY[:20].upper()}"),
     ]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "2 as label", "3 as features", "4 as score")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "2 as label", "3 as features", "4 as score", "5 as `row`", "6 as n", "7 as before")
     got = scan_secrets(df).collect()
     texts = {i: t for i, t in rows}
     for r in got:
@@ -66,6 +67,27 @@ def test_scan_finds_unquoted_short_and_letter_only_secrets(spark):
     assert any(r.doc_id == 7 and r.length == 74 for r in got)
 
 
+def test_features_count_transitions_and_words(spark):
+    df = spark.createDataFrame([("connectionTimeout9a_b", "x = ", ""), ("", "", ""), ("q7Zq7Zq7Z", "", "")], "candidate string, before string, after string")
+    got = {r.candidate: r for r in df.select("candidate", *features()).collect()}
+    text = "connectionTimeout9a_b"
+    kind = lambda ch: "U" if ch.isupper() else "v" if ch in "aeiou" else "c" if ch.isalpha() else "9" if ch.isdigit() else "_"
+    pairs = [kind(a) + kind(b) for a, b in itertools.pairwise(text)]
+    for a, b in itertools.product(KINDS, KINDS):
+        assert abs(got[text][a + b] - pairs.count(a + b) / len(text)) < 1e-12
+    assert abs(got[text].dictionary - len("connectiontimeout") / len(text)) < 1e-12
+    assert got["q7Zq7Zq7Z"].dictionary == 0 and got[""].length == 0
+    assert "connection" in dictionary() and len(dictionary()) > 10_000
+
+
+def test_scan_of_the_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = dict(docs.select("doc_id", "text").collect())
+    got = scan_secrets(docs).collect()
+    right = [r.is_secret == (texts[r.doc_id][: r.start].lower().endswith('token = "')) for r in got]
+    assert len(right) > 30 and all(right)
+
+
 def test_training_findings_are_cut_as_the_scan_cuts(spark):
     rows = labelled_findings(spark, 2000).cache()
     assert rows.where("label = 1").count() > 800
