@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numbers import cosine, finite
 from tessera.functions.text import normalize_for_hash
+from tessera.operators.sampling import exact_quantiles
 
 #: Words of the sparse text vectors: two or more of these.
 TERM = r"([a-z0-9_][a-z0-9_]+)"
@@ -58,8 +59,8 @@ def centroid_report(df: DataFrame, train: DataFrame, key: str, vector: str) -> D
     """Cosine distance to the training centroid; severe beyond 0.45 and twice the training's 95th percentile."""
     c = F.broadcast(centroid(train, vector))
     far = (1 - cosine(F.col(vector), F.col("centre"))).alias("distance")
-    t = train.join(c).select(far).agg(F.greatest(F.lit(0.45), 2 * F.percentile("distance", F.lit(0.95))).alias("_t"))
-    return df.join(c).select(key, far).join(F.broadcast(t)).select(key, "distance", (F.col("distance") > F.col("_t")).alias("severe"))
+    most = exact_quantiles(train.join(c).select(far), "distance", [0.95])[0]
+    return df.join(c).select(key, far).select(key, "distance", (F.col("distance") > max(0.45, 2 * (most or 0.0))).alias("severe"))
 
 
 def catalog_summary(df: DataFrame, group: str, vector: str, conflict: float = 0.1) -> DataFrame:
@@ -105,12 +106,9 @@ def hashed_fingerprint(df: DataFrame, key: str, text: str, size: int = 64) -> Da
 
 
 def robust_scaled(df: DataFrame, train: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Each field less its training median, over its interquartile range (over 1 where that is 0). The statistics are one row."""
-    aggs = [F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{c}") for c in fields]
-    met = df.join(F.broadcast(train.agg(*aggs)))
-    span = lambda c: F.col(f"_q_{c}")[2] - F.col(f"_q_{c}")[0]
-    cols = {c: (F.col(c) - F.col(f"_q_{c}")[1]) / F.when(span(c) > 0, span(c)).otherwise(1.0) for c in fields}
-    return met.withColumns(cols).drop(*[f"_q_{c}" for c in fields])
+    """Each field less its training median, over its interquartile range (over 1 where that is 0). The statistics are the driver's numbers."""
+    q = {c: [v or 0.0 for v in exact_quantiles(train, c, [0.25, 0.5, 0.75])] for c in fields}
+    return df.withColumns({c: (F.col(c) - b) / ((d - a) or 1.0) for c, (a, b, d) in q.items()})
 
 
 def gated_terms(terms: DataFrame, states: DataFrame, key: str) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import durable
+
 
 def labelled(outcomes: DataFrame, labels: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Outcomes that have labels; the others go silently."""
@@ -69,7 +71,7 @@ def observation_metrics(df: DataFrame, relevance: str, used: str, group: Sequenc
     )
 
 
-def response_scores(pairs: DataFrame, card: str, first: str, second: str, winner: str, ridge: float = 0.1, rows_per_task: int = 200_000) -> DataFrame:
+def response_scores(pairs: DataFrame, card: str, first: str, second: str, winner: str, ridge: float = 0.1, rows_per_task: int = 50_000) -> DataFrame:
     """``card, action_id, score``: mean probability of winning against the card's other actions.
 
     Per card a ridge system over its (at most sixteen) actions is solved: +1 and -1 for the two sides,
@@ -98,7 +100,7 @@ def response_scores(pairs: DataFrame, card: str, first: str, second: str, winner
         at, i = np.nonzero(there)
         return pd.DataFrame({"card": np.asarray(cards)[at], "action_id": names[i], "score": mean[at, i]})
 
-    rows = pairs.select(F.col(card).alias("card"), F.col(first).alias("a"), F.col(second).alias("b"), F.col(winner).alias("w"))
+    rows = durable(pairs.select(F.col(card).alias("card"), F.col(first).alias("a"), F.col(second).alias("b"), F.col(winner).alias("w")))
     buckets = max(1, -(-rows.count() // rows_per_task))
     bucket = F.pmod(F.xxhash64("card"), F.lit(buckets)).alias("bucket")
     return rows.groupBy(bucket).applyInPandas(solve, f"card {kind}, action_id string, score double").withColumnRenamed("card", card)

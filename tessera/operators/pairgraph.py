@@ -66,23 +66,23 @@ def with_audit(pairs: DataFrame, card: str, reversal: float = 0.15, repeat: floa
 def graph_audit(cards: DataFrame, edges: DataFrame, card: str, available: str) -> DataFrame:
     """Per card: nodes, edges, isolated nodes, least and most degree, and the number of components.
 
-    A card's graph is small (sixteen nodes), so its components are found within the row: each
-    edge in turn gives all nodes of the greater label the lesser one.
+    A card's graph is small (sixteen nodes), so all is found within its row: each edge in turn gives all
+    nodes of the greater label the lesser one. The edges are gathered once.
     """
     from tessera.operators.actions import ACTIONS, allowed_actions
 
-    nodes = cards.select(card, F.explode(allowed_actions(F.col(available))).alias("action"))
-    ends = edges.select(card, F.explode(F.array("action_a", "action_b")).alias("action"))
-    deg = ends.groupBy(card, "action").agg(F.count("*").alias("deg"))
-    d = nodes.join(deg, [card, "action"], "left").fillna(0, ["deg"])
-    g = d.groupBy(card).agg(F.count("*").alias("nodes"), (F.sum("deg") / 2).cast("long").alias("edges"), F.count_if(F.col("deg") == 0).alias("isolated"), F.min("deg").alias("least_degree"), F.max("deg").alias("most_degree"))
     index = F.create_map(*[x for i, a in enumerate(ACTIONS) for x in (F.lit(a), F.lit(i))])
     listed = edges.groupBy(card).agg(F.collect_list(F.struct(index[F.col("action_a")].alias("a"), index[F.col("action_b")].alias("b"))).alias("e"))
-    mine = nodes.groupBy(card).agg(F.array_sort(F.collect_list(index[F.col("action")])).alias("v")).join(listed, card, "left")
+    nodes = F.array_sort(F.transform(allowed_actions(F.col(available)), lambda a: index[a]))
+    mine = cards.select(card, nodes.alias("v")).join(listed, card, "left").withColumn("e", F.coalesce("e", F.array().cast("array<struct<a:int,b:int>>")))
     label = F.aggregate(
-        F.coalesce("e", F.array().cast("array<struct<a:int,b:int>>")),
+        "e",
         F.sequence(F.lit(0), F.lit(15)),
         lambda acc, x: F.transform(acc, lambda v: F.when(v == F.greatest(acc[x["a"]], acc[x["b"]]), F.least(acc[x["a"]], acc[x["b"]])).otherwise(v)),
     )
-    comp = mine.select(card, F.size(F.array_distinct(F.transform("v", lambda i: label[i]))).cast("long").alias("components"))
-    return g.join(comp, card)
+    components = F.transform(F.array(label), lambda at: F.size(F.array_distinct(F.transform("v", lambda i: at[i]))))[0]  # the lambda binds the labels, which are else made anew for each node
+    ends = F.concat(F.transform("e", lambda x: x["a"]), F.transform("e", lambda x: x["b"]))
+    degrees = F.transform(F.array(ends), lambda all_ends: F.transform("v", lambda i: F.size(F.filter(all_ends, lambda x: x == i))))
+    facts = F.transform(degrees, lambda d: F.struct(F.size(F.filter(d, lambda n: n == 0)).alias("isolated"), F.array_min(d).alias("least_degree"), F.array_max(d).alias("most_degree")))[0]
+    out = mine.select(card, F.size("v").alias("nodes"), F.size("e").alias("edges"), facts.alias("f"), components.alias("components"))
+    return out.select(card, *[F.col(c).cast("long").alias(c.split(".")[-1]) for c in ("nodes", "edges", "f.isolated", "f.least_degree", "f.most_degree", "components")])

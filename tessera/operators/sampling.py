@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.ids import stable_hex
+from tessera.session import prepare
 
 
 def hash_sample(df: DataFrame, n: int, seed: Column, key: str) -> DataFrame:
@@ -48,6 +49,32 @@ def systematic_sample(df: DataFrame, n: int, key: str) -> DataFrame:
     return placed.where(hit).select(*df.columns)
 
 
+def exact_quantiles(df: DataFrame, x: str, shares: Sequence[float]) -> list[float | None]:
+    """Quantiles of a column, between neighbours, as the driver's numbers; ``None`` each where there is no value.
+
+    Equal values are counted first, the counts are range-partitioned by value and summed, so no task
+    holds all values; the driver gets the partitions' sums and two values for each share.
+    """
+    from tessera.session import durable
+
+    counts = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).groupBy(F.col(x).cast("double").alias("x")).agg(F.count("*").alias("c"))
+    rows = durable(counts.repartitionByRange("x").withColumn("p", F.spark_partition_id()))
+    before, starts = 0, []
+    for r in sorted(rows.groupBy("p").agg(F.sum("c").alias("c")).collect()):
+        starts.append((r.p, before))
+        before += r["c"]
+    if not before:
+        return [None for _ in shares]
+    at = [(s * (before - 1) // 1, s * (before - 1) % 1) for s in shares]
+    ranks = sorted({int(k) + d for k, _ in at for d in (0, 1) if k + d < before})
+    base = F.create_map(*[v for p, n in starts for v in (F.lit(p), F.lit(n))])[F.col("p")]
+    upto = base + F.sum("c").over(W.partitionBy("p").orderBy("x").rowsBetween(W.unboundedPreceding, 0))
+    placed = rows.withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("c"))
+    wanted = placed.withColumn("r", F.explode(F.filter(F.array(*map(F.lit, ranks)), lambda r: (r >= F.col("lo")) & (r < F.col("hi")))))
+    value = {r.r: r.x for r in wanted.select("r", "x").collect()}
+    return [value[int(k)] + f * (value[min(int(k) + 1, before - 1)] - value[int(k)]) for k, f in at]
+
+
 def stratified_sample(df: DataFrame, key: str, groups: Sequence[str], n: int, seed: Column) -> DataFrame:
     """Cover each value of the first column by its first row in hash order, then of the next, then fill up in hash order.
 
@@ -141,6 +168,7 @@ def greedy_strata(df: DataFrame, key: str, scenario: str, stratum: str, priority
     firsts = df.withColumn("_s", F.row_number().over(s)).where("_s = 1").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= total + quota)
     firsts = firsts.select(F.col(stratum).alias("_a"), F.col(scenario).alias("_b"))
     cut = rows.join(firsts, F.col(stratum).eqNullSafe(F.col("_a")) & F.col(scenario).eqNullSafe(F.col("_b")), "left_semi").drop("_s")
+    prepare(df.sparkSession)
     kinds = dict(df.dtypes)
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:

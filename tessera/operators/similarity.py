@@ -79,8 +79,10 @@ def containment(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
     """``a, b, contained``: pairs in which at least this share of the right set's shingles is in the left set.
 
     Each right set is indexed by its rarest shingles only: a set of n that must share ceil(t n) has one
-    of any n - ceil(t n) + 1 of them in common.
+    of any n - ceil(t n) + 1 of them in common. Of the left sets only what stands in some right set is
+    kept, before anything is counted.
     """
+    left = durable(left.join(right.select("shingle").distinct(), "shingle", "left_semi").select("id", "shingle"))
     freq = left.groupBy("shingle").agg(F.count("*").alias("df")).select(F.col("shingle").alias("s"), "df")
     w = W.partitionBy("id")
     r = right.join(freq, F.col("shingle") == F.col("s"), "left").withColumn("n", F.count("*").over(w))

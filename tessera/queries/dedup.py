@@ -41,7 +41,7 @@ def overlap_classes(spark: SparkSession, d: str) -> DataFrame:
     SELECT a, b, round(k / n, 6) AS contained FROM (SELECT g.id AS a, h.id AS b, count(*) AS k FROM g JOIN h USING (s) GROUP BY 1, 2) JOIN n ON n.id = b WHERE k / n >= 0.8
 """)
 def benchmark_containment(spark: SparkSession, d: str) -> DataFrame:
-    left = durable(text.exploded_shingles(table(spark, d, "documents"), "doc_id", "text"))
+    left = text.exploded_shingles(table(spark, d, "documents"), "doc_id", "text")
     right = durable(text.exploded_shingles(table(spark, d, "benchmark"), "item_id", "text"))
     return rounded(similarity.containment(left, right, 0.8))
 

@@ -155,3 +155,16 @@ def test_folds_match_the_greedy_choice(spark):
         assert {r.g: r.fold for r in sampling.grouped_folds(df, "g", k).collect()} == want
     with pytest.raises(keys.CheckFailed, match="two groups"):
         sampling.grouped_folds(spark.createDataFrame([(1, 1)], "g long, i long"), "g", 2)
+
+
+def test_exact_quantiles_match_numpy(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(8)
+    for values in ([3.0], [1.0, 2.0], [rng.choice([0.0, 1.5, rng.random()]) for _ in range(301)]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double").repartition(5)
+        shares = [0, 0.05, 0.25, 0.5, 0.95, 1.0]
+        assert sampling.exact_quantiles(df, "x", shares) == pytest.approx(np.quantile(values, shares).tolist())
+    assert sampling.exact_quantiles(spark.createDataFrame([], "x double"), "x", [0.5]) == [None]
