@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import durable
+from tessera.session import durable, prepare
 
 #: Byte classes whose share of a text is a statistic.
 CLASSES = {
@@ -141,8 +141,11 @@ def score_quality(
     Statistics of every whole text (null counts as empty) are taken in one pass and kept; of rows where
     ``learn`` (given the name of the id's column) holds and that have labels (several for one id are averaged, null ones ignored), about
     ``max_train``, drawn by a hash of the id, reach the driver for fitting. Without labels the score
-    is 0.5; with one kind of label it is close to that label. Neither the id nor any column but the text is an input. Repeated rows stay.
+    is 0.5; with one kind of label it is close to that label. Neither the id nor any column but the text is an input: rows of equal texts
+    have equal scores, and other columns are ignored, whatever their names. Texts of any length are
+    read whole; repeated rows stay; an empty table gives an empty result.
     """
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.decontaminate import gram_hashes
 from tessera.llm.filters import broadcast_filter, in_filter
-from tessera.session import durable, stored
+from tessera.session import durable, prepare, stored
 
 #: Words of an anchor.
 ANCHOR = 5
-#: Passages of a reference shard, and the number of texts from which an anchor is hot.
+#: Passages of a reference shard, and the number of passages (different ones of a text) from which an anchor is hot.
 SHARD_ROWS, HOT = 8_000, 2_000
 
 
@@ -76,8 +76,8 @@ class SuffixAutomaton:
             yield n
 
 
-def anchors(texts: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, anchor hash, first and last window of each run of windows with the same anchor.
+def anchors(texts: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, anchor hash, first and last window of each run of windows with the same anchor, and a sum over the hashes of its words.
 
     A window's anchor is its run of ``ANCHOR`` words of least hash, the leftmost of equal ones. It
     depends on the window's words alone, so that equal windows have equal anchors, wherever they stand.
@@ -86,9 +86,10 @@ def anchors(texts: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarr
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     n = int(size.sum()) - window + 1
     if n <= 0:
-        return tuple(np.empty(0, k) for k in (np.int64, np.uint64, np.int64, np.int64))
+        return tuple(np.empty(0, k) for k in (np.int64, np.uint64, np.int64, np.int64, np.uint64))
     words = itertools.chain.from_iterable(texts)
-    g = gram_hashes(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n + window - 1), ANCHOR)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n + window - 1)
+    g = gram_hashes(h, ANCHOR)
     least, at = g[:n].copy(), np.zeros(n, np.int8)
     for j in range(1, window - ANCHOR + 1):
         other = g[j : j + n]
@@ -103,7 +104,8 @@ def anchors(texts: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarr
     if not len(own):
         first = last = first[:0]
     text = owner[own[first]]
-    return text, least[own[first]], own[first] - begin[text], own[last] - begin[text]
+    sums = np.concatenate((np.zeros(1, np.uint64), h.cumsum(dtype=np.uint64)))
+    return text, least[own[first]], own[first] - begin[text], own[last] - begin[text], sums[own[last] + window] - sums[own[first]]
 
 
 def in_chunks(column, words: int = 1 << 17) -> Iterator[tuple[int, list[list[bytes]]]]:
@@ -176,13 +178,14 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int) -
     def list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, texts in in_chunks(b.column(1)):
-                text, m, _, _ = anchors(texts, window)
-                both = pd.DataFrame({"t": text + at, "m": m.view(np.int64)}).drop_duplicates()
-                ids = b.column(0).take(pa.array(both["t"].to_numpy()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(both["m"].to_numpy())], ["id", "h"])
-
-    listed = rows.select("id", "text").mapInArrow(list_anchors, f"id {kind}, h bigint")
-    repeated = listed.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n"))
+                text, m, _, _, piece = anchors(texts, window)
+                every = pd.DataFrame({"t": text + at, "m": m.view(np.int64), "piece": piece}).drop_duplicates()
+                each = every.groupby(["t", "m"], sort=False).size().reset_index(name="n")
+                ids = b.column(0).take(pa.array(each["t"].to_numpy()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(each["m"].to_numpy()), pa.array(each["n"].to_numpy(), pa.int32())], ["id", "h", "n"])
+
+    listed = rows.select("id", "text").mapInArrow(list_anchors, f"id {kind}, h bigint, n int")
+    repeated = listed.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.sum("n").alias("n"))
     repeated = durable(repeated.where("a < b").select("h", "n"))
     total = repeated.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > HOT)).first()
     known, bits = broadcast_filter(repeated, total[0])
@@ -192,7 +195,7 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int) -
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for at, texts in in_chunks(b.column(2)):
-                    text, m, lo, hi = anchors(texts, window)
+                    text, m, lo, hi, _ = anchors(texts, window)
                     some = in_filter(known.value, bits, m)
                     some[some] = in_filter(hot.value, hot_bits, m[some]) == want_hot
                     found: dict[tuple[int, int, bytes], list[int]] = {}
@@ -245,10 +248,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     two ids or more are found by a map-side combined aggregate. The passages around those (told by a
     filter of bounded size, whose false hits do no harm) are dealt by anchor to reference shards of
     bounded size. A shard's task holds its suffix automaton and lets the shard's passages pass in the
-    order of their ids for matching statistics. Anchors of more than ``HOT`` texts would not fit a
-    shard; theirs are collapsed to different ones and compared window by window instead. Only texts that lose words are shuffled (and the few that the second
-    filter lets through).
+    order of their ids for matching statistics. Anchors of more than ``HOT`` passages would not
+    fit a shard; theirs are collapsed to different ones and compared window by window instead. Only texts
+    that lose words are shuffled (and the few that the second filter lets through). Texts of any length
+    are read whole; other columns are ignored, whatever their names. A window is of ``ANCHOR`` to 64 words.
     """
+    if not ANCHOR <= window <= 64:
+        raise ValueError(f"window must be {ANCHOR} to 64 words")
+    prepare(docs.sparkSession)
     found = durable(repeated_windows(docs, id_col, text_col, window))
     touched = found.select(F.xxhash64("id", "h").alias("h"))
     sure, bits = broadcast_filter(touched, found.count())

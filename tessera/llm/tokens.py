@@ -10,6 +10,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import prepare
+
 VOCABULARY = "word_bpe_49k.json"
 
 #: The pattern by which the vocabulary's own file splits text, and its two special strings.
@@ -102,8 +104,10 @@ def count_tokens(
     Tokens are those of the library for ``vocabulary``, without special tokens added; its special
     strings inside a text count as it counts them. Null and empty texts have none; repeated rows stay;
     other columns are ignored. The proven strings (at most the vocabulary) are the only thing sent to
-    the tasks; texts are read once and nothing is shuffled.
+    the tasks; texts of any length are read once, whole, and nothing is shuffled; an empty table gives an
+    empty result.
     """
+    prepare(docs.sparkSession)
     spark: SparkSession = docs.sparkSession
     whole = spark.sparkContext.broadcast(whole_tokens(vocabulary))
 
