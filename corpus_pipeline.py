@@ -32,7 +32,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts without a language: null, without a letter, or of no language with a posterior of one half."""
+    """Drop texts without a language: null, without a letter, or of no language with a posterior of one half.
+
+    Equal texts are decided alike, repeated rows all stay or all go, and languages that tie at one half
+    go to the first by name. Without rows that name a language nothing is kept; an empty table stays
+    empty. Texts of any length are read whole; all columns pass through, whatever their names.
+    """
     prepare(spark)
     names = [f"c{i}" for i in range(len(docs.columns))]
     place = {c: n for n, c in zip(names, docs.columns, strict=True)}
@@ -48,7 +53,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for the case of A-Z the largest doc_id stays; of repeated rows, one."""
+    """Of texts that are equal but for the case of A-Z the largest doc_id stays; of repeated rows, one.
+
+    Null counts as empty, a null doc_id as smaller than any other. An empty table stays empty; texts of
+    any length are taken whole; all columns pass through, whatever their names.
+    """
     rows = durable(exact_duplicates(docs, digest=True).select("doc_id", "text_sha256", "kept"))
     key = F.struct("doc_id", F.col("text_sha256").alias("h")).alias(KEY)
     each = rows.groupBy(key).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
@@ -60,7 +69,12 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (five-word shingles, similarity 0.8): the smallest doc_id; of repeated rows, one."""
+    """One document of each group of near copies stays (five-word shingles, similarity 0.8): the smallest doc_id; of repeated rows, one.
+
+    Null, empty and blank texts have no shingles and are copies of each other; a null doc_id is smaller
+    than any other, and of rows of one doc_id the text's hash decides. An empty table stays empty; texts
+    of any length are read whole; all columns pass through, whatever their names.
+    """
     keyed = _keyed(docs)
     each = durable(near_duplicates(keyed, id_col=KEY).groupBy(KEY).agg(F.max("kept").alias("kept"), F.count("*").alias("n")))
     left = _without(keyed, each.where("not kept").select(KEY))
@@ -70,13 +84,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a passage of the benchmark."""
+    """Drop documents that hold a passage of the benchmark.
+
+    Null, empty and wordless texts hold none and stay, as do all where the benchmark is empty; repeated
+    rows all stay or all go. An empty table stays empty; texts of any length are read whole; all columns
+    pass through, whatever their names.
+    """
     keyed = _keyed(docs)
     return _without(keyed, contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col=KEY).select(KEY))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the mixture takes of each document that is left."""
+    """How many words the mixture takes of each document that is left.
+
+    Null texts have none; a null source is one of its own; rows that tie are ordered by size, and repeated
+    rows are interchangeable. An empty table gives an empty result; other columns are ignored.
+    """
     return mix_sources(docs)
 
 
