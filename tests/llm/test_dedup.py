@@ -264,3 +264,23 @@ def test_mixing_meets_targets(docs, no_docs):
     assert sum(t for _, t in by) == sum(r.size for r in got) * 1.5
     assert mix_sources(no_docs).count() == 0
     assert mix_sources(docs.limit(0).union(no_docs)).count() == 0
+
+
+def test_one_large_group_of_near_copies_is_one_class(spark, prose_of):
+    import random
+
+    rng = random.Random(23)
+    origin = prose_of(rng, 120).split()
+    texts = []
+    for c in range(3_000):
+        v = list(origin)
+        for at in rng.sample(range(120), 2):
+            v[at] = f"other{c}x{at}"
+        texts.append(" ".join(v))
+    texts += [" ".join(origin)] + [prose_of(rng, 120) for _ in range(50)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for t in texts for w in [t.split()]]
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    assert all(alike(c, 3_000) for c in range(3_000)) and sum(alike(0, c) for c in range(1, 3_000)) < 300
+    got = {r.doc_id: r for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)).collect()}
+    assert {i for i, r in got.items() if r.kept} == {0, *range(3_001, 3_051)}
+    assert {r.component_id for i, r in got.items() if i <= 3_000} == {0}
