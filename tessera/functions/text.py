@@ -112,3 +112,10 @@ def depth_bin(turn: Column) -> Column:
 
 def length_bin(t: Column) -> Column:
     return bin_of(F.size(F.filter(F.split(normalize_space(t), " "), lambda x: x != "")), [8, 20], ["short", "medium", "long"])
+
+
+def has_action_code(t: Column) -> Column:
+    """Whether a text names an action by its code, in any case; false for null."""
+    from tessera.operators.actions import MEMORY, STRATEGIES
+
+    return F.coalesce(t.rlike(rf"(?i)\b({'|'.join(MEMORY.values())})\+({'|'.join(STRATEGIES)})\b"), F.lit(False))

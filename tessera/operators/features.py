@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions.ids import hash_int
 from tessera.functions.numbers import cosine, finite
 from tessera.functions.text import normalize_for_hash
 from tessera.operators.sampling import exact_quantiles
@@ -121,3 +122,23 @@ def gated_terms(terms: DataFrame, states: DataFrame, key: str) -> DataFrame:
         F.array(*[F.when(F.col("available").bitwiseAND(F.lit(bit)) > 0, F.lit(name)) for name, bit in (("MP", 1), ("MS", 2), ("ME", 4))], F.lit("RS"))
     )
     return terms.join(states.select(key, F.explode(gates).alias("gate")), key).select(key, "gate", "term", "weight")
+
+
+def char_gram_hashes(df: DataFrame, key: str, text: str, size: int = 256, lo: int = 3, hi: int = 5) -> DataFrame:
+    """``key, bucket, weight``: runs of ``lo`` to ``hi`` characters within words (a space on either side) in hashed places, of unit length for each key."""
+    words = df.select(key, F.explode(F.split(normalize_for_hash(F.col(text)), " ")).alias("w")).where("w <> ''").withColumn("w", F.concat(F.lit(" "), "w", F.lit(" ")))
+
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length("w") - n + 1, F.lit(1)))
+        return F.when(F.length("w") >= n, F.transform(starts, lambda i: F.substr("w", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    grams = words.select(key, F.explode(F.concat(*map(runs, range(lo, hi + 1)))).alias("g"))
+    c = grams.groupBy(key, (hash_int("g") % size).alias("bucket")).agg(F.count("*").alias("c"))
+    return c.select(key, "bucket", (F.col("c") / F.sqrt(F.sum(F.col("c") * F.col("c")).over(W.partitionBy(key)))).alias("weight"))
+
+
+def band_report(df: DataFrame, train: DataFrame, fields: Sequence[str], lo: float = 0.01, hi: float = 0.99, severe: float = 0.25) -> DataFrame:
+    """Add ``excess``, the mean over ``fields`` of how far a value lies outside the training band, in units of the band's nearer end (1 at least), and ``severe``."""
+    ends = {c: exact_quantiles(train, c, [lo, hi]) for c in fields}
+    over = [F.greatest((a - F.col(c)) / max(abs(a), 1.0), (F.col(c) - b) / max(abs(b), 1.0), F.lit(0.0)) for c, (a, b) in ends.items()]
+    return df.withColumn("excess", sum(over[1:], over[0]) / len(over)).withColumn("severe", F.col("excess") > severe)

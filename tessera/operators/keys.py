@@ -188,3 +188,42 @@ def require_independent(roles: DataFrame, role: str, family: str) -> None:
         raise CheckFailed("a role without a family")
     if bad := shared_families(roles, role, family).limit(5).collect():
         raise CheckFailed("; ".join(f"{r.role_a} and {r.role_b} share {r.family}" for r in bad))
+
+
+def reconcile_sides(expected: DataFrame, sides: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
+    """``side, missing, extra, duplicates, ok`` of each of several sides against the expected keys, from one aggregate over all of them."""
+    rows = expected.select(*keys, F.lit("").alias("_side"))
+    for name, df in sides.items():
+        rows = rows.unionByName(df.select(*keys, F.lit(name).alias("_side")))
+    n = {name: F.count_if(F.col("_side") == name).alias(f"n{i}") for i, name in enumerate(["", *sides])}
+    g = rows.groupBy(*keys).agg(*n.values())
+    found = [
+        F.struct(
+            F.lit(name).alias("side"),
+            F.count_if((F.col("n0") > 0) & (F.col(f"n{i}") == 0)).alias("missing"),
+            F.count_if((F.col("n0") == 0) & (F.col(f"n{i}") > 0)).alias("extra"),
+            F.count_if(F.col(f"n{i}") > 1).alias("duplicates"),
+        )
+        for i, name in enumerate(sides, 1)
+    ]
+    out = g.agg(F.array(*found).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+    return out.withColumn("ok", F.expr("missing + extra + duplicates = 0"))
+
+
+def require_all(df: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of the wanted keys; raises if a key has none."""
+    if missing := null_safe_join(wanted.select(*keys).distinct(), df, keys, "left_anti").limit(5).collect():
+        raise CheckFailed(f"no row for {missing}")
+    return null_safe_join(df, wanted, keys, "left_semi")
+
+
+def reliable_rates(df: DataFrame, group: Sequence[str], reliable: Column, least: float) -> DataFrame:
+    """``group, n, reliable_rate, ok``: whether enough of a group's rows are reliable."""
+    g = df.groupBy(*group).agg(F.count("*").alias("n"), F.avg(F.coalesce(reliable, F.lit(False)).cast("double")).alias("reliable_rate"))
+    return g.withColumn("ok", F.col("reliable_rate") >= least)
+
+
+def first_keys(df: DataFrame, key: str, n: int) -> DataFrame:
+    """Rows of the ``n`` smallest keys: a limit that a sweep asks for. The keys are a top-n, and broadcast."""
+    some = df.select(F.col(key).alias("_k")).distinct().orderBy("_k").limit(n)
+    return df.join(F.broadcast(some), F.col(key) == F.col("_k"), "left_semi")

@@ -151,3 +151,16 @@ def dual_order(df: DataFrame, unit: Sequence[str], order: str, label: str, tie_a
     if tie_absorbs:
         resolved = resolved.when(F.col("forward") == "tie", F.col("backward")).when(F.col("backward") == "tie", F.col("forward"))
     return both.withColumn("winner", resolved.otherwise(F.lit("tie"))).withColumn("consistent", F.col("forward") == F.col("backward"))
+
+
+def shares(df: DataFrame, col: str, **aggs: Column) -> DataFrame:
+    """``col``, the aggregates, and the share of all rows that each value has."""
+    g = df.groupBy(col).agg(F.count("*").alias("_n"), *[a.alias(n) for n, a in aggs.items()])
+    total = g.agg(F.sum("_n").alias("_t"))
+    return g.join(F.broadcast(total)).withColumn("share", F.col("_n") / F.col("_t")).drop("_n", "_t")
+
+
+def dialogue_totals(df: DataFrame, condition: str, dialogue: str, risk: str, tokens: str) -> DataFrame:
+    """``condition, dialogues, mean_risk, mean_tokens, mean_turns``: totals of each dialogue, then means over dialogues."""
+    g = df.groupBy(condition, dialogue).agg(F.count("*").alias("n"), F.sum(tokens).alias("t"), F.avg(risk).alias("r"))
+    return g.groupBy(condition).agg(F.count("*").alias("dialogues"), F.avg("r").alias("mean_risk"), F.avg("t").alias("mean_tokens"), F.avg("n").alias("mean_turns"))

@@ -75,6 +75,22 @@ def overlap_classes(df: DataFrame, id_col: str, text_col: str, threshold: float
     )
 
 
+def overlaps(left: DataFrame, right: DataFrame, id_col: str, text_col: str, threshold: float = 0.88, width: int = 5) -> DataFrame:
+    """``id_col, reason, similarity`` of the left rows that the right side has: ``exact`` in normal form, else ``similar`` with the greatest similarity.
+
+    What is found exactly is not compared further; texts without a token are found nowhere. Copies on
+    the right fall together first.
+    """
+    form = lambda df: df.select(F.col(id_col).alias("id"), normalize_for_hash(F.col(text_col)).alias("f")).where("f <> ''").select("id", F.md5("f").alias("form"))
+    theirs = form(right).groupBy("form").agg(F.min("id").alias("rep"))
+    exact = durable(form(left).join(theirs.select("form"), "form", "left_semi").select("id").distinct())
+    rest = left.join(exact, F.col(id_col) == F.col("id"), "left_anti")
+    reps = right.join(theirs.select("rep"), F.col(id_col) == F.col("rep"), "left_semi")
+    pairs = shingle_pairs(durable(exploded_shingles(rest, id_col, text_col, width)), durable(exploded_shingles(reps, id_col, text_col, width)), threshold)
+    near = pairs.groupBy(F.col("a").alias("id")).agg(F.lit("similar").alias("reason"), F.max("similarity").alias("similarity"))
+    return exact.select("id", F.lit("exact").alias("reason"), F.lit(1.0).alias("similarity")).unionByName(near).withColumnRenamed("id", id_col)
+
+
 def containment(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """``a, b, contained``: pairs in which at least this share of the right set's shingles is in the left set.
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.queries import chain, dedup, facts, inference, keys, pairs, panel, policy, sequence, states, text
+from tessera.queries import chain, dedup, facts, inference, keys, more, pairs, panel, policy, sequence, states, text
 
-MODULES = (text, keys, facts, panel, sequence, dedup, pairs, policy, inference, states, chain)
+MODULES = (text, keys, facts, panel, sequence, dedup, pairs, policy, inference, states, chain, more)
 
 QUERIES = {name: fn for m in MODULES for name, (fn, _) in m.Q.items()}
 SQL = {name: sql for m in MODULES for name, (_, sql) in m.Q.items() if sql}
