@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.session import prepare
+
 
 def best_rows(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each group in an order, by a combined minimum; orders are ascending, negate for descending."""
@@ -76,6 +81,58 @@ def with_grid(df: DataFrame, grid: dict[str, Sequence[float]]) -> DataFrame:
     return out
 
 
+def grid_metrics(df: DataFrame, card: str, limits: dict[str, Sequence[float]], epsilons: Sequence[float], cards_per_task: int = 20_000) -> DataFrame:
+    """Metrics of ``threshold_choice`` for every setting of a grid: a limit for each risk of ``limits``, and ``epsilon``.
+
+    One row per setting: the limits (named ``max_`` and the risk), ``epsilon``, ``states``, means of response, cost and of each
+    risk, and ``fallback_rate``. Rows don't meet settings in a join: cards are dealt to buckets of about
+    ``cards_per_task``, whose actions, at most sixteen a card and sorted once by what settings don't
+    change, go through all settings as arrays; what leaves a task is one row of sums a setting.
+    """
+    risks = list(limits)
+    cols = ["response", "cost", *risks]
+    settings = list(itertools.product(*limits.values(), epsilons))
+    prepare(df.sparkSession)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(_r=-pdf["response"]).sort_values([card, "cost", *risks, "_r", "action_id"], kind="stable")
+        row = pd.factorize(pdf[card])[0]
+        place = pdf.groupby(card, sort=False).cumcount().to_numpy()
+        shape = (row.max() + 1, place.max() + 1)
+        x = {c: np.zeros(shape) for c in cols}
+        there = np.zeros(shape, bool)
+        there[row, place] = True
+        for c in cols:
+            x[c][row, place] = pdf[c]
+        over = {(r, t): np.maximum(0, x[r] - t) / max(t, 1e-6) for r in risks for t in limits[r]}
+        n = np.arange(shape[0])
+        out = []
+        for k, s in enumerate(settings):
+            parts = [over[r, t] for r, t in zip(risks, s, strict=False)]
+            worst = np.maximum.reduce(parts)
+            safe = there & (worst == 0)
+            some = safe.any(axis=1)
+            best = np.where(safe, x["response"], -np.inf).max(axis=1)
+            good = safe & (x["response"] >= best[:, None] - s[-1])
+            if not some.all():
+                w = np.where(there, np.round(worst, 9), np.inf)
+                least = w == w.min(axis=1, keepdims=True)
+                total = np.where(least, np.round(sum(parts), 9), np.inf)
+                good = np.where(some[:, None], good, total == total.min(axis=1, keepdims=True))
+            at = good.argmax(axis=1)
+            out.append((k, len(n), int((~some).sum()), *[float(x[c][n, at].sum()) for c in cols]))
+        return pd.DataFrame(out, columns=["k", "n", "fallbacks", *cols])
+
+    rows = df.select(card, "action_id", *[F.col(c).cast("double").alias(c) for c in cols])
+    buckets = max(1, -(-df.select(card).distinct().count() // cards_per_task))
+    schema = "k long, n long, fallbacks long, " + ", ".join(f"`{c}` double" for c in cols)
+    parts = rows.groupBy(F.pmod(F.xxhash64(card), F.lit(buckets)).alias("bucket")).applyInPandas(run, schema)
+    sums = parts.groupBy("k").agg(*[F.sum(c).alias(c) for c in ("n", "fallbacks", *cols)])
+    names = df.sparkSession.createDataFrame([(k, *map(float, s)) for k, s in enumerate(settings)], "k long, " + ", ".join(f"`max_{r}` double" for r in risks) + ", epsilon double")
+    means = [(F.col(c) / F.col("n")).alias(c) for c in cols]
+    return F.broadcast(names).join(sums, "k").select(*[f"max_{r}" for r in risks], "epsilon", F.col("n").alias("states"), *means, (F.col("fallbacks") / F.col("n")).alias("fallback_rate"))
+
+
 def policy_metrics(chosen: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """Means of a policy's choices, share of fallbacks, and entropy of its actions in bits."""
     f = F.col("fallback").cast("double") if "fallback" in chosen.columns else F.lit(0.0)

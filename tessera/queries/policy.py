@@ -94,6 +94,25 @@ def policy_grid(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_grid(spark, d))
 
 
+@Q.query(f"""
+    WITH {_F}, l AS (SELECT unnest([0.25, 0.35, 0.5, 0.75, 1.0])::DOUBLE AS t),
+    g AS (SELECT card_id, action_id, response, misuse, omission, strategy, cost, a.t AS tm, b.t AS tom, c.t AS ts, e AS eps,
+                 greatest(0, misuse - a.t) / a.t AS x, greatest(0, omission - b.t) / b.t AS y, greatest(0, strategy - c.t) / c.t AS z
+          FROM (SELECT *, round(misuse * omission, 6) AS strategy FROM f), l a, l b, l c, (SELECT unnest([0.0, 0.05, 0.1, 0.15, 0.2, 0.3])::DOUBLE AS e)),
+    s AS (SELECT *, greatest(x, y, z) AS worst, bool_or(greatest(x, y, z) = 0) OVER w AS anysafe, max(CASE WHEN greatest(x, y, z) = 0 THEN response END) OVER w AS best FROM g WINDOW w AS (PARTITION BY card_id, tm, tom, ts, eps)),
+    k AS (SELECT tm, tom, ts, eps, card_id, anysafe, arg_min({{'r': response, 'm': misuse, 'o': omission, 's': strategy, 'c': cost}},
+                 {{'a': CASE WHEN anysafe THEN 0 ELSE round(worst, 9) END, 'b': CASE WHEN anysafe THEN 0 ELSE round(x + y + z, 9) END, 'c': cost, 'd': misuse, 'e': omission, 'f': strategy, 'g': -response, 'h': action_id}}) AS v
+          FROM s WHERE NOT anysafe OR worst = 0 AND response >= best - eps GROUP BY ALL)
+    SELECT tm AS max_misuse, tom AS max_omission, ts AS max_strategy, eps AS epsilon, count(*) AS states, round(avg(v.r), 6) AS response, round(avg(v.c), 6) AS cost, round(avg(v.m), 6) AS misuse, round(avg(v.o), 6) AS omission,
+           round(avg(v.s), 6) AS strategy, round(avg((NOT anysafe)::INT), 6) AS fallback_rate FROM k GROUP BY 1, 2, 3, 4
+""")
+def threshold_grid(spark: SparkSession, d: str) -> DataFrame:
+    """All 750 settings of three limits and a margin."""
+    f = facts(spark, d).withColumn("strategy", F.round(F.col("misuse") * F.col("omission"), 6))
+    t = [0.25, 0.35, 0.5, 0.75, 1.0]
+    return rounded(po.grid_metrics(f, "card_id", {"misuse": t, "omission": t, "strategy": t}, [0.0, 0.05, 0.1, 0.15, 0.2, 0.3]))
+
+
 @Q.query(f"""
     WITH {_F}, {_GRID}, {_CHOICE}, m AS ({_METRICS}) SELECT tm, tom, eps, round(response - 0.5 * greatest(misuse, omission) - cost / 500, 6) AS objective FROM m WHERE fallback_rate < 0.9 ORDER BY objective DESC, tm, tom, eps LIMIT 5
 """)

@@ -168,3 +168,13 @@ def test_exact_quantiles_match_numpy(spark):
         shares = [0, 0.05, 0.25, 0.5, 0.95, 1.0]
         assert sampling.exact_quantiles(df, "x", shares) == pytest.approx(np.quantile(values, shares).tolist())
     assert sampling.exact_quantiles(spark.createDataFrame([], "x double"), "x", [0.5]) == [None]
+
+
+def test_sides_and_wanted_keys(spark):
+    want = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+    got = {r.side: (r.missing, r.extra, r.duplicates, r.ok) for r in keys.reconcile_sides(want, {"a": want, "b": spark.createDataFrame([(1,), (1,), (3,)], "k int")}, ["k"]).collect()}
+    assert got == {"a": (0, 0, 0, True), "b": (2, 1, 1, False)}
+    rows = spark.createDataFrame([(1, "x"), (1, "y"), (None, "z"), (4, "w")], "k int, v string")
+    assert {r.v for r in keys.require_all(rows, want.where("k is null or k = 1"), ["k"]).collect()} == {"x", "y", "z"}
+    with pytest.raises(keys.CheckFailed, match="no row for"):
+        keys.require_all(rows, want, ["k"])
