@@ -153,7 +153,7 @@ def dual_order(df: DataFrame, unit: Sequence[str], order: str, label: str, tie_a
     return both.withColumn("winner", resolved.otherwise(F.lit("tie"))).withColumn("consistent", F.col("forward") == F.col("backward"))
 
 
-def shares(df: DataFrame, col: str, **aggs: Column) -> DataFrame:
+def value_shares(df: DataFrame, col: str, **aggs: Column) -> DataFrame:
     """``col``, the aggregates, and the share of all rows that each value has."""
     g = df.groupBy(col).agg(F.count("*").alias("_n"), *[a.alias(n) for n, a in aggs.items()])
     total = g.agg(F.sum("_n").alias("_t"))

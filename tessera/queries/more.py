@@ -93,7 +93,7 @@ def best_utility_shares(spark: SparkSession, d: str) -> DataFrame:
     """Which action has the greatest utility, over states."""
     u = F.round(F.col("response") - 0.5 * F.greatest("misuse", "omission") - 0.1 * F.col("cost") / 50, 6)
     best = policy.best_rows(outcomes(spark, d).select("card_id", "action_id", u.alias("u")), ["card_id"], [-F.col("u"), F.col("action_id")])
-    return rounded(panel.shares(best, "action_id", states=F.count("*"), mean_utility=F.avg("u")))
+    return rounded(panel.value_shares(best, "action_id", states=F.count("*"), mean_utility=F.avg("u")))
 
 
 @Q.query("""
