@@ -87,13 +87,13 @@ def reliability_gate(spark: SparkSession, d: str) -> DataFrame:
 @Q.query(f"""
     WITH {OUTCOMES_SQL}, u AS (SELECT card_id, action_id, round(response - 0.5::DOUBLE * greatest(misuse, omission) - 0.1::DOUBLE * cost / 50, 6) AS u FROM outcomes),
     b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY card_id ORDER BY u DESC, action_id) = 1)
-    SELECT action_id, count(*) AS states, round(count(*) / sum(count(*)) OVER (), 6) AS share, round(avg(u), 6) AS mean_utility FROM b GROUP BY 1
+    SELECT action_id, count(*) AS states, round(count(*) / sum(count(*)) OVER (), 6) AS share, round(avg(u), 4) AS mean_utility FROM b GROUP BY 1
 """)
 def best_utility_shares(spark: SparkSession, d: str) -> DataFrame:
     """Which action has the greatest utility, over states."""
     u = F.round(F.col("response") - 0.5 * F.greatest("misuse", "omission") - 0.1 * F.col("cost") / 50, 6)
     best = policy.best_rows(outcomes(spark, d).select("card_id", "action_id", u.alias("u")), ["card_id"], [-F.col("u"), F.col("action_id")])
-    return rounded(panel.value_shares(best, "action_id", states=F.count("*"), mean_utility=F.avg("u")))
+    return rounded(panel.value_shares(best, "action_id", states=F.count("*"), mean_utility=F.round(F.avg("u"), 4)))
 
 
 @Q.query("""
