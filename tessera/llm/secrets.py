@@ -183,17 +183,16 @@ def scan_secrets(
     Null and empty texts have no candidates; texts of any length are scanned whole; repeated rows each
     give theirs; other columns are ignored, whatever their names; an empty table gives an empty result.
 
-    All is columns: one pass finds the texts with a candidate, splits them there, and scores. Only the
-    candidates, with their bounded context, are shuffled, to sum up the lengths before each.
+    All is columns: one pass finds the texts with a candidate, splits them there, and takes the features.
+    Only the candidates are shuffled, with their features, to sum up the lengths before each.
     """
     model = fit_forest(labelled_findings(docs.sparkSession) if findings is None else findings)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike(CANDIDATE))
     rows = rows.withColumn("row", F.monotonically_increasing_id())
-    each = cut_out(rows)
+    each = cut_out(rows).select("id", "row", "n", "gap", "candidate", *features())
     upto = W.partitionBy("row").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
     each = each.withColumn("end", F.sum(F.col("gap") + F.length("candidate")).over(upto))
-    scored = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(each.select("id", "candidate", "end", *features()))
-    scored = model.transform(scored)
+    scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(each))
     score = vector_to_array("probability")[1]
     return scored.select(
         F.col("id").alias(id_col),
