@@ -132,6 +132,30 @@ def test_flat_trees_follow_their_nodes():
     assert len(statistics("a b\nc")) == len(FEATURES) == len(statistics("")) == len(statistics(" "))
 
 
+def test_boosting_finds_the_split_that_a_search_finds():
+    import numpy as np
+
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        x = rng.integers(0, 12, size=(90, 3)).astype(float)
+        y = (rng.random(90) < np.where(x[:, seed % 3] > 5, 0.85, 0.2)).astype(float)
+        forest = boost(x, y, trees=1, depth=1, rate=0.3, bins=16, l2=1.0, least=5)
+        p = y.mean()
+        grad, hess = y - p, np.full(90, p * (1 - p))
+        value = lambda some: grad[some].sum() ** 2 / (hess[some].sum() + 1)  # noqa: B023, E731
+        gains = {}
+        edges = [(f, cut) for f in range(3) for cut in np.quantile(x[:, f], np.linspace(0, 1, 17)[1:-1])]
+        for f, cut in edges:
+            left = x[:, f] <= cut
+            if min(left.sum(), (~left).sum()) >= 5:
+                gains[f, cut] = value(left) + value(~left) - value(np.ones(90, bool))
+        f, cut = int(forest.feature[0, 0]), forest.threshold[0, 0]
+        left = x[:, f] <= cut
+        assert max(gains.values()) - (value(left) + value(~left) - value(np.ones(90, bool))) < 1e-9
+        for leaf, some in enumerate((left, ~left)):
+            assert abs(forest.value[0, leaf] - 0.3 * grad[some].sum() / (hess[some].sum() + 1)) < 1e-9
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <header><a href=/>Site</a></header><nav><ul><li><a href="/a">A</a><li><a href="/b">B</a></ul></nav>
 <div class="cookie-notice"><div>We use <b>cookies</b></div></div>%s
