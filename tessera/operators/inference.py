@@ -14,6 +14,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.ids import hash_int
+from tessera.session import durable
+
+#: Most clusters whose sums are broadcast, at some 60 bytes each.
+BROADCAST_CLUSTERS = 200_000
 
 
 def cluster_sums(df: DataFrame, group: Sequence[str], cluster: str, x: str) -> DataFrame:
@@ -32,9 +36,13 @@ def draws(clusters: DataFrame, group: Sequence[str], reps: int, seed: int) -> Da
 
 
 def bootstrap(df: DataFrame, group: Sequence[str], cluster: str, x: str, reps: int = 10_000, seed: int = 1729, pooled: bool = False) -> DataFrame:
-    """``group, rep, value``: of each resample of clusters the mean of their means or, ``pooled``, of their rows."""
-    c = cluster_sums(df, group, cluster, x)
-    met = draws(c, group, reps, seed).join(c.select(*group, "i", "s", "n"), [*group, "i"])
+    """``group, rep, value``: of each resample of clusters the mean of their means or, ``pooled``, of their rows.
+
+    The clusters' sums are broadcast if there are at most ``BROADCAST_CLUSTERS``, so that the draws stay where they are made.
+    """
+    c = durable(cluster_sums(df, group, cluster, x))
+    sums = c.select(*group, "i", "s", "n")
+    met = draws(c, group, reps, seed).join(F.broadcast(sums) if c.count() <= BROADCAST_CLUSTERS else sums, [*group, "i"])
     value = F.sum("s") / F.sum("n") if pooled else F.avg(F.col("s") / F.col("n"))
     return met.groupBy(*group, "rep").agg(value.alias("value"))
 
