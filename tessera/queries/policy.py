@@ -206,10 +206,20 @@ def pair_ranker(spark: SparkSession, d: str) -> DataFrame:
     return models.rank_metrics(facts(spark, d), "card_id", ["misuse", "omission", "cost"], "response")
 
 
-@Q.query()
+@Q.query(f"""
+    WITH {_F}, w AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY card_id) AS w, ('0x' || substr(md5('fold' || chr(31) || card_id), 1, 8))::BIGINT % 5 = 0 AS held FROM f),
+    u AS (SELECT cost::DOUBLE AS x, omission::DOUBLE AS z, w, held, unnest(['response', 'misuse', 'memory_quality', 'strategy_risk', 'strategy_quality']) AS head,
+                 unnest([response, misuse, 1 - misuse, misuse * omission, response / 2 + cost / 100]::DOUBLE[]) AS y FROM w),
+    s AS (SELECT head, sum(w) AS a, sum(w * x) AS b, sum(w * z) AS c, sum(w * x * x) + 5 AS d, sum(w * x * z) AS e, sum(w * z * z) + 5 AS g, sum(w * y) AS t0, sum(w * x * y) AS t1, sum(w * z * y) AS t2 FROM u WHERE NOT held GROUP BY 1),
+    k AS (SELECT head, (t0 * (d * g - e * e) - b * (t1 * g - e * t2) + c * (t1 * e - d * t2)) / det AS x0, (a * (t1 * g - e * t2) - t0 * (b * g - e * c) + c * (b * t2 - t1 * c)) / det AS x1,
+                 (a * (d * t2 - t1 * e) - b * (b * t2 - t1 * c) + t0 * (b * e - d * c)) / det AS x2 FROM (SELECT *, a * (d * g - e * e) - b * (b * g - e * c) + c * (b * e - d * c) AS det FROM s))
+    SELECT head, count(*) AS n, round(avg(abs(greatest(0, least(1, x0 + x1 * x + x2 * z)) - y)), 6) AS mae FROM u JOIN k USING (head) WHERE held GROUP BY 1
+""")
 def ridge_heads(spark: SparkSession, d: str) -> DataFrame:
-    """No SQL: weighted ridge heads by normal equations; absolute error on held-out cards."""
-    return models.ridge_metrics(facts(spark, d), "card_id", ["cost", "omission"], ["response", "misuse"])
+    """Five weighted ridge heads by normal equations; absolute error on held-out cards."""
+    m, o, r = F.col("misuse"), F.col("omission"), F.col("response")
+    f = facts(spark, d).withColumns({"memory_quality": 1 - m, "strategy_risk": m * o, "strategy_quality": r / 2 + F.col("cost") / 100})
+    return rounded(models.ridge_metrics(f, "card_id", ["cost", "omission"], ["response", "misuse", "memory_quality", "strategy_risk", "strategy_quality"]))
 
 
 @Q.query()
