@@ -6,15 +6,16 @@ import itertools
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators.features import group_weights
 from tessera.operators.keys import CheckFailed
-from tessera.operators.models import bootstrap_predictions, ridge_fit
+from tessera.operators.logistic import fit_columns, log_loss
+from tessera.operators.models import bootstrap_predictions, ridge_fits
+from tessera.operators.pairgraph import pair_rows
+from tessera.session import durable
 
 BASELINE = "M0+R0"
 #: Heads of the first chain beside the ranker's ``response``; each is learned and given in [0, 1].
@@ -70,29 +71,16 @@ class ActionModel:
         return cut.withColumns(cols).drop(*x)
 
 
-def pair_rows(pairs: DataFrame, actions: DataFrame, card: str, features: Sequence[str]) -> DataFrame:
-    """Decided pairs and their mirror images: differences of features, ``label``, and a ``weight`` of one half over the card's decided pairs.
-
-    ``pairs`` have ``card, a, b, winner``. Both sides' features come from one join.
-    """
-    rows = pairs.where("winner in ('A', 'B')").withColumn("_id", F.struct(card, "a", "b"))
-    sides = rows.select(card, "_id", "winner", F.explode(F.array(F.struct(F.col("a").alias("action_id"), F.lit(1.0).alias("s")), F.struct(F.col("b").alias("action_id"), F.lit(-1.0).alias("s")))).alias("e"))
-    met = sides.select(card, "_id", "winner", "e.*").join(actions.select(card, "action_id", *features), [card, "action_id"])
-    d = met.groupBy(card, "_id", "winner").agg(F.count("*").alias("_n"), *[F.sum(F.col("s") * F.col(f)).alias(f) for f in features]).where("_n = 2")
-    d = d.withColumn("weight", 0.5 / F.count("*").over(W.partitionBy(card))).withColumn("_s", F.explode(F.array(F.lit(1.0), F.lit(-1.0))))
-    label = ((F.col("winner") == "A") == (F.col("_s") > 0)).cast("double")
-    return d.select(card, "weight", label.alias("label"), *[(F.col(f) * F.col("_s")).alias(f) for f in features])
-
-
 def train_actions(
-    actions: DataFrame, pairs: DataFrame, card: str, train: Column, features: Sequence[str], state: str | None = None, c: float = 1.0, alpha: float = 5.0
+    actions: DataFrame, pairs: DataFrame, card: str, train: Column, features: Sequence[str], state: str | None = None, c: float = 1.0, alpha: float = 5.0, made: DataFrame | None = None
 ) -> ActionModel:
     """Fit the ranker on decided pairs and the five heads on labelled actions of the rows where ``train`` holds.
 
     Gates, each of which fails the training: no training card; a ``state`` on both sides of the split;
     an action without one of the labels; pairs of fewer than two classes. A card's actions weigh 1
     together. The ranker's penalty is that of an inverse strength ``c`` over summed losses, the ridge's
-    ``alpha``; both leave out the intercept, which mirrored pairs make zero.
+    ``alpha``; both leave out the intercept, which mirrored pairs make zero. ``made`` are the pairs' rows
+    (``pair_rows``) where the caller has them.
     """
     features = list(features)
     split = actions.withColumn("_t", F.coalesce(train, F.lit(False)))
@@ -106,23 +94,22 @@ def train_actions(
         raise CheckFailed(f"{state}: on both sides of the split")
     rows = group_weights(split.where("_t"), card)
     ends = rows.agg(*[f(x).alias(f"{n}_{x}") for x in features for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    p = pair_rows(pairs.join(rows.select(card).distinct(), card, "left_semi"), rows, card, features)
-    total = p.agg(F.sum("weight").alias("w"), F.count_distinct("label").alias("k"), F.count("*").alias("n")).first()
+    p = (made if made is not None else durable(pair_rows(pairs, actions, card, features))).join(rows.select(card).distinct(), card, "left_semi")
+    p = durable(p.select("label", "weight", *features))
+    total = p.agg(F.count_distinct("label").alias("k"), F.count("*").alias("n")).first()
     if total.k < 2:
         raise CheckFailed("pairs have fewer than two classes")
-    x = VectorAssembler(inputCols=features, outputCol="_v").transform(p)
-    fit = LogisticRegression(featuresCol="_v", labelCol="label", weightCol="weight", regParam=1 / (c * total.w), fitIntercept=False, standardization=False, maxIter=200).fit(x)
-    heads = {h: [float(v) for v in ridge_fit(rows, features, h, "weight", alpha)] for h in HEADS}
+    ranker = fit_columns(p, features, c=c)
+    heads = {h: [float(v) for v in b] for h, b in ridge_fits(rows, features, HEADS, "weight", alpha).items()}
     report = {"cards": seen.cards, "pairs": total.n // 2}
-    return ActionModel(features, [float(v) for v in fit.coefficients], heads, {f: float(ends[f"lo_{f}"]) for f in features}, {f: float(ends[f"hi_{f}"]) for f in features}, report)
+    return ActionModel(features, [float(v) for v in ranker], heads, {f: float(ends[f"lo_{f}"]) for f in features}, {f: float(ends[f"hi_{f}"]) for f in features}, report)
 
 
-def evaluate_actions(model: ActionModel, actions: DataFrame, pairs: DataFrame, card: str) -> DataFrame:
+def evaluate_actions(model: ActionModel, actions: DataFrame, pairs: DataFrame, card: str, made: DataFrame | None = None) -> DataFrame:
     """One row: decided ``pairs``, ``accuracy`` and ``log_loss`` of the ranker on them, and the mean absolute error of each head on ``actions``."""
     z = _linear(model.features, model.ranker)
-    p = pair_rows(pairs, actions, card, model.features).select("label", F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), 1 / (1 + F.exp(-_clip(z, -30.0, 30.0))))).alias("q"))
-    loss = -F.when(F.col("label") == 1, F.log("q")).otherwise(F.log(1 - F.col("q")))
-    ranked = p.agg((F.count("*") / 2).cast("long").alias("pairs"), F.avg(((F.col("q") > 0.5) == (F.col("label") == 1)).cast("double")).alias("accuracy"), F.avg(loss).alias("log_loss"))
+    p = (made if made is not None else pair_rows(pairs, actions, card, model.features)).select("label", (1 / (1 + F.exp(-_clip(z, -30.0, 30.0)))).alias("q"))
+    ranked = p.agg((F.count("*") / 2).cast("long").alias("pairs"), F.avg(((F.col("q") > 0.5) == (F.col("label") == 1)).cast("double")).alias("accuracy"), F.avg(log_loss(F.col("label"), F.col("q"))).alias("log_loss"))
     errors = [F.avg(F.abs(_clip(_linear(model.features, w[1:], w[0]), 0.0, 1.0) - F.col(h))).alias(f"mae_{h}") for h, w in model.heads.items()]
     return ranked.join(F.broadcast(actions.agg(*errors)))
 
@@ -132,12 +119,13 @@ def cross_validated(actions: DataFrame, pairs: DataFrame, folds: DataFrame, card
 
     The grid is the caller's, and small; each of its fits and evaluations is a Spark job over all rows.
     """
-    rows = actions.join(folds, state)
+    rows = durable(actions.join(folds, state))
+    made = durable(pair_rows(pairs, rows, card, sorted({f for some in modes.values() for f in some})))
     out = None
     for (mode, features), c, (fold,) in itertools.product(modes.items(), strengths, sorted(folds.select("fold").distinct().collect())):
-        model = train_actions(rows, pairs, card, F.col("fold") != fold, features, state, c)
+        model = train_actions(rows, pairs, card, F.col("fold") != fold, features, state, c, made=made)
         held = rows.where(F.col("fold") == fold)
-        row = evaluate_actions(model, held, pairs.join(held.select(card).distinct(), card, "left_semi"), card)
+        row = evaluate_actions(model, held, pairs, card, made.join(held.select(card).distinct(), card, "left_semi"))
         row = row.select(F.lit(mode).alias("mode"), F.lit(float(c)).alias("c"), F.lit(fold).alias("fold"), *row.columns)
         out = row if out is None else out.unionByName(row)
     return out

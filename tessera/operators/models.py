@@ -5,58 +5,53 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.ids import hash_int
+from tessera.operators.logistic import fit_columns, log_loss
+from tessera.operators.pairgraph import decided_pairs, pair_rows
+from tessera.session import durable
 
 
 def held_out(group: str, folds: int = 5) -> F.Column:
     return hash_int(F.lit("fold"), group) % folds == 0
 
 
-def ring_pairs(df: DataFrame, group: str, features: Sequence[str], target: str) -> DataFrame:
-    """Each row against the next of its group, in id order: differences of features, and which has the greater target."""
-    w = W.partitionBy(group).orderBy("action_id")
-    cols = [(F.col(f) - F.lead(f).over(w)).alias(f) for f in features]
-    return df.select(group, (F.col(target) - F.lead(target).over(w)).alias("_d"), *cols).where("_d <> 0")
+def rank_metrics(df: DataFrame, group: str, features: Sequence[str], target: str, c: float = 1.0) -> DataFrame:
+    """``n, accuracy, log_loss`` on the pairs of held-out groups of a ranker fitted on those of the others.
 
-
-def rank_metrics(df: DataFrame, group: str, features: Sequence[str], target: str) -> DataFrame:
-    """``n, accuracy, log_loss`` on held-out groups of a ranker fitted on the others."""
-    p = ring_pairs(df, group, features, target).withColumn("_s", F.explode(F.array(F.lit(1.0), F.lit(-1.0))))
-    p = p.select(group, *[(F.col(f) * F.col("_s")).alias(f) for f in features], (F.col("_d") * F.col("_s") > 0).cast("double").alias("label"))
-    p = p.withColumn("weight", 0.5 / F.count("*").over(W.partitionBy(group)))
-    x = VectorAssembler(inputCols=list(features), outputCol="x").transform(p)
-    model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", regParam=1e-4, fitIntercept=False).fit(x.where(~held_out(group)))
-    prob = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), vector_to_array("probability")[1]))
-    loss = -F.when(F.col("label") == 1, F.log(prob)).otherwise(F.log(1 - prob))
-    return model.transform(x.where(held_out(group))).agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"), F.avg(loss).alias("log_loss"))
+    Pairs are the edges of the pair graph between a group's actions, where one side has the greater
+    ``target``; each stands with its mirror image.
+    """
+    x = durable(pair_rows(decided_pairs(df, group, target), df, group, features))
+    w = fit_columns(x.where(~held_out(group)), features, c=c)
+    p = 1 / (1 + F.exp(-sum((float(v) * F.col(f) for v, f in zip(w, features, strict=True)), F.lit(0.0))))
+    right = ((p > 0.5) == (F.col("label") == 1)).cast("double")
+    return x.where(held_out(group)).agg(F.count("*").alias("n"), F.avg(right).alias("accuracy"), F.avg(log_loss(F.col("label"), p)).alias("log_loss"))
 
 
-def ridge_fit(df: DataFrame, features: Sequence[str], target: str, weight: str, alpha: float) -> np.ndarray:
-    """Weights (intercept first, not penalised) from sums that combine on the way: one aggregate, one row to the driver."""
+def ridge_fits(df: DataFrame, features: Sequence[str], targets: Sequence[str], weight: str, alpha: float) -> dict[str, np.ndarray]:
+    """Weights (intercept first, not penalised) for each target, from sums that combine on the way: one aggregate, one row to the driver."""
     x = [F.lit(1.0), *[F.col(f) for f in features]]
-    w = F.col(weight)
-    sums = [F.sum(w * a * b) for a in x for b in x] + [F.sum(w * a * F.col(target)) for a in x]
+    w, k = F.col(weight), len(features) + 1
+    sums = [F.sum(w * a * b) for a in x for b in x] + [F.sum(w * a * F.col(t)) for t in targets for a in x]
     row = np.array(df.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first(), dtype=float)
-    k = len(x)
     penalty = alpha * np.eye(k)
     penalty[0, 0] = 0
-    return np.linalg.solve(row[: k * k].reshape(k, k) + penalty, row[k * k :])
+    matrix = row[: k * k].reshape(k, k) + penalty
+    return {t: np.linalg.solve(matrix, row[k * (k + i) : k * (k + i + 1)]) for i, t in enumerate(targets)}
 
 
 def ridge_metrics(df: DataFrame, group: str, features: Sequence[str], targets: Sequence[str], alpha: float = 5.0) -> DataFrame:
     """``head, n, mae`` on held-out groups, predictions clipped to [0, 1]."""
     rows = df.withColumn("_w", 1.0 / F.count("*").over(W.partitionBy(group)))
+    fits = ridge_fits(rows.where(~held_out(group)), features, targets, "_w", alpha)
     out = None
-    for t in targets:
-        b = ridge_fit(rows.where(~held_out(group)), features, t, "_w", alpha)
+    for t, b in fits.items():
         guess = F.lit(float(b[0]))
         for f, v in zip(features, b[1:], strict=True):
             guess = guess + float(v) * F.col(f)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -86,3 +88,29 @@ def graph_audit(cards: DataFrame, edges: DataFrame, card: str, available: str) -
     facts = F.transform(degrees, lambda d: F.struct(F.size(F.filter(d, lambda n: n == 0)).alias("isolated"), F.array_min(d).alias("least_degree"), F.array_max(d).alias("most_degree")))[0]
     out = mine.select(card, F.size("v").alias("nodes"), F.size("e").alias("edges"), facts.alias("f"), components.alias("components"))
     return out.select(card, *[F.col(c).cast("long").alias(c.split(".")[-1]) for c in ("nodes", "edges", "f.isolated", "f.least_degree", "f.most_degree", "components")])
+
+
+def decided_pairs(rows: DataFrame, card: str, value: str) -> DataFrame:
+    """``card, a, b, winner``: the edges between a card's labelled actions, and which side has the greater ``value`` (A, B or tie).
+
+    The edge list has at most 120 rows and is broadcast, so rows meet by card and action only.
+    """
+    edges = F.broadcast(action_edges(rows).select(F.col("action_a").alias("a"), F.col("action_b").alias("b")))
+    one = rows.select(card, F.col("action_id").alias("a"), F.col(value).alias("_x")).join(edges, "a")
+    met = one.join(rows.select(card, F.col("action_id").alias("b"), F.col(value).alias("_y")), [card, "b"])
+    winner = F.when(F.col("_x") > F.col("_y"), "A").when(F.col("_x") < F.col("_y"), "B").otherwise("tie")
+    return met.select(card, "a", "b", winner.alias("winner"))
+
+
+def pair_rows(pairs: DataFrame, actions: DataFrame, card: str, features: Sequence[str]) -> DataFrame:
+    """Decided pairs and their mirror images: differences of features, ``label``, and a ``weight`` of one half over the card's decided pairs.
+
+    ``pairs`` have ``card, a, b, winner``. Both sides' features come from one join.
+    """
+    rows = pairs.where("winner in ('A', 'B')").withColumn("_id", F.struct(card, "a", "b"))
+    sides = rows.select(card, "_id", "winner", F.explode(F.array(F.struct(F.col("a").alias("action_id"), F.lit(1.0).alias("s")), F.struct(F.col("b").alias("action_id"), F.lit(-1.0).alias("s")))).alias("e"))
+    met = sides.select(card, "_id", "winner", "e.*").join(actions.select(card, "action_id", *features), [card, "action_id"])
+    d = met.groupBy(card, "_id", "winner").agg(F.count("*").alias("_n"), *[F.sum(F.col("s") * F.col(f)).alias(f) for f in features]).where("_n = 2")
+    d = d.withColumn("weight", 0.5 / F.count("*").over(W.partitionBy(card))).withColumn("_s", F.explode(F.array(F.lit(1.0), F.lit(-1.0))))
+    label = ((F.col("winner") == "A") == (F.col("_s") > 0)).cast("double")
+    return d.select(card, "weight", label.alias("label"), *[(F.col(f) * F.col("_s")).alias(f) for f in features])

@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import chain, keys
+from tessera.operators.pairgraph import decided_pairs
 from tessera.operators.sampling import grouped_folds
 from tessera.plans import users as us
 from tessera.plans.views import OUTCOMES_SQL, outcomes
+from tessera.queries.facts import ACTIONS_SQL
+from tessera.queries.newton import newton, product, solved
+from tessera.queries.pairs import _EDGES as EDGES_SQL
 from tessera.queries.panel import rounded
 from tessera.queries.registry import Registry
 from tessera.streaming.events import closed_loop
@@ -26,34 +30,63 @@ def labelled(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def decided(rows: DataFrame) -> DataFrame:
-    """Pairs of a card's neighbouring actions, and which of them has the better response."""
-    from pyspark.sql import Window as W
+MODES = {"metadata": ["load", "sources"], "all": ["load", "sources", "flagged"]}
 
-    w = W.partitionBy("card_id").orderBy("action_id")
-    p = rows.select("card_id", F.col("action_id").alias("a"), F.lead("action_id").over(w).alias("b"), (F.col("response") - F.lead("response").over(w)).alias("gain")).where("b is not null")
-    return p.select("card_id", "a", "b", F.when(F.col("gain") > 0, "A").when(F.col("gain") < 0, "B").otherwise("tie").alias("winner"))
+_LABELLED = f"""{OUTCOMES_SQL}, {ACTIONS_SQL}, {EDGES_SQL},
+    lab AS (SELECT card_id, action_id, user_id, [cost / 50, available, (flag = 'R')::INT]::DOUBLE[] AS x, response, misuse, omission::DOUBLE AS omission, 1 - misuse AS memory_quality, omission * misuse AS strategy_risk,
+                   response / 2 + cost / 100 AS strategy_quality, 1.0::DOUBLE / count(*) OVER (PARTITION BY card_id) AS w FROM outcomes),
+    e AS (SELECT a.card_id, a.user_id, a.response > b.response AS win, list_transform(range(1, 4), lambda i: a.x[i] - b.x[i]) AS x, 0.5::DOUBLE / count(*) OVER (PARTITION BY a.card_id) AS w
+          FROM lab a JOIN edges ON a.action_id = action_a JOIN lab b ON b.card_id = a.card_id AND b.action_id = action_b WHERE a.response <> b.response),
+    p AS (SELECT card_id, user_id, w, list_transform(x, lambda q: s * q) AS x, (win = (s > 0))::INT AS y FROM e, (SELECT unnest([1, -1]) AS s)),
+    u AS (SELECT card_id, action_id, user_id, x, w, unnest(['misuse', 'omission', 'memory_quality', 'strategy_risk', 'strategy_quality']) AS head,
+                 unnest([misuse, omission, memory_quality, strategy_risk, strategy_quality]) AS y FROM lab)"""
 
 
-MODES = {"metadata": ["load", "sources"], "all": ["load", "sources", "flagged"]}
+def _ridge_sql(rows: str, keys: str) -> str:
+    """``keys, b`` (intercept first) of ridge fits of ``y`` on ``x`` with weights ``w``."""
+    t = ["1", "x[1]", "x[2]", "x[3]"]
+    m = ", ".join("[" + ", ".join([f"sum(w * {a} * {b}) + {5 if a == b != '1' else 0}::DOUBLE" for b in t] + [f"sum(w * {a} * y)"]) + "]" for a in t)
+    return f"(SELECT {keys}, list_transform(m, lambda r: r[5]) AS b FROM {solved(f'(SELECT {keys}, [{m}] AS m FROM {rows} GROUP BY {keys})', 4, keys)})"
 
 
-@Q.query()
+_GUESS = "greatest(0, least(1, b[1] + b[2] * x[1] + b[3] * x[2] + b[4] * x[3]))"
+
+
+@Q.query(f"""
+    WITH RECURSIVE {_LABELLED}, d AS (SELECT 1 AS k, x, y, w FROM p WHERE card_id % 5 <> 0), {newton("fit", "d", "k", 3)},
+    h AS (SELECT card_id, action_id, head, {_GUESS} AS g FROM u JOIN {_ridge_sql("u WHERE card_id % 5 <> 0", "head")} USING (head) WHERE card_id % 5 = 0),
+    lo AS (SELECT [min(x[1]), min(x[2]), min(x[3])] AS lo, [max(x[1]), max(x[2]), max(x[3])] AS hi FROM lab WHERE card_id % 5 <> 0),
+    s AS (SELECT card_id, action_id, 1 / (1 + exp(-greatest(-30, least(30, {product("v", "x", 3)})))) AS response FROM (SELECT card_id, action_id, list_transform(range(1, 4), lambda i: greatest(lo[i], least(hi[i], x[i]))) AS x FROM lab, lo WHERE card_id % 5 = 0), fit)
+    SELECT card_id, action_id, round(response, 6) AS response, {", ".join(f"round(max(g) FILTER (head = '{h}'), 6) AS {h}" for h in chain.HEADS)} FROM s JOIN h USING (card_id, action_id) GROUP BY card_id, action_id, response
+""")
 def scored_actions(spark: SparkSession, d: str) -> DataFrame:
-    """No SQL: six heads fitted on four fifths of the cards score the actions of the others."""
+    """Six heads fitted on four fifths of the cards, the ranker along the edges of the pair graph, score the actions of the others."""
     rows = durable(labelled(spark, d))
     train = F.col("card_id") % 5 != 0
-    model = chain.train_actions(rows, decided(rows), "card_id", train, MODES["all"])
+    model = chain.train_actions(rows, decided_pairs(rows, "card_id", "response"), "card_id", train, MODES["all"])
     scored = model.score_actions(rows.where(~train).select("card_id", "action_id", *MODES["all"]))
     return rounded(scored.drop(*MODES["all"]))
 
 
-@Q.query()
+@Q.query(f"""
+    WITH RECURSIVE {_LABELLED}, sz AS (SELECT user_id, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, user_id) AS i FROM lab GROUP BY 1),
+    fo AS (SELECT 0::BIGINT AS i, [0, 0, 0]::BIGINT[] AS loads, 0::BIGINT AS fold UNION ALL SELECT i, [CASE WHEN j = pos THEN loads[j] + size ELSE loads[j] END FOR j IN range(1, 4)], pos - 1
+           FROM (SELECT sz.i, sz.size, fo.loads, list_position(fo.loads, list_min(fo.loads))::BIGINT AS pos FROM fo JOIN sz ON sz.i = fo.i + 1)),
+    fu AS (SELECT user_id, fo.fold AS own FROM sz JOIN fo USING (i)),
+    g AS (SELECT k, split_part(k, ' ', 1) AS mode, split_part(k, ' ', 2)::BIGINT AS fold, last FROM (SELECT mode || ' ' || fold AS k, last FROM (VALUES ('metadata', 0), ('all', 1)) m(mode, last), (SELECT unnest([0, 1, 2]) AS fold))),
+    px AS (SELECT k, fold = own AS held, [x[1], x[2], x[3] * last]::DOUBLE[] AS x, y, w FROM p JOIN fu USING (user_id), g),
+    ux AS (SELECT k || ' ' || head AS kh, k, head, fold = own AS held, [x[1], x[2], x[3] * last]::DOUBLE[] AS x, y, w FROM u JOIN fu USING (user_id), g),
+    d AS (SELECT k, x, y, w FROM px WHERE NOT held), {newton("fit", "d", "k", 3)},
+    q AS (SELECT k, y, 1 / (1 + exp(-greatest(-30, least(30, {product("v", "x", 3)})))) AS q FROM px JOIN fit USING (k) WHERE held),
+    r AS (SELECT k, (count(*) / 2)::BIGINT AS pairs, avg(((q > 0.5) = (y = 1))::INT) AS accuracy, avg(-ln(greatest(1e-9, least(1 - 1e-9, CASE WHEN y = 1 THEN q ELSE 1 - q END)))) AS log_loss FROM q GROUP BY 1),
+    h AS (SELECT k, head, avg(abs({_GUESS} - y)) AS mae FROM ux JOIN {_ridge_sql("ux WHERE NOT held", "kh")} USING (kh) WHERE held GROUP BY 1, 2)
+    SELECT mode, 1.0::DOUBLE AS c, fold, pairs, round(accuracy, 6) AS accuracy, round(log_loss, 6) AS log_loss, {", ".join(f"round(max(mae) FILTER (head = '{h}'), 6) AS mae_{h}" for h in chain.HEADS)} FROM g JOIN r USING (k) JOIN h USING (k) GROUP BY ALL
+""")
 def cross_validation(spark: SparkSession, d: str) -> DataFrame:
-    """No SQL: both sets of features over three folds of users."""
+    """Both sets of features over three folds of users."""
     rows = durable(labelled(spark, d))
     folds = durable(grouped_folds(rows, "user_id", 3).select("user_id", "fold"))
-    return rounded(chain.cross_validated(rows, durable(decided(rows)), folds, "card_id", "user_id", MODES))
+    return rounded(chain.cross_validated(rows, durable(decided_pairs(rows, "card_id", "response")), folds, "card_id", "user_id", MODES))
 
 
 @Q.query()

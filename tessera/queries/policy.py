@@ -9,6 +9,9 @@ from tessera.operators import features as ft
 from tessera.operators import models
 from tessera.operators import policy as po
 from tessera.plans.views import OUTCOMES_SQL, outcomes
+from tessera.queries.facts import ACTIONS_SQL
+from tessera.queries.newton import newton, product
+from tessera.queries.pairs import _EDGES as EDGES_SQL
 from tessera.queries.panel import rounded
 from tessera.queries.registry import Registry
 from tessera.session import table
@@ -200,10 +203,21 @@ def catalog_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ft.catalog_summary(table(spark, d, "embeddings"), "label", "embedding"))
 
 
-@Q.query()
+_HELD = "('0x' || substr(md5('fold' || chr(31) || card_id), 1, 8))::BIGINT % 5 = 0"
+
+
+@Q.query(f"""
+    WITH RECURSIVE {_F}, {ACTIONS_SQL}, {EDGES_SQL},
+    e AS (SELECT a.card_id, a.response > b.response AS win, [a.misuse - b.misuse, a.omission - b.omission, a.cost - b.cost]::DOUBLE[] AS x, 0.5::DOUBLE / count(*) OVER (PARTITION BY a.card_id) AS w
+          FROM f a JOIN edges ON a.action_id = action_a JOIN f b ON b.card_id = a.card_id AND b.action_id = action_b WHERE a.response <> b.response),
+    p AS (SELECT card_id, {_HELD} AS held, w, list_transform(x, lambda q: s * q) AS x, (win = (s > 0))::INT AS y FROM e, (SELECT unnest([1, -1]) AS s)),
+    d AS (SELECT 1 AS k, x, y, w FROM p WHERE NOT held), {newton("fit", "d", "k", 3)},
+    q AS (SELECT y, 1 / (1 + exp(-{product("v", "x", 3)})) AS q FROM p, fit WHERE held)
+    SELECT count(*) AS n, round(avg(((q > 0.5) = (y = 1))::INT), 6) AS accuracy, round(avg(-ln(greatest(1e-9, least(1 - 1e-9, CASE WHEN y = 1 THEN q ELSE 1 - q END)))), 6) AS log_loss FROM q
+""")
 def pair_ranker(spark: SparkSession, d: str) -> DataFrame:
-    """No SQL: a weighted logistic model of which of two lines has the better response; accuracy and log-loss on held-out cards."""
-    return models.rank_metrics(facts(spark, d), "card_id", ["misuse", "omission", "cost"], "response")
+    """A weighted logistic model of which of two actions has the better response, along the edges of the pair graph; accuracy and log-loss on held-out cards."""
+    return rounded(models.rank_metrics(facts(spark, d), "card_id", ["misuse", "omission", "cost"], "response"))
 
 
 @Q.query(f"""
