@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions.ids import hash_int
 from tessera.functions.numbers import cosine, finite
 from tessera.functions.text import normalize_for_hash
-from tessera.operators.sampling import exact_quantiles
+from tessera.operators.sampling import column_quantiles, exact_quantiles
 
 #: Words of the sparse text vectors: two or more of these.
 TERM = r"([a-z0-9_][a-z0-9_]+)"
@@ -76,19 +76,26 @@ def catalog_summary(df: DataFrame, group: str, vector: str, conflict: float = 0.
     )
 
 
-def tfidf(df: DataFrame, key: str, text: str, max_terms: int = 2048, min_df: int = 2) -> DataFrame:
-    """``key, term, weight``: words and word pairs, sublinear counts, smoothed idf plus 1, unit length.
-
-    The vocabulary is the ``max_terms`` most frequent terms of at least ``min_df`` texts, a fixed bound.
-    """
+def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, term, n``: words and word pairs of each text."""
     # Words and pairs are made in one pass; the split is a column of its own, which the lambda must not evaluate again at each place.
     words = df.select(key, F.split(F.array_join(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(1)), " "), " ").alias("_w"))
     pairs = F.zip_with(F.slice("_w", F.lit(1), F.size("_w") - 1), F.slice("_w", F.lit(2), F.size("_w") - 1), lambda a, b: F.concat_ws(" ", a, b))
     terms = words.where("_w[0] <> ''").select(key, F.explode(F.concat(F.col("_w"), pairs)).alias("term"))
-    tf = terms.groupBy(key, "term").agg(F.count("*").alias("n"))
-    vocabulary = tf.groupBy("term").agg(F.count("*").alias("_df"), F.sum("n").alias("_t")).where(F.col("_df") >= min_df).orderBy(F.col("_t").desc(), "term").limit(max_terms)
+    return terms.groupBy(key, "term").agg(F.count("*").alias("n"))
+
+
+def vocabulary(tf: DataFrame, max_terms: int, min_df: int) -> DataFrame:
+    """``term, _df``: the ``max_terms`` most frequent terms of at least ``min_df`` texts, a fixed bound."""
+    found = tf.groupBy("term").agg(F.count("*").alias("_df"), F.sum("n").alias("_t")).where(F.col("_df") >= min_df)
+    return found.orderBy(F.col("_t").desc(), "term").limit(max_terms).select("term", "_df")
+
+
+def tfidf(df: DataFrame, key: str, text: str, max_terms: int = 2048, min_df: int = 2) -> DataFrame:
+    """``key, term, weight``: words and word pairs, sublinear counts, smoothed idf plus 1, unit length, over the texts' own ``vocabulary``."""
+    tf = term_counts(df, key, text)
     size = df.agg(F.count("*").alias("_n"))
-    x = tf.join(F.broadcast(vocabulary), "term").join(F.broadcast(size))
+    x = tf.join(F.broadcast(vocabulary(tf, max_terms, min_df)), "term").join(F.broadcast(size))
     x = x.withColumn("_x", (1 + F.log("n")) * (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1))
     norm = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(W.partitionBy(key)))
     return x.withColumn("weight", F.col("_x") / norm).select(key, "term", "weight")
@@ -99,7 +106,7 @@ def hashed_fingerprint(df: DataFrame, key: str, text: str, size: int = 64) -> Da
     words = df.select(key, F.split(normalize_for_hash(F.col(text)), " ").alias("_w"))
     pairs = F.zip_with(F.slice("_w", F.lit(1), F.size("_w") - 1), F.slice("_w", F.lit(2), F.size("_w") - 1), lambda a, b: F.concat_ws(" ", a, b))
     terms = F.when(F.col("_w")[0] == "", F.array().cast("array<string>")).otherwise(F.concat(F.col("_w"), pairs))
-    at = words.select(key, F.explode_outer(terms).alias("t")).select(key, F.pmod(F.xxhash64("t"), F.lit(size)).alias("i"), F.col("t").isNotNull().cast("double").alias("x"))
+    at = words.select(key, F.explode_outer(terms).alias("t")).select(key, (hash_int("t") % size).alias("i"), F.col("t").isNotNull().cast("double").alias("x"))
     n = at.groupBy(key, "i").agg(F.sum("x").alias("x"))
     n = n.withColumn("x", F.coalesce(F.try_divide(F.col("x"), F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy(key)))), F.lit(0.0)))
     m = n.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("i").cast("int"), F.round("x", 8)))).alias("m"))
@@ -108,7 +115,7 @@ def hashed_fingerprint(df: DataFrame, key: str, text: str, size: int = 64) -> Da
 
 def robust_scaled(df: DataFrame, train: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Each field less its training median, over its interquartile range (over 1 where that is 0). The statistics are the driver's numbers."""
-    q = {c: [v or 0.0 for v in exact_quantiles(train, c, [0.25, 0.5, 0.75])] for c in fields}
+    q = {c: [v or 0.0 for v in some] for c, some in column_quantiles(train, fields, [0.25, 0.5, 0.75]).items()}
     return df.withColumns({c: (F.col(c) - b) / ((d - a) or 1.0) for c, (a, b, d) in q.items()})
 
 
@@ -139,6 +146,6 @@ def char_gram_hashes(df: DataFrame, key: str, text: str, size: int = 256, lo: in
 
 def band_report(df: DataFrame, train: DataFrame, fields: Sequence[str], lo: float = 0.01, hi: float = 0.99, severe: float = 0.25) -> DataFrame:
     """Add ``excess``, the mean over ``fields`` of how far a value lies outside the training band, in units of the band's nearer end (1 at least), and ``severe``."""
-    ends = {c: exact_quantiles(train, c, [lo, hi]) for c in fields}
+    ends = column_quantiles(train, fields, [lo, hi])
     over = [F.greatest((a - F.col(c)) / max(abs(a), 1.0), (F.col(c) - b) / max(abs(b), 1.0), F.lit(0.0)) for c, (a, b) in ends.items()]
     return df.withColumn("excess", sum(over[1:], over[0]) / len(over)).withColumn("severe", F.col("excess") > severe)

@@ -49,30 +49,45 @@ def systematic_sample(df: DataFrame, n: int, key: str) -> DataFrame:
     return placed.where(hit).select(*df.columns)
 
 
-def exact_quantiles(df: DataFrame, x: str, shares: Sequence[float]) -> list[float | None]:
-    """Quantiles of a column, between neighbours, as the driver's numbers; ``None`` each where there is no value.
+def quantiles_by(df: DataFrame, key: str, x: str, shares: Sequence[float]) -> dict:
+    """For each ``key`` (a few of them, as columns of a table are) its quantiles, between neighbours, as the driver's numbers.
 
-    Equal values are counted first, the counts are range-partitioned by value and summed, so no task
-    holds all values; the driver gets the partitions' sums and two values for each share.
+    Equal values are counted first, the counts are range-partitioned by key and value and summed, so no
+    task holds all values of a key; the driver gets the partitions' sums and two values for each share.
     """
     from tessera.session import durable
 
-    counts = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).groupBy(F.col(x).cast("double").alias("x")).agg(F.count("*").alias("c"))
-    rows = durable(counts.repartitionByRange("x").withColumn("p", F.spark_partition_id()))
-    before, starts = 0, []
-    for r in sorted(rows.groupBy("p").agg(F.sum("c").alias("c")).collect()):
-        starts.append((r.p, before))
-        before += r["c"]
-    if not before:
-        return [None for _ in shares]
-    at = [(s * (before - 1) // 1, s * (before - 1) % 1) for s in shares]
-    ranks = sorted({int(k) + d for k, _ in at for d in (0, 1) if k + d < before})
-    base = F.create_map(*[v for p, n in starts for v in (F.lit(p), F.lit(n))])[F.col("p")]
-    upto = base + F.sum("c").over(W.partitionBy("p").orderBy("x").rowsBetween(W.unboundedPreceding, 0))
-    placed = rows.withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("c"))
-    wanted = placed.withColumn("r", F.explode(F.filter(F.array(*map(F.lit, ranks)), lambda r: (r >= F.col("lo")) & (r < F.col("hi")))))
-    value = {r.r: r.x for r in wanted.select("r", "x").collect()}
-    return [value[int(k)] + f * (value[min(int(k) + 1, before - 1)] - value[int(k)]) for k, f in at]
+    value = F.col(x).cast("double")
+    counts = df.where(value.isNotNull() & ~F.isnan(value)).groupBy(F.col(key).alias("k"), value.alias("x")).agg(F.count("*").alias("c"))
+    rows = durable(counts.repartitionByRange("k", "x").withColumn("p", F.spark_partition_id()))
+    total, starts = {}, []
+    for r in sorted(rows.groupBy("k", "p").agg(F.sum("c").alias("c")).collect()):
+        starts.append((r.k, r.p, total.get(r.k, 0)))
+        total[r.k] = total.get(r.k, 0) + r["c"]
+    if not total:
+        return {}
+    at = {k: [(s * (n - 1) // 1, s * (n - 1) % 1) for s in shares] for k, n in total.items()}
+    ranks = [(k, sorted({int(i) + d for i, _ in some for d in (0, 1) if i + d < total[k]})) for k, some in at.items()]
+    spark, kind = df.sparkSession, dict(counts.dtypes)["k"]
+    base = F.broadcast(spark.createDataFrame(starts, f"bk {kind}, bp int, base long"))
+    wanted = F.broadcast(spark.createDataFrame(ranks, f"rk {kind}, ranks array<long>"))
+    upto = F.sum("c").over(W.partitionBy("k", "p").orderBy("x").rowsBetween(W.unboundedPreceding, 0))
+    placed = rows.withColumn("upto", upto).join(base, (F.col("k") == F.col("bk")) & (F.col("p") == F.col("bp"))).withColumn("hi", F.col("base") + F.col("upto"))
+    found = placed.join(wanted, F.col("k") == F.col("rk")).select("k", "x", F.explode(F.filter("ranks", lambda r: (r >= F.col("hi") - F.col("c")) & (r < F.col("hi")))).alias("r"))
+    value = {(r.k, r.r): r.x for r in found.collect()}
+    return {k: [value[k, int(i)] + f * (value[k, min(int(i) + 1, total[k] - 1)] - value[k, int(i)]) for i, f in some] for k, some in at.items()}
+
+
+def exact_quantiles(df: DataFrame, x: str, shares: Sequence[float]) -> list[float | None]:
+    """``quantiles_by`` of one column; ``None`` each where there is no value."""
+    return quantiles_by(df.select(F.lit(0).alias("k"), x), "k", x, shares).get(0) or [None for _ in shares]
+
+
+def column_quantiles(df: DataFrame, fields: Sequence[str], shares: Sequence[float]) -> dict[str, list[float | None]]:
+    """``quantiles_by`` of several columns in one pass."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("k"), F.col(f).cast("double").alias("x")) for f in fields])).alias("e")).select("e.*")
+    found = quantiles_by(long, "k", "x", shares)
+    return {f: found.get(f) or [None for _ in shares] for f in fields}
 
 
 def stratified_sample(df: DataFrame, key: str, groups: Sequence[str], n: int, seed: Column) -> DataFrame:

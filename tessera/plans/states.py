@@ -77,3 +77,33 @@ def as_v2(states: DataFrame) -> DataFrame:
 def padded(vector, size: int = 64):
     """A vector cut or filled up with zeros to ``size``."""
     return F.slice(F.concat(vector, F.array_repeat(F.lit(0.0), size)), 1, size)
+
+
+#: How many rows of the table of vectors serve as catalogs, and how many of their places.
+CATALOGS, PLACES = 500, 64
+
+
+def feature_states(turns: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``runtime_states`` with what the feature spaces read: text, session, a catalog for each source that is there, and their ages and likeness.
+
+    A conversation's catalogs are three rows of the table of vectors (a fixed number of them is broadcast).
+    """
+    states = runtime_states(turns).join(turns.select("conv_id", "turn", "text"), ["conv_id", "turn"]).withColumn("session_index", F.col("turn"))
+    known = vectors.where(F.col("vec_id") < CATALOGS).select("vec_id", F.slice("embedding", 1, PLACES).cast("array<double>").alias("v"))
+    zeros = F.array_repeat(F.lit(0.0), PLACES)
+    for k, s in enumerate(SOURCES):
+        mine = F.broadcast(known.select(F.col("vec_id").alias(f"_{s}"), F.col("v").alias(f"_v{s}")))
+        there = F.col(f"{s}_count") > 0
+        states = states.join(mine, F.pmod(F.col("conv_id") * 3 + k, F.lit(CATALOGS)) == F.col(f"_{s}"), "left")
+        states = states.withColumns(
+            {
+                f"{s}_available": there,
+                f"{s}_catalog": F.when(there, F.coalesce(f"_v{s}", zeros)).otherwise(zeros),
+                f"{s}_median": (F.col(f"{s}_newest") + F.col(f"{s}_oldest")) / 2,
+                f"{s}_similarity": F.when(there, F.coalesce(F.col(f"_v{s}")[0], F.lit(0.0))).otherwise(F.lit(0.0)),
+                f"{s}_stale": F.coalesce((F.col(f"{s}_oldest") >= 4).cast("double"), F.lit(0.0)),
+            }
+        ).drop(f"_{s}", f"_v{s}")
+    first = known.select(F.col("vec_id").alias("_e"), F.col("v").alias("embedding"))
+    states = states.join(F.broadcast(first), F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(CATALOGS)) == F.col("_e"), "left").drop("_e")
+    return states.withColumn("embedding", F.coalesce("embedding", zeros)).withColumn("strategy_count", F.pmod("conv_id", F.lit(9))).withColumn("strategy_tokens", 40 + F.pmod("conv_id", F.lit(30)))

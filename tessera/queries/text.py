@@ -163,7 +163,13 @@ def centroid_cosine(spark: SparkSession, d: str) -> DataFrame:
     return e.join(centre, "label").select("vec_id", "label", F.round(numbers.cosine(F.col("embedding"), F.col("centre")), 6).alias("cosine"))
 
 
-@Q.query()
+FINGERPRINT_SQL = """w AS (SELECT {key} AS id, regexp_extract_all(lower(coalesce({text}, '')), '[a-z0-9'']+') AS w FROM {rows}),
+    g AS (SELECT id, unnest(w) AS t FROM w UNION ALL SELECT id, w[i] || ' ' || w[i + 1] FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM w)),
+    c AS (SELECT id, ('0x' || substr(md5(t), 1, 8))::BIGINT % {size} AS i, count(*)::DOUBLE AS n FROM g GROUP BY 1, 2),
+    fp AS (SELECT w.id, list_transform(range(0, {size}), lambda i: round(coalesce(m[i] / z, 0), 8)) AS vector FROM w LEFT JOIN (SELECT id, map_from_entries(list((i, n))) AS m, sqrt(sum(n * n)) AS z FROM c GROUP BY 1) USING (id))"""
+
+
+@Q.query(f"WITH {FINGERPRINT_SQL.format(key='item_id', text='text', rows='benchmark', size=64)} SELECT id AS item_id, vector FROM fp")
 def fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    """No SQL: vectors of hashed words and word pairs."""
+    """Vectors of hashed words and word pairs."""
     return hashed_fingerprint(table(spark, d, "benchmark"), "item_id", "text", 64)
