@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.boosting import boosted
 from tessera.operators.features import group_weights
 from tessera.operators.keys import CheckFailed
 from tessera.operators.logistic import fit_columns, log_loss
-from tessera.operators.models import bootstrap_predictions, ridge_fits
+from tessera.operators.models import ridge_fits
 from tessera.operators.pairgraph import pair_rows
 from tessera.session import durable
 
@@ -131,11 +132,12 @@ def cross_validated(actions: DataFrame, pairs: DataFrame, folds: DataFrame, card
     return out
 
 
-def train_ensembles(rows: DataFrame, state: str, features: Sequence[str], members: int = 7, trees: int = 8, reliable: str = "reliable", seed: int = 17) -> DataFrame:
+def train_ensembles(rows: DataFrame, state: str, features: Sequence[str], members: int = 7, trees: int = 180, reliable: str = "reliable", seed: int = 17, **kw) -> DataFrame:
     """``state, action_id, head, mean, std``: thirteen bootstrapped ensembles' predictions for all rows, ratings and risks as shares.
 
     They learn from reliable rows only; each state that has one must have a reliable baseline action, no
-    action may stand twice, and there must be three states. Each head's members are drawn by state.
+    action may stand twice, and there must be three states. Each head's members are drawn by state, and
+    all heads and members are fitted together (``boosting.boosted``, which takes further arguments).
     """
     usable = rows.where(F.col(reliable))
     seen = usable.groupBy(state).agg(F.max((F.col("action_id") == BASELINE).cast("int")).alias("base"), F.count("*").alias("n"), F.count_distinct("action_id").alias("k"))
@@ -147,15 +149,12 @@ def train_ensembles(rows: DataFrame, state: str, features: Sequence[str], member
     if gate.states < 3:
         raise CheckFailed("a group bootstrap needs three states")
     weighed = group_weights(usable, state).select(state, "action_id", "weight")
-    x = rows.join(weighed, [state, "action_id"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-    out = None
-    for offset, heads, lo, span in ((0, RATINGS, 1.0, 4.0), (101, RISKS, 0.0, 3.0)):
-        for h in heads:
-            y = x.withColumn("_y", (F.col(h) - lo) / span)
-            p = bootstrap_predictions(y, state, features, "_y", members=members, seed=seed + offset, trees=trees, weight="weight")
-            p = p.select(state, "action_id", F.lit(h).alias("head"), "mean", "std")
-            out = p if out is None else out.unionByName(p)
-    return out
+    share = {h: (F.col(h) - lo) / span for heads, lo, span in ((RATINGS, 1.0, 4.0), (RISKS, 0.0, 3.0)) for h in heads}
+    x = rows.join(weighed, [state, "action_id"], "left").withColumns({f"_y_{h}": y for h, y in share.items()})
+    x = durable(x.select(state, "action_id", *features, "weight", *[f"_y_{h}" for h in share]))
+    heads = {h: (f"_y_{h}", seed) for h in RATINGS} | {h: (f"_y_{h}", seed + 101) for h in RISKS}
+    model = boosted(x, state, features, heads, "weight", members, trees, **kw)
+    return model.predict(x).select(state, "action_id", F.explode("predictions").alias("p")).select(state, "action_id", "p.*")
 
 
 def action_bounds(predictions: DataFrame, state: str, composite: Mapping[str, float], z: float = 1.0) -> DataFrame:

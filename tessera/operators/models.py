@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.ids import hash_int
+from tessera.operators.boosting import boosted
 from tessera.operators.logistic import fit_columns, log_loss
 from tessera.operators.pairgraph import decided_pairs, pair_rows
 from tessera.session import durable
@@ -61,20 +60,8 @@ def ridge_metrics(df: DataFrame, group: str, features: Sequence[str], targets: S
     return out
 
 
-def bootstrap_predictions(df: DataFrame, group: str, features: Sequence[str], target: str, members: int = 7, seed: int = 17, trees: int = 8, weight: str | None = None) -> DataFrame:
-    """``group, action_id, mean, std`` (population) over trees boosted on group bootstraps.
-
-    A group's multiplicity in a member is Poisson(1), by a hash of member, seed and group: the usual limit
-    of drawing with replacement, which needs no list of all groups. Rows of no ``weight`` are predicted only.
-    """
-    x = VectorAssembler(inputCols=list(features), outputCol="_v").transform(df)
-    preds = []
-    for m in range(members):
-        u = hash_int(F.lit(seed), F.lit(m), group) / float(1 << 32)
-        times = F.when(u < 0.36788, 0.0).when(u < 0.73576, 1.0).when(u < 0.91970, 2.0).when(u < 0.98101, 3.0).otherwise(4.0)
-        model = GBTRegressor(featuresCol="_v", labelCol=target, weightCol="_w", maxIter=trees, maxDepth=3, seed=seed + m, predictionCol=f"_p{m}").fit(x.withColumn("_w", times * (F.col(weight) if weight else 1.0)).where("_w > 0"))
-        x = model.transform(x)
-        preds.append(f"_p{m}")
-    mean = sum((F.col(p) for p in preds[1:]), F.col(preds[0])) / members
-    var = sum(((F.col(p) - mean) * (F.col(p) - mean) for p in preds[1:]), (F.col(preds[0]) - mean) * (F.col(preds[0]) - mean)) / members
-    return x.select(group, "action_id", mean.alias("mean"), F.sqrt(var).alias("std"))
+def bootstrap_predictions(df: DataFrame, group: str, features: Sequence[str], target: str, members: int = 7, seed: int = 17, trees: int = 180, weight: str | None = None, **kw) -> DataFrame:
+    """``group, action_id, mean, std`` (population) over trees boosted on group bootstraps (``boosting.boosted``). Rows of no ``weight`` are predicted only."""
+    rows = durable(df)
+    model = boosted(rows, group, features, {target: (target, seed)}, weight, members, trees, **kw)
+    return model.predict(rows).select(group, "action_id", F.col("predictions")[0]["mean"].alias("mean"), F.col("predictions")[0]["std"].alias("std"))

@@ -91,7 +91,7 @@ def cross_validation(spark: SparkSession, d: str) -> DataFrame:
 
 @Q.query()
 def ensemble_choices(spark: SparkSession, d: str) -> DataFrame:
-    """No SQL: thirteen ensembles of two members of two trees, their bounds, and the choice by gates (the operator's defaults are seven of eight)."""
+    """No SQL: thirteen ensembles of seven members of 180 trees, their bounds, and the choice by gates. Cards whose labels lack a reliable baseline fail the gate and are left out before it."""
     o = outcomes(spark, d)
     pick = lambda k, lo, n: (lo + F.pmod(F.xxhash64("card_id", "action_id", F.lit(k)), F.lit(20)) / 20 + F.col("response") * (n - 1)).alias
     rows = o.select(
@@ -100,7 +100,7 @@ def ensemble_choices(spark: SparkSession, d: str) -> DataFrame:
     )
     whole = rows.where(F.col("reliable")).groupBy("card_id").agg(F.max((F.col("action_id") == chain.BASELINE).cast("int")).alias("b")).where("b = 1")
     rows = durable(rows.join(whole.select("card_id"), "card_id", "left_semi"))
-    p = chain.train_ensembles(rows, "card_id", ["cost", "sources"], members=2, trees=2)
+    p = chain.train_ensembles(rows, "card_id", ["cost", "sources"])
     bounds = chain.action_bounds(p, "card_id", dict.fromkeys(chain.RATINGS, 1 / 6)).join(rows.select("card_id", "action_id", "cost"), ["card_id", "action_id"])
     return rounded(chain.gated_choice(bounds, "card_id", max_risk=0.9))
 
