@@ -1,50 +1,118 @@
 """Bootstrap and permutation inference with hashed randomness, the same in any engine and on any cluster.
 
-A resample is a set of (replicate, slot) pairs, each of which draws a unit by a hash. Units are clusters
-already, so their number is small beside the rows; where it is not, ``cluster_sums`` is what scales, and
-replicates are spread over tasks. The draws are replicates x units rows and are summed on the way.
+A replicate draws units by a hash of seed, replicate and place. Units are clusters already, so their
+number is small beside the rows: up to ``BROADCAST_UNITS`` of them are sent to all tasks, which share the
+replicates, so that a replicate is one number and no draw leaves its task. Beyond that, draws are rows
+that are joined to numbered clusters and summed on the way.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.ids import hash_int
-from tessera.session import durable
+from tessera.session import durable, prepare
 
-#: Most clusters whose sums are broadcast, at some 60 bytes each.
-BROADCAST_CLUSTERS = 200_000
+#: Most units (clusters, or values of the hierarchical form) that are broadcast, at some 30 bytes each.
+BROADCAST_UNITS = 1_000_000
+#: Replicates of one task.
+REPS = 64
 
 
 def cluster_sums(df: DataFrame, group: Sequence[str], cluster: str, x: str) -> DataFrame:
-    """``group, cluster, s, n`` and ``i``, the cluster's place in its group from 0, and ``k``, their number."""
+    """``group, cluster, s, n`` of finite values."""
     from tessera.functions.numbers import finite
 
-    c = df.where(finite(F.col(x))).groupBy(*group, F.col(cluster).alias("cluster")).agg(F.sum(x).alias("s"), F.count("*").alias("n"))
+    return df.where(finite(F.col(x))).groupBy(*group, F.col(cluster).alias("cluster")).agg(F.sum(x).alias("s"), F.count("*").alias("n"))
+
+
+def numbered(rows: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Add ``i``, a row's place in its group from 0, and ``k``, the group's number of rows: from range partitions and their counts."""
+    placed = durable(rows.repartitionByRange(*group, *order).withColumn("_p", F.spark_partition_id()))
+    sizes = placed.groupBy(*group, "_p").agg(F.count("*").alias("_n"))
     w = W.partitionBy(*group)
-    return c.withColumn("i", F.row_number().over(w.orderBy("cluster")) - 1).withColumn("k", F.count("*").over(w))
+    starts = sizes.withColumn("_start", F.sum("_n").over(w.orderBy("_p")) - F.col("_n")).withColumn("k", F.sum("_n").over(w)).drop("_n")
+    starts = starts.withColumnsRenamed({c: f"_{c}" for c in group}).withColumnRenamed("_p", "_q")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group] + [F.col("_p") == F.col("_q")]
+    here = F.row_number().over(W.partitionBy(*group, "_p").orderBy(*order)) - 1
+    met = placed.withColumn("_here", here).join(F.broadcast(starts), same)
+    return met.select(*rows.columns, (F.col("_start") + F.col("_here")).alias("i"), "k")
+
+
+def hashed(seed: int, *places: int) -> int:
+    """``hash_int`` of whole numbers."""
+    return int.from_bytes(hashlib.md5("\x1f".join(map(str, (seed, *places))).encode()).digest()[:4], "big")
+
+
+def hashes(seed: int, rep: int, n: int) -> np.ndarray:
+    """``hash_int(seed, rep, i)`` for each i below ``n``."""
+    head = hashlib.md5(f"{seed}\x1f{rep}\x1f".encode())
+    out = bytearray()
+    for i in range(n):
+        one = head.copy()
+        one.update(b"%d" % i)
+        out += one.digest()[:4]
+    return np.frombuffer(bytes(out), ">u4").astype(np.int64)
+
+
+def replicated(spark: SparkSession, reps: int, of: Callable[[int], list[tuple[int, float]]]) -> DataFrame:
+    """``rep, _at, value``: what ``of`` gives for each replicate, in tasks of some ``REPS`` of them."""
+    prepare(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(rep, g, v) for rep in b.column(0).to_pylist() for g, v in of(rep)]
+            cols = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["rep", "_at", "value"])
+
+    return spark.range(0, reps, 1, max(1, -(-reps // REPS))).mapInArrow(run, "rep bigint, _at bigint, value double")
+
+
+def by_group(clusters: DataFrame, group: Sequence[str]) -> tuple[DataFrame, list[tuple[np.ndarray, np.ndarray]]]:
+    """A table ``group, _g`` that numbers the groups, and the ordered clusters' sums and numbers of each."""
+    t = clusters.orderBy(*group, "cluster").select(*group, "s", "n").toArrow()
+    keys = list(zip(*(t[c].to_pylist() for c in group), strict=True))
+    starts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]] if keys else []
+    s, n = t["s"].to_numpy().astype(float), t["n"].to_numpy().astype(float)
+    sums = [(s[a:b], n[a:b]) for a, b in zip(starts, [*starts[1:], len(keys)], strict=True)]
+    spark, fields = clusters.sparkSession, [f for f in clusters.schema.fields if f.name in group]
+    names = spark.createDataFrame([(*keys[a], g) for g, a in enumerate(starts)], ", ".join(f"`{c}` {dict(clusters.dtypes)[c]}" for c in group) + ", _g bigint") if fields else None
+    return names, sums
 
 
 def draws(clusters: DataFrame, group: Sequence[str], reps: int, seed: int) -> DataFrame:
-    """``group, rep, i``: with replacement, as many clusters per replicate as there are."""
+    """``group, rep, i``: with replacement, as many of the numbered clusters per replicate as there are."""
     slots = clusters.select(*group, "k", F.col("i").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    return slots.select(*group, "rep", (hash_int(F.lit(seed), "rep", "slot") % F.col("k")).cast("int").alias("i"))
-
+    return slots.select(*group, "rep", (hash_int(F.lit(seed), "rep", "slot") % F.col("k")).alias("i"))
 
-def bootstrap(df: DataFrame, group: Sequence[str], cluster: str, x: str, reps: int = 10_000, seed: int = 1729, pooled: bool = False) -> DataFrame:
-    """``group, rep, value``: of each resample of clusters the mean of their means or, ``pooled``, of their rows.
 
-    The clusters' sums are broadcast if there are at most ``BROADCAST_CLUSTERS``, so that the draws stay where they are made.
-    """
+def bootstrap(df: DataFrame, group: Sequence[str], cluster: str, x: str, reps: int = 10_000, seed: int = 1729, pooled: bool = False, units: int = BROADCAST_UNITS) -> DataFrame:
+    """``group, rep, value``: of each resample of clusters the mean of their means or, ``pooled``, of their rows. At most ``units`` clusters are broadcast."""
+    group = list(group)
     c = durable(cluster_sums(df, group, cluster, x))
-    sums = c.select(*group, "i", "s", "n")
-    met = draws(c, group, reps, seed).join(F.broadcast(sums) if c.count() <= BROADCAST_CLUSTERS else sums, [*group, "i"])
-    value = F.sum("s") / F.sum("n") if pooled else F.avg(F.col("s") / F.col("n"))
-    return met.groupBy(*group, "rep").agg(value.alias("value"))
+    if c.count() > units:
+        c = durable(numbered(c, group, ["cluster"]))
+        met = draws(c, group, reps, seed).join(c.select(*group, "i", "s", "n"), [*group, "i"])
+        return met.groupBy(*group, "rep").agg((F.sum("s") / F.sum("n") if pooled else F.avg(F.col("s") / F.col("n"))).alias("value"))
+    names, sums = by_group(c, group)
+    sent = df.sparkSession.sparkContext.broadcast(sums)
+
+    def of(rep: int) -> list[tuple[int, float]]:
+        h = hashes(seed, rep, max(map(len, (s for s, _ in sent.value)), default=0))
+        out = []
+        for g, (s, n) in enumerate(sent.value):
+            i = h[: len(s)] % len(s)
+            out.append((g, float(s[i].sum() / n[i].sum() if pooled else (s[i] / n[i]).mean())))
+        return out
+
+    return replicated(df.sparkSession, reps, of).join(F.broadcast(names), F.col("_at") == F.col("_g")).select(*group, "rep", "value")
 
 
 def interval(replicates: DataFrame, group: Sequence[str], level: float = 0.95, by_rank: bool = False) -> DataFrame:
@@ -64,23 +132,52 @@ def cluster_estimate(df: DataFrame, group: Sequence[str], cluster: str, x: str)
     return c.groupBy(*group).agg(F.count("*").alias("clusters"), F.sum("n").alias("rows"), (F.sum("s") / F.sum("n")).alias("pooled"), F.avg(F.col("s") / F.col("n")).alias("clustered"))
 
 
-def hierarchical_bootstrap(df: DataFrame, outer: str, inner: str, x: str, reps: int = 1_000, seed: int = 1729) -> DataFrame:
+def hierarchical_bootstrap(df: DataFrame, outer: str, inner: str, x: str, reps: int = 10_000, seed: int = 1729, units: int = BROADCAST_UNITS) -> DataFrame:
     """``rep, value``: outer units are drawn, inner ones within each draw, and values within each of those; mean of means at each level.
 
-    The draws are replicates x rows, and are summed on the way. Each outer unit's rows are numbered in
-    windows of their own; only the outer units themselves are numbered in one task.
+    Up to ``units`` values are broadcast; beyond that the draws are replicates x rows that are joined and
+    summed on the way.
     """
     from tessera.functions.numbers import finite
 
-    rows = df.where(finite(F.col(x))).select(F.col(outer).alias("o"), F.col(inner).alias("u"), F.col(x).cast("double").alias("x"))
+    rows = durable(df.where(finite(F.col(x))).select(F.col(outer).alias("o"), F.col(inner).alias("u"), F.col(x).cast("double").alias("x")))
+    if rows.count() <= units:
+        t = rows.orderBy("o", "u", "x").toArrow()
+        keys = list(zip(t["o"].to_pylist(), t["u"].to_pylist(), strict=True))
+        values, tree = t["x"].to_numpy(), []
+        for i, (o, u) in enumerate(keys):
+            if not i or o != keys[i - 1][0]:
+                tree.append([])
+            if not i or (o, u) != keys[i - 1]:
+                tree[-1].append([i, i])
+            tree[-1][-1][1] = i + 1
+        sent = df.sparkSession.sparkContext.broadcast((values, tree))
+
+        def of(rep: int) -> list[tuple[int, float]]:
+            values, tree = sent.value
+            outers = []
+            for slot, i in enumerate((hashes(seed, rep, len(tree)) % len(tree)).tolist()):
+                cells, means = tree[i], []
+                for t in range(len(cells)):
+                    a, b = cells[hashed(seed + 1, rep, slot, t) % len(cells)]
+                    head = hashlib.md5(f"{seed + 2}\x1f{rep}\x1f{slot}\x1f{t}\x1f".encode())
+                    total = 0.0
+                    for z in range(b - a):
+                        one = head.copy()
+                        one.update(b"%d" % z)
+                        total += values[a + int.from_bytes(one.digest()[:4], "big") % (b - a)]
+                    means.append(total / (b - a))
+                outers.append(sum(means) / len(means))
+            return [(0, float(np.mean(outers)))] if outers else []
+
+        return replicated(df.sparkSession, reps, of).select("rep", "value")
     cell = W.partitionBy("o", "u")
     rows = rows.withColumn("v", F.row_number().over(cell.orderBy("x")) - 1)
     cells = rows.groupBy("o", "u").agg(F.count("*").alias("kv"))
     w = W.partitionBy("o")
-    cells = cells.withColumn("j", F.row_number().over(w.orderBy("u")) - 1).withColumn("kj", F.count("*").over(w))
-    outers = cells.groupBy("o").agg(F.first("kj").alias("kj"))
-    outers = outers.withColumn("i", F.row_number().over(W.orderBy("o")) - 1).withColumn("k", F.count("*").over(W.partitionBy()))
-    draw = lambda level, n, *at: (hash_int(F.lit(seed + level), "rep", *at) % F.col(n)).cast("int")
+    cells = durable(cells.withColumn("j", F.row_number().over(w.orderBy("u")) - 1).withColumn("kj", F.count("*").over(w)))
+    outers = numbered(cells.groupBy("o").agg(F.first("kj").alias("kj")).withColumn("all", F.lit(0)), ["all"], ["o"])
+    draw = lambda level, n, *at: hash_int(F.lit(seed + level), "rep", *at) % F.col(n)
     each = lambda n, name: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int"))).alias(name)
     first = outers.select("k", F.col("i").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     first = first.select("rep", "slot", draw(0, "k", "slot").alias("i")).join(outers.select("i", "o", "kj"), "i")
@@ -90,14 +187,29 @@ def hierarchical_bootstrap(df: DataFrame, outer: str, inner: str, x: str, reps:
     return met.groupBy("rep", "slot").agg(F.avg("m").alias("m")).groupBy("rep").agg(F.avg("m").alias("value"))
 
 
-def sign_flip_test(df: DataFrame, group: Sequence[str], cluster: str, x: str, null: float = 0.0, reps: int = 10_000, seed: int = 7) -> DataFrame:
+def sign_flip_test(df: DataFrame, group: Sequence[str], cluster: str, x: str, null: float = 0.0, reps: int = 10_000, seed: int = 7, units: int = BROADCAST_UNITS) -> DataFrame:
     """``group, clusters, mean, p_value``: two-sided, (as extreme + 1) / (reps + 1), over sign flips of cluster means less ``null``."""
-    c = cluster_sums(df, group, cluster, x).withColumn("d", F.col("s") / F.col("n") - null)
-    flips = c.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    sign = F.when(hash_int(F.lit(seed), "rep", "i") % 2 == 0, 1).otherwise(-1)
-    each = flips.groupBy(*group, "rep").agg(F.avg(sign * F.col("d")).alias("f"), F.avg("d").alias("t"), F.first("k").alias("k"))
-    extreme = F.count_if(F.abs(F.col("f")) >= F.abs(F.col("t")) - 1e-12)
-    return each.groupBy(*group).agg(F.first("k").alias("clusters"), F.first("t").alias("mean"), ((extreme + 1) / (F.count("*") + 1)).alias("p_value"))
+    group = list(group)
+    c = durable(cluster_sums(df, group, cluster, x))
+    known = c.groupBy(*group).agg(F.count("*").alias("clusters"), F.avg(F.col("s") / F.col("n") - null).alias("mean"))
+    if c.count() > units:
+        d = numbered(c, group, ["cluster"]).withColumn("d", F.col("s") / F.col("n") - null)
+        flips = d.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+        sign = F.when(hash_int(F.lit(seed), "rep", "i") % 2 == 0, 1).otherwise(-1)
+        each = flips.groupBy(*group, "rep").agg(F.avg(sign * F.col("d")).alias("value"))
+    else:
+        names, sums = by_group(c, group)
+        sent = df.sparkSession.sparkContext.broadcast(sums)
+
+        def of(rep: int) -> list[tuple[int, float]]:
+            sign = 1 - 2 * (hashes(seed, rep, max(map(len, (s for s, _ in sent.value)), default=0)) % 2)
+            return [(g, float((sign[: len(s)] * (s / n - null)).mean())) for g, (s, n) in enumerate(sent.value)]
+
+        each = replicated(df.sparkSession, reps, of).join(F.broadcast(names), F.col("_at") == F.col("_g")).select(*group, "rep", "value")
+    each = each.withColumnsRenamed({g: f"_own_{g}" for g in group})
+    met = each.join(known, [F.col(f"_own_{g}").eqNullSafe(F.col(g)) for g in group])
+    extreme = F.count_if(F.abs(F.col("value")) >= F.abs(F.col("mean")) - 1e-12)
+    return met.groupBy(*group, "clusters", "mean").agg(((extreme + 1) / (F.count("*") + 1)).alias("p_value"))
 
 
 def preference_value(label: Column) -> Column:

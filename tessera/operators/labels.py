@@ -4,13 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import durable
-
 
 def labelled(outcomes: DataFrame, labels: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Outcomes that have labels; the others go silently."""
@@ -71,36 +67,40 @@ def observation_metrics(df: DataFrame, relevance: str, used: str, group: Sequenc
     )
 
 
-def response_scores(pairs: DataFrame, card: str, first: str, second: str, winner: str, ridge: float = 0.1, rows_per_task: int = 50_000) -> DataFrame:
+def solved(matrix: Column, n: Column) -> Column:
+    """Solution of a positive definite system of ``n`` rows of ``n`` + 1 numbers, by elimination within the row."""
+    # The matrix is bound by a lambda, so that it is made once and not for each of its numbers.
+    def step(m: Column, k: Column) -> Column:
+        pivot = F.get(m, k)
+        return F.transform(m, lambda row, i: F.when(i == k, F.transform(row, lambda v: v / F.get(pivot, k))).otherwise(F.zip_with(row, pivot, lambda v, q: v - F.get(row, k) * q / F.get(pivot, k))))
+
+    done = F.aggregate(F.sequence(F.lit(0), n - 1), matrix, step)
+    return F.transform(done, lambda row: F.get(row, n))
+
+
+def response_scores(pairs: DataFrame, card: str, first: str, second: str, winner: str, ridge: float = 0.1) -> DataFrame:
     """``card, action_id, score``: mean probability of winning against the card's other actions.
 
     Per card a ridge system over its (at most sixteen) actions is solved: +1 and -1 for the two sides,
-    1, -1 or 0 for the result. A lone action has 0.5. Cards are dealt to buckets of about
-    ``rows_per_task`` pairs, whose small systems are built and solved together.
+    1, -1 or 0 for the result. A lone action has 0.5. Equal pairs are counted first, so a card's row holds
+    its different pairs only; its system is built and solved by array expressions.
     """
-    kind = dict(pairs.dtypes)[card]
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        c, cards = pd.factorize(pdf["card"], sort=True)
-        names, ab = np.unique(np.concatenate([pdf["a"], pdf["b"]]), return_inverse=True)
-        a, b = ab[: len(pdf)], ab[len(pdf) :]
-        y = pdf["w"].map({"A": 1.0, "B": -1.0}).fillna(0.0).to_numpy()
-        k = len(names)
-        m, v, there = np.zeros((len(cards), k, k)), np.zeros((len(cards), k)), np.zeros((len(cards), k), bool)
-        for i, sign in ((a, 1), (b, -1)):
-            np.add.at(m, (c, i, i), 1)
-            np.add.at(v, (c, i), sign * y)
-            there[c, i] = True
-        np.add.at(m, (c, a, b), -1)
-        np.add.at(m, (c, b, a), -1)
-        s = np.linalg.solve(m + ridge * np.eye(k), v[:, :, None])[:, :, 0]
-        p = 1 / (1 + np.exp(-(s[:, :, None] - s[:, None, :]))) * there[:, None, :]
-        others = there.sum(axis=1, keepdims=True) - 1
-        mean = np.where(others > 0, (p.sum(axis=2) - 0.5) / np.maximum(others, 1), 0.5)
-        at, i = np.nonzero(there)
-        return pd.DataFrame({"card": np.asarray(cards)[at], "action_id": names[i], "score": mean[at, i]})
-
-    rows = durable(pairs.select(F.col(card).alias("card"), F.col(first).alias("a"), F.col(second).alias("b"), F.col(winner).alias("w")))
-    buckets = max(1, -(-rows.count() // rows_per_task))
-    bucket = F.pmod(F.xxhash64("card"), F.lit(buckets)).alias("bucket")
-    return rows.groupBy(bucket).applyInPandas(solve, f"card {kind}, action_id string, score double").withColumnRenamed("card", card)
+    y = F.when(F.col(winner) == "A", 1.0).when(F.col(winner) == "B", -1.0).otherwise(0.0)
+    sums = pairs.groupBy(F.col(card).alias("_c"), F.col(first).alias("a"), F.col(second).alias("b")).agg(F.count("*").cast("double").alias("n"), F.sum(y).alias("y"))
+    rows = sums.groupBy("_c").agg(F.collect_list(F.struct("a", "b", "n", "y")).alias("_p"))
+    rows = rows.withColumn("_v", F.array_sort(F.array_distinct(F.concat(F.transform("_p", lambda p: p["a"]), F.transform("_p", lambda p: p["b"])))))
+    total = lambda of: F.aggregate("_p", F.lit(0.0), lambda acc, p: acc + of(p))
+    at = lambda hit, x: F.when(hit, x).otherwise(F.lit(0.0))
+
+    def line(v: Column) -> Column:
+        def entry(u: Column) -> Column:
+            return total(lambda p: F.when(u == v, at(p["a"] == v, p["n"]) + at(p["b"] == v, p["n"])).otherwise(-at((p["a"] == v) & (p["b"] == u) | (p["a"] == u) & (p["b"] == v), p["n"]))) + F.when(u == v, F.lit(ridge)).otherwise(F.lit(0.0))
+
+        return F.concat(F.transform("_v", entry), F.array(total(lambda p: at(p["a"] == v, p["y"]) - at(p["b"] == v, p["y"]))))
+
+    rows = rows.withColumn("_s", solved(F.transform("_v", line), F.size("_v")))
+    won = lambda s: F.aggregate("_s", F.lit(0.0), lambda acc, o: acc + 1 / (1 + F.exp(o - s)))
+    others = F.size("_v") - 1
+    rows = rows.withColumn("_m", F.when(others > 0, F.transform("_s", lambda s: (won(s) - 0.5) / others)).otherwise(F.array(F.lit(0.5))))
+    out = rows.select("_c", F.explode(F.arrays_zip("_v", "_m")).alias("e"))
+    return out.select(F.col("_c").alias(card), F.col("e._v").alias("action_id"), F.col("e._m").alias("score"))

@@ -62,7 +62,7 @@ def sign_flip_test(spark: SparkSession, d: str) -> DataFrame:
     WITH {_PAIRS}, vals AS (SELECT user_id AS o, day(day) % 4 AS u, delta AS x, row_number() OVER (PARTITION BY user_id, day(day) % 4 ORDER BY delta) - 1 AS v FROM pairs),
     j AS (SELECT o, u, count(*) AS kv, row_number() OVER (PARTITION BY o ORDER BY u) - 1 AS j, count(*) OVER (PARTITION BY o) AS kj FROM vals GROUP BY 1, 2),
     os AS (SELECT o, kj, row_number() OVER (ORDER BY o) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT o, kj FROM j)),
-    a AS (SELECT rep, os.i AS slot, ('0x' || substr(md5('1729' || chr(31) || rep || chr(31) || os.i), 1, 8))::BIGINT % k AS i FROM os, range(1000) r(rep)),
+    a AS (SELECT rep, os.i AS slot, ('0x' || substr(md5('1729' || chr(31) || rep || chr(31) || os.i), 1, 8))::BIGINT % k AS i FROM os, range(10000) r(rep)),
     b AS (SELECT rep, slot, o, kj, t, ('0x' || substr(md5('1730' || chr(31) || rep || chr(31) || slot || chr(31) || t), 1, 8))::BIGINT % kj AS j FROM a JOIN os USING (i), range(4) x(t) WHERE t < kj),
     c AS (SELECT rep, slot, t, o, u, ('0x' || substr(md5('1731' || chr(31) || rep || chr(31) || slot || chr(31) || t || chr(31) || z), 1, 8))::BIGINT % kv AS v
           FROM (SELECT rep, slot, t, o, u, kv, unnest(range(kv)) AS z FROM b JOIN j USING (o, j))),
@@ -200,9 +200,15 @@ def bleu(spark: SparkSession, d: str) -> DataFrame:
     return rounded(tm.bleu(turn_pairs(spark, d), "id", "hyp", "ref"))
 
 
-@Q.query()
+@Q.query(f"""
+    WITH RECURSIVE {_TURN_PAIRS}, w AS (SELECT id, unnest(range(1, len(r) + 1)) AS j, unnest(r) AS b FROM p),
+    lcs AS (SELECT id, 0 AS i, j, b, 0 AS v FROM w UNION ALL SELECT id, i, j, b, max(c) OVER (PARTITION BY id ORDER BY j)
+          FROM (SELECT lcs.id, lcs.i + 1 AS i, lcs.j, lcs.b, greatest(lcs.v, CASE WHEN p.h[lcs.i + 1] = lcs.b THEN 1 + coalesce(lag(lcs.v) OVER (PARTITION BY lcs.id ORDER BY lcs.j), 0) ELSE 0 END) AS c FROM lcs JOIN p ON p.id = lcs.id AND lcs.i < len(p.h))),
+    n AS (SELECT lcs.id, max(v) AS n FROM lcs JOIN p ON p.id = lcs.id AND lcs.i = len(p.h) GROUP BY 1)
+    SELECT p.id, round(CASE WHEN coalesce(n, 0) = 0 THEN 0 ELSE 2 * n / (len(h) + len(r)) END, 6) AS rouge_l FROM p LEFT JOIN n ON n.id = p.id
+""")
 def rouge_l(spark: SparkSession, d: str) -> DataFrame:
-    """No SQL: a longest common subsequence per row; the tests hold it against the quadratic table."""
+    """A longest common subsequence per row, by rows of bits in Arrow batches; the SQL fills the quadratic table row by row."""
     return rounded(tm.rouge_l(turn_pairs(spark, d), "id", "hyp", "ref"))
 
 

@@ -10,6 +10,7 @@ from tessera.operators import pairgraph as pg
 from tessera.operators.graph import connected_components
 from tessera.plans.views import OUTCOMES_SQL, outcomes
 from tessera.queries.facts import ACTIONS_SQL
+from tessera.queries.newton import solved
 from tessera.queries.panel import rounded
 from tessera.queries.registry import Registry
 from tessera.session import table
@@ -91,9 +92,21 @@ def pair_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return rounded(lab.pair_outcomes(pairs(spark, d), outcomes(spark, d), "card_id", "first", "second", "response"))
 
 
-@Q.query()
+_WON = "list_sum(list_transform(list_filter(range(1, 17), lambda k: has[k]), lambda k: 1 / (1 + exp(m[k][17] - m[i][17]))))"
+_MATRIX = """list_transform(range(1, 17), lambda i: list_transform(range(1, 18), lambda j: CASE WHEN j = 17 THEN list_sum(list_transform(l, lambda q: CASE WHEN q.a = i THEN q.y WHEN q.b = i THEN -q.y ELSE 0 END))
+    WHEN i = j THEN 0.1::DOUBLE + list_sum(list_transform(l, lambda q: (q.a = i OR q.b = i)::INT::DOUBLE)) ELSE -list_sum(list_transform(l, lambda q: (q.a = i AND q.b = j OR q.a = j AND q.b = i)::INT::DOUBLE)) END))"""
+
+
+@Q.query(f"""
+    WITH {OUTCOMES_SQL}, {_PAIRS}, ix AS (SELECT action_id, row_number() OVER (ORDER BY action_id) AS i FROM actions),
+    j AS (SELECT b.card_id, u.i AS a, v.i AS b, sign(x.response - y.response)::DOUBLE AS y FROM base b JOIN outcomes x ON x.card_id = b.card_id AND x.action_id = b.first
+          JOIN outcomes y ON y.card_id = b.card_id AND y.action_id = b.second JOIN ix u ON u.action_id = b.first JOIN ix v ON v.action_id = b.second),
+    g AS (SELECT card_id, list({{'a': a, 'b': b, 'y': y}}) AS l FROM j GROUP BY 1),
+    s AS (SELECT card_id, has, m FROM {solved(f"(SELECT card_id, list_transform(range(1, 17), lambda i: list_bool_or(list_transform(l, lambda q: q.a = i OR q.b = i))) AS has, {_MATRIX} AS m FROM g)", 16, "card_id, has")})
+    SELECT card_id, action_id, round(({_WON} - 0.5) / (list_sum(list_transform(has, lambda q: q::INT)) - 1), 6) AS score FROM s, ix WHERE has[i]
+""")
 def response_scores(spark: SparkSession, d: str) -> DataFrame:
-    """No SQL: a linear system per card."""
+    """A linear system per card."""
     p = lab.pair_outcomes(pairs(spark, d), outcomes(spark, d), "card_id", "first", "second", "response").join(pairs(spark, d), ["card_id", "pair_id"])
     w = F.when(F.col("value_a") > F.col("value_b"), "A").when(F.col("value_a") < F.col("value_b"), "B").otherwise("tie")
     return rounded(lab.response_scores(p.withColumn("winner", w), "card_id", "first", "second", "winner"))

@@ -156,3 +156,32 @@ def test_ranker_on_joint_vectors_equals_a_plain_one(spark):
     assert got == pytest.approx(plain_fit(dense, np.array([r.label for r in rows]), np.array([r.weight for r in rows])), abs=1e-5)
     score = x.where("id = 7 and action_id = 'MP+R0'").select(ve.dot("x", got).alias("s")).first().s
     assert score == pytest.approx(sum(got[i] * q for i, q in a.items()))
+
+
+@pytest.mark.parametrize("units", [10**6, 1])
+def test_resampling_is_the_same_with_and_without_a_broadcast(spark, units):
+    from tessera.operators import inference as inf
+
+    rng = np.random.default_rng(6)
+    rows = [(f"g{i % 2}", f"u{i % 11}", i % 3, float(v)) for i, v in enumerate(rng.standard_normal(90))] + [(None, "u1", 0, 1.0), (None, "u2", 1, 2.0), ("g0", "u0", 1, None)]
+    df = spark.createDataFrame(rows, "g string, u string, s int, x double")
+    clusters = {}
+    for g, u, _, x in rows:
+        if x is not None:
+            clusters.setdefault(g, {}).setdefault(u, []).append(x)
+    for pooled in (False, True):
+        got = {(r.g, r.rep): r.value for r in inf.bootstrap(df.where("g is not null"), ["g"], "u", "x", 20, pooled=pooled, units=units).collect()}
+        assert len(got) == 40
+        for (g, rep), v in got.items():
+            c = [clusters[g][u] for u in sorted(clusters[g])]
+            some = [c[inf.hashed(1729, rep, i) % len(c)] for i in range(len(c))]
+            want = sum(map(sum, some)) / sum(map(len, some)) if pooled else np.mean([np.mean(s) for s in some])
+            assert v == pytest.approx(want)
+    for r in inf.sign_flip_test(df, ["g"], "u", "x", reps=50, units=units).collect():
+        d = np.array([np.mean(clusters[r.g][u]) for u in sorted(clusters[r.g])])
+        flips = [np.mean([x if inf.hashed(7, rep, i) % 2 == 0 else -x for i, x in enumerate(d)]) for rep in range(50)]
+        assert r.clusters == len(d) and r["mean"] == pytest.approx(d.mean())
+        assert r.p_value == pytest.approx((sum(abs(f) >= abs(d.mean()) - 1e-12 for f in flips) + 1) / 51)
+    once = [tuple(r) for r in inf.hierarchical_bootstrap(df, "u", "s", "x", 15, units=units).orderBy("rep").collect()]
+    other = [tuple(r) for r in inf.hierarchical_bootstrap(df, "u", "s", "x", 15, units=10**6 if units == 1 else 1).orderBy("rep").collect()]
+    assert once == [(k, pytest.approx(v)) for k, v in other] and len(once) == 15
