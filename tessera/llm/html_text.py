@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 
 from tessera.session import prepare
 
+#: Attributes of a tag: quoted values may hold anything; where a quote has no end, the tag ends at the next ">".
+_ATTRS = r"(?:(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+(?=>)|[^>]*)"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9-]*)(?P<attrs>(?:\"[^\"<]*\"|'[^'<]*'|[^<>\"']|\"|')*)>"
+    r"|<!\[CDATA\[.*?(?:\]\]>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title)(?![a-zA-Z0-9-])" + _ATTRS + r">.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9-]*)(?P<attrs>" + _ATTRS + r")>"
     r"|<[!?][^>]*>",
     re.S | re.I,
 )
@@ -33,12 +36,17 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold the article.
 ASIDE = frozenset("nav footer aside form button select dialog menu head object canvas audio video".split())
-#: Words of a class, id or role that name what is not the article.
+#: Words of a class, id or role that name what is not the article; a name is one of these alone, or with ``FILLER`` words only.
 ASIDE_WORD = re.compile(
-    r"(?:^|(?<!\bhas)(?<!\bwith)(?<!\bno)(?<!\bwithout)[\s_-])(?:ad|ads|advert\w*|banner\w*|promo\w*|sponsor\w*|nav\w*|menu\w*|sidebar\w*|footer\w*|cookie\w*|consent\w*|gdpr|notice\w*|notif\w*|alert\w*"
+    r"ads?|advert\w*|banner\w*|promo\w*|sponsor\w*|nav\w*|menu\w*|sidebar\w*|footer\w*|cookie\w*|consent\w*|gdpr|notice\w*|notif\w*|alert\w*"
     r"|popup\w*|modal\w*|overlay\w*|newsletter\w*|subscri\w*|share\w*|sharing|social\w*|comment\w*|repl(?:y|ies)\w*|discuss\w*|respond\w*|related\w*"
     r"|recommend\w*|breadcrumb\w*|paginat\w*|pager|widget\w*|toolbar\w*|login|signup|search\w*|masthead|copyright|legal|disclaimer\w*|skip\w*"
-    r"|complementary|contentinfo|dialog|form)(?:$|[\s_-])",
+    r"|complementary|contentinfo|dialog|form",
+    re.I,
+)
+FILLER = re.compile(
+    r"|\d+|area|articles?|bar|bottom|box(?:es)?|buttons?|col|column|container|global|group|header|holder|icons?|inner|items?|left|links?|list|main|outer|page|panel|posts?|primary"
+    r"|readers?|right|row|secondary|sections?|site|slot|stories|text|title|top|unit|users?|wrap|wrapper|you|up",
     re.I,
 )
 #: A page's own header, which unlike an article's has no other word before it.
@@ -47,7 +55,7 @@ HEADER_WORD = re.compile(r"(?:^|\s)(?:(?:site|page|top|global|main)[-_]?)?(?:hea
 OPEN_ENDED = frozenset("li p dt dd td th tr option".split())
 #: Adverts and their like, which may stand amid the text and part nothing.
 ADVERT_WORD = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner\w*|promo\w*|sponsor\w*|newsletter\w*|subscri\w*|share\w*|sharing|social\w*)(?:$|[\s_-])", re.I)
-#: Whole ids, and whole classes of sections, that name what is not the article where they stand in one.
+#: Whole ids and classes of blocks that name what is not the article where they stand in one.
 ASIDE_NAME = re.compile(
     r"(?:^|\s)(?:ads?|advert\w*|banner|promo|sponsored|nav|navigation|menu|sidebar|footer|cookies?|newsletter|share|social"
     r"|(?:reader-|user-|post-)?comments?(?:-(?:list|section|area))?|replies|respond|related(?:-(?:posts|articles|stories|links))?|recommended|breadcrumbs?|pagination|login|signup)(?:$|\s)",
@@ -63,30 +71,44 @@ WINDOW, LINE, MARK = 3, 200, 800
 SHARE, MARK_TIMES = 0.25, 4
 
 
+#: Elements that hold blocks: what is taken out between two lines of one of them does not part them.
+HOLDERS = frozenset("body div section td main article".split())
+
+
 class Line(NamedTuple):
-    """A line that stripped markup leaves: characters outside links, the outermost main and article elements it stands in (0: none), whether something was taken out before it."""
+    """A line that stripped markup leaves: characters outside links, the outermost main and article elements it stands in (0: none), whether something was taken out before it, and its innermost holder."""
 
     text: str
     plain: int
     main: int
     article: int
     gap: bool
+    holder: int
 
     @property
     def mark(self) -> bool:
         return bool(self.main or self.article)
 
 
+def names_aside(name: str) -> bool:
+    """Whether a class, id or role says that its element is not of the article: parts that are aside words, and else fillers only ("has-sidebar" has another)."""
+    parts = re.split(r"[-_]+", name)
+    words = [p for p in parts if ASIDE_WORD.fullmatch(p)]
+    return bool(words) and all(p in words or FILLER.fullmatch(p) for p in parts)
+
+
 def _aside(name: str, attrs: str, inside: bool) -> str:
-    """"advert" or "other" if the element is not of the article, else nothing; ``inside``: it stands in an article or main element."""
+    """"advert" or "other" if the element is not of the article, else nothing; ``inside``: it stands in an article or main element.
+
+    Names count on blocks only: an inline element stands amid a sentence.
+    """
     if name in ASIDE or name == "header" and not inside:
         return "other"
-    if not attrs or name in HEADINGS and inside or name in ("html", "body", *MARKED) and "comment" not in attrs.lower():
+    if not attrs or name not in BLOCKS or name in HEADINGS and inside or name in ("html", "body", *MARKED) and "comment" not in attrs.lower():
         return ""
-    for kind, a, b, c in ATTRIBUTE.findall(attrs):
+    for _, a, b, c in ATTRIBUTE.findall(attrs):
         value = a or b or c
-        whole = inside and (kind.lower() == "id" or name == "section")
-        if ASIDE_NAME.search(value) if whole else ASIDE_WORD.search(value) or not inside and HEADER_WORD.search(value):
+        if ASIDE_NAME.search(value) if inside else any(map(names_aside, value.split())) or HEADER_WORD.search(value):
             return "advert" if ADVERT_WORD.search(value) else "other"
     return ""
 
@@ -157,13 +179,15 @@ def element_ends(tokens: list[re.Match]) -> list[tuple[int, int]]:
 def page_lines(page: str) -> list[Line]:
     """The lines of a page, without the elements that are not of the article and all that they hold.
 
-    Adverts and their like leave no gap, nor does what is taken out of an article or main element.
+    Adverts and their like leave no gap, nor does what is taken out of an article or main element, or
+    between two lines that the same element holds.
     """
     lines: list[Line] = []
     parts: list[str] = []
     plain = link = 0
     gap = False
     marks: list[tuple[str, int]] = []
+    holders: list[tuple[int, int]] = []
     tokens = list(TOKEN.finditer(page))
     ends = element_ends(tokens)
 
@@ -172,7 +196,7 @@ def page_lines(page: str) -> list[Line]:
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            lines.append(Line(text, plain, *(next((k for name, k in marks if name == x), 0) for x in ("main", "article")), gap))
+            lines.append(Line(text, plain, *(next((k for name, k in marks if name == x), 0) for x in ("main", "article")), gap, holders[-1][1] if holders else 0))
             gap = False
         plain = 0
 
@@ -194,6 +218,8 @@ def page_lines(page: str) -> list[Line]:
             continue
         if name in BLOCKS or name in ASIDE:
             flush()
+        while holders and holders[-1][0] <= i:
+            holders.pop()
         if m["close"]:
             if name in MARKED and any(x == name for x, _ in marks):
                 while marks.pop()[0] != name:
@@ -205,7 +231,10 @@ def page_lines(page: str) -> list[Line]:
             flush()
             gap = gap or kind == "other" and not marks
             i, at = ends[i - 1]
-        elif name in MARKED:
+            continue
+        if name in HOLDERS and not m["attrs"].endswith("/"):
+            holders.append((ends[i - 1][0], i))
+        if name in MARKED:
             marks.append((name, i))
         elif name == "a":
             link = 1
@@ -245,7 +274,7 @@ def main_text(page: str | None) -> str:
 
     A line weighs its characters, ``LINE`` at most, and nothing if most of them are links; one in an
     article or main element weighs ``MARK`` more. ``WINDOW`` places without weight stand for what was
-    taken out between lines and for the borders of articles. The regions between the places where
+    taken out between lines of different holders and for the borders of articles. The regions between the places where
     windows of weights surge and dive are kept, with all their lines, if they have ``SHARE`` of the largest
     region's text.
     """
@@ -254,7 +283,7 @@ def main_text(page: str | None) -> str:
     place: list[int] = []
     article = 0
     for before, line in itertools.pairwise([None, *lines]):
-        if before and (line.gap or before.mark != line.mark or line.article and article not in (0, line.article)):
+        if before and (line.gap and before.holder != line.holder or before.mark != line.mark or line.article and article not in (0, line.article)):
             weight += [0] * WINDOW
         article = line.article or article
         place.append(len(weight))

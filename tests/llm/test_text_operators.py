@@ -188,6 +188,63 @@ def test_main_text(body, text):
     assert main_text(PAGE % body) == text
 
 
+LONG = "<p>" + "long text " * 90 + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><p title="a < b">One.</p></article>', "One."),
+        ('<article><p title="<script>">One.</p><p>Two.</p></article>', "One.\nTwo."),
+        ("<article><p title='a > b \" c'>One.</p><script data-x='a>b'>var x</script><p>Two.</p></article>", "One.\nTwo."),
+        ('<article><p title="never closed>One.</p><p>Two.</p></article>', "One.\nTwo."),
+        ("<article><p>a<![CDATA[ x > y ]]>b</p></article>", "ab"),
+        ("<article>" + "".join(f'<div class="{c}"><p>Kept {c}.</p></div>' for c in ("shared-memory", "alert-text", "search-tips", "legal", "form-group", "ad-hoc")) + "</article>",
+         "\n".join(f"Kept {c}." for c in ("shared-memory", "alert-text", "search-tips", "legal", "form-group", "ad-hoc"))),
+        ('<article><p>On <span class="social">social</span> media.</p></article>', "On social media."),
+        (f"<div class=discussion-paper>{LONG}<p>End.</p></div>", ("long text " * 90).strip() + "\nEnd."),
+        (f"<div class=related-topic>{LONG}<p>End.</p></div>", ("long text " * 90).strip() + "\nEnd."),
+        *[(f"<div class=post>{LONG}{box}<p>The end.</p></div>", ("long text " * 90).strip() + "\nThe end.") for box in ("<nav><a href=/>x</a></nav>", "<form><input></form>", "<div class=related-posts><p>More</p></div>")],
+        (f"<div class=post>{LONG}</div><div class=sidebar-widget-area>Side</div><div class=user-comments><p>Reader</p></div>", ("long text " * 90).strip()),
+    ],
+)
+def test_markup_and_names_that_are_not_what_they_seem(page, text):
+    assert main_text(f"<html><body>{page}</body></html>") == text
+
+
+def plain_main_text(lines):
+    """The page result from its lines, by trying all runs: brute force."""
+    weight, at, last = [], [], 0
+    for k, x in enumerate(lines):
+        p = lines[k - 1] if k else None
+        if p and (x.gap and p.holder != x.holder or p.mark != x.mark or x.article and last not in (0, x.article)):
+            weight += [0, 0, 0]
+        last = x.article or last
+        at.append(len(weight))
+        weight.append(800 + min(x.plain, 200) if x.mark else 0 if 3 * x.plain < len(x.text) else max(1, min(x.plain, 200)))
+    sums = [sum(weight[i : i + 3]) for i in range(len(weight))]
+    regions = []
+    for a, b in itertools.combinations(range(len(weight) + 1), 2):
+        if all(sums[a:b]) and not (a and sums[a - 1]) and not (b < len(weight) and sums[b]) and max(sums[a:b]) >= max(sums) / 4:
+            held = [i for i in range(a, b) if weight[i]]
+            regions.append([x for x, i in zip(lines, at) if held[0] <= i <= held[-1]])
+    mass = [sum((4 if x.mark else 1) * max(1, x.plain) for x in r) for r in regions]
+    return "\n".join(x.text for r, m in zip(regions, mass) if m >= max(mass) / 4 for x in r)
+
+
+def test_page_results_equal_brute_force():
+    rng = random.Random(11)
+    parts = ["<p>" + "word " * 3 + "</p>", "<p>" + "word " * 60 + "</p>", "<nav><p>menu</p></nav>", "<div>", "</div>", "<p><a href=/>" + "link " * 9 + "</a></p>", "<article>", "</article>", "<section class=ad>buy</section>", "<ul><li>x<li>y</ul>"]
+    kept = 0
+    for _ in range(300):
+        page = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        lines = html_text.page_lines(page)
+        got = main_text(page)
+        assert got == plain_main_text(lines)
+        kept += 0 < got.count("\n") + 1 < len(lines)
+    assert kept > 20
+
+
 def test_regions_match_all_windows():
     rng = random.Random(3)
     some = False
