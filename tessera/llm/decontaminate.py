@@ -22,6 +22,8 @@ PARTS = bytes(b if b >= 128 or chr(b).isalnum() or b == 95 else 32 for b in rang
 BLOCKS = 8
 #: Windows are fingerprinted in runs of at most so many shingles, which bounds memory for very long texts.
 RUN = 1 << 14
+#: Items and windows that are compared at once: a million pairs, and tables of 8 MB.
+ITEMS, WINDOWS = 1 << 12, 1 << 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,12 +57,12 @@ def window_prints(grams: np.ndarray, starts: np.ndarray, size: int) -> np.ndarra
 
 
 class ItemIndex:
-    """Items by their number of words, each class with its fingerprints and a table for each block.
+    """Items by their number of words, each class with its fingerprints.
 
-    The blocks guarantee that no fingerprint within the radius is lost; at 20 of 64 bits they rule out only
-    some 30 % of unlike items, so what keeps the work small is that only windows with a shingle of an
-    item are looked up. Two fingerprints at most ``radius`` bits apart have a block at most radius // BLOCKS bits apart;
-    each table says which items have such a block for each of its 256 values.
+    The blocks guarantee that no fingerprint within the radius is lost: of ``BLOCKS`` blocks that together
+    differ in at most ``radius`` bits, at least ``least`` differ in at most ``radius // BLOCKS``, as every other
+    one takes more. At 20 of 64 bits that rules out two thirds of unlike items; what keeps the work small
+    is that only windows are looked up whose shingles could make up the similarity.
     """
 
     def __init__(self, items: list[tuple[object, list[bytes]]], width: int, radius: int) -> None:
@@ -80,18 +82,26 @@ class ItemIndex:
         for k, v in self.wanted.items():
             self.quick[k] = np.zeros(1 << 20, bool)
             self.quick[k][v >> np.uint64(44)] = True
-        near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :]) <= radius // BLOCKS
-        self.classes = []
-        for length, members in sorted(by_length.items()):
-            fps = np.stack([fp for _, fp in members])
-            self.classes.append((length, np.array([n for n, _ in members]), fps, [near[:, fps[:, b]] for b in range(BLOCKS)]))
-
-    def near(self, prints: np.ndarray, fps: np.ndarray, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (window, item) within the radius."""
-        met = reduce(np.logical_or, (t[prints[:, b]] for b, t in enumerate(tables)))
-        w, i = np.nonzero(met)
-        d = np.bitwise_count(prints[w] ^ fps[i]).sum(axis=1, dtype=np.int64)
-        return w[d <= self.radius], i[d <= self.radius]
+        each = radius // BLOCKS
+        self.least = BLOCKS - radius // (each + 1)
+        self.alike = (np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :]) <= each).astype(np.uint8)
+        self.classes = [(length, np.array([n for n, _ in members]), np.stack([fp for _, fp in members])) for length, members in sorted(by_length.items())]
+
+    def near(self, prints: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (window, item) within the radius, in pieces of bounded size."""
+        for first in range(0, len(fps), ITEMS):
+            some = fps[first : first + ITEMS]
+            tables = [self.alike[:, some[:, b]] for b in range(BLOCKS)] if len(prints) >= WINDOWS else None
+            for at in range(0, len(prints), WINDOWS):
+                part = prints[at : at + WINDOWS]
+                met = np.zeros((len(part), len(some)), np.uint8)
+                for b in range(BLOCKS):
+                    met += tables[b][part[:, b]] if tables else self.alike[part[:, b][:, None], some[:, b]]
+                w, i = np.nonzero(met >= self.least)
+                d = np.bitwise_count(part[w].view(np.uint64)[:, 0] ^ some[i].view(np.uint64)[:, 0])
+                hit = d <= self.radius
+                if hit.any():
+                    yield w[hit] + at, i[hit] + first
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -103,11 +113,11 @@ def similarity(a: Counter, b: Counter) -> float:
 def matches(words: list[bytes], index: ItemIndex, threshold: float) -> dict[int, tuple[float, int, int]]:
     """For each item found: the best similarity, the window's first word and its number of words.
 
-    A window without a shingle of any item has similarity zero with all; only windows that hold one are
-    fingerprinted. Windows are as long as the item, or the text if that is shorter.
+    Windows are as long as the item, or the text if that is shorter. A window of a shingles reaches the
+    threshold t with an item of b only if they share t (a + b) / (1 + t), so windows with fewer shingles
+    that any item has are not fingerprinted.
     """
     best: dict[int, tuple[float, int, int]] = {}
-    tried: set[tuple[int, int, int]] = set()
     hashes = word_hashes(words)
     for k, wanted in index.wanted.items():
         grams = gram_hashes(hashes, k)
@@ -115,30 +125,31 @@ def matches(words: list[bytes], index: ItemIndex, threshold: float) -> dict[int,
         hit = hit[wanted[np.minimum(np.searchsorted(wanted, grams[hit]), len(wanted) - 1)] == grams[hit]]
         if not len(hit):
             continue
-        for length, members, fps, tables in index.classes:
-            if min(index.width, length) != k:
+        upto = np.zeros(len(grams) + 1, np.int64)
+        upto[hit + 1] = 1
+        upto = upto.cumsum()
+        for whole, members, fps in index.classes:
+            if min(index.width, whole) != k:
                 continue
-            length = min(length, len(words))
+            length = min(whole, len(words))
             size = length - k + 1
-            cover = np.zeros(len(grams) + 1, np.int32)
-            np.add.at(cover, np.maximum(hit - size + 1, 0), 1)
-            np.add.at(cover, hit + 1, -1)
-            starts = np.nonzero(cover.cumsum()[:-1][: len(words) - length + 1])[0]
+            need = np.ceil(threshold * (size + whole - k + 1) / (1 + threshold) - 1e-6)
+            starts = np.nonzero(upto[size:] - upto[: len(upto) - size] >= max(1, need))[0]
             cuts = np.nonzero(np.diff(starts) > size)[0] + 1
             for run in np.split(starts, cuts):
                 for at in range(0, len(run), RUN):
                     part = run[at : at + RUN]
                     if not len(part):
                         continue
-                    for w, i in zip(*index.near(window_prints(grams, part, size), fps, tables), strict=True):
-                        start, item = int(part[w]), int(members[i])
-                        if (start, length, item) in tried:
-                            continue
-                        tried.add((start, length, item))
-                        have = Counter(tuple(words[j : j + k]) for j in range(start, start + size))
-                        s = similarity(have, index.grams[item])
-                        if s >= threshold and (item not in best or (-s, start) < (-best[item][0], best[item][1])):
-                            best[item] = (s, start, length)
+                    last, have = -1, Counter()
+                    for ws, items in index.near(window_prints(grams, part, size), fps):
+                        for w, i in zip(ws.tolist(), items.tolist(), strict=True):
+                            start, item = int(part[w]), int(members[i])
+                            if start != last:
+                                last, have = start, Counter(tuple(words[j : j + k]) for j in range(start, start + size))
+                            s = similarity(have, index.grams[item])
+                            if s >= threshold and (item not in best or (-s, start) < (-best[item][0], best[item][1])):
+                                best[item] = (s, start, length)
     return best
 
 

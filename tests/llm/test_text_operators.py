@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import html_text, substring_dedup
-from tessera.llm.decontaminate import contaminated
+from tessera.llm.decontaminate import ItemIndex, contaminated, matches
 from tessera.llm.decontaminate import words_of as words_of_text
 from tessera.llm.html_text import extract_text, main_text, window_regions
 from tessera.llm.language_id import START, UNKNOWN, PieceModel, codes, identify_languages
@@ -412,3 +412,30 @@ def test_suffix_automaton_statistics():
             assert list(automaton.statistics(s)) == want
             automaton.add(s)
             held.append(s)
+
+
+def test_many_items_of_one_length_and_a_long_leak_stay_within_memory():
+    """Every 30 words of a text are an item, and a third of that text is leaked: all its windows are like some items."""
+    import tracemalloc
+
+    rng = random.Random(5)
+    words = [b"w%d" % rng.randrange(4000) for _ in range(9_030)]
+    items = [(i, words[i : i + 30]) for i in range(9_000)]
+    index = ItemIndex(items, 5, 20)
+    assert index.least == 2
+    tracemalloc.start()
+    got = matches(words[:3_000], index, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    assert {i for i, (s, start, n) in got.items() if s == 1} == set(range(2_971)) and all(got[i][1:] == (i, 30) for i in range(2_971))
+    want = [i for i in range(2_971, 3_040) if any(brute_pair(words[j : j + 30], words[i : i + 30]) >= 0.8 for j in range(2_960, 2_971))]
+    assert sorted(set(got) - set(range(2_971))) == want
+
+
+def brute_pair(a, b, k=5):
+    from collections import Counter
+
+    x, y = (Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) for w in (a, b))
+    both = sum((x & y).values())
+    return both / (sum(x.values()) + sum(y.values()) - both)
