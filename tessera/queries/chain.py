@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,8 @@ from tessera.queries.pairs import _EDGES as EDGES_SQL
 from tessera.queries.panel import rounded
 from tessera.queries.registry import Registry
 from tessera.streaming.events import closed_loop
-from tessera.session import durable, table
+from tessera.session import durable, removed, table
+from tessera.sources import models as saved
 
 Q = Registry()
 
@@ -52,13 +55,16 @@ def _ridge_sql(rows: str, keys: str) -> str:
 _GUESS = "greatest(0, least(1, b[1] + b[2] * x[1] + b[3] * x[2] + b[4] * x[3]))"
 
 
-@Q.query(f"""
+_SCORED = f"""
     WITH RECURSIVE {_LABELLED}, d AS (SELECT 1 AS k, x, y, w FROM p WHERE card_id % 5 <> 0), {newton("fit", "d", "k", 3)},
     h AS (SELECT card_id, action_id, head, {_GUESS} AS g FROM u JOIN {_ridge_sql("u WHERE card_id % 5 <> 0", "head")} USING (head) WHERE card_id % 5 = 0),
     lo AS (SELECT [min(x[1]), min(x[2]), min(x[3])] AS lo, [max(x[1]), max(x[2]), max(x[3])] AS hi FROM lab WHERE card_id % 5 <> 0),
     s AS (SELECT card_id, action_id, 1 / (1 + exp(-greatest(-30, least(30, {product("v", "x", 3)})))) AS response FROM (SELECT card_id, action_id, list_transform(range(1, 4), lambda i: greatest(lo[i], least(hi[i], x[i]))) AS x FROM lab, lo WHERE card_id % 5 = 0), fit)
     SELECT card_id, action_id, round(response, 6) AS response, {", ".join(f"round(max(g) FILTER (head = '{h}'), 6) AS {h}" for h in chain.HEADS)} FROM s JOIN h USING (card_id, action_id) GROUP BY card_id, action_id, response
-""")
+"""
+
+
+@Q.query(_SCORED)
 def scored_actions(spark: SparkSession, d: str) -> DataFrame:
     """Six heads fitted on four fifths of the cards, the ranker along the edges of the pair graph, score the actions of the others."""
     rows = durable(labelled(spark, d))
@@ -68,6 +74,20 @@ def scored_actions(spark: SparkSession, d: str) -> DataFrame:
     return rounded(scored.drop(*MODES["all"]))
 
 
+@Q.query(_SCORED)
+def saved_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The same scores by a model that was saved, attested with the table it was fitted on, and loaded again."""
+    rows = durable(labelled(spark, d))
+    train = F.col("card_id") % 5 != 0
+    model = chain.train_actions(rows, decided_pairs(rows, "card_id", "response"), "card_id", train, MODES["all"])
+    path = f"{spark.sparkContext.getCheckpointDir()}/models/{uuid.uuid4().hex}"
+    saved.save(spark, model, path, [f"{d}/lineitem.parquet"], {"split": "card_id % 5 <> 0"})
+    scorer = saved.Scorer.load(path, kind=chain.ActionModel, inputs=[f"{d}/lineitem.parquet"])
+    out = scorer.transform(rows.where(~train).select("card_id", "action_id", *MODES["all"]))
+    removed(spark, path)
+    return rounded(out.drop(*MODES["all"]))
+
+
 @Q.query(f"""
     WITH RECURSIVE {_LABELLED}, sz AS (SELECT user_id, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, user_id) AS i FROM lab GROUP BY 1),
     fo AS (SELECT 0::BIGINT AS i, [0, 0, 0]::BIGINT[] AS loads, 0::BIGINT AS fold UNION ALL SELECT i, [CASE WHEN j = pos THEN loads[j] + size ELSE loads[j] END FOR j IN range(1, 4)], pos - 1

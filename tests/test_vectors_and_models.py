@@ -185,3 +185,46 @@ def test_resampling_is_the_same_with_and_without_a_broadcast(spark, units):
     once = [tuple(r) for r in inf.hierarchical_bootstrap(df, "u", "s", "x", 15, units=units).orderBy("rep").collect()]
     other = [tuple(r) for r in inf.hierarchical_bootstrap(df, "u", "s", "x", 15, units=10**6 if units == 1 else 1).orderBy("rep").collect()]
     assert once == [(k, pytest.approx(v)) for k, v in other] and len(once) == 15
+
+
+def test_saved_models_score_alike_and_fail_when_a_byte_changes(spark, tmp_path):
+    import pathlib
+
+    from tessera.operators.chain import ActionModel
+    from tessera.sources import models as saved
+
+    df = grid(spark)
+    model = boosting.boosted(df, "g", ["x", "z"], {"y": ("y", 3), "v": ("v", 4)}, "w", members=2, trees=3, least=4)
+    data = tmp_path / "data"
+    df.write.parquet(str(data))
+    path = str(tmp_path / "model")
+    said = saved.Scorer(model).save(path, inputs=[str(data)], parameters={"trees": 3})
+    again = saved.Scorer.load(path, kind=boosting.Boosted, inputs=[str(data)])
+    score = lambda m: sorted((r.g, r.action_id, [tuple(p) for p in r.predictions]) for r in m.transform(df).collect())
+    assert score(again) == score(saved.Scorer(model)) and said["parameters"] == {"trees": 3}
+    with pytest.raises(keys.CheckFailed, match="not a ActionModel"):
+        saved.load(spark, path, ActionModel)
+    df.limit(1).write.mode("append").parquet(str(data))
+    with pytest.raises(keys.CheckFailed, match="inputs differ"):
+        saved.load(spark, path, inputs=[str(data)])
+    space = ve.JointSpace.fit(states(spark), "id", "text_metadata_stable", 5)
+    saved.save(spark, space, str(tmp_path / "space"))
+    assert saved.load(spark, str(tmp_path / "space")) == space.__class__(**{**vars(space), "terms": [list(t) for t in space.terms]})
+    part = next(pathlib.Path(path, "arrays").glob("part-*"))
+    raw = bytearray(part.read_bytes())
+    raw[len(raw) // 2] ^= 1
+    part.write_bytes(bytes(raw))
+    for crc in pathlib.Path(path, "arrays").glob(".part-*.crc"):
+        crc.unlink()
+    with pytest.raises(keys.CheckFailed, match="files differ"):
+        saved.load(spark, path)
+    line = next(pathlib.Path(path, "_attestation").glob("part-*"))
+    line.write_text(line.read_text().replace('"trees": 3', '"trees": 4'))
+    for crc in pathlib.Path(path, "_attestation").glob(".part-*.crc"):
+        crc.unlink()
+    with pytest.raises(keys.CheckFailed, match="hash differs"):
+        saved.load(spark, path)
+    with pytest.raises(keys.CheckFailed, match="no attestation"):
+        saved.load(spark, str(tmp_path / "nothing"))
+    with pytest.raises(ValueError, match="cannot save"):
+        saved.save(spark, object(), str(tmp_path / "other"))
