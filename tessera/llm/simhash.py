@@ -210,7 +210,7 @@ def pigeonhole_keys(fp: str, n_bytes: int, radius: int) -> F.Column:
 
 
 def near_edges(members: DataFrame, key: F.Column, radius: int, steps: int = 1, cell: int = CELL, n_bytes: int | None = None) -> DataFrame:
-    """``(src, dst, tree)``: links within ``radius`` bits between fingerprints that share a key, as ``near_links`` gives them for each cell.
+    """``(src, dst, tree)``, written down: links within ``radius`` bits between fingerprints that share a key, as ``near_links`` gives them for each cell.
 
     ``members`` has a distinct ``fp`` a row, and ``key`` gives the array of its keys. Members of a key are
     gathered in cells; keys with more than ``cell`` members are cut into chunks, of which each pair
@@ -218,7 +218,7 @@ def near_edges(members: DataFrame, key: F.Column, radius: int, steps: int = 1, c
     """
     keyed = members.select("fp", F.explode(key).alias("key"))
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    counts, _ = stored(counts.select(F.col("key").alias("k"), F.ceil(F.col("n") / cell).cast("int").alias("chunks")))
+    counts, path = stored(counts.select(F.col("key").alias("k"), F.ceil(F.col("n") / cell).cast("int").alias("chunks")))
     met = keyed.join(counts, F.col("key") == F.col("k")).withColumn("c", F.expr("pmod(xxhash64(fp), chunks)").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     met = met.select("key", "fp", "c", other.alias("d"))
@@ -234,7 +234,9 @@ def near_edges(members: DataFrame, key: F.Column, radius: int, steps: int = 1, c
             left, right, tree = near_links(b.column(0).to_pylist(), radius, steps, n_bytes)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(tree, pa.int64())], ["src", "dst", "tree"])
 
-    return cells.mapInArrow(run, "src binary, dst binary, tree bigint")
+    out = durable(cells.mapInArrow(run, "src binary, dst binary, tree bigint").distinct())
+    removed(members.sparkSession, path)
+    return out
 
 
 def label_rows(prints: DataFrame, members: DataFrame, components: DataFrame) -> DataFrame:
@@ -260,10 +262,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     compared bit-sliced, and only the links of a spanning forest leave a cell.
     """
     prints = durable(fingerprints(docs, id_col, text_col, width))
-    members, _ = stored(prints.groupBy("fp").agg(F.min("id").alias("first")))
+    members, path = stored(prints.groupBy("fp").agg(F.min("id").alias("first")))
     links = near_edges(members, pigeonhole_keys("fp", 8, radius), radius)
     out = label_rows(prints, members, connected_components(links))
-    return out.select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), F.col("best").alias("component_id"))
+    out, _ = stored(out.select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), F.col("best").alias("component_id")))
+    removed(docs.sparkSession, path)
+    return out
 
 
 def shingle_sets(members: DataFrame, docs: DataFrame, text_col: str, width: int) -> DataFrame:
@@ -409,8 +413,10 @@ def near_duplicates(
     prints = fingerprints(keyed_docs, "id and hash", text_col, width, n_bytes, bands)
     prints = durable(prints.select("id.id", "id.h", "fp", "keys").withColumn("row", F.monotonically_increasing_id()))
     first = F.struct(F.col("id").isNull().alias("last"), "id", "row")
-    members, _ = stored(prints.groupBy("fp").agg(F.min(first).alias("first"), F.min("h").alias("h"), F.first("keys").alias("keys")))
-    edges = durable(near_edges(members, F.col("keys"), radius, steps=4, n_bytes=n_bytes).distinct())
+    members, path = stored(prints.groupBy("fp").agg(F.min(first).alias("first"), F.min("h").alias("h"), F.first("keys").alias("keys")))
+    edges = near_edges(members, F.col("keys"), radius, steps=4, n_bytes=n_bytes)
     links = similar_links(edges, members, docs, text_col, width, similarity, radius)
     out = label_rows(prints.select("id", "fp", "row"), members.select("fp", "first"), connected_components(links))
-    return out.select(F.col("id").alias(id_col), F.col("best.id").alias("component_id"), (F.col("row") == F.col("best.row")).alias("kept"))
+    out, _ = stored(out.select(F.col("id").alias(id_col), F.col("best.id").alias("component_id"), (F.col("row") == F.col("best.row")).alias("kept")))
+    removed(docs.sparkSession, path)
+    return out
