@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.ids import stable_hex
-from tessera.session import prepare
 
 
 def hash_sample(df: DataFrame, n: int, seed: Column, key: str) -> DataFrame:
@@ -170,54 +168,111 @@ def grouped_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
     return met.select(F.col("g").alias(group), "size", F.element_at(run["folds"], at).alias("fold"))
 
 
-def greedy_strata(df: DataFrame, key: str, scenario: str, stratum: str, priority: str, quota: int, total: int) -> DataFrame:
-    """A plan of ``total`` items: per stratum up to ``quota`` by priority, fresh scenarios first, then any; then fill by scenario use.
+def stratum_candidates(df: DataFrame, strata: Mapping[str, tuple[Column, Column]]) -> DataFrame:
+    """Each row once for each of the named ``strata`` (condition, priority) whose condition holds, with ``stratum`` and ``priority``."""
+    seats = [F.when(holds, F.struct(F.lit(name).alias("stratum"), rank.cast("double").alias("priority"))) for name, (holds, rank) in strata.items()]
+    return df.withColumn("_seat", F.explode(F.array_compact(F.array(*seats)))).select(*df.columns, "_seat.*")
 
-    Candidates are cut, in parallel, to the ``total`` best rows of each scenario of a stratum, and to its
-    ``total + quota`` best scenarios by their first row. As no more than ``total`` items are taken, that
-    is all that the greedy pass can reach; it runs over this list, bounded for each stratum, in one task.
+
+#: The items of a plan are broadcast to what they are joined with.
+LARGEST_PLAN = 100_000
+
+
+def greedy_strata(
+    df: DataFrame, key: str, scenario: str, stratum: str, priority: str, quota: int | Mapping[str, int], total: int, counts: str = "running"
+) -> DataFrame:
+    """A plan of ``total`` items: ``key, scenario, stratum, turn, covered``, each item (of one scenario) once.
+
+    In turn 1 each stratum in order takes its best items of fresh scenarios, in turn 2 its best items of
+    any, until ``quota`` is met. Turn 3 fills the plan by (uses of the scenario, priority, key): uses as
+    they are after each pick (``counts="running"``), or as they stood before the turn (``"before"``).
+    ``quota`` is one number for all strata, in their natural order, or a number for each of the strata
+    named, in that order; other strata then take no part. An item can stand in several strata:
+    ``covered`` lists those whose search passed it once it was in the plan, its own included.
+
+    Greedy search by priority is a top-n of what is still free, so each turn of a stratum is one such
+    query. They run over candidates cut once to the ``total`` best rows of each scenario of a stratum and
+    its ``total + quota`` best scenarios by their first row: as no more than ``total`` items are taken,
+    nothing beyond can be reached. Higher priorities come first, ties by key; null and NaN priorities last.
+    Of repeated rows the highest priority counts; rows without a key take no part, rows without a
+    stratum in turn 3 only. A null scenario is one scenario. Without rows the plan is empty.
     """
-    w = W.partitionBy(stratum).orderBy(F.col(priority).desc(), key)
-    s = W.partitionBy(stratum, scenario).orderBy(F.col(priority).desc(), key)
-    rows = df.withColumn("_s", F.row_number().over(s)).where(F.col("_s") <= total)
-    firsts = df.withColumn("_s", F.row_number().over(s)).where("_s = 1").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= total + quota)
-    firsts = firsts.select(F.col(stratum).alias("_a"), F.col(scenario).alias("_b"))
-    cut = rows.join(firsts, F.col(stratum).eqNullSafe(F.col("_a")) & F.col(scenario).eqNullSafe(F.col("_b")), "left_semi").drop("_s")
-    prepare(df.sparkSession)
-    kinds = dict(df.dtypes)
-
-    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([stratum, priority, key], ascending=[True, False, True])
-        used: dict = {}
-        taken: list = []
-
-        def take(r, turn: int) -> None:
-            used[r[scenario]] = used.get(r[scenario], 0) + 1
-            taken.append((r[key], r[scenario], r[stratum], turn))
-
-        chosen: set = set()
-        for turn in (1, 2):
-            for _, rows in pdf.groupby(stratum, sort=True):
-                n = sum(x[2] == rows[stratum].iloc[0] for x in taken)
-                for r in rows.to_dict("records"):
-                    if n >= quota or len(taken) >= total:
-                        break
-                    if r[key] in chosen or turn == 1 and r[scenario] in used:
-                        continue
-                    take(r, turn)
-                    chosen.add(r[key])
-                    n += 1
-        while len(taken) < total:
-            rest = [r for r in pdf.to_dict("records") if r[key] not in chosen]
-            if not rest:
-                break
-            r = min(rest, key=lambda x: (used.get(x[scenario], 0), -x[priority], x[key]))
-            take(r, 3)
-            chosen.add(r[key])
-        return pd.DataFrame(taken, columns=[key, scenario, stratum, "turn"])
-
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (key, scenario, stratum)) + ", turn long"
-    return cut.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(plan, schema)
+    from tessera.session import durable
+
+    if not 0 < total <= LARGEST_PLAN:
+        raise ValueError(f"a plan has from 1 to {LARGEST_PLAN} items")
+    number = F.col(priority).cast("double")
+    rank = F.coalesce(F.when(~F.isnan(number), number), F.lit(float("-inf")))
+    base = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(scenario).alias("v"), F.col(stratum).alias("s"), rank.alias("p"))
+    if isinstance(quota, Mapping):
+        base = base.where(F.col("s").isin(*quota))
+    most = max(quota.values()) if isinstance(quota, Mapping) else quota
+    best = [F.col("p").desc(), F.col("k")]
+    rows = base.groupBy("k", "v", "s").agg(F.max("p").alias("p"))
+    ranked = rows.withColumn("i", F.row_number().over(W.partitionBy("s", "v").orderBy(*best))).where(F.col("i") <= total)
+    firsts = rows.withColumn("i", F.row_number().over(W.partitionBy("s", "v").orderBy(*best))).where("i = 1")
+    firsts = firsts.withColumn("j", F.row_number().over(W.partitionBy("s").orderBy(*best))).where(F.col("j") <= total + most)
+    firsts = firsts.select(F.col("s").alias("a"), F.col("v").alias("b"))
+    cut = durable(ranked.join(firsts, F.col("s").eqNullSafe(F.col("a")) & F.col("v").eqNullSafe(F.col("b")), "left_semi").drop("i"))
+    named = cut.where("s is not null").select("s").distinct().orderBy("s")
+    quotas = dict(quota) if isinstance(quota, Mapping) else {r["s"]: quota for r in named.collect()}
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    plan = df.sparkSession.createDataFrame([], f"{kinds}, turn long, at long")
+    size, searches = 0, []
+
+    def free(of: DataFrame) -> DataFrame:
+        return of.join(F.broadcast(plan.select("k")), "k", "left_anti")
+
+    def take(picks: DataFrame, need: int, turn: int, name) -> None:
+        nonlocal plan, size
+        at = F.lit(len(searches)).cast("long").alias("at")
+        plan = durable(plan.unionByName(picks.limit(need).select("k", "v", "s", "p", F.lit(turn).cast("long").alias("turn"), at)))
+        before, size = size, plan.count()
+        searches.append((len(searches), name, size - before < need))
+
+    for turn in (1, 2):
+        for name, most in quotas.items():
+            need = min(most - (plan.where(F.col("s") == name).count() if turn == 2 else 0), total - size)
+            if need <= 0:
+                continue
+            rest = free(cut.where(F.col("s") == name))
+            if turn == 1:
+                met = F.broadcast(plan.select(F.col("v").alias("b")).distinct())
+                rest = rest.join(met, F.col("v").eqNullSafe(F.col("b")), "left_anti")
+                rest = rest.withColumn("i", F.row_number().over(W.partitionBy("v").orderBy(*best))).where("i = 1")
+            take(rest.orderBy(*best), need, turn, name)
+
+    uses = plan.groupBy(F.col("v").alias("b")).agg(F.count("*").alias("n"))
+
+    def used(of: DataFrame) -> DataFrame:
+        met = of.join(F.broadcast(uses), F.col("v").eqNullSafe(F.col("b")), "left")
+        return met.withColumn("n", F.coalesce("n", F.lit(0))).drop("b")
+
+    fill = None
+    if size < total:
+        fill = len(searches)
+        place = F.coalesce(*[F.when(F.col("s") == name, F.lit(i)) for i, name in enumerate(quotas)], F.lit(len(quotas)))
+        rest = free(cut).withColumn("i", F.row_number().over(W.partitionBy("k").orderBy(F.col("p").desc(), place))).where("i = 1")
+        rest = used(rest)
+        if counts == "running":
+            rest = rest.withColumn("n", F.col("n") + F.row_number().over(W.partitionBy("v").orderBy(*best)) - 1)
+        take(rest.orderBy("n", *best), total - size, 3, None)
+
+    # A search went to its last pick, or through the whole list; items of the plan are held against that in each of their strata.
+    seats = base.join(F.broadcast(plan.select("k", F.col("at").alias("since"))), "k").groupBy("k", "v", "s", "since").agg(F.max("p").alias("p"))
+    ends = plan.groupBy("at").agg(F.max_by(F.struct("p", "k"), F.struct(-F.col("p"), "k")).alias("e"))
+    lists = df.sparkSession.createDataFrame(searches, f"at long, name {rows.schema['s'].dataType.simpleString()}, whole boolean")
+    lists = F.broadcast(lists.join(ends, "at", "left").where("name is not null"))
+    reached = F.expr("whole or p > e.p or p = e.p and k <= e.k")
+    covers = plan.select("k", "s").union(seats.join(lists, F.col("s") == F.col("name")).where(reached & (F.col("at") >= F.col("since"))).select("k", "s"))
+    if fill is not None and counts == "before":
+        end = used(plan.where(F.col("at") == fill)).agg(F.max(F.struct("n", -F.col("p"), "k")).alias("e"))
+        past = used(seats).join(F.broadcast(end.withColumn("at", F.lit(fill))), F.col("at") >= F.col("since"))
+        past = past.where(F.lit(searches[fill][2]) | (F.struct("n", -F.col("p"), "k") <= F.col("e")))
+        covers = covers.union(past.select("k", "s"))
+    covers = covers.groupBy("k").agg(F.sort_array(F.collect_set("s")).alias("covered"))
+    return plan.join(covers, "k").select(F.col("k").alias(key), F.col("v").alias(scenario), F.col("s").alias(stratum), "turn", "covered")
 
 
 def audit_picks(df: DataFrame, key: str, baseline: str) -> DataFrame:

@@ -9,6 +9,7 @@ from tessera.functions import ids, text
 from tessera.operators import sampling, similarity
 from tessera.queries.panel import rounded
 from tessera.queries.registry import Registry
+from tessera.plans.audit import UNIT_QUOTAS, UNITS_SQL, unit_conditions, unit_strata
 from tessera.session import durable, table
 
 Q = Registry()
@@ -151,11 +152,61 @@ def grouped_folds(spark: SparkSession, d: str) -> DataFrame:
     return sampling.grouped_folds(table(spark, d, "events"), "user_id", 5)
 
 
-@Q.query()
+def plan_sql(quotas: dict[str, int], total: int, running: bool) -> str:
+    """Common tables ``picks(k, v, s, p, turn, seq)`` and ``covers(k, covered)`` of a greedy plan over ``cand(k, v, s, p)``: a table for each search."""
+    out, before, lists = ["g0 AS (SELECT k, v, s, p, 0 AS turn, 0 AS seq FROM cand WHERE false)"], "g0", []
+    for turn in (1, 2):
+        for name, quota in quotas.items():
+            at = len(lists)
+            fresh = f"AND v NOT IN (SELECT v FROM {before}) QUALIFY row_number() OVER (PARTITION BY v ORDER BY p DESC, k) = 1" if turn == 1 else ""
+            got = f"(SELECT count(*) FROM {before} WHERE s = '{name}')" if turn == 2 else "0"
+            out.append(f"n{at} AS MATERIALIZED (SELECT greatest(0, least({quota} - {got}, {total} - (SELECT count(*) FROM {before}))) AS n)")
+            out.append(f"""t{at} AS MATERIALIZED (SELECT k, v, s, p, {turn} AS turn, {at} AS seq FROM (SELECT *, row_number() OVER (ORDER BY p DESC, k) AS r FROM
+                (SELECT * FROM cand WHERE s = '{name}' AND k NOT IN (SELECT k FROM {before}) {fresh})) WHERE r <= (SELECT n FROM n{at}))""")
+            out.append(f"g{at + 1} AS MATERIALIZED (SELECT * FROM {before} UNION ALL SELECT * FROM t{at})")
+            lists.append(f"""SELECT {at} AS seq, '{name}' AS s, n > (SELECT count(*) FROM t{at}) AS whole, (SELECT min(p) FROM t{at}) AS ep,
+                (SELECT max(k) FROM t{at} WHERE p = (SELECT min(p) FROM t{at})) AS ek FROM n{at} WHERE n > 0""")
+            before = f"g{at + 1}"
+    at = len(lists)
+    place = " ".join(f"WHEN '{name}' THEN {i}" for i, name in enumerate(quotas))
+    step = "+ row_number() OVER (PARTITION BY v ORDER BY p DESC, k) - 1" if running else ""
+    fill = "" if running else f"""UNION SELECT c.k, c.s FROM cand c JOIN picks USING (k) JOIN uses u ON u.v = c.v
+            WHERE {total} > (SELECT count(*) FROM {before}) AND ({total} > (SELECT count(*) FROM picks) OR (u.n, -c.p, c.k) <= (SELECT max((n, -p, k)) FROM picks JOIN uses USING (v) WHERE seq = {at}))"""
+    return ",\n".join(out) + f""",
+        uses AS MATERIALIZED (SELECT v, count(*) FILTER (turn > 0) AS n FROM (SELECT v, turn FROM {before} UNION ALL SELECT v, 0 FROM cand) GROUP BY 1),
+        rest AS (SELECT c.*, n {step} AS n FROM (SELECT * FROM cand WHERE k NOT IN (SELECT k FROM {before})
+                 QUALIFY row_number() OVER (PARTITION BY k ORDER BY p DESC, CASE s {place} END) = 1) c JOIN uses USING (v)),
+        picks AS MATERIALIZED (SELECT * FROM {before} UNION ALL SELECT k, v, s, p, 3, {at} FROM (SELECT *, row_number() OVER (ORDER BY n, p DESC, k) AS r FROM rest)
+                 WHERE r <= {total} - (SELECT count(*) FROM {before})),
+        lists AS ({" UNION ALL ".join(lists)}),
+        covers AS (SELECT k, string_agg(s, ',' ORDER BY s) AS covered FROM (SELECT k, s FROM picks
+            UNION SELECT c.k, c.s FROM cand c JOIN picks USING (k) JOIN lists l ON l.s = c.s AND l.seq >= picks.seq AND (whole OR c.p > ep OR c.p = ep AND c.k <= ek) {fill}) GROUP BY 1)"""
+
+
+_EACH = {s: 4 for s in ("click", "error", "purchase", "signup", "view")}
+
+
+@Q.query(f"""
+    WITH cand AS (SELECT event_id AS k, user_id AS v, event_type AS s, value AS p FROM events), {plan_sql(_EACH, 30, running=True)}
+    SELECT k AS event_id, v AS scenario, s AS stratum, turn, covered FROM picks JOIN covers USING (k)
+""")
 def strata_plan(spark: SparkSession, d: str) -> DataFrame:
-    """No SQL: a greedy plan whose later choices depend on the earlier ones."""
+    """Each stratum's best items, of fresh scenarios first; then the least used scenarios fill the plan."""
     e = table(spark, d, "events").select("event_id", F.col("user_id").alias("scenario"), F.col("event_type").alias("stratum"), F.col("value").alias("priority"))
-    return sampling.greedy_strata(e, "event_id", "scenario", "stratum", "priority", quota=4, total=30)
+    return sampling.greedy_strata(e, "event_id", "scenario", "stratum", "priority", quota=4, total=30).withColumn("covered", F.concat_ws(",", "covered"))
+
+
+@Q.query(f"""
+    WITH {UNITS_SQL}, cand AS (SELECT unit_id AS k, user_id AS v, stratum AS s, priority AS p FROM unit_strata), {plan_sql(UNIT_QUOTAS, 50, running=False)}
+    SELECT k AS unit_id, v AS user_id, s AS stratum, turn, covered, condition, tokens, overall
+    FROM picks JOIN covers USING (k) JOIN unit_conditions ON unit_id = k
+""")
+def balanced_plan(spark: SparkSession, d: str) -> DataFrame:
+    """50 units in four overlapping strata (20, 15, 10, 5), every condition on the same units."""
+    facts = unit_conditions(spark, d)
+    seats = unit_strata(facts)
+    plan = sampling.greedy_strata(seats, "unit_id", "user_id", "stratum", "priority", UNIT_QUOTAS, total=50, counts="before")
+    return plan.withColumn("covered", F.concat_ws(",", "covered")).join(facts.drop("user_id"), "unit_id")
 
 
 @Q.query("""
