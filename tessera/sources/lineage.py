@@ -10,15 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.keys import CheckFailed
+from tessera.sources.blocks import HASHED, tree_hashes
 
 
 def manifest(spark: SparkSession, root: str, exclude: str = r"/(?:__pycache__|\.[^/]*|_[^/]*)(?:/|$)") -> DataFrame:
-    """``path, bytes, sha256`` of every file below ``root``, relative to it. Hashes are taken where the files are read; Spark reads files of up to 2 GB so."""
+    """``path, bytes, sha256`` of every file below ``root``, relative to it; hashes are taken where the files are read.
+
+    Files of up to one block (64 MB) are hashed whole. Larger ones are read by many tasks, and their hash
+    is that of their blocks' hashes in order, whatever their size.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    small = files.where(F.col("length") <= HASHED).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    large = tree_hashes(files.where(F.col("length") > HASHED).select("path", F.col("length").alias("bytes")))
     base = F.regexp_replace(F.lit(root), r"^\w+:/*|^/+|/+$", "")
     path = F.regexp_replace("path", r"^\w+:/*", "")
     rel = F.regexp_replace(F.substr(path, F.length(base) + 1), "^/+", "")
-    rows = files.select(rel.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    rows = small.unionByName(large).withColumn("path", rel)
     return rows.where(~F.concat(F.lit("/"), F.col("path")).rlike(exclude))
 
 
