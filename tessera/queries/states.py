@@ -172,7 +172,7 @@ def bounded_grid(spark: SparkSession, d: str) -> DataFrame:
 def stream_daily_means(spark: SparkSession, d: str) -> DataFrame:
     """A stream over the events, drained; the windows of complete mode are those of a batch."""
     s = stream.windowed_means(stream.event_stream(spark, f"{d}/events.parquet*"))
-    out = stream.drained(s, *_folders(spark), "complete")
+    out = stream.drained(s, *stream_folders(spark), "complete")
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n", F.round("mean", 6).alias("mean"))
 
 
@@ -180,7 +180,7 @@ def stream_daily_means(spark: SparkSession, d: str) -> DataFrame:
 def stream_first_seen(spark: SparkSession, d: str) -> DataFrame:
     """Two copies of the stream of events, each event once."""
     e = stream.event_stream(spark, f"{d}/events.parquet*")
-    out = stream.drained(stream.first_seen(e.unionByName(stream.event_stream(spark, f"{d}/events.parquet*"))), *_folders(spark))
+    out = stream.drained(stream.first_seen(e.unionByName(stream.event_stream(spark, f"{d}/events.parquet*"))), *stream_folders(spark))
     return out.agg(F.count("*").alias("events"), F.count_distinct("event_id").alias("ids"))
 
 
@@ -193,7 +193,7 @@ def stream_first_seen(spark: SparkSession, d: str) -> DataFrame:
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     """The sessions that the watermark has closed."""
     s = stream.sessions(stream.event_stream(spark, f"{d}/events.parquet*"))
-    out = stream.drained(s, *_folders(spark))
+    out = stream.drained(s, *stream_folders(spark))
     shown = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("start", "end")]
     return out.select("user_id", *shown, "n", F.round("total", 6).alias("total"))
 
@@ -204,7 +204,7 @@ def file_manifest(spark: SparkSession, d: str) -> DataFrame:
     return digest(manifest(spark, d))
 
 
-def _folders(spark: SparkSession) -> tuple[str, str]:
+def stream_folders(spark: SparkSession) -> tuple[str, str]:
     """A table and a checkpoint for a stream, in the shared folder."""
     from tessera.session import ensure_checkpoint_dir
 
