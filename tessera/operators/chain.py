@@ -180,6 +180,29 @@ def action_bounds(predictions: DataFrame, state: str, composite: Mapping[str, fl
     )
 
 
+def gate_terms(bounds: DataFrame, state: str, fallback: str = BASELINE) -> DataFrame:
+    """What the gates hold an action against, whatever their settings: bounds of the baseline (``_bq``, ``_bo``) and of the action
+    without its strategy (``_rq``, ``_ro``), share of the state's greatest cost (``_cost``), and whether it is the fallback (``_fall``)."""
+    w = W.partitionBy(state)
+    memory, strategy = F.split_part("action_id", F.lit("+"), F.lit(1)), F.split_part("action_id", F.lit("+"), F.lit(2))
+    s = bounds.withColumn("_m", memory).withColumn("_g", strategy)
+    cheapest = F.min_by("action_id", F.struct("cost", "action_id")).over(w)
+    s = s.withColumn("_cheap", cheapest).withColumn("_base", F.coalesce(F.max(F.when(F.col("action_id") == BASELINE, F.col("action_id"))).over(w), F.col("_cheap")))
+    at = lambda c, cond, win: F.max(F.when(cond, F.col(c))).over(win)
+    base, plain = F.col("action_id") == F.col("_base"), F.col("_g") == "R0"
+    pair = W.partitionBy(state, "_m")
+    s = s.withColumns(
+        {
+            "_bq": at("quality_ucb", base, w),
+            "_bo": at("memory_omission_ucb", base, w),
+            "_rq": at("quality_ucb", plain, pair),
+            "_ro": at("strategy_omission_ucb", plain, pair),
+            "_cost": F.col("cost") / F.greatest(F.max("cost").over(w), F.lit(1.0)),
+        }
+    )
+    return s.withColumn("_fall", F.col("action_id") == F.coalesce(F.max(F.when(F.col("action_id") == fallback, F.col("action_id"))).over(w), F.col("_cheap")))
+
+
 def gated_choice(
     bounds: DataFrame,
     state: str,
@@ -202,28 +225,13 @@ def gated_choice(
     then quality, lower risk, lower cost, greater id. ``severe`` states, and those where nothing passes,
     get the fallback action, or the cheapest one without it.
     """
+    s = gate_terms(bounds if severe is None else bounds.withColumn("_severe", severe), state, fallback)
     w = W.partitionBy(state)
-    memory, strategy = F.split_part("action_id", F.lit("+"), F.lit(1)), F.split_part("action_id", F.lit("+"), F.lit(2))
-    s = bounds.withColumn("_m", memory).withColumn("_g", strategy).withColumn("_severe", F.lit(False) if severe is None else F.coalesce(severe, F.lit(False)))
-    cheapest = F.min_by("action_id", F.struct("cost", "action_id")).over(w)
-    s = s.withColumn("_cheap", cheapest).withColumn("_base", F.coalesce(F.max(F.when(F.col("action_id") == BASELINE, F.col("action_id"))).over(w), F.col("_cheap")))
-    at = lambda c, cond, win: F.max(F.when(cond, F.col(c))).over(win)
-    base, plain = F.col("action_id") == F.col("_base"), F.col("_g") == "R0"
-    pair = W.partitionBy(state, "_m")
-    s = s.withColumns(
-        {
-            "_bq": at("quality_ucb", base, w),
-            "_bo": at("memory_omission_ucb", base, w),
-            "_rq": at("quality_ucb", plain, pair),
-            "_ro": at("strategy_omission_ucb", plain, pair),
-            "_cost": F.col("cost") / F.greatest(F.max("cost").over(w), F.lit(1.0)),
-        }
-    )
+    s = s.withColumn("_severe", F.coalesce("_severe", F.lit(False)) if severe is not None else F.lit(False))
     resource = (F.col("_m") == "M0") | (F.col("quality_lcb") - F.col("_bq") >= resource_gain) | (F.col("_bo") >= memory_trigger)
     strategic = (F.col("_g") != "RS") | F.col("_rq").isNull() | (F.col("quality_lcb") - F.col("_rq") >= strategy_gain) | (F.col("_ro") >= strategy_trigger)
     s = s.withColumn("utility", F.col("quality_lcb") - risk_weight * F.col("risk_ucb") - cost_weight * F.col("_cost"))
     s = s.withColumn("_ok", (F.col("risk_ucb") <= max_risk) & resource & strategic & ~F.col("_severe"))
-    s = s.withColumn("_fall", F.col("action_id") == F.coalesce(F.max(F.when(F.col("action_id") == fallback, F.col("action_id"))).over(w), F.col("_cheap")))
     best = F.row_number().over(w.orderBy(F.col("_ok").desc(), F.when(~F.col("_ok"), F.col("_fall")).desc(), F.col("utility").desc(), F.col("quality_lcb").desc(), F.col("risk_ucb"), F.col("cost"), F.col("action_id").desc()))
     reason = F.when(F.col("_severe"), "ood").when(F.col("_ok"), "chosen").otherwise("no action passed")
     return s.withColumn("_r", best).where("_r = 1").select(state, "action_id", "utility", reason.alias("reason"))
