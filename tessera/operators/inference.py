@@ -18,10 +18,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.ids import hash_int
+from tessera.functions.md5 import hash_ints
 from tessera.session import durable, prepare
 
-#: Most units (clusters, or values of the hierarchical form) that are broadcast, at some 30 bytes each.
-BROADCAST_UNITS = 1_000_000
+#: Most clusters that are broadcast, at some 30 bytes each, and most values of the hierarchical form, at 8 bytes and 12 for each inner unit.
+BROADCAST_UNITS, BROADCAST_VALUES = 1_000_000, 4_000_000
+#: Outer units of the hierarchical form that are drawn at once.
+SLOTS = 20_000
 #: Replicates of one task.
 REPS = 64
 
@@ -53,13 +56,7 @@ def hashed(seed: int, *places: int) -> int:
 
 def hashes(seed: int, rep: int, n: int) -> np.ndarray:
     """``hash_int(seed, rep, i)`` for each i below ``n``."""
-    head = hashlib.md5(f"{seed}\x1f{rep}\x1f".encode())
-    out = bytearray()
-    for i in range(n):
-        one = head.copy()
-        one.update(b"%d" % i)
-        out += one.digest()[:4]
-    return np.frombuffer(bytes(out), ">u4").astype(np.int64)
+    return hash_ints((seed, rep), np.arange(n)).astype(np.int64)
 
 
 def replicated(spark: SparkSession, reps: int, of: Callable[[int], list[tuple[int, float]]]) -> DataFrame:
@@ -132,43 +129,53 @@ def cluster_estimate(df: DataFrame, group: Sequence[str], cluster: str, x: str)
     return c.groupBy(*group).agg(F.count("*").alias("clusters"), F.sum("n").alias("rows"), (F.sum("s") / F.sum("n")).alias("pooled"), F.avg(F.col("s") / F.col("n")).alias("clustered"))
 
 
-def hierarchical_bootstrap(df: DataFrame, outer: str, inner: str, x: str, reps: int = 10_000, seed: int = 1729, units: int = BROADCAST_UNITS) -> DataFrame:
+def _runs(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of runs of lengths ``n`` (1 at least): where each starts, each place's run, and its place in it."""
+    starts = np.cumsum(n, dtype=np.int64) - n
+    run = np.repeat(np.arange(len(n)), n)
+    return starts, run, np.arange(len(run)) - starts[run]
+
+
+def _drawn(head: Sequence[int], n: np.ndarray, *at: np.ndarray) -> np.ndarray:
+    """Hashes modulo ``n``; of 1 there is but one choice."""
+    out, some = np.zeros(len(n), np.int64), np.flatnonzero(n > 1)
+    out[some] = hash_ints(head, *(x[some] for x in at)) % n[some]
+    return out
+
+
+def hierarchical_bootstrap(df: DataFrame, outer: str, inner: str, x: str, reps: int = 10_000, seed: int = 1729, units: int = BROADCAST_VALUES) -> DataFrame:
     """``rep, value``: outer units are drawn, inner ones within each draw, and values within each of those; mean of means at each level.
 
-    Up to ``units`` values are broadcast; beyond that the draws are replicates x rows that are joined and
-    summed on the way.
+    Up to ``units`` values are broadcast, and a task draws from them as arrays; beyond that the draws are
+    replicates x rows that are joined and summed on the way.
     """
     from tessera.functions.numbers import finite
 
     rows = durable(df.where(finite(F.col(x))).select(F.col(outer).alias("o"), F.col(inner).alias("u"), F.col(x).cast("double").alias("x")))
     if rows.count() <= units:
         t = rows.orderBy("o", "u", "x").toArrow()
-        keys = list(zip(t["o"].to_pylist(), t["u"].to_pylist(), strict=True))
-        values, tree = t["x"].to_numpy(), []
-        for i, (o, u) in enumerate(keys):
-            if not i or o != keys[i - 1][0]:
-                tree.append([])
-            if not i or (o, u) != keys[i - 1]:
-                tree[-1].append([i, i])
-            tree[-1][-1][1] = i + 1
-        sent = df.sparkSession.sparkContext.broadcast((values, tree))
+        code = lambda c: np.diff(t[c].combine_chunks().dictionary_encode("encode").indices.to_numpy(), prepend=-1) != 0
+        new = code("o")
+        cells = np.flatnonzero(new | code("u"))
+        first = np.searchsorted(cells, np.flatnonzero(new)).astype(np.int32)
+        sizes = [np.diff(a, append=end).astype(np.uint32) for a, end in ((cells, len(new)), (first, len(cells)))]
+        sent = df.sparkSession.sparkContext.broadcast((t["x"].to_numpy(), cells.astype(np.int64), sizes[0], first, sizes[1]))
 
         def of(rep: int) -> list[tuple[int, float]]:
-            values, tree = sent.value
-            outers = []
-            for slot, i in enumerate((hashes(seed, rep, len(tree)) % len(tree)).tolist()):
-                cells, means = tree[i], []
-                for t in range(len(cells)):
-                    a, b = cells[hashed(seed + 1, rep, slot, t) % len(cells)]
-                    head = hashlib.md5(f"{seed + 2}\x1f{rep}\x1f{slot}\x1f{t}\x1f".encode())
-                    total = 0.0
-                    for z in range(b - a):
-                        one = head.copy()
-                        one.update(b"%d" % z)
-                        total += values[a + int.from_bytes(one.digest()[:4], "big") % (b - a)]
-                    means.append(total / (b - a))
-                outers.append(sum(means) / len(means))
-            return [(0, float(np.mean(outers)))] if outers else []
+            values, cells, n_values, first, n_cells = sent.value
+            k, total = len(first), 0.0
+            for a in range(0, k, SLOTS):
+                at = np.arange(a, min(a + SLOTS, k))
+                i = hash_ints((seed, rep), at) % np.uint32(k)
+                n = n_cells[i]
+                starts, run, t = _runs(n)
+                slot = at[run]
+                cell = first[i][run] + _drawn((seed + 1, rep), n[run], slot, t)
+                m = n_values[cell]
+                heads, of_cell, z = _runs(m)
+                x = values[cells[cell][of_cell] + _drawn((seed + 2, rep), m[of_cell], slot[of_cell], t[of_cell], z)]
+                total += float((np.add.reduceat(np.add.reduceat(x, heads) / m, starts) / n).sum())
+            return [(0, total / k)] if k else []
 
         return replicated(df.sparkSession, reps, of).select("rep", "value")
     cell = W.partitionBy("o", "u")

@@ -228,3 +228,32 @@ def test_saved_models_score_alike_and_fail_when_a_byte_changes(spark, tmp_path):
         saved.load(spark, str(tmp_path / "nothing"))
     with pytest.raises(ValueError, match="cannot save"):
         saved.save(spark, object(), str(tmp_path / "other"))
+
+
+def test_arrays_of_hashes_are_hash_int():
+    from tessera.functions.md5 import hash_ints
+    from tessera.operators import inference as inf
+
+    rng = np.random.default_rng(5)
+    columns = [rng.integers(0, 10 ** rng.integers(1, 13, 3000)) for _ in range(3)] + [np.arange(3000)]
+    for head, some in (((1729, 7), columns[:1]), ((1731, 9999), columns), ((2**40, 10**12, 10**12), columns)):
+        assert hash_ints(head, *some).tolist() == [inf.hashed(*head, *r) for r in zip(*(c.tolist() for c in some), strict=True)]
+    assert hash_ints((1,), np.arange(0)).tolist() == []
+
+
+def test_hierarchical_bootstrap_draws_in_nested_order(spark, monkeypatch):
+    from tessera.operators import inference as inf
+
+    monkeypatch.setattr(inf, "SLOTS", 7)  # more than one piece of slots
+    tree = {u: {s: [(u * 7 + s * 5 + z * 3) % 11 / 4 for z in range(1 + (u + s) % 12)] for s in range(1 + u % 3)} for u in range(20)}
+    df = spark.createDataFrame([(u, s, x) for u, cells in tree.items() for s, v in cells.items() for x in v], "u long, s long, x double")
+    for r in inf.hierarchical_bootstrap(df, "u", "s", "x", 5).collect():
+        means = []
+        for slot in range(20):
+            cells = [sorted(v) for _, v in sorted(tree[inf.hashed(1729, r.rep, slot) % 20].items())]
+            inner = []
+            for t in range(len(cells)):
+                v = cells[inf.hashed(1730, r.rep, slot, t) % len(cells)]
+                inner.append(np.mean([v[inf.hashed(1731, r.rep, slot, t, z) % len(v)] for z in range(len(v))]))
+            means.append(np.mean(inner))
+        assert r.value == pytest.approx(np.mean(means))
