@@ -223,14 +223,15 @@ def gated_choice(
     bound must reach the trigger; if it takes a strategy, the same against the action without it, where there is one.
     Of these the greatest utility (lower quality less weighted risk and share of the greatest cost),
     then quality, lower risk, lower cost, greater id. ``severe`` states, and those where nothing passes,
-    get the fallback action, or the cheapest one without it.
+    get the fallback action, or the cheapest one without it. Gains and utilities are compared to nine digits,
+    so that a gain just as large as asked for passes and ties are ties in any engine.
     """
     s = gate_terms(bounds if severe is None else bounds.withColumn("_severe", severe), state, fallback)
     w = W.partitionBy(state)
     s = s.withColumn("_severe", F.coalesce("_severe", F.lit(False)) if severe is not None else F.lit(False))
-    resource = (F.col("_m") == "M0") | (F.col("quality_lcb") - F.col("_bq") >= resource_gain) | (F.col("_bo") >= memory_trigger)
-    strategic = (F.col("_g") != "RS") | F.col("_rq").isNull() | (F.col("quality_lcb") - F.col("_rq") >= strategy_gain) | (F.col("_ro") >= strategy_trigger)
-    s = s.withColumn("utility", F.col("quality_lcb") - risk_weight * F.col("risk_ucb") - cost_weight * F.col("_cost"))
+    resource = (F.col("_m") == "M0") | (F.round(F.col("quality_lcb") - F.col("_bq"), 9) >= resource_gain) | (F.col("_bo") >= memory_trigger)
+    strategic = (F.col("_g") != "RS") | F.col("_rq").isNull() | (F.round(F.col("quality_lcb") - F.col("_rq"), 9) >= strategy_gain) | (F.col("_ro") >= strategy_trigger)
+    s = s.withColumn("utility", F.round(F.col("quality_lcb") - risk_weight * F.col("risk_ucb") - cost_weight * F.col("_cost"), 9))
     s = s.withColumn("_ok", (F.col("risk_ucb") <= max_risk) & resource & strategic & ~F.col("_severe"))
     best = F.row_number().over(w.orderBy(F.col("_ok").desc(), F.when(~F.col("_ok"), F.col("_fall")).desc(), F.col("utility").desc(), F.col("quality_lcb").desc(), F.col("risk_ucb"), F.col("cost"), F.col("action_id").desc()))
     reason = F.when(F.col("_severe"), "ood").when(F.col("_ok"), "chosen").otherwise("no action passed")

@@ -178,3 +178,11 @@ def test_sides_and_wanted_keys(spark):
     assert {r.v for r in keys.require_all(rows, want.where("k is null or k = 1"), ["k"]).collect()} == {"x", "y", "z"}
     with pytest.raises(keys.CheckFailed, match="no row for"):
         keys.require_all(rows, want, ["k"])
+
+
+def test_a_gain_just_as_large_as_asked_for_passes(spark):
+    # 0.42 - 0.4 is 0.02 but for the last bit.
+    rows = [(1, "M0+R0", 1.0, 0.2, 0.4, 0.0), (1, "MP+R0", 1.0, 0.42, 0.5, 0.0), (2, "M0+R0", 1.0, 0.1, 0.4, 0.0), (2, "M0+RS", 1.0, 0.42, 0.5, 0.0)]
+    df = spark.createDataFrame([(*r, 0.1, 0.1) for r in rows], "card long, action_id string, cost double, quality_lcb double, quality_ucb double, risk_ucb double, memory_omission_ucb double, strategy_omission_ucb double")
+    assert 0.42 - 0.4 < 0.02
+    assert {(r.card, r.action_id, r.reason) for r in chain.gated_choice(df, "card").collect()} == {(1, "MP+R0", "chosen"), (2, "M0+RS", "chosen")}
