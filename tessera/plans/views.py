@@ -22,6 +22,7 @@ def outcomes(spark: SparkSession, d: str) -> DataFrame:
     """Facts per (card, action): order lines, of which the first by part stands for each action.
 
     ``response`` and the two risks are shares, ``cost`` is tokens; ``available`` is the card's mask of sources.
+    Lines are dealt by card, so that what groups or orders a card's actions later needs no shuffle of its own.
     """
     names = F.array(*map(F.lit, ACTIONS))
     n = F.pmod(F.col("l_linenumber") * 5 + F.col("l_partkey") % 3, F.lit(16)) + 1
@@ -30,7 +31,7 @@ def outcomes(spark: SparkSession, d: str) -> DataFrame:
         F.element_at(names, n.cast("int")).alias("action_id"),
         F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag").alias("s"),
     )
-    first = rows.groupBy("card_id", "action_id").agg(F.min("s").alias("s"))
+    first = rows.repartition("card_id").groupBy("card_id", "action_id").agg(F.min("s").alias("s"))
     return first.select(
         "card_id",
         "action_id",

@@ -136,3 +136,28 @@ def test_bundles(spark):
         None: "missing_regimes,no_inventory,one_case_per_regime,family_outside_pool,missing_source",
     }
     assert {r.bundle: r.failures for r in gates.bundle_gates(df, "bundle", ["work"], strict=False).collect()}["pool"] == ""
+
+
+def test_grids_are_the_choices_at_each_setting_in_one_shuffle(spark):
+    from tessera.operators import policy as po
+
+    rng = random.Random(4)
+    rows = [(c, a, rng.randrange(10) / 10, rng.randrange(9) / 8, rng.randrange(5) / 4, float(rng.randrange(1, 9))) for c in range(60) for a in rng.sample(ACTIONS, rng.randrange(1, 16))]
+    df = spark.createDataFrame(rows, "card long, action_id string, response double, misuse double, omission double, cost double").repartition(4, "card").withColumn("std", F.col("cost") / 50)
+    limits, margins = {"misuse": [0.1, 0.3, 0.6], "omission": [0.25, 0.5]}, [0.0, 0.05]
+    grid = po.grid_metrics(df, "card", limits, margins, entropy=True, cards_at_once=7)
+    bound = po.lcb_grid(df, ["card"], {"z": [0.5, 1.6], "mr": [0.5, 0.7], "cw": [0.001, 0.04]}, "M0+R0")
+    # Rows that are dealt by card already are dealt no second time; the other two shuffles are of sums.
+    for frame, most in ((po.grid_metrics(df, "card", limits, margins), 3), (bound, 1)):
+        assert frame._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(") <= most
+    got = {(r.max_misuse, r.max_omission, r.epsilon): r for r in grid.collect()}
+    assert len(got) == 12
+    for (m, o, e), r in got.items():
+        want = po.policy_metrics(po.threshold_choice(df, ["card"], F.lit(m), F.lit(o), F.lit(e))).first()
+        assert r.states == want.states == 60
+        assert all(r[c] == pytest.approx(want[c]) for c in ("response", "misuse", "omission", "cost", "fallback_rate", "entropy"))
+    picked = {(r.card, r.z, r.mr, r.cw): (r.action_id, r.fallback, r.utility) for r in bound.collect()}
+    assert len(picked) == 60 * 8
+    for z, mr, cw in itertools.product([0.5, 1.6], [0.5, 0.7], [0.001, 0.04]):
+        for r in po.lcb_choice(df, ["card"], z, mr, cw, "M0+R0").collect():
+            assert picked[r.card, z, mr, cw] == (r.action_id, r.fallback, pytest.approx(r.utility))
