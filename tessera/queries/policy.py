@@ -81,8 +81,8 @@ _GRID = "g AS (SELECT f.*, tm, tom, eps FROM f, (SELECT unnest([0.1, 0.3, 0.6]):
 
 
 def _grid(spark: SparkSession, d: str) -> DataFrame:
-    g = po.with_grid(facts(spark, d), {"tm": [0.1, 0.3, 0.6], "tom": [0.25, 0.5], "eps": [0.0, 0.05]})
-    return po.policy_metrics(po.threshold_choice(g, ["card_id", "tm", "tom", "eps"], F.col("tm"), F.col("tom"), F.col("eps")), ["tm", "tom", "eps"])
+    g = po.grid_metrics(facts(spark, d), "card_id", {"misuse": [0.1, 0.3, 0.6], "omission": [0.25, 0.5]}, [0.0, 0.05], entropy=True)
+    return g.withColumnsRenamed({"max_misuse": "tm", "max_omission": "tom", "epsilon": "eps"})
 
 
 _METRICS = """SELECT tm, tom, eps, count(*) AS states, round(avg(response), 6) AS response, round(avg(misuse), 6) AS misuse, round(avg(omission), 6) AS omission, round(avg(cost), 6) AS cost,
