@@ -160,8 +160,8 @@ def budget_gate(spark: SparkSession, d: str) -> DataFrame:
     SELECT z, mr, cw, count(*) AS states, round(avg(response), 6) AS response, round(avg((NOT ok)::INT), 6) AS fallback_rate, round(avg(response) - 0.5 * avg(greatest(misuse, omission)) - avg(cost) / 500, 6) AS objective FROM c GROUP BY 1, 2, 3
 """)
 def bounded_grid(spark: SparkSession, d: str) -> DataFrame:
-    f = po.with_grid(facts(spark, d).withColumn("std", F.col("cost") / 500), {"z": [0.5, 1.0, 1.64], "mr": [0.5, 0.7], "cw": [0.001, 0.004]})
-    c = po.lcb_choice(f, ["card_id", "z", "mr", "cw"], F.col("z"), F.col("mr"), F.col("cw"), "M0+R0")
+    f = facts(spark, d).withColumn("std", F.col("cost") / 500)
+    c = po.lcb_grid(f, ["card_id"], {"z": [0.5, 1.0, 1.64], "mr": [0.5, 0.7], "cw": [0.001, 0.004]}, "M0+R0")
     objective = F.avg("response") - 0.5 * F.avg(F.greatest("misuse", "omission")) - F.avg("cost") / 500
     return rounded(c.groupBy("z", "mr", "cw").agg(F.count("*").alias("states"), F.avg("response").alias("response"), F.avg(F.col("fallback").cast("double")).alias("fallback_rate"), objective.alias("objective")))
 
