@@ -53,16 +53,16 @@ def oriented_pairs(edges: DataFrame, card: str, seed: Column) -> DataFrame:
 def with_audit(pairs: DataFrame, card: str, reversal: float = 0.15, repeat: float = 0.10) -> DataFrame:
     """Add reversals and same-order repeats: disjoint slices of each card's pairs in hash order, their numbers rounded half to even.
 
-    Audit rows are not eligible for training.
+    Audit rows are not eligible for training. Pairs are passed once, and each gives its one or two rows.
     """
     w = W.partitionBy(card)
     r = F.row_number().over(w.orderBy(stable_hex(F.lit("audit"), "pair_id"), "pair_id"))
     p = pairs.withColumn("_r", r).withColumn("_n", F.count("*").over(w))
     n_rev, n_rep = F.bround(F.col("_n") * reversal), F.bround(F.col("_n") * repeat)
-    base = pairs.select("*", F.lit("base").alias("role"), F.lit(True).alias("training_eligible"))
-    rev = p.where(F.col("_r") <= n_rev).select(card, "pair_id", "pair_type", F.col("second").alias("first"), F.col("first").alias("second"), F.lit("reversal").alias("role"), F.lit(False).alias("training_eligible"))
-    rep = p.where((F.col("_r") > n_rev) & (F.col("_r") <= n_rev + n_rep)).select(*pairs.columns, F.lit("repeat").alias("role"), F.lit(False).alias("training_eligible"))
-    return base.unionByName(rev).unionByName(rep)
+    row = lambda x, y, role: F.struct(F.col(x).alias("first"), F.col(y).alias("second"), F.lit(role).alias("role"), F.lit(role == "base").alias("training_eligible"))
+    later = F.when(F.col("_r") <= n_rev, row("second", "first", "reversal")).when(F.col("_r") <= n_rev + n_rep, row("first", "second", "repeat"))
+    rows = F.array_compact(F.array(row("first", "second", "base"), later))
+    return p.select(card, "pair_id", "pair_type", F.explode(rows).alias("_e")).select(card, "pair_id", "pair_type", "_e.*")
 
 
 def graph_audit(cards: DataFrame, edges: DataFrame, card: str, available: str) -> DataFrame:

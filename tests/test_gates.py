@@ -161,3 +161,22 @@ def test_grids_are_the_choices_at_each_setting_in_one_shuffle(spark):
     for z, mr, cw in itertools.product([0.5, 1.6], [0.5, 0.7], [0.001, 0.04]):
         for r in po.lcb_choice(df, ["card"], z, mr, cw, "M0+R0").collect():
             assert picked[r.card, z, mr, cw] == (r.action_id, r.fallback, pytest.approx(r.utility))
+
+
+def test_pairs_of_a_card_are_dealt_once(spark):
+    from tessera.operators import labels as lab
+    from tessera.operators import pairgraph as pg
+
+    cards = spark.createDataFrame([(c, c % 8) for c in range(24)], "card long, available int")
+    pairs = pg.oriented_pairs(pg.card_edges(cards.repartition(4, "card"), "card", "available"), "card", F.lit(7))
+    audited = pg.with_audit(pairs, "card")
+    values = [(c, a, (c * 5 + i * 3) % 7 / 2) for c in range(24) for i, a in enumerate(ACTIONS) if (c + i) % 3]
+    out = spark.createDataFrame(values, "card long, action_id string, x double").repartition(4, "card")
+    met = lab.pair_outcomes(pairs, out, "card", "first", "second", "x", "first", "second")
+    for frame, most in ((audited, 1), (met, 2)):
+        assert frame._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(") <= most
+    at = {(c, a): x for c, a, x in values}
+    want = {(r.card, r.pair_id): (at[r.card, r["first"]], at[r.card, r["second"]]) for r in pairs.collect() if (r.card, r["first"]) in at and (r.card, r["second"]) in at}
+    assert {(r.card, r.pair_id): (r.value_a, r.value_b) for r in met.collect()} == want and want
+    roles = [r.role for r in audited.collect()]
+    assert roles.count("base") == pairs.count() and roles.count("reversal") and roles.count("repeat")
