@@ -20,12 +20,18 @@ def labelled_strict(outcomes: DataFrame, labels: DataFrame, keys: Sequence[str])
     return met.where("_has").drop("_has"), failures
 
 
-def pair_outcomes(pairs: DataFrame, outcomes: DataFrame, card: str, first: str, second: str, value: str) -> DataFrame:
-    """Pairs with the value of both their actions, from one aggregate over (card, pair) instead of two joins of the facts."""
-    sides = pairs.select("pair_id", card, F.explode(F.array(F.struct(F.lit("a").alias("s"), F.col(first).alias("x")), F.struct(F.lit("b").alias("s"), F.col(second).alias("x")))).alias("e"))
-    met = sides.select("pair_id", card, "e.s", F.col("e.x").alias("action_id")).join(outcomes.select(card, "action_id", value), [card, "action_id"])
-    pick = lambda s: F.max(F.when(F.col("s") == s, F.col(value)))
-    return met.groupBy(card, "pair_id").agg(pick("a").alias("value_a"), pick("b").alias("value_b")).where("value_a is not null and value_b is not null")
+def pair_outcomes(pairs: DataFrame, outcomes: DataFrame, card: str, first: str, second: str, value: str, *keep: str) -> DataFrame:
+    """Pairs with the value of both their actions, and the columns ``keep`` of the pairs.
+
+    A card's values, at most sixteen, are gathered into a map that its pairs meet by the card alone: pairs
+    that are dealt by card already stay where they are, and none is split into sides.
+    """
+    each = outcomes.where(F.col("action_id").isNotNull()).groupBy(card, "action_id").agg(F.max(value).alias("v"))
+    mine = each.groupBy(card).agg(F.map_from_entries(F.collect_list(F.struct("action_id", F.struct("v")))).alias("_values"))
+    met = pairs.join(mine, card)
+    at = lambda c: F.try_element_at("_values", F.col(c))["v"]
+    found = met.select(card, "pair_id", *keep, at(first).alias("value_a"), at(second).alias("value_b"))
+    return found.where("value_a is not null and value_b is not null")
 
 
 def misuse(unused: Column, exposure: Column, stale: Column, most: float = 2.0) -> Column:

@@ -51,7 +51,8 @@ _PAIRS = f"""{_CARD_EDGES}, ids AS (SELECT *, 'pair_' || substr(sha256('7' || ch
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d)
+    """Cards are dealt before their edges are made, so that what is shuffled is cards, and a card's pairs lie together."""
+    e = pg.card_edges(cards(spark, d).repartition("card_id"), "card_id", "available")
     return pg.oriented_pairs(e, "card_id", F.lit(7))
 
 
@@ -107,7 +108,7 @@ _MATRIX = """list_transform(range(1, 17), lambda i: list_transform(range(1, 18),
 """)
 def response_scores(spark: SparkSession, d: str) -> DataFrame:
     """A linear system per card."""
-    p = lab.pair_outcomes(pairs(spark, d), outcomes(spark, d), "card_id", "first", "second", "response").join(pairs(spark, d), ["card_id", "pair_id"])
+    p = lab.pair_outcomes(pairs(spark, d), outcomes(spark, d), "card_id", "first", "second", "response", "first", "second")
     w = F.when(F.col("value_a") > F.col("value_b"), "A").when(F.col("value_a") < F.col("value_b"), "B").otherwise("tie")
     return rounded(lab.response_scores(p.withColumn("winner", w), "card_id", "first", "second", "winner"))
 
