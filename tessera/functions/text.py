@@ -1,7 +1,14 @@
-"""Text expressions: normal forms, tokens, shingles, overlap and cues. All are columns, none a UDF."""
+"""Text expressions: normal forms, tokens, shingles, overlap and cues. All are columns, but for the hashed shingles, which are made in Arrow batches."""
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,16 +65,76 @@ def shingles(words: Column, n: int = 5) -> Column:
     return F.when(F.size(words) >= n, grams(words, n)).otherwise(whole)
 
 
+#: For each byte what it is in a normal form: itself, or a space.
+_WORD_BYTES = np.frombuffer(bytes(c if chr(c) in "'abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256)), np.uint8)
+
+
+def word_lists(lowered: pa.Array, kept: np.ndarray = _WORD_BYTES) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of lower-cased texts, end to end, and where each text's tokens begin and end. ``kept`` gives for each byte itself, or a space."""
+    lowered = pc.fill_null(lowered.cast(pa.string()), "")
+    _, offsets, data = lowered.buffers()
+    spaced = pa.py_buffer(kept[np.frombuffer(data or b"", np.uint8)])
+    lists = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.string(), len(lowered), [None, offsets, spaced], offset=lowered.offset))
+    words, counts = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    some = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+    before = np.concatenate([[0], np.cumsum(some)])
+    return words.filter(pa.array(some)), before[np.concatenate([[0], np.cumsum(counts)])]
+
+
+def hashed_words(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word, the same in every process."""
+    coded = words.dictionary_encode()
+    return pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False)[coded.indices.to_numpy(zero_copy_only=False)]
+
+
+def _runs(words: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the ``size`` words from each place."""
+    h = np.zeros(len(at), np.uint64)
+    for k in range(int(size.max(initial=0))):
+        whole = size > k
+        x = (h[whole] ^ words[at[whole] + k]) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h[whole] = (x ^ (x >> np.uint64(31))) + np.uint64(k + 1)
+    return h.view(np.int64)
+
+
+def shingle_rows(df: DataFrame, id_col: str, text_col: str, n: int = 5) -> DataFrame:
+    """``id, shingles``: each row's distinct shingles as sorted 64-bit hashes; rows without a token are left out. Hashed in Arrow batches where the rows lie."""
+    texts = df.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, ends = word_lists(batch.column(1))
+            some = np.diff(ends) > 0
+            length, ends = np.diff(ends)[some], ends[:-1][some]
+            count = np.maximum(length - n + 1, 1)
+            edges = np.concatenate([[0], np.cumsum(count)])
+            at = np.arange(edges[-1]) + np.repeat(ends - edges[:-1], count)
+            h = _runs(hashed_words(words), at, np.repeat(np.minimum(length, n), count))
+            sets = [np.unique(h[a:b]) for a, b in itertools.pairwise(edges)]
+            cuts = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            values = np.concatenate([np.zeros(0, np.int64), *sets])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(some)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(values))], ["id", "shingles"])
+
+    return texts.mapInArrow(hashed, f"id {texts.schema['id'].dataType.simpleString()}, shingles array<bigint>")
+
+
+def shingle_sets(df: DataFrame, id_col: str, text_col: str, n: int = 5) -> DataFrame:
+    """``id, shingles``, one row for each id. Only ids that several rows have are grouped: nothing of the others is shuffled."""
+    from tessera.operators.keys import alone_and_shared
+
+    alone, shared = alone_and_shared(df, id_col)
+    out = shingle_rows(alone, id_col, text_col, n)
+    if shared is None:
+        return out
+    both = F.array_sort(F.array_distinct(F.flatten(F.collect_list("shingles"))))
+    return out.unionByName(shingle_rows(shared, id_col, text_col, n).groupBy("id").agg(both.alias("shingles")))
+
+
 def exploded_shingles(df: DataFrame, id_col: str, text_col: str, n: int = 5) -> DataFrame:
-    """Distinct ``(id, shingle)`` with the shingle as a 64-bit hash.
-
-    The normal form is split again rather than its tokens exploded: an exploded alias of extracted
-    tokens would have them extracted again at each place.
-    """
-    words = df.select(F.col(id_col).alias("id"), F.split(normalize_for_hash(F.col(text_col)), " ").alias("w")).where("w[0] <> ''")
-    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
-    each = words.select("id", F.explode(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(n)), " ")))).alias("shingle"))
-    return each.distinct()
+    """Distinct ``(id, shingle)`` with the shingle as a 64-bit hash."""
+    return shingle_sets(df, id_col, text_col, n).select("id", F.explode("shingles").alias("shingle"))
 
 
 def jaccard(a: Column, b: Column) -> Column:

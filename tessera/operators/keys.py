@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import durable
+
 
 class CheckFailed(ValueError):
     """A gate found violations."""
@@ -29,6 +31,21 @@ def unique_index(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df
 
 
+#: Keys that are sent to every task to mark rows; more are met by a shuffled join.
+SENT_KEYS = 500_000
+
+
+def alone_and_shared(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose key (null is one) no other row has, and the others, or none where there are none. Only the keys are shuffled."""
+    found = durable(df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).where("_n > 1").select("_key"))
+    n = found.count()
+    if n == 0:
+        return df, None
+    found = F.broadcast(found) if n <= SENT_KEYS else found
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    return df.join(found, same, "left_anti"), df.join(found, same, "left_semi")
+
+
 def done_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(*keys).distinct()
 

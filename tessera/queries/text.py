@@ -95,7 +95,7 @@ def clipped_texts(spark: SparkSession, d: str) -> DataFrame:
     SELECT doc_id, count(*) AS n_shingles FROM s GROUP BY doc_id
 """)
 def shingle_counts(spark: SparkSession, d: str) -> DataFrame:
-    return text.exploded_shingles(table(spark, d, "documents"), "doc_id", "text").groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n_shingles"))
+    return text.shingle_sets(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), F.size("shingles").cast("long").alias("n_shingles"))
 
 
 @Q.query(f"""

@@ -140,6 +140,17 @@ def test_similarity_join_loses_no_pair(spark, sets, t):
     assert held == {(i, j) for i in range(len(sets)) for j in range(len(sets)) if len(sets[i] & sets[j]) / len(sets[j]) >= t}
 
 
+def test_shingles_of_a_text_are_not_shuffled(spark):
+    """Only ids are; an id that several rows have gets the shingles of all of them."""
+    rows = [(1, "a b c d e f"), (1, "b c d e f g"), (2, "A b, c d e f a b c d e"), (3, "a b"), (4, "..."), (5, None), (None, "x"), (None, "X y")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    got = {r.id: set(r.shingles) for r in text.shingle_sets(df, "id", "text").collect()}
+    assert {i: len(s) for i, s in got.items()} == {1: 3, 2: 6, 3: 1, None: 2}
+    assert len(got[1] & got[2]) == 2 and not got[3] & got[2]
+    alone = text.exploded_shingles(df.where("id > 1"), "id", "text")
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString() and alone.count() == 7
+
+
 def test_overlap_classes_count_copies(spark):
     base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen".split()
     near = " ".join([*base, "more"])
