@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
 
@@ -99,6 +100,24 @@ def _runs(words: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+#: The digest of a normal form without a token.
+NO_TOKEN = hashlib.md5(b"").hexdigest()
+
+
+def form_digests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, form``: the MD5 of each row's normal form, made in Arrow batches."""
+    texts = df.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text"))
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, ends = word_lists(batch.column(1))
+            forms = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), words), " ").cast(pa.binary())
+            got = [hashlib.md5(x.as_buffer()).hexdigest() for x in forms]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.string())], ["id", "form"])
+
+    return texts.mapInArrow(digests, f"id {texts.schema['id'].dataType.simpleString()}, form string")
+
+
 def shingle_rows(df: DataFrame, id_col: str, text_col: str, n: int = 5) -> DataFrame:
     """``id, shingles``: each row's distinct shingles as sorted 64-bit hashes; rows without a token are left out. Hashed in Arrow batches where the rows lie."""
     texts = df.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text"))

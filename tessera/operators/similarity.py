@@ -2,51 +2,141 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.text import exploded_shingles, normalize_for_hash
+from tessera.functions.text import NO_TOKEN, form_digests, normalize_for_hash, shingle_sets
 from tessera.operators.graph import connected_components
+from tessera.operators.keys import SENT_KEYS
 from tessera.session import durable
 
 
 def copy_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, rep``: the smallest id with the same normal form."""
-    forms = df.select(F.col(id_col).alias("id"), F.md5(normalize_for_hash(F.col(text_col))).alias("form"))
-    least = forms.groupBy("form").agg(F.min("id").alias("rep"))
-    return forms.join(least.withColumnRenamed("form", "f"), F.col("form") == F.col("f")).select("id", "rep")
+    """``id, form, has, rep``: a digest of the normal form, whether it has a token, and the smallest id with the same form."""
+    forms = durable(form_digests(df, id_col, text_col).withColumn("has", F.col("form") != NO_TOKEN))
+    least = forms.groupBy(F.col("form").alias("f")).agg(F.min("id").alias("rep"))
+    return forms.join(least, F.col("form") == F.col("f")).select("id", "form", "has", "rep")
 
 
-def shingle_pairs(left: DataFrame, right: DataFrame | None, threshold: float) -> DataFrame:
-    """``a, b, similarity`` of all pairs of sets at or above a Jaccard threshold; without ``right``, pairs a < b of one side.
+#: Shingles that many sets have: at most so many are told from the others, and so many sets are looked at for them.
+FREQUENT, LOOKED_AT = 1_000_000, 40_000
+
+
+def frequent_shingles(*sides: DataFrame, seen: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that at least ``seen`` of some ``LOOKED_AT`` sets, drawn by hash, have, in order, and how many of those sets have each.
 
-    Sides are distinct ``(id, shingle)``. Each set's shingles are ordered from rare to common, and only a
-    prefix of n - ceil(t n) + 1 is indexed: two sets that agree in enough shingles share one of both
-    prefixes. Frequent shingles thus fall out of the index; sizes must fit too. Candidates are then
-    counted exactly by two joins on id and shingle. No pair is lost, and none is made twice.
+    They only order the prefixes, which may follow any order, so no pair depends on the draw.
     """
-    both = left if right is None else left.unionByName(right)
-    freq = both.groupBy("shingle").agg(F.count("*").alias("df")).select(F.col("shingle").alias("s"), "df")
-
-    def indexed(side: DataFrame) -> DataFrame:
-        rows = side.join(freq, F.col("shingle") == F.col("s")).drop("s")
-        w = W.partitionBy("id")
-        rows = rows.withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy("df", "shingle")))
-        return rows.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("id", "shingle", "n")
-
-    a = durable(indexed(left))
-    b = a if right is None else durable(indexed(right))
-    cand = a.select(F.col("id").alias("a"), "shingle", F.col("n").alias("na")).join(b.select(F.col("id").alias("b"), "shingle", F.col("n").alias("nb")), "shingle")
+    both = reduce(DataFrame.unionByName, [s.select("id", "shingles") for s in sides])
+    found = both.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") >= seen)
+    top = found.orderBy(F.col("c").desc(), "s").limit(FREQUENT).toPandas().sort_values("s")
+    return top["s"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
+
+
+def prefixes(sets: DataFrame, threshold: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``id, n, tc, ts, shingle``: of each set of n the first n - ceil(t n) + 1 shingles, rare before frequent; ``tc, ts`` tell the last one's place in that order."""
+    kind = sets.schema["id"].dataType.simpleString()
+    sent = sets.sparkSession.sparkContext.broadcast(frequent)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = sent.value
+        for batch in batches:
+            lists = batch.column(1)
+            h = lists.flatten().to_numpy(zero_copy_only=False)
+            n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            c = np.zeros(len(h), np.int64)
+            if len(known):
+                near = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                c = np.where(known[near] == h, counts[near], 0)
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((h, c, row))
+            place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            size = n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1
+            kept = order[place < np.repeat(size, n)]
+            last = order[(np.cumsum(n) - n + size - 1)[n > 0]]
+            tail = np.zeros(len(n), np.int64)
+            tail[n > 0] = last
+            at = row[kept]
+            ids = batch.column(0).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, (n[at], c[tail[at]], h[tail[at]], h[kept]))], ["id", "n", "tc", "ts", "shingle"])
+
+    return sets.select("id", "shingles").mapInArrow(first, f"id {kind}, n bigint, tc bigint, ts bigint, shingle bigint")
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame | None, threshold: float) -> DataFrame:
+    """``a, b``: pairs of ``prefixes`` that can still reach the threshold; without ``right``, pairs a < b of one side.
+
+    Of a pair's common shingles those up to the lesser of both last places lie in both prefixes, so they are
+    counted here; beyond it at most what that set has after its prefix can follow.
+    """
+    named = lambda df, x: df.select(F.col("id").alias(x), "shingle", *[F.col(c).alias(c + x) for c in ("n", "tc", "ts")])
+    met = named(left, "a").join(named(left if right is None else right, "b"), "shingle")
+    met = met.where((F.col("a") < F.col("b")) if right is None else F.lit(True)).where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
+    keys = ["a", "b", "na", "nb", "tca", "tsa", "tcb", "tsb"]
+    k = met.groupBy(*keys).agg(F.count("*").alias("k"))
+    rest = lambda n: F.ceil(F.col(n) * threshold - 1e-9) - 1
+    most = F.col("k") + F.when(F.struct("tca", "tsa") <= F.struct(F.col("tcb").alias("tca"), F.col("tsb").alias("tsa")), rest("na")).otherwise(rest("nb"))
+    return k.where(most >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b")
+
+
+def verified_pairs(cand: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """``a, b, similarity`` of the candidates at or above the threshold, from ``id, shingles`` of both sides."""
+    met = cand.join(left.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(right.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = met.select("a", "b", F.size(F.array_intersect("x", "y")).alias("k"), (F.size("x") + F.size("y")).alias("n"))
+    return shared.select("a", "b", (F.col("k") / (F.col("n") - F.col("k"))).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def shingle_pairs(left: DataFrame, right: DataFrame | None, threshold: float) -> DataFrame:
+    """``a, b, similarity`` of all pairs of sets at or above a Jaccard threshold; without ``right``, pairs a < b of one side. Sides are distinct ``(id, shingle)``."""
+    gathered = lambda df: durable(df.groupBy("id").agg(F.collect_list(F.col("shingle").cast("long")).alias("shingles")))
+    a = gathered(left)
+    b = None if right is None else gathered(right)
+    drawn = lambda df: df.where(_drawn("id", df.count()))
+    frequent = frequent_shingles(*[drawn(x) for x in (a, b) if x is not None])
+    cand = candidate_pairs(prefixes(a, threshold, frequent), None if b is None else prefixes(b, threshold, frequent), threshold)
+    return verified_pairs(cand, a, a if b is None else b, threshold)
+
+
+def text_pairs(left: DataFrame, right: DataFrame | None, id_col: str, text_col: str, threshold: float, width: int) -> DataFrame:
+    """``shingle_pairs`` of texts. Their sets are made where the texts lie, and only prefixes are shuffled.
+
+    Each set's shingles are ordered from rare to common, and only a prefix of n - ceil(t n) + 1 is indexed: two
+    sets that agree in enough shingles share one of both prefixes. Frequent shingles thus fall out of the index;
+    sizes must fit too, and enough of the prefixes must agree. Only the texts of candidates are hashed again, to count
+    exactly. No pair is lost, and none is made twice.
+    """
+    sets = lambda df: shingle_sets(df, id_col, text_col, width)
+    sides = [left] if right is None else [left, right]
+    frequent = frequent_shingles(*[sets(x.where(_drawn(id_col, x.count()))) for x in sides])
+    first = [prefixes(sets(x), threshold, frequent) for x in sides]
+    cand = durable(candidate_pairs(first[0], None if right is None else first[1], threshold))
     if right is None:
-        cand = cand.where("a < b")
-    cand = cand.where((F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("a", "b", "na", "nb").distinct()
-    cand = durable(cand)
-    mine = cand.join(left.select(F.col("id").alias("a"), "shingle"), "a")
-    hits = mine.join((left if right is None else right).select(F.col("id").alias("b"), "shingle"), ["b", "shingle"])
-    met = hits.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-    j = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    return met.withColumn("similarity", j).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+        both = sets(_with_ids(left, id_col, cand.select("a").union(cand.select("b"))))
+        return verified_pairs(cand, both, both, threshold)
+    return verified_pairs(cand, sets(_with_ids(left, id_col, cand.select("a"))), sets(_with_ids(right, id_col, cand.select("b"))), threshold)
+
+
+def _drawn(id_col: str, n: int) -> Column:
+    """About ``LOOKED_AT`` of n ids."""
+    return F.pmod(F.xxhash64(id_col), F.lit(max(1, n // LOOKED_AT))) == 0
+
+
+def _with_ids(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """Rows that have one of the ids. The ids go to all tasks, or those of the other rows do, if they are few; else texts are shuffled."""
+    ids = durable(ids.toDF("_id").distinct())
+    if ids.count() <= SENT_KEYS:
+        return df.join(F.broadcast(ids), F.col(id_col) == F.col("_id"), "left_semi")
+    others = durable(df.select(F.col(id_col).alias("_id")).join(ids, "_id", "left_anti").distinct())
+    if others.count() <= SENT_KEYS:
+        return df.where(F.col(id_col).isNotNull()).join(F.broadcast(others), F.col(id_col) == F.col("_id"), "left_anti")
+    return df.join(ids, F.col(id_col) == F.col("_id"), "left_semi")
 
 
 def overlap_classes(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.88, width: int = 5) -> DataFrame:
@@ -57,15 +147,12 @@ def overlap_classes(df: DataFrame, id_col: str, text_col: str, threshold: float
     included, ``best`` is its greatest similarity. Texts without a token are linked to nothing.
     """
     classes = durable(copy_classes(df, id_col, text_col))
-    size = classes.groupBy("rep").agg(F.count("*").alias("size"))
-    reps = df.join(size.select(F.col("rep").alias("_rep")), F.col(id_col) == F.col("_rep"), "left_semi")
-    grams = durable(exploded_shingles(reps, id_col, text_col, width))
-    pairs = durable(shingle_pairs(grams, None, threshold))
+    size = durable(classes.groupBy("rep").agg(F.count("*").alias("size"), F.max("has").alias("has")))
+    pairs = durable(text_pairs(_with_ids(df, id_col, size.select("rep")), None, id_col, text_col, threshold, width))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    links = both.join(size.withColumnRenamed("rep", "b"), "b").groupBy("a").agg(F.sum("size").alias("outer"), F.max("similarity").alias("best"))
+    links = both.join(size.select(F.col("rep").alias("b"), "size"), "b").groupBy("a").agg(F.sum("size").alias("outer"), F.max("similarity").alias("best"))
     comp = connected_components(pairs, "a", "b").select(F.col("node").alias("rep"), "component")
-    some = grams.select(F.col("id").alias("rep")).distinct().withColumn("has", F.lit(True))
-    out = classes.join(size, "rep").join(links.withColumnRenamed("a", "rep"), "rep", "left").join(comp, "rep", "left").join(some, "rep", "left")
+    out = classes.drop("has").join(size, "rep").join(links.withColumnRenamed("a", "rep"), "rep", "left").join(comp, "rep", "left")
     inner = F.when(F.col("has"), F.col("size") - 1).otherwise(0)
     return out.select(
         F.col("id").alias(id_col),
@@ -81,12 +168,11 @@ def overlaps(left: DataFrame, right: DataFrame, id_col: str, text_col: str, thre
     What is found exactly is not compared further; texts without a token are found nowhere. Copies on
     the right fall together first.
     """
-    form = lambda df: df.select(F.col(id_col).alias("id"), normalize_for_hash(F.col(text_col)).alias("f")).where("f <> ''").select("id", F.md5("f").alias("form"))
-    theirs = form(right).groupBy("form").agg(F.min("id").alias("rep"))
-    exact = durable(form(left).join(theirs.select("form"), "form", "left_semi").select("id").distinct())
-    rest = left.join(exact, F.col(id_col) == F.col("id"), "left_anti")
-    reps = right.join(theirs.select("rep"), F.col(id_col) == F.col("rep"), "left_semi")
-    pairs = shingle_pairs(durable(exploded_shingles(rest, id_col, text_col, width)), durable(exploded_shingles(reps, id_col, text_col, width)), threshold)
+    theirs = durable(copy_classes(right, id_col, text_col).where("has").groupBy("form").agg(F.min("id").alias("rep")))
+    exact = durable(copy_classes(left, id_col, text_col).where("has").join(theirs.select("form"), "form", "left_semi").select("id").distinct())
+    found = exact.withColumnRenamed("id", "_id")
+    rest = left.join(F.broadcast(found) if found.count() <= SENT_KEYS else found, F.col(id_col) == F.col("_id"), "left_anti")
+    pairs = text_pairs(rest, _with_ids(right, id_col, theirs.select("rep")), id_col, text_col, threshold, width)
     near = pairs.groupBy(F.col("a").alias("id")).agg(F.lit("similar").alias("reason"), F.max("similarity").alias("similarity"))
     return exact.select("id", F.lit("exact").alias("reason"), F.lit(1.0).alias("similarity")).unionByName(near).withColumnRenamed("id", id_col)
 
