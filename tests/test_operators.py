@@ -1,7 +1,10 @@
 """Operators on small cases: golden values, brute force and properties."""
 
 import itertools
+import math
 import random
+import re
+from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -9,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import ids, numbers, text
-from tessera.operators import actions, agreement, inference, keys, labels, pairgraph, panel, policy, sampling, sequence, similarity, textmetrics
+from tessera.operators import actions, agreement, features, inference, keys, labels, pairgraph, panel, policy, sampling, sequence, similarity, textmetrics
 from tessera.operators.graph import connected_components
 
 
@@ -160,6 +163,81 @@ def test_overlap_classes_count_copies(spark):
     assert got[1].best == 1.0 and got[3].best == pytest.approx(12 / 13)
 
 
+def near_copies(seed, n=60):
+    """Texts of one frequent passage and words of their own, every third near the one before, some with an id that another row has."""
+    r = random.Random(seed)
+    passage = [f"common{i}" for i in range(30)]
+    rows, words = [], []
+    for i in range(n):
+        words = [w if r.random() > 0.01 else "other" for w in words] if i % 3 == 1 else [f"w{r.randrange(500)}" for _ in range(60)] + passage[: r.randrange(31)]
+        rows.append((i if i % 20 else 0, " ".join(words)))
+    return rows
+
+
+def jaccards(rows, width=5):
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        sets.setdefault(i, set()).update(" ".join(w[k : k + width]) for k in range(max(len(w) - width + 1, 1)))
+    return {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a != b}
+
+
+def test_pairs_of_texts_pass_prefixes_only(spark):
+    """All pairs of brute force, though only n - ceil(t n) + 1 shingles of a text are dealt, and rare ones first."""
+    rows = near_copies(5)
+    df = spark.createDataFrame(rows, "id int, text string")
+    for t in (0.5, 0.88):
+        got = {(r.a, r.b): r.similarity for r in similarity.text_pairs(df, None, "id", "text", t, 5).collect()}
+        assert got and got == pytest.approx({p: j for p, j in jaccards(rows).items() if p[0] < p[1] and j >= t})
+    sets = text.shingle_sets(df, "id", "text")
+    frequent = similarity.frequent_shingles(sets)
+    assert len(frequent[0]) > 0
+    n = {r.id: len(r.shingles) for r in sets.collect()}
+    dealt = similarity.prefixes(sets, 0.88, frequent).collect()
+    assert {i: sum(r.id == i for r in dealt) for i in n} == {i: k - math.ceil(k * 0.88 - 1e-9) + 1 for i, k in n.items()}
+    common = set(frequent[0].tolist())
+    assert sum(r.shingle in common for r in dealt) < sum(s in common for r in sets.collect() for s in r.shingles) / 10
+
+
+def test_overlaps_of_two_sides(spark):
+    rows = near_copies(6)
+    sides = [[x for x in rows if x[0] % 2 == k] for k in (0, 1)]
+    copied = [*sides[0], (100, sides[1][3][1].upper()), (102, None), (104, "...")]
+    left, right = (spark.createDataFrame(x, "id int, text string") for x in (copied, [*sides[1], (103, "!")]))
+    got = {r.id: (r.reason, r.similarity) for r in similarity.overlaps(left, right, "id", "text", 0.6).collect()}
+    best = {}
+    for (a, b), j in jaccards(rows).items():
+        if a % 2 == 0 and b % 2 == 1 and j >= 0.6:
+            best[a] = max(best.get(a, 0), j)
+    theirs = {t for _, t in sides[1]}
+    exact = {i for i, t in sides[0] if t in theirs} | {100}
+    assert best and got == {a: ("similar", pytest.approx(j)) for a, j in best.items()} | dict.fromkeys(exact, ("exact", 1.0))
+
+
+def test_tfidf_counts_pairs_of_frequent_words_only(spark):
+    """Equal to plain counts, in any size of vocabulary; a key of several rows counts as one text, and no pair crosses rows."""
+    r = random.Random(3)
+    rows = [(i if i % 9 else 0, " ".join(r.choice(["aa", "bb", "a", "cc_1", "Dd", "e!", "ff", "gé", f"x{r.randrange(40)}"]) for _ in range(r.randrange(40)))) for i in range(50)] + [(99, None), (98, "!")]
+    counts = {}
+    for i, t in rows:
+        w = re.findall("[a-z0-9_]{2,}", (t or "").lower())
+        counts.setdefault(i, Counter()).update([*w, *(f"{a} {b}" for a, b in itertools.pairwise(w))])
+    total, df = Counter(), Counter()
+    for c in counts.values():
+        total.update(c)
+        df.update(c.keys())
+    for most in (3, 12, 10_000):
+        top = sorted((t for t in total if df[t] >= 2), key=lambda t: (-total[t], t))[:most]
+        x = {(i, t): (1 + math.log(c[t])) * (math.log((1 + len(rows)) / (1 + df[t])) + 1) for i, c in counts.items() for t in top if c[t]}
+        norm = Counter()
+        for (i, _), v in x.items():
+            norm[i] += v * v
+        got = {(q.id, q.term): q.weight for q in features.tfidf(spark.createDataFrame(rows, "id int, text string"), "id", "text", most, 2).collect()}
+        assert got == pytest.approx({(i, t): v / norm[i] ** 0.5 for (i, t), v in x.items()})
+    alone = spark.createDataFrame([x for x in rows if x[0]], "id int, text string")
+    assert "Exchange" not in features.tfidf(alone, "id", "text", 12, 2)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_empty_set_conventions(spark):
     e = F.array().cast("array<string>")
     r = one(spark.range(1).select(text.jaccard(e, e).alias("j"), text.jaccard_distance(e, e).alias("d"), numbers.cosine(F.array(), F.array(F.lit(1.0))).alias("c")))
