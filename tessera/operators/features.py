@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.ids import hash_int
 from tessera.functions.numbers import cosine, finite
-from tessera.functions.text import normalize_for_hash
+from tessera.functions.text import normalize_for_hash, word_lists
+from tessera.operators.keys import alone_and_shared
 from tessera.operators.sampling import column_quantiles, exact_quantiles
+from tessera.session import durable
 
 #: Words of the sparse text vectors: two or more of these.
 TERM = r"([a-z0-9_][a-z0-9_]+)"
@@ -91,14 +97,123 @@ def vocabulary(tf: DataFrame, max_terms: int, min_df: int) -> DataFrame:
     return found.orderBy(F.col("_t").desc(), "term").limit(max_terms).select("term", "_df")
 
 
+#: Letters of a term: words of two or more of these, as ``TERM`` has it.
+_TERM_BYTES = np.frombuffer(bytes(c if c == 95 or chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256)), np.uint8)
+
+
+def _coded_terms(lowered: pa.Array, known: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """A row's number and a code for each of its words in order, and the words of the codes; words that are not among ``known`` have code -1."""
+    words, ends = word_lists(lowered, _TERM_BYTES)
+    row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    long = pc.greater(pc.binary_length(words), 1)
+    words, row = words.filter(long), row[long.to_numpy(zero_copy_only=False)]
+    if known is not None:
+        return row, pc.fill_null(pc.index_in(words, known), -1).to_numpy(zero_copy_only=False).astype(np.int64), known
+    coded = words.dictionary_encode()
+    return row, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+def _coded_pairs(row: np.ndarray, code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and codes (first times n plus second) of neighbouring words that both have a code."""
+    both = (row[:-1] == row[1:]) & (code[:-1] >= 0) & (code[1:] >= 0)
+    return row[:-1][both], code[:-1][both] * n + code[1:][both]
+
+
+def _row_counts(row: np.ndarray, code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's different codes below n, and how often it has each."""
+    keys, c = np.unique(row * n + code, return_counts=True)
+    return keys // n, keys % n, c
+
+
+def _batch_totals(texts: DataFrame, counted: Callable) -> DataFrame:
+    """``term, _df, _t``: rows that have a term, and its places, from each batch's sums. ``counted`` gives each row's codes, their counts, and the names of codes."""
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code, c, names = counted(batch.column(0))
+            some, at = np.unique(code, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([names(some), pa.array(np.bincount(at, minlength=len(some)).astype(np.int64)), pa.array(np.bincount(at, c, len(some)).astype(np.int64))], ["term", "_df", "_t"])
+
+    return texts.select("_l").mapInArrow(totals, "term string, _df bigint, _t bigint")
+
+
+def row_vocabulary(texts: DataFrame, shared: DataFrame | None, max_terms: int, min_df: int) -> list[tuple[str, int]]:
+    """``vocabulary`` of lower-cased texts ``_l``, each a key of its own, and of the ``shared`` term counts: words first, then pairs.
+
+    A pair stands no more often than its words. So of the pairs only those are counted whose words both are
+    among the first ``max_terms`` words, or as frequent as the last of these: some ``max_terms`` squared at most, but for ties.
+    """
+
+    def words_of(lowered):
+        row, code, names = _coded_terms(lowered)
+        _, code, c = _row_counts(row, code, max(len(names), 1))
+        return code, c, lambda some: names.take(pa.array(some))
+
+    def found(new: DataFrame, old: DataFrame | None) -> DataFrame:
+        if old is not None:
+            new = new.unionByName(old.groupBy("term").agg(F.count("*").alias("_df"), F.sum("n").alias("_t")))
+        return new.groupBy("term").agg(F.sum("_df").alias("_df"), F.sum("_t").alias("_t")).where(F.col("_df") >= min_df)
+
+    one = None if shared is None else shared.where(~F.col("term").contains(" "))
+    words = durable(found(_batch_totals(texts, words_of), one))
+    first = words.orderBy(F.col("_t").desc(), "term").limit(max_terms)
+    least = first.agg(F.min("_t"), F.count("*")).first()
+    kept = words.where(F.col("_t") >= least[0]) if least[1] == max_terms else words
+    known = texts.sparkSession.sparkContext.broadcast(sorted(r.term for r in kept.select("term").collect()))
+
+    def pairs_of(lowered):
+        names = pa.array(known.value, pa.string())
+        n = max(len(names), 1)
+        row, code, _ = _coded_terms(lowered, names)
+        _, code, c = _row_counts(*_coded_pairs(row, code, n), n * n)
+        return code, c, lambda some: pc.binary_join_element_wise(names.take(pa.array(some // n)), names.take(pa.array(some % n)), " ")
+
+    two = None if shared is None else shared.where(F.col("term").contains(" "))
+    every = words.unionByName(found(_batch_totals(texts, pairs_of), two))
+    return [(r.term, r._df) for r in every.orderBy(F.col("_t").desc(), "term").limit(max_terms).collect()]
+
+
 def tfidf(df: DataFrame, key: str, text: str, max_terms: int = 2048, min_df: int = 2) -> DataFrame:
-    """``key, term, weight``: words and word pairs, sublinear counts, smoothed idf plus 1, unit length, over the texts' own ``vocabulary``."""
-    tf = term_counts(df, key, text)
-    size = df.agg(F.count("*").alias("_n"))
-    x = tf.join(F.broadcast(vocabulary(tf, max_terms, min_df)), "term").join(F.broadcast(size))
-    x = x.withColumn("_x", (1 + F.log("n")) * (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1))
+    """``key, term, weight``: words and word pairs, sublinear counts, smoothed idf plus 1, unit length, over the texts' own ``vocabulary``.
+
+    A text's terms are counted where it lies. Only keys that several rows have are met by a shuffle.
+    """
+    alone, many = alone_and_shared(df, key)
+    texts = alone.select(F.col(key).alias("_k"), F.lower(text).alias("_l"))
+    shared = None if many is None else durable(term_counts(many, key, text))
+    terms = row_vocabulary(texts, shared, max_terms, min_df)
+    size = df.count()
+    idf = {t: math.log((1 + size) / (1 + n)) + 1 for t, n in terms}
+    names = sorted(idf)
+    kind = df.schema[key].dataType.simpleString()
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = pa.array(sorted({w for t in names for w in t.split(" ")}), pa.string())
+        place = {w: i for i, w in enumerate(words.to_pylist())}
+        n = max(len(words), 1)
+        # A word's code is its place, a pair's comes after all words.
+        codes = np.array([place[t] if " " not in t else n + place[t.split(" ")[0]] * n + place[t.split(" ")[1]] for t in names], np.int64)
+        order = np.argsort(codes)
+        codes, weights = codes[order], np.array([idf[t] for t in names])[order]
+        named = pa.array(names, pa.string()).take(pa.array(order))
+        for batch in batches:
+            row, code, _ = _coded_terms(batch.column(1), words)
+            prow, pair = _coded_pairs(row, code, n)
+            row, code = np.concatenate([row, prow]), np.concatenate([code, n + pair])
+            at = np.minimum(np.searchsorted(codes, code), max(len(codes) - 1, 0))
+            met = codes[at] == code if len(codes) else np.zeros(len(code), bool)
+            row, at, c = _row_counts(row[met], at[met], max(len(codes), 1))
+            x = (1 + np.log(c)) * weights[at]
+            norm = np.sqrt(np.bincount(row, x * x, batch.num_rows))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), named.take(pa.array(at)), pa.array(x / norm[row])], [key, "term", "weight"])
+
+    out = texts.mapInArrow(weighed, f"{key} {kind}, term string, weight double")
+    if shared is None:
+        return out
+    known = F.broadcast(df.sparkSession.createDataFrame(list(idf.items()), "term string, _i double"))
+    x = shared.join(known, "term").withColumn("_x", (1 + F.log("n")) * F.col("_i"))
     norm = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(W.partitionBy(key)))
-    return x.withColumn("weight", F.col("_x") / norm).select(key, "term", "weight")
+    return out.unionByName(x.withColumn("weight", F.col("_x") / norm).select(key, "term", "weight"))
 
 
 def hashed_fingerprint(df: DataFrame, key: str, text: str, size: int = 64) -> DataFrame:
