@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from functools import reduce
 
@@ -11,8 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, LongType, StructType
 
-from tessera.functions.text import NO_TOKEN, form_digests, normalize_for_hash, shingle_sets
+from tessera.functions.text import NO_TOKEN, form_digests, hashed_words, normalize_for_hash, shingle_sets, word_lists
 from tessera.operators.graph import connected_components
 from tessera.operators.keys import SENT_KEYS
 from tessera.session import durable
@@ -239,6 +241,49 @@ def retrieve(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     return top_k(scored.unionByName(fill).groupBy("q", "d").agg(F.max("score").alias("score")), k)
 
 
+def counted_words(df: DataFrame, text_col: str) -> DataFrame:
+    """``text_col`` replaced by ``words``, its different tokens as sorted 64-bit hashes, their ``counts``, and the ``norm`` of these."""
+    kept = [c for c in df.columns if c != text_col]
+    lists = [("words", ArrayType(LongType())), ("counts", ArrayType(LongType())), ("norm", DoubleType())]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, ends = word_lists(batch.column(len(kept)))
+            h = hashed_words(words).view(np.int64)
+            some = [np.unique(h[a:b], return_counts=True) for a, b in itertools.pairwise(ends)]
+            cuts = pa.array(np.concatenate([[0], np.cumsum([len(x) for x, _ in some])]).astype(np.int32))
+            flat = [pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in zip(*some)] if some else [pa.array([], pa.int64())] * 2
+            norm = pa.array(np.sqrt([float((c * c).sum()) for _, c in some]), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *(pa.ListArray.from_arrays(cuts, x) for x in flat), norm], [*kept, *(n for n, _ in lists)])
+
+    source = df.select(*kept, F.lower(text_col).alias(text_col))
+    return source.mapInArrow(counted, _with_fields(source.drop(text_col), lists))
+
+
+def dots(df: DataFrame, a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
+    """Two pairs of columns of ``counted_words`` replaced by ``dot``, the product of the counts of common words: both sides' words of a batch are sorted together."""
+    kept = [c for c in df.columns if c not in (*a, *b)]
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.columns[len(kept) :]
+            h, c = (np.concatenate([lists[k].flatten().to_numpy(), lists[k + 2].flatten().to_numpy()]) for k in (0, 1))
+            row = np.concatenate([np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists[k]).to_numpy()) for k in (0, 2)])
+            order = np.lexsort((h, row))
+            h, c, row = h[order], c[order], row[order]
+            same = (h[:-1] == h[1:]) & (row[:-1] == row[1:])
+            dot = np.bincount(row[:-1][same], (c[:-1] * c[1:])[same], batch.num_rows).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(dot)], [*kept, "dot"])
+
+    source = df.select(*kept, *a, *b)
+    return source.mapInArrow(met, _with_fields(df.select(*kept), [("dot", DoubleType())]))
+
+
+def _with_fields(df: DataFrame, more: list[tuple[str, DataType]]) -> StructType:
+    """The columns of ``df`` and some more."""
+    return reduce(lambda s, f: s.add(*f), more, StructType(list(df.schema.fields)))
+
+
 def retrieve_by_source(queries: DataFrame, items: DataFrame, scope: str, most: dict[str, int]) -> DataFrame:
     """``q, source, d, created_session, score, rank``: of each source the best items of the query's scope that are older than it.
 
@@ -246,15 +291,10 @@ def retrieve_by_source(queries: DataFrame, items: DataFrame, scope: str, most: d
     gives as many as ``most`` says, or all it has; ties go to the later session, then to the greater id.
     A scope (a dialogue, a user) is small, and its queries and items meet by an equi-join.
     """
-    words = F.split(normalize_for_hash(F.col("text")), " ")
-    counted = F.transform(F.array_distinct(words), lambda t: F.struct(t.alias("t"), F.size(F.filter(words, lambda x: x == t)).alias("n")))
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x["n"] * x["n"]))
-    side = lambda df, *cols: df.withColumn("c", F.filter(counted, lambda x: x["t"] != "")).select(scope, *cols, "c")
-    q = side(queries, F.col("id").alias("q"), F.col("created_session").alias("at"))
-    i = side(items, F.col("id").alias("d"), "source", "created_session").withColumnRenamed("c", "e")
-    met = q.join(i, scope).where(F.col("created_session") < F.col("at"))
-    dot = F.aggregate("c", F.lit(0.0), lambda a, x: a + x["n"] * F.coalesce(F.get(F.filter("e", lambda y: y["t"] == x["t"]), 0)["n"], F.lit(0)))
-    score = F.round(F.coalesce(F.try_divide(dot, norm(F.col("c")) * norm(F.col("e"))), F.lit(0.0)), 9)
+    q = counted_words(queries.select(scope, F.col("id").alias("q"), F.col("created_session").alias("at"), "text"), "text")
+    i = counted_words(items.select(scope, F.col("id").alias("d"), "source", "created_session", "text"), "text").withColumnsRenamed({"words": "w", "counts": "c", "norm": "n"})
+    met = dots(q.join(i, scope).where(F.col("created_session") < F.col("at")), ("words", "counts"), ("w", "c"))
+    score = F.round(F.coalesce(F.try_divide("dot", F.col("norm") * F.col("n")), F.lit(0.0)), 9)
     r = F.row_number().over(W.partitionBy("q", "source").orderBy(F.col("score").desc(), F.col("created_session").desc(), F.col("d").desc()))
     ranked = met.select("q", "source", "d", "created_session", score.alias("score")).withColumn("rank", r.cast("long"))
     limit = F.create_map(*[x for s, n in most.items() for x in (F.lit(s), F.lit(n))])

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -238,6 +239,27 @@ def test_tfidf_counts_pairs_of_frequent_words_only(spark):
     assert "Exchange" not in features.tfidf(alone, "id", "text", 12, 2)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_distinct_n_makes_no_string_of_an_ngram(spark):
+    """A null group is one too, and a text shorter than n has none; what is dealt are hashes, each once for a batch."""
+    rows = [("a", "x y x y"), ("a", "x y z"), ("b", "one"), (None, "p q p q"), ("c", None), ("c", "?")]
+    out = textmetrics.distinct_n(spark.createDataFrame(rows, "g string, t string"), "g", "t", [1, 2])
+    got = {(r.g, r.n): (r.total, r.uniq, r.rate) for r in out.collect()}
+    assert got == {("a", 1): (7, 3, round(3 / 7, 9)), ("a", 2): (5, 3, 0.6), ("b", 1): (1, 1, 1.0), (None, 1): (4, 2, 0.5), (None, 2): (3, 2, round(2 / 3, 9))}
+    assert "array_join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_retrieval_by_source_counts_words_once(spark):
+    """Words of long texts are counted in one pass, not once for each of them; texts without a word score 0."""
+    long = " ".join(f"w{i} w{i}" for i in range(8_000))
+    items = [(1, 10, "A", 1, long), (1, 11, "A", 2, "w1 W2!"), (1, 12, "B", 3, None), (2, 13, "A", 0, long)]
+    df = spark.createDataFrame(items, "scope int, id int, source string, created_session int, text string")
+    asked = spark.createDataFrame([(1, 20, 9, long), (1, 21, 2, "w1 w1 zz")], "scope int, id int, created_session int, text string")
+    started = time.time()
+    got = {(r.q, r.source, r.d): (r.score, r["rank"]) for r in similarity.retrieve_by_source(asked, df, "scope", {"A": 1, "B": 2}).collect()}
+    assert got == {(20, "A", 10): (1.0, 1), (20, "B", 12): (0.0, 1), (21, "A", 10): (round(4 / (5 * 32_000) ** 0.5, 9), 1)}
+    assert time.time() - started < 60
+
+
 def test_empty_set_conventions(spark):
     e = F.array().cast("array<string>")
     r = one(spark.range(1).select(text.jaccard(e, e).alias("j"), text.jaccard_distance(e, e).alias("d"), numbers.cosine(F.array(), F.array(F.lit(1.0))).alias("c")))
