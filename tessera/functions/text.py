@@ -82,13 +82,17 @@ def word_lists(lowered: pa.Array, kept: np.ndarray = _WORD_BYTES) -> tuple[pa.Ar
     return words.filter(pa.array(some)), before[np.concatenate([[0], np.cumsum(counts)])]
 
 
-def hashed_words(words: pa.Array) -> np.ndarray:
+#: Two keys for hashes of words; the first is the usual one.
+WORD_KEYS = "0123456789123456", "6543219876543210"
+
+
+def hashed_words(words: pa.Array, key: str = WORD_KEYS[0]) -> np.ndarray:
     """A 64-bit hash of each word, the same in every process."""
     coded = words.dictionary_encode()
-    return pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False)[coded.indices.to_numpy(zero_copy_only=False)]
+    return pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False), hash_key=key, categorize=False)[coded.indices.to_numpy(zero_copy_only=False)]
 
 
-def _runs(words: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+def run_hashes(words: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the ``size`` words from each place."""
     h = np.zeros(len(at), np.uint64)
     for k in range(int(size.max(initial=0))):
@@ -130,7 +134,7 @@ def shingle_rows(df: DataFrame, id_col: str, text_col: str, n: int = 5) -> DataF
             count = np.maximum(length - n + 1, 1)
             edges = np.concatenate([[0], np.cumsum(count)])
             at = np.arange(edges[-1]) + np.repeat(ends - edges[:-1], count)
-            h = _runs(hashed_words(words), at, np.repeat(np.minimum(length, n), count))
+            h = run_hashes(hashed_words(words), at, np.repeat(np.minimum(length, n), count))
             sets = [np.unique(h[a:b]) for a, b in itertools.pairwise(edges)]
             cuts = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
             values = np.concatenate([np.zeros(0, np.int64), *sets])

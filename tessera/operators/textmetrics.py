@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import normalize_for_hash
+from tessera.functions.text import WORD_KEYS, hashed_words, normalize_for_hash, run_hashes, word_lists
 
 
 def ngram_rows(df: DataFrame, keep: Sequence[str], text: str, n: int) -> DataFrame:
@@ -18,12 +20,28 @@ def ngram_rows(df: DataFrame, keep: Sequence[str], text: str, n: int) -> DataFra
 
 
 def distinct_n(df: DataFrame, group: str, text: str, ns: Sequence[int]) -> DataFrame:
-    """``group, n, total, uniq, rate``: distinct over all n-grams of a group's texts."""
-    out = None
-    for n in ns:
-        per = ngram_rows(df, [group], text, n).groupBy(group, "g").agg(F.count("*").alias("c"))
-        row = per.groupBy(group, F.lit(n).cast("long").alias("n")).agg(F.sum("c").alias("total"), F.count("*").alias("uniq"))
-        out = row if out is None else out.unionByName(row)
+    """``group, n, total, uniq, rate``: distinct over all n-grams of a group's texts, told apart by two 64-bit hashes and counted within each Arrow batch first."""
+    texts = df.select(F.col(group).alias("_g"), F.lower(text).alias("_l"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, ends = word_lists(batch.column(1))
+            groups = batch.column(0).dictionary_encode(null_encoding="encode")
+            code, length = groups.indices.to_numpy(), np.diff(ends)
+            for n in ns:
+                count = np.maximum(length - n + 1, 0)
+                at = np.arange(count.sum()) + np.repeat(ends[:-1] - (np.cumsum(count) - count), count)
+                one, two = (run_hashes(hashed_words(words, key), at, np.full(len(at), n)) for key in WORD_KEYS)
+                of = np.repeat(code, count)
+                for g in range(len(groups.dictionary)):
+                    mine = of == g
+                    x, first, c = np.unique(one[mine], return_index=True, return_counts=True)
+                    names = groups.dictionary.take(pa.array(np.full(len(x), g)))
+                    yield pa.RecordBatch.from_arrays([names, *map(pa.array, (np.full(len(x), n), x, two[mine][first], c))], ["_g", "n", "_a", "_b", "c"])
+
+    kind = texts.schema["_g"].dataType.simpleString()
+    per = texts.mapInArrow(counted, f"_g {kind}, n bigint, _a bigint, _b bigint, c bigint").groupBy("_g", "n", "_a", "_b").agg(F.sum("c").alias("c"))
+    out = per.groupBy(F.col("_g").alias(group), "n").agg(F.sum("c").alias("total"), F.count("*").alias("uniq"))
     return out.withColumn("rate", F.round(F.col("uniq") / F.col("total"), 9))
 
 
