@@ -1,7 +1,9 @@
 """Calls as keyed state of a stream: attempts, waits and replies survive a restart.
 
-Each key's request is a row of state. Its attempts run in the task that holds the key; what has to wait is a timer,
-so no task sleeps, and a stream that is stopped or loses an executor goes on where its last finished batch left off.
+Requests are dealt to buckets by their key, and a bucket's state is two lists: the requests that wait, and the keys that have
+ended. So state is read and written once for all of a bucket's requests of a batch. Attempts run in the task that holds the
+bucket; what has to wait is a timer, so no task sleeps, and a stream that is stopped or loses an executor goes on where its last
+finished batch left off.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ from tessera.session import prepare
 #: One row for each attempt, as its log keeps it. ``wait_ms`` is set where another attempt is due after a wait, ``resumed`` where a
 #: wait went before, ``final`` on the key's last one.
 LOG = "attempt long, request_id string, structured boolean, status int, reply string, error string, wait_ms long, resumed boolean, final boolean"
-_STATE = "body string, tried long, structured boolean, note string, done boolean"
+_STATE = "body string, tried long, structured boolean, note string, due long"
+#: Log rows of one batch that a task hands to Spark.
+_ROWS = 1_000
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -61,29 +65,66 @@ def request_id(body: str, structured: bool, note: str | None) -> str:
 
 
 class _Calls(StatefulProcessor):
-    def __init__(self, call, valid, retries: Retries):
-        self.call, self.valid, self.retries = call, valid, retries
+    def __init__(self, call, valid, retries: Retries, kind: str):
+        self.call, self.valid, self.retries, self.kind = call, valid, retries, kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("request", _STATE)
+        self.waiting = handle.getListState("waiting", f"key {self.kind}, {_STATE}")
+        self.ended = handle.getListState("ended", f"key {self.kind}")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        bodies = [b for pdf in rows for b in pdf["body"].tolist()]
-        if self.state.exists():
-            return
-        yield self._run(key, min(b or "" for b in bodies), 0, True, None, timerValues, False)
+        asked = {}
+        for pdf in rows:
+            for k, body in zip(pdf["key"].tolist(), pdf["body"].tolist(), strict=True):
+                body = body or ""
+                asked[k] = min(asked.get(k, body), body)
+        waiting = list(self.waiting.get())
+        for k in [*(r[0] for r in waiting), *(r[0] for r in self.ended.get())]:
+            asked.pop(k, None)
+        yield from self._run([(k, body, 0, True, None, None) for k, body in asked.items()], waiting, timerValues, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        body, tried, structured, note, done = self.state.get()
-        if not done:
-            yield self._run(key, body, tried, structured, note, timerValues, True)
+        now = max(timerValues.getCurrentProcessingTimeInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        waiting = list(self.waiting.get())
+        due = [r for r in waiting if r[-1] <= now]
+        if due:  # another timer may have had them
+            yield from self._run(due, [r for r in waiting if r[-1] > now], timerValues, True)
 
     def close(self) -> None:
         pass
 
-    def _run(self, key, body, tried, structured, note, timers, resumed) -> pd.DataFrame:
-        """Attempts until one is final or a wait is due."""
+    def _run(self, requests, waiting, timers, resumed) -> Iterator[pd.DataFrame]:
+        """Attempts of all ``requests``; the bucket's state is ``waiting`` and what has to wait of them."""
+        now, log, ended, dues = timers.getCurrentProcessingTimeInMs(), [], [], set()
+        for r in requests:
+            rows, again = self._attempts(*r[:-1], resumed)
+            log += rows
+            if again is None:
+                ended.append((r[0],))  # a finished request is remembered by its key alone
+            else:
+                dues.add(now + again[-1])
+                waiting.append((*again[:-1], now + again[-1]))
+            if len(log) >= _ROWS:
+                yield self._frame(log)
+                log = []
+        for due in sorted(dues):
+            self.handle.registerTimer(due)
+        if ended:
+            self.ended.appendList(ended)
+        if waiting:
+            self.waiting.put(waiting)
+        elif resumed:
+            self.waiting.clear()
+        if log:
+            yield self._frame(log)
+
+    @staticmethod
+    def _frame(log) -> pd.DataFrame:
+        return pd.DataFrame(log, columns=["key", *(f.split()[0] for f in LOG.split(", "))]).astype({"status": "Int32", "wait_ms": "Int64"})
+
+    def _attempts(self, key, body, tried, structured, note, resumed) -> tuple[list[tuple], tuple | None]:
+        """A request's attempts until one is final or a wait is due: their rows, and the request with its wait."""
         out = []
         while True:
             tried += 1
@@ -107,19 +148,16 @@ class _Calls(StatefulProcessor):
                     error, note = f"invalid: {problem}", problem
             final = error is None or last
             wait_ms = None if final or wait is None else max(1, int(wait * 1000))
-            out.append((*key, *asked, reply.status if reply else None, reply.text.strip() if error is None else None, error, wait_ms, resumed, final))
+            out.append((key, *asked, reply.status if reply else None, reply.text.strip() if error is None else None, error, wait_ms, resumed, final))
             resumed = False
-            if final or wait_ms is not None:
-                break
-        if wait_ms is not None:
-            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + wait_ms)
-        # A finished request is remembered by its key alone.
-        self.state.update((None if final else body, tried, structured, None if final else note, final))
-        return pd.DataFrame(out, columns=["key", *(f.split()[0] for f in LOG.split(", "))]).astype({"status": "Int32", "wait_ms": "Int64"})
+            if final:
+                return out, None
+            if wait_ms is not None:
+                return out, (key, body, tried, structured, note, wait_ms)
 
 
 def attempts_of(
-    requests: DataFrame, key: str, body: str, call: Callable[[str, bool, str | None], Reply], valid: Callable[[str], str | None] | None = None, retries: Retries = Retries()
+    requests: DataFrame, key: str, body: str, call: Callable[[str, bool, str | None], Reply], valid: Callable[[str], str | None] | None = None, retries: Retries = Retries(), buckets: int = 1024
 ) -> DataFrame:
     """A stream's requests as a stream of ``key`` and the columns of ``LOG``, one row for each attempt.
 
@@ -130,7 +168,8 @@ def attempts_of(
     prepare(requests.sparkSession)
     kind = dict(requests.dtypes)[key]
     rows = requests.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(body).cast("string").alias("body"))
-    return rows.groupBy("key").transformWithStateInPandas(_Calls(call, valid, retries), f"key {kind}, {LOG}", "append", "processingTime")
+    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    return dealt.groupBy("_bucket").transformWithStateInPandas(_Calls(call, valid, retries, kind), f"key {kind}, {LOG}", "append", "processingTime")
 
 
 def run_calls(attempts: DataFrame, path: str, checkpoint: str, interval: str = "200 milliseconds", stop_after: int | None = None) -> DataFrame:
@@ -142,9 +181,9 @@ def run_calls(attempts: DataFrame, path: str, checkpoint: str, interval: str = "
     spark = attempts.sparkSession
     counts = {"open": 0, "batches": 0}
 
-    def logged() -> DataFrame:
+    def logged(at: str = path) -> DataFrame:
         try:
-            return spark.read.schema(attempts.schema).option("recursiveFileLookup", True).parquet(path)
+            return spark.read.schema(attempts.schema).option("recursiveFileLookup", True).parquet(at)
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -157,8 +196,10 @@ def run_calls(attempts: DataFrame, path: str, checkpoint: str, interval: str = "
     def write(batch: DataFrame, number: int) -> None:
         if stop_after is not None and counts["batches"] >= stop_after:
             raise RuntimeError("stopped")  # before the batch's rows are asked for, so none of its calls is made
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        counts["open"] = open_waits(logged())
+        at = f"{path}/batch={number}"
+        before = 0 if counts["batches"] else open_waits(logged(at))  # the first batch after a restart may have been written already
+        batch.write.mode("overwrite").parquet(at)
+        counts["open"] += open_waits(logged(at)) - before
         counts["batches"] += 1
 
     counts["open"] = open_waits(logged())

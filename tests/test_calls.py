@@ -90,6 +90,17 @@ def test_a_restart_makes_no_call_twice(spark, tmp_path):
     assert len(made()) == again.count() == 9
 
 
+def test_a_bucket_holds_many_requests(spark, tmp_path):
+    """All keys share one bucket's state: later rows of waiting and ended keys are passed over, and each wait has its own time."""
+    call, made = counted(tmp_path / "made", answer)
+    bodies = ["fine", "busy", "raises"]
+    requests(spark, tmp_path / "in", [(i, bodies[i % 3]) for i in range(60)])
+    s = calls.attempts_of(requests(spark, tmp_path / "in", [(i, "plain") for i in range(50, 65)]), "id", "body", call, no_maybe, calls.Retries(unit=0.001), buckets=1)
+    got = {r.key: (r.ok, r.attempts) for r in calls.outcomes_of(calls.run_calls(s, str(tmp_path / "log"), str(tmp_path / "checkpoint"))).collect()}
+    assert got == {i: (True, 1) if i % 3 == 0 else (False, 3) for i in range(60)} | {i: (True, 2) for i in range(60, 65)}
+    assert len(made()) == 20 + 40 * 3 + 5 * 2
+
+
 def test_no_requests(spark, tmp_path):
     s = calls.attempts_of(requests(spark, tmp_path / "in", [(None, "x")]), "id", "body", answer)
     assert calls.run_calls(s, str(tmp_path / "log"), str(tmp_path / "checkpoint")).isEmpty()
