@@ -93,24 +93,34 @@ def graph_audit(cards: DataFrame, edges: DataFrame, card: str, available: str) -
 def decided_pairs(rows: DataFrame, card: str, value: str) -> DataFrame:
     """``card, a, b, winner``: the edges between a card's labelled actions, and which side has the greater ``value`` (A, B or tie).
 
-    The edge list has at most 120 rows and is broadcast, so rows meet by card and action only.
+    A card's rows, one for each of sixteen actions, meet by card alone, so rows that lie by card are not shuffled; the edge
+    list has at most 120 rows and is broadcast.
     """
     edges = F.broadcast(action_edges(rows).select(F.col("action_a").alias("a"), F.col("action_b").alias("b")))
-    one = rows.select(card, F.col("action_id").alias("a"), F.col(value).alias("_x")).join(edges, "a")
-    met = one.join(rows.select(card, F.col("action_id").alias("b"), F.col(value).alias("_y")), [card, "b"])
+    side = lambda n, x: rows.select(card, F.col("action_id").alias(n), F.col(value).alias(x))
+    met = side("a", "_x").join(side("b", "_y"), card).join(edges, ["a", "b"])
     winner = F.when(F.col("_x") > F.col("_y"), "A").when(F.col("_x") < F.col("_y"), "B").otherwise("tie")
     return met.select(card, "a", "b", winner.alias("winner"))
 
 
-def pair_rows(pairs: DataFrame, actions: DataFrame, card: str, features: Sequence[str]) -> DataFrame:
-    """Decided pairs and their mirror images: differences of features, ``label``, and a ``weight`` of one half over the card's decided pairs.
+def won_differences(pairs: DataFrame, actions: DataFrame, card: str, features: Sequence[str], **of_card: Column) -> DataFrame:
+    """One row for each decided pair: features of the winner less those of the loser, ``weight``, one half over the card's decided pairs, and what ``of_card`` sums up of the card's actions.
 
-    ``pairs`` have ``card, a, b, winner``. Both sides' features come from one join.
+    ``pairs`` have ``card, a, b, winner``. A card's pairs and actions are gathered before they meet, so each side passes
+    once. A pair that is listed twice, or one of whose actions is missing or stands twice, gives no row.
     """
-    rows = pairs.where("winner in ('A', 'B')").withColumn("_id", F.struct(card, "a", "b"))
-    sides = rows.select(card, "_id", "winner", F.explode(F.array(F.struct(F.col("a").alias("action_id"), F.lit(1.0).alias("s")), F.struct(F.col("b").alias("action_id"), F.lit(-1.0).alias("s")))).alias("e"))
-    met = sides.select(card, "_id", "winner", "e.*").join(actions.select(card, "action_id", *features), [card, "action_id"])
-    d = met.groupBy(card, "_id", "winner").agg(F.count("*").alias("_n"), *[F.sum(F.col("s") * F.col(f)).alias(f) for f in features]).where("_n = 2")
-    d = d.withColumn("weight", 0.5 / F.count("*").over(W.partitionBy(card))).withColumn("_s", F.explode(F.array(F.lit(1.0), F.lit(-1.0))))
-    label = ((F.col("winner") == "A") == (F.col("_s") > 0)).cast("double")
-    return d.select(card, "weight", label.alias("label"), *[(F.col(f) * F.col("_s")).alias(f) for f in features])
+    mine = actions.groupBy(card).agg(F.collect_list(F.struct("action_id", *features)).alias("_rows"), *[c.alias(n) for n, c in of_card.items()])
+    decided = pairs.where("winner in ('A', 'B')").select(card, F.when(F.col("winner") == "A", F.col("a")).otherwise(F.col("b")).alias("won"), F.when(F.col("winner") == "A", F.col("b")).otherwise(F.col("a")).alias("lost"), "winner")
+    listed = decided.groupBy(card).agg(F.collect_list(F.struct("won", "lost", "winner")).alias("_pairs"))
+    of = lambda action: F.filter("_rows", lambda r: r["action_id"] == action)
+    once = F.filter("_pairs", lambda p: F.size(F.filter("_pairs", lambda q: q == p)) == 1)
+    sides = F.filter(F.transform(once, lambda p: F.struct(of(p["won"]).alias("x"), of(p["lost"]).alias("y"))), lambda e: (F.size(e["x"]) == 1) & (F.size(e["y"]) == 1))
+    met = listed.join(mine, card).select(card, *of_card, sides.alias("_e")).select(card, *of_card, (0.5 / F.size("_e")).alias("weight"), F.explode("_e").alias("_e"))
+    x, y = (lambda f: F.col("_e.x")[0][f]), (lambda f: F.col("_e.y")[0][f])
+    return met.select(card, *of_card, "weight", *[F.coalesce(x(f) - y(f), x(f), -y(f)).cast("double").alias(f) for f in features])
+
+
+def pair_rows(pairs: DataFrame, actions: DataFrame, card: str, features: Sequence[str]) -> DataFrame:
+    """``won_differences`` and their mirror images with ``label``."""
+    d = won_differences(pairs, actions, card, features).withColumn("_s", F.explode(F.array(F.lit(1.0), F.lit(-1.0))))
+    return d.select(card, "weight", (F.col("_s") > 0).cast("double").alias("label"), *[(F.col(f) * F.col("_s")).alias(f) for f in features])

@@ -106,7 +106,7 @@ def cross_validation(spark: SparkSession, d: str) -> DataFrame:
     """Both sets of features over three folds of users."""
     rows = durable(labelled(spark, d))
     folds = durable(grouped_folds(rows, "user_id", 3).select("user_id", "fold"))
-    return rounded(chain.cross_validated(rows, durable(decided_pairs(rows, "card_id", "response")), folds, "card_id", "user_id", MODES))
+    return rounded(chain.cross_validated(rows, decided_pairs(rows, "card_id", "response"), folds, "card_id", "user_id", MODES))
 
 
 @Q.query()

@@ -56,6 +56,28 @@ def test_cross_validation_has_a_row_for_each_setting(spark):
     assert sorted((r.mode, r.fold, r.pairs) for r in got) == [("one", 0, 40), ("one", 1, 40), ("two", 0, 40), ("two", 1, 40)]
 
 
+def test_cross_validation_says_what_each_fit_says_and_shuffles_no_actions_for_pairs(spark):
+    from tessera.operators.pairgraph import decided_pairs
+
+    a, p = actions(spark), pairs_of(spark)
+    folds = sampling.grouped_folds(a, "state", 2).select("state", "fold")
+    got = {r.fold: r for r in chain.cross_validated(a, p, folds, "card", "state", {"two": ["x", "y"]}).collect()}
+    rows = a.join(folds, "state")
+    for f in (0, 1):
+        model = chain.train_actions(rows, p, "card", F.col("fold") != f, ["x", "y"], "state")
+        held = rows.where(F.col("fold") == f)
+        e = chain.evaluate_actions(model, held, p.join(held.select("card").distinct(), "card", "left_semi"), "card").first()
+        assert all(got[f][c] == pytest.approx(e[c]) for c in e.asDict())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = decided_pairs(a.repartition("card"), "card", "y")
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert met.count() > 0 and plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_COL")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_ensembles_learn_from_reliable_rows(spark):
     rows = [
         (s, a, float(k), True, *[1.0 + k + s % 2] * len(chain.RATINGS), *[float(k)] * len(chain.RISKS)) for s in range(8) for k, a in enumerate(("M0+R0", "MP+R0"))
