@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.chain import gate_terms
 from tessera.operators.policy import near_best_then_cheap, strong_rule
-from tessera.session import prepare
+from tessera.session import durable, prepare
 
 #: Settings that the rule is tuned over, and those of the gated choice.
 RULE_THRESHOLDS, RULE_SOURCES = (0.0, 0.04, 0.08, 0.12, 0.18), (1, 2, 3)
@@ -64,8 +65,8 @@ def gated_grid(bounds: DataFrame, state: str, settings: Mapping[str, Sequence[fl
     ``bounds`` are rows of ``action_bounds`` with ``cost`` and what was observed: ``quality, risk, tokens``. One row per setting: the
     settings, ``states``, means of what was observed, ``plain_rate`` (no memory read), ``r0_rate``, ``fallback_rate``, ``entropy`` of the
     actions in bits, and ``objective``: quality less weighted risk and weighted tokens as a share of their mean over all labels.
-    Rows with a null state are left out. Utilities are compared to nine digits. States are dealt to buckets of about ``states_per_task``; what leaves one is a row of
-    sums for each setting and action.
+    Rows with a null state are left out. Utilities are compared to nine digits. Each state's rows are gathered to one where they lie, ``states_per_task`` states are tried
+    at once, and what leaves a task is a row of sums for each setting and action.
     """
     names = list(GATED)
     grid = list(itertools.product(*[settings[n] for n in names]))
@@ -76,40 +77,74 @@ def gated_grid(bounds: DataFrame, state: str, settings: Mapping[str, Sequence[fl
     memory = free(F.col("quality_lcb") - F.col("_bq"), (F.col("_m") == "M0") | (F.col("_bo") >= memory_trigger))
     strategy = free(F.col("quality_lcb") - F.col("_rq"), (F.col("_g") != "RS") | F.col("_rq").isNull() | F.coalesce(F.col("_ro") >= strategy_trigger, F.lit(False)))
     numbers = {"lcb": F.col("quality_lcb"), "ucb": F.col("risk_ucb"), "share": F.col("_cost"), "est": F.col("cost"), "memory": memory, "strategy": strategy, "fall": F.col("_fall"), "quality": F.col("quality"), "risk": F.col("risk"), "tokens": F.col("tokens")}
-    rows = terms.select(F.col(state).alias("state"), "action_id", *[c.cast("double").alias(n) for n, c in numbers.items()])
-
+    listed = terms.groupBy(state).agg(F.collect_list(F.struct("action_id", *[c.cast("double").alias(n) for n, c in numbers.items()])).alias("rows")).select("rows")
     parts_of, sums_of = list(numbers), ["n", "fallbacks", "quality", "risk", "tokens"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def tried(lists: list[pa.Array]) -> Iterator[tuple]:
+        size = np.concatenate([pc.list_value_length(x).to_numpy() for x in lists])
+        rows = pa.concat_arrays([x.flatten() for x in lists])
+        named = pc.fill_null(rows.field("action_id"), "None").dictionary_encode()
+        actions, place_of = np.unique(named.dictionary.to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+        code = place_of[named.indices.to_numpy()]
+        column = {c: rows.field(c).to_numpy(zero_copy_only=False) for c in parts_of}
+        n, places, a = len(size), int(size.max()), len(actions)
         # In the order in which ties of utility are settled, so that the first of the greatest is the choice.
-        pdf = pdf.sort_values("action_id", ascending=False, kind="stable").sort_values(["state", "lcb", "ucb", "est"], ascending=[True, False, True, True], kind="stable")
-        row = pd.factorize(pdf["state"])[0]
-        place = pdf.groupby("state", sort=False).cumcount().to_numpy()
-        shape = (row.max() + 1, place.max() + 1)
-        actions, code = np.unique(pdf["action_id"].to_numpy(str), return_inverse=True)
-        fill = {"memory": -np.inf, "strategy": -np.inf}
-        x = {c: np.full(shape, fill.get(c, 0.0)) for c in parts_of}
-        chosen = np.zeros(shape, int)
+        row = np.repeat(np.arange(n), size)
+        order = np.lexsort((-code, column["est"], column["ucb"], -column["lcb"], row))
+        place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        x = {c: np.full((places, n), -np.inf if c in ("memory", "strategy") else 0.0) for c in parts_of}
         for c in parts_of:
-            x[c][row, place] = pdf[c]
-        chosen[row, place] = code
-        n = np.arange(shape[0])
-        fall = x["fall"].argmax(axis=1)
-        utility = {(cw, rw): np.round(x["lcb"] - rw * x["ucb"] - cw * x["share"], 9) for cw in settings["cost_weight"] for rw in settings["risk_weight"]}
-        out = []
-        for k, (cw, rw, mg, sg, mr) in enumerate(grid):
-            ok = (x["ucb"] <= mr) & (x["memory"] >= mg) & (x["strategy"] >= sg)
-            some = ok.any(axis=1)
-            at = np.where(some, np.where(ok, utility[cw, rw], -np.inf).argmax(axis=1), fall)
-            picked = chosen[n, at]
-            size = len(actions)
-            sums = [np.bincount(picked, w, size) for w in (None, ~some, x["quality"][n, at], x["risk"][n, at], x["tokens"][n, at])]
-            out += [(k, actions[a], *[float(s[a]) for s in sums]) for a in np.flatnonzero(sums[0])]
-        return pd.DataFrame(out, columns=["k", "action_id", *sums_of])
-
-    found = bounds.agg(F.count_distinct(state).alias("s"), F.avg("tokens").alias("t")).first()
-    buckets, scale = max(1, -(-found.s // states_per_task)), max(found.t or 0.0, 1.0)
-    parts = rows.groupBy(F.pmod(F.xxhash64("state"), F.lit(buckets)).alias("bucket")).applyInPandas(run, "k long, action_id string, " + ", ".join(f"{c} double" for c in sums_of))
+            x[c][place, row] = column[c][order]
+        chosen = np.zeros((places, n), int)
+        chosen[place, row] = code[order]
+        fall = x["fall"].argmax(axis=0)[None]
+        # A gate's array has 0 where an action passes, so that the least of places and gates, or'ed, is the first action that passes all.
+        kind = np.uint8 if places < 255 else np.uint16 if places < 65_535 else np.uint32
+        top, at, each = np.iinfo(kind).max, np.arange(places, dtype=kind)[:, None], np.arange(n)
+        barred = lambda ok: np.where(ok, kind(0), top)
+        closed = {(mg, sg, mr): barred((x["memory"] >= mg) & (x["strategy"] >= sg) & (x["ucb"] <= mr)) for mg, sg, mr in itertools.product(*[settings[c] for c in names[2:]])}
+        k = 0
+        for cw, rw in itertools.product(settings["cost_weight"], settings["risk_weight"]):
+            u = np.round(x["lcb"] - rw * x["ucb"] - cw * x["share"], 9)
+            best = np.argsort(np.where(np.isnan(u), -np.inf, -u), axis=0, kind="stable")
+            taken = np.concatenate([best, fall])
+            acts = np.take_along_axis(chosen, taken, 0)
+            acts[-1] += a
+            seen = [np.take_along_axis(x[c], taken, 0).ravel() for c in ("quality", "risk", "tokens")]
+            acts, rank = acts.ravel(), np.empty(best.shape, kind)
+            np.put_along_axis(rank, best, np.broadcast_to(at, best.shape), 0)
+            for gate in closed.values():
+                first = np.minimum(np.minimum.reduce(gate | rank, axis=0), kind(places)).astype(np.int64) * n + each
+                picked = acts[first]
+                counts, *sums = (np.bincount(picked, w, 2 * a).reshape(2, a) for w in (None, *[v[first] for v in seen]))
+                for i in np.flatnonzero(counts.sum(axis=0)):
+                    yield k, actions[i], float(counts[:, i].sum()), float(counts[1, i]), *[float(v[:, i].sum()) for v in sums]
+                k += 1
+        known = rows.field("tokens").drop_null()
+        yield -1, "", float(len(known)), 0.0, 0.0, 0.0, float(known.to_numpy().sum())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held = {}, []
+
+        def add() -> None:
+            for k, action, *sums in tried(held):
+                total[k, action] = total.get((k, action), 0.0) + np.array(sums)
+            held.clear()
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, states_per_task):
+                held.append(batch.column(0).slice(i, states_per_task))
+                if sum(map(len, held)) >= states_per_task:
+                    add()
+        if sum(map(len, held)):
+            add()
+        if total:
+            k, action = zip(*total)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(action, pa.string()), *map(pa.array, np.array(list(total.values())).T)], ["k", "action_id", *sums_of])
+
+    parts = durable(listed.mapInArrow(run, "k long, action_id string, " + ", ".join(f"{c} double" for c in sums_of)))
+    found = parts.where("k < 0").agg(F.sum("n").alias("n"), F.sum("tokens").alias("t")).first()
+    scale, parts = max(found.t / found.n if found.n else 0.0, 1.0), parts.where("k >= 0")
     by_action = parts.groupBy("k", "action_id").agg(*[F.sum(c).alias(c) for c in sums_of])
     n = F.sum("n")
     share = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0.0)) / n

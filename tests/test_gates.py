@@ -39,6 +39,13 @@ def test_gated_grid_is_the_choice_at_each_setting(spark):
         assert r.objective == pytest.approx(want.q - rw * want.r - cw * want.t / scale)
 
 
+def test_gated_grid_tries_states_where_they_lie(spark, monkeypatch):
+    plans, keep = [], grids.durable
+    monkeypatch.setattr(grids, "durable", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    grids.gated_grid(bounds(spark).repartition("card"), "card")
+    assert len(plans) == 1 and plans[0].count("Exchange hashpartitioning") == 1
+
+
 def test_best_settings_keep_the_quality(spark):
     grid = grids.gated_grid(bounds(spark), "card")
     assert grid.count() == 432
