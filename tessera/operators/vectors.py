@@ -1,24 +1,28 @@
 """Joint sparse vectors of a state and an action: dense columns, text opened by the action, and fitted bounds carried along.
 
-A vector is a struct of ``indices`` and ``values``, ordered and without zeros. All of it is made by column
-expressions; what a space carries from its fit (terms, caps, bounds, medians) is bounded by the number
+A vector is a struct of ``indices`` and ``values``, ordered and without zeros. Its parts are column
+expressions, which are laid out in Arrow batches; what a space carries from its fit (terms, caps, bounds, medians) is bounded by the number
 of columns, not of rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from tessera.functions.numbers import cosine
 from tessera.operators.actions import ACTIONS, MEMORY, SOURCES, STRATEGIES, allowed_actions
 from tessera.operators.features import char_gram_hashes, hashed_fingerprint, term_counts, vocabulary
 from tessera.operators.keys import CheckFailed
 from tessera.operators.sampling import quantiles_by
-from tessera.session import durable
+from tessera.session import durable, prepare
 
 #: The modes, and which of text, inventory metadata and catalog each has.
 MODES = {
@@ -65,15 +69,73 @@ def entries_of(dense: Column) -> Column:
     return F.filter(F.transform(dense, lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda e: e["v"] != 0)
 
 
-def opened(entries: Column, at: int, width: int) -> Column:
-    """Text entries once for each source that the action reads and once for its strategy, each in columns of its own."""
-    none = F.array().cast(ENTRY)
-    gates = [*[chosen(s) != 0 for s in SOURCES], F.col("_rs") != 0]
-    return F.concat(*[F.when(g, shifted(entries, at + k * width)).otherwise(none) for k, g in enumerate(gates)])
+def _dense(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Column ``k``, arrays of one length, as a matrix, and which of its values are null."""
+    flat = batch.column(k).flatten()
+    width = len(flat) // max(1, batch.num_rows)
+    shape = (batch.num_rows, width)
+    return flat.to_numpy(zero_copy_only=False).astype(float).reshape(shape), flat.is_null().to_numpy(zero_copy_only=False).reshape(shape)
 
 
-def as_vector(entries: str) -> Column:
-    return F.struct(F.transform(entries, lambda e: e["i"]).alias("indices"), F.transform(entries, lambda e: e["v"]).alias("values"))
+def column_ranges(rows: DataFrame, dense: Column) -> tuple[list[float], list[float]]:
+    """Least and greatest value of each place of an array of numbers: one row of a task's batches for each place."""
+    prepare(rows.sparkSession)
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lo = hi = known = None
+        for batch in batches:
+            if batch.num_rows:
+                d, null = _dense(batch, 0)
+                low, high, some = np.fmin.reduce(np.where(null, np.inf, d)), np.maximum.reduce(np.where(null, -np.inf, d)), ~null.all(axis=0)
+                lo, hi, known = (low, high, some) if lo is None else (np.fmin(lo, low), np.maximum(hi, high), known | some)
+        if lo is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(lo))), pa.array(lo, mask=~known), pa.array(hi, mask=~known)], ["i", "lo", "hi"])
+
+    found = rows.select(dense.alias("d")).mapInArrow(ends, "i bigint, lo double, hi double").groupBy("i").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    got = sorted(found.collect())
+    return [r.lo for r in got], [r.hi for r in got]
+
+
+def laid_out(rows: DataFrame, key: str, dense: Column, text: Column | None = None, at: int = 0, gates_at: int = 0, width: int = 0, limits: tuple[Sequence[float], Sequence[float]] | None = None) -> DataFrame:
+    """``key, action_id, x`` of rows with ``_mask`` and ``_rs``: ``text`` before ``at`` if there is room, ``dense`` from ``at`` on, and ``text`` again from ``gates_at`` on, ``width`` columns for each gate that the action opens.
+
+    Gates are the three sources and the strategy. Dense values are cut to ``limits`` (a null is the lower one); zeros and nulls are left out.
+    """
+    prepare(rows.sparkSession)
+    kept = rows.select(key, "action_id")
+    schema = StructType(list(kept.schema.fields)).add("x", StructType().add("indices", ArrayType(IntegerType())).add("values", ArrayType(DoubleType())))
+    names = schema.names
+    bits, ends = list(SOURCES.values()), None if limits is None else tuple(np.array(x, float) for x in limits)
+    has_text = text is not None
+
+    def laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            d, null = _dense(batch, 4)
+            if ends is None:
+                d[null] = 0
+            else:
+                d = np.fmin(np.maximum(np.where(null, ends[0], d), ends[0]), ends[1])
+            row, col = np.nonzero(d)
+            parts = [(row, col + at, d[row, col])]
+            if has_text:
+                lists = batch.column(5)
+                flat = lists.flatten()
+                i, v = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("i", "v"))
+                row = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                if at:
+                    parts.insert(0, (row, i, v))
+                mask, strategy = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False)
+                for k, gate in enumerate([*((mask & bit) != 0 for bit in bits), strategy != 0]):
+                    some = gate[row]
+                    parts.append((row[some], i[some] + (gates_at + k * width), v[some]))
+            row, col, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(row, kind="stable")
+            cuts = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32))
+            x = [pa.ListArray.from_arrays(cuts, pa.array(a)) for a in (col[order].astype(np.int32), v[order])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.StructArray.from_arrays(x, ["indices", "values"])], names)
+
+    return rows.select(key, "action_id", "_mask", "_rs", dense.alias("_d"), *([text.alias("_t")] if has_text else [])).mapInArrow(laid, schema)
 
 
 def numbers(values: Sequence[float]) -> Column:
@@ -119,9 +181,7 @@ class JointSpace:
             space.caps = states.agg(*[F.coalesce(F.max(F.col(c).cast("double")), F.lit(0.0)).alias(c) for c in names]).first().asDict()
         if catalog:
             space.catalog = states.agg(F.max(F.greatest(*[F.size(f"{s}_catalog") for s in SOURCES]))).first()[0] or 0
-        dense = with_action(legal_rows(space.prepared(states))).select(F.posexplode(space.dense()).alias("i", "v"))
-        ends = sorted(dense.groupBy("i").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect())
-        space.low, space.high = [r.lo for r in ends], [r.hi for r in ends]
+        space.low, space.high = column_ranges(with_action(legal_rows(space.prepared(states))), space.dense())
         return space
 
     @property
@@ -148,7 +208,7 @@ class JointSpace:
             out.append(self.number("session_index"))
         parts = [F.array(*out)]
         for s in SOURCES if catalog else ():
-            whole = F.slice(F.concat(F.transform(f"{s}_catalog", lambda x: x.cast("double")), F.array_repeat(F.lit(0.0), self.catalog)), 1, self.catalog)
+            whole = F.slice(F.concat(F.col(f"{s}_catalog").cast("array<double>"), F.array_repeat(F.lit(0.0), self.catalog)), 1, self.catalog)
             read = chosen(s)
             parts += [whole, F.when(read != 0, whole).otherwise(F.array_repeat(F.lit(0.0), self.catalog))]
         return F.concat(*parts)
@@ -172,12 +232,9 @@ class JointSpace:
     def transform(self, rows: DataFrame, clip: bool = True) -> DataFrame:
         """``key, action_id, x`` of rows of states with ``action_id``; dense columns are cut to the fitted range unless ``clip`` is off."""
         states = self.prepared(rows.drop("action_id").dropDuplicates([self.key])).drop("action_id")
-        met = with_action(rows.select(self.key, "action_id").join(states, self.key)).withColumn("_d", self.dense())
-        if clip:
-            up = F.zip_with("_d", numbers(self.low), lambda v, lo: F.greatest(v, lo))
-            met = met.withColumn("_d", F.zip_with(up, numbers(self.high), lambda v, hi: F.least(v, hi)))
-        parts = [entries_of(F.col("_d"))] + ([opened(F.col("_text"), len(self.low), len(self.terms))] if MODES[self.mode][0] else [])
-        return met.withColumn("_e", F.concat(*parts)).select(self.key, "action_id", as_vector("_e").alias("x"))
+        met = with_action(rows.select(self.key, "action_id").join(states, self.key))
+        text = F.col("_text") if MODES[self.mode][0] else None
+        return laid_out(met, self.key, self.dense(), text, gates_at=len(self.low), width=len(self.terms), limits=(self.low, self.high) if clip else None)
 
 
 @dataclass
@@ -263,14 +320,13 @@ class RobustSpace:
     def transform(self, rows: DataFrame) -> DataFrame:
         """``key, action_id, x`` of rows of states with ``action_id``; fails on an action that the state's mask does not allow."""
         states = self.prepared(rows.drop("action_id").dropDuplicates([self.key]))
+        scaled = F.zip_with(F.zip_with(self.metadata(), numbers(self.centre), lambda v, m: v - m), numbers(self.scale), lambda v, s: v / s)
+        states = states.withColumn("_scaled", scaled)
         met = with_action(rows.select(self.key, "action_id").join(states, self.key))
         fine = F.col("_mask").bitwiseAND(F.col("available")) == F.col("_mask")
         met = met.withColumn("_mask", F.when(fine, F.col("_mask")).otherwise(F.raise_error(F.concat(F.lit("action not allowed: "), F.col("action_id")))))
-        scaled = F.zip_with(F.zip_with(self.metadata(), numbers(self.centre), lambda v, m: v - m), numbers(self.scale), lambda v, s: v / s)
         at = self.text_size
-        block = F.concat(scaled, self.action())
-        e = F.concat(F.col("_text"), shifted(entries_of(block), at), opened(F.col("_text"), at + len(self.centre) + 8, at))
-        return met.withColumn("_e", e).select(self.key, "action_id", as_vector("_e").alias("x"))
+        return laid_out(met, self.key, F.concat("_scaled", self.action()), F.col("_text"), at, at + len(self.centre) + 8, at)
 
 
 def pair_differences(vectors: DataFrame, pairs: DataFrame, key: str) -> DataFrame:

@@ -127,6 +127,15 @@ def test_joint_vectors_open_text_by_action_and_keep_to_the_fitted_range(spark):
         space.transform(s.withColumn("action_id", F.lit("MX+R0"))).collect()
 
 
+def test_vectors_are_laid_out_in_batches_with_nulls_and_limits(spark):
+    df = spark.createDataFrame([(1, "a", 5, 1.0, [1.0, None, -3.0], [(0, 2.0)]), (2, "b", 0, 0.0, [0.0, 4.0, 7.0], [(1, 3.0)])], "id int, action_id string, _mask int, _rs double, d array<double>, t array<struct<i: int, v: double>>")
+    assert ve.column_ranges(df, F.col("d")) == ([0.0, 4.0, -3.0], [1.0, 4.0, 7.0])
+    plain = {r.id: (r.x.indices, r.x["values"]) for r in ve.laid_out(df, "id", F.col("d"), F.col("t"), 2, 5, 2).collect()}
+    assert plain == {1: ([0, 2, 4, 5, 9, 11], [2.0, 1.0, -3.0, 2.0, 2.0, 2.0]), 2: ([1, 3, 4], [3.0, 4.0, 7.0])}
+    cut = {r.id: (r.x.indices, r.x["values"]) for r in ve.laid_out(df, "id", F.col("d"), limits=([0.0, 1.0, 0.0], [0.5, 2.0, 9.0])).collect()}
+    assert cut == {1: ([0, 1], [0.5, 1.0]), 2: ([1, 2], [2.0, 7.0])}
+
+
 def test_robust_vectors_fail_on_what_is_not_allowed(spark):
     s = states(spark)
     space = ve.RobustSpace.fit(s, "id", 8, 8)
