@@ -27,6 +27,13 @@ def copy_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return forms.join(least, F.col("form") == F.col("f")).select("id", "form", "has", "rep")
 
 
+def copy_reps(forms: DataFrame) -> DataFrame:
+    """``id, rep`` of rows of ``id, form``: the smallest id whose shingles are the same. An id of several rows has those of all, so it stands for itself."""
+    own = forms.groupBy("id").agg(F.min("form").alias("form"), F.when(F.count("*") > 1, F.col("id")).alias("own"))
+    least = own.where("own is null").groupBy(F.col("form").alias("f")).agg(F.min("id").alias("least"))
+    return own.join(least, (F.col("form") == F.col("f")) & F.col("own").isNull(), "left").select("id", F.coalesce("own", "least").alias("rep"))
+
+
 #: Shingles that many sets have: at most so many are told from the others, and so many sets are looked at for them.
 FREQUENT, LOOKED_AT = 1_000_000, 40_000
 
@@ -43,7 +50,7 @@ def frequent_shingles(*sides: DataFrame, seen: int = 4) -> tuple[np.ndarray, np.
 
 
 def prefixes(sets: DataFrame, threshold: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``id, n, tc, ts, shingle``: of each set of n the first n - ceil(t n) + 1 shingles, rare before frequent; ``tc, ts`` tell the last one's place in that order."""
+    """``id, n, place, shingle``: of each set of n the first n - ceil(t n) + 1 shingles, rare before frequent, with their places in that order from 0."""
     kind = sets.schema["id"].dataType.simpleString()
     sent = sets.sparkSession.sparkContext.broadcast(frequent)
 
@@ -61,36 +68,56 @@ def prefixes(sets: DataFrame, threshold: float, frequent: tuple[np.ndarray, np.n
             order = np.lexsort((h, c, row))
             place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
             size = n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1
-            kept = order[place < np.repeat(size, n)]
-            last = order[(np.cumsum(n) - n + size - 1)[n > 0]]
-            tail = np.zeros(len(n), np.int64)
-            tail[n > 0] = last
+            in_prefix = place < np.repeat(size, n)
+            kept = order[in_prefix]
             at = row[kept]
             ids = batch.column(0).take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, (n[at], c[tail[at]], h[tail[at]], h[kept]))], ["id", "n", "tc", "ts", "shingle"])
+            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, (n[at], place[in_prefix], h[kept]))], ["id", "n", "place", "shingle"])
+
+    return sets.select("id", "shingles").mapInArrow(first, f"id {kind}, n bigint, place bigint, shingle bigint")
 
-    return sets.select("id", "shingles").mapInArrow(first, f"id {kind}, n bigint, tc bigint, ts bigint, shingle bigint")
+
+#: So many shingles a pair must share before it is looked at, where its prefixes are long enough to hold them.
+SHARED = 2
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame | None, threshold: float) -> DataFrame:
     """``a, b``: pairs of ``prefixes`` that can still reach the threshold; without ``right``, pairs a < b of one side.
 
-    Of a pair's common shingles those up to the lesser of both last places lie in both prefixes, so they are
-    counted here; beyond it at most what that set has after its prefix can follow.
+    Sets that need m common shingles have l of them among the first n - m + l of both, as behind these at most m - l can
+    follow in the set whose prefix ends first. Only those are counted, for the greatest l up to ``SHARED`` that the given prefixes allow.
     """
-    named = lambda df, x: df.select(F.col("id").alias(x), "shingle", *[F.col(c).alias(c + x) for c in ("n", "tc", "ts")])
+    named = lambda df, x: df.select(F.col("id").alias(x), "shingle", *[F.col(c).alias(c + x) for c in ("n", "place")])
     met = named(left, "a").join(named(left if right is None else right, "b"), "shingle")
     met = met.where((F.col("a") < F.col("b")) if right is None else F.lit(True)).where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
-    keys = ["a", "b", "na", "nb", "tca", "tsa", "tcb", "tsb"]
-    k = met.groupBy(*keys).agg(F.count("*").alias("k"))
-    rest = lambda n: F.ceil(F.col(n) * threshold - 1e-9) - 1
-    most = F.col("k") + F.when(F.struct("tca", "tsa") <= F.struct(F.col("tcb").alias("tca"), F.col("tsb").alias("tsa")), rest("na")).otherwise(rest("nb"))
-    return k.where(most >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b")
+    need = F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-6)
+    least = F.least(F.lit(SHARED), need - F.ceil(F.greatest("na", "nb") * threshold - 1e-9) + 1)
+    early = met.where(F.least(F.col("na") - F.col("placea"), F.col("nb") - F.col("placeb")) > need - least)
+    return early.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("a", "b")
+
+
+#: Sets of one side that are compared together with those of the other.
+CELL = 64
+
+
+def cells(cand: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``a, lead, part`` and ``lead, part, b, those``: the one cell of each left set, and for each cell the right sets it asks for, with the left ids of their pairs.
+
+    Left sets with the same last candidate make cells of about ``CELL``, so a group of n near copies asks for its right sets some n / ``CELL`` times, and not n times.
+    """
+    last = cand.groupBy("a").agg(F.max("b").alias("lead"))
+    sizes = last.groupBy("lead").agg(F.ceil(F.count("*") / CELL).alias("parts"))
+    dealt = durable(last.join(sizes, "lead").select("a", "lead", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part")))
+    return dealt, durable(cand.join(dealt, "a").groupBy("lead", "part", "b").agg(F.collect_list("a").alias("those")))
 
 
 def verified_pairs(cand: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """``a, b, similarity`` of the candidates at or above the threshold, from ``id, shingles`` of both sides."""
-    met = cand.join(left.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(right.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    """``a, b, similarity`` of the candidates at or above the threshold, from ``id, shingles`` of both sides. Sets are sent to the cells that need them, not for each pair."""
+    dealt, asked = cells(cand)
+    few = cand.count() <= SENT_KEYS
+    x = left.select(F.col("id").alias("a"), F.col("shingles").alias("x")).join(F.broadcast(dealt) if few else dealt, "a")
+    y = right.select(F.col("id").alias("b"), F.col("shingles").alias("y")).join(F.broadcast(asked) if few else asked, "b")
+    met = y.join(x, ["lead", "part"]).where(F.array_contains("those", F.col("a")))
     shared = met.select("a", "b", F.size(F.array_intersect("x", "y")).alias("k"), (F.size("x") + F.size("y")).alias("n"))
     return shared.select("a", "b", (F.col("k") / (F.col("n") - F.col("k"))).alias("similarity")).where(F.col("similarity") >= threshold)
 
@@ -102,7 +129,7 @@ def shingle_pairs(left: DataFrame, right: DataFrame | None, threshold: float) ->
     b = None if right is None else gathered(right)
     drawn = lambda df: df.where(_drawn("id", df.count()))
     frequent = frequent_shingles(*[drawn(x) for x in (a, b) if x is not None])
-    cand = candidate_pairs(prefixes(a, threshold, frequent), None if b is None else prefixes(b, threshold, frequent), threshold)
+    cand = durable(candidate_pairs(prefixes(a, threshold, frequent), None if b is None else prefixes(b, threshold, frequent), threshold))
     return verified_pairs(cand, a, a if b is None else b, threshold)
 
 
@@ -167,15 +194,16 @@ def overlap_classes(df: DataFrame, id_col: str, text_col: str, threshold: float
 def overlaps(left: DataFrame, right: DataFrame, id_col: str, text_col: str, threshold: float = 0.88, width: int = 5) -> DataFrame:
     """``id_col, reason, similarity`` of the left rows that the right side has: ``exact`` in normal form, else ``similar`` with the greatest similarity.
 
-    What is found exactly is not compared further; texts without a token are found nowhere. Copies on
-    the right fall together first.
+    What is found exactly is not compared further; texts without a token are found nowhere. Copies of each
+    side fall together first.
     """
-    theirs = durable(copy_classes(right, id_col, text_col).where("has").groupBy("form").agg(F.min("id").alias("rep")))
-    exact = durable(copy_classes(left, id_col, text_col).where("has").join(theirs.select("form"), "form", "left_semi").select("id").distinct())
-    found = exact.withColumnRenamed("id", "_id")
-    rest = left.join(F.broadcast(found) if found.count() <= SENT_KEYS else found, F.col(id_col) == F.col("_id"), "left_anti")
-    pairs = text_pairs(rest, _with_ids(right, id_col, theirs.select("rep")), id_col, text_col, threshold, width)
-    near = pairs.groupBy(F.col("a").alias("id")).agg(F.lit("similar").alias("reason"), F.max("similarity").alias("similarity"))
+    mine, theirs = (durable(form_digests(x, id_col, text_col).where(F.col("form") != NO_TOKEN)) for x in (left, right))
+    exact = durable(mine.join(theirs.select("form").distinct(), "form", "left_semi").select("id").distinct())
+    found = F.broadcast(exact) if exact.count() <= SENT_KEYS else exact
+    rest = durable(copy_reps(mine.join(found, "id", "left_anti")))
+    sides = [_with_ids(x, id_col, r.select("rep")) for x, r in ((left, rest), (right, copy_reps(theirs)))]
+    best = text_pairs(*sides, id_col, text_col, threshold, width).groupBy(F.col("a").alias("rep")).agg(F.max("similarity").alias("similarity"))
+    near = rest.join(best, "rep").select("id", F.lit("similar").alias("reason"), "similarity")
     return exact.select("id", F.lit("exact").alias("reason"), F.lit(1.0).alias("similarity")).unionByName(near).withColumnRenamed("id", id_col)
 
 

@@ -215,6 +215,35 @@ def test_overlaps_of_two_sides(spark):
     assert best and got == {a: ("similar", pytest.approx(j)) for a, j in best.items()} | dict.fromkeys(exact, ("exact", 1.0))
 
 
+def test_copies_of_both_sides_fall_together(spark, monkeypatch):
+    """Copies that only one side has are compared once for all; an id of several rows stands for no other."""
+    base = [f"w{i}" for i in range(40)]
+    near, far = " ".join([*base[:-1], "other"]), " ".join(f"x{i}" for i in range(40))
+    left = [*((2 * i, " ".join(base) + "!" * i) for i in range(1, 30)), (70, far), (72, "?")]
+    right = [(1, near), (1, far + " more"), (3, near), (5, near.upper()), (7, None)]
+    seen = []
+    monkeypatch.setattr(similarity, "verified_pairs", lambda cand, *a, f=similarity.verified_pairs: seen.append(cand.count()) or f(cand, *a))
+    got = {r.id: (r.reason, r.similarity) for r in similarity.overlaps(*(spark.createDataFrame(x, "id int, text string") for x in (left, right)), "id", "text", 0.88).collect()}
+    assert got == {2 * i: ("similar", pytest.approx(35 / 37)) for i in range(1, 30)}
+    assert seen == [1]
+
+
+def test_sets_are_not_sent_for_each_pair(spark, monkeypatch):
+    """A group of near copies sends each set once for each cell, and no pair is lost or made twice, in cells of any size."""
+    r = random.Random(8)
+    sets = {i: sorted({*range(100), *(r.randrange(100, 120) for _ in range(5))}) for i in range(60)}
+    want = {(a, b): len(x & y) / len(x | y) for a in sets for b in sets if a < b and len((x := {*sets[a]}) & (y := {*sets[b]})) >= 0.93 * len(x | y)}
+    held = spark.createDataFrame(list(sets.items()), "id int, shingles array<bigint>")
+    cand = spark.createDataFrame([p for p in itertools.combinations(sets, 2)], "a int, b int")
+    for cell, limit in ((1, 10_000), (7, 0), (64, 10_000)):
+        monkeypatch.setattr(similarity, "CELL", cell)
+        monkeypatch.setattr(similarity, "SENT_KEYS", limit)
+        pairs = [(p.a, p.b, p.similarity) for p in similarity.verified_pairs(cand, held, held, 0.93).collect()]
+        assert want and len(pairs) == len(want) and {(a, b): s for a, b, s in pairs} == pytest.approx(want)
+    dealt, asked = similarity.cells(cand)
+    assert cand.count() == 1770 and dealt.count() == dealt.select("a").distinct().count() == 59 and asked.count() == 59
+
+
 def test_tfidf_counts_pairs_of_frequent_words_only(spark):
     """Equal to plain counts, in any size of vocabulary; a key of several rows counts as one text, and no pair crosses rows."""
     r = random.Random(3)
